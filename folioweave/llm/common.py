@@ -80,18 +80,16 @@ def lookup(rows: DataFrame, found: DataFrame, key: str, counted: str) -> DataFra
     """``rows`` left-joined with ``found`` (one row for each ``key``, which ``counted`` of ``rows`` have) without skew.
 
     Keys that hold a large share of the rows, of which there can be 1 / HOT_SHARE at most, are broadcast; the other keys
-    are joined by a shuffle. ``found`` should be materialised. Null keys find nothing.
+    are joined by a shuffle, in which rows with a hot key or none are dealt over all tasks. ``found`` should be
+    materialised. Null keys find nothing.
     """
     total = found.agg(F.sum(counted)).first()[0] or 0
     most = max(HOT_ROWS, int(total * HOT_SHARE))
-    hot = found.where(F.col(counted) > most)
-    cold = found.where(F.col(counted) <= most)
     values = [c for c in found.columns if c not in (key, counted)]
-    hot = hot.select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
-    cold = cold.select(F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold"))
+    hot = found.where(F.col(counted) > most).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
+    cold = found.where(F.col(counted) <= most).select(F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_salt"), F.struct(*values).alias("_cold"))
     joined = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    # rows that have found theirs are spread over all tasks of the second join
-    joined = joined.withColumn("_at", F.when(F.col("_hot_key").isNull(), F.col(key)))
-    spread = joined.where(F.col("_at").isNull()).select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in values))
-    rest = joined.where(F.col("_at").isNotNull()).join(cold, F.col("_at") == F.col("_cold_key"), "left")
-    return spread.unionByName(rest.select(*rows.columns, *(F.col(f"_cold.{c}").alias(c) for c in values)))
+    done = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    joined = joined.withColumn("_salt", F.when(done, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(4093))).otherwise(0))
+    joined = joined.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
+    return joined.select(*rows.columns, *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in values))

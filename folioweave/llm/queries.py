@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import archives, decontaminate, language, packing, tokens
+from folioweave.llm import archives, decontaminate, language, packing, simhash, tokens, toxicity
 from folioweave.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -27,6 +27,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(as_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to_id").alias("refers_to"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = language.fold("doc_id", 5) == 0
+    model = toxicity.learn(docs.where(~held_out), table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     items = decontaminate.benchmark_items(table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -48,7 +56,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op5_decontaminate, op6_packing, op7_language)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op4_toxicity, op5_decontaminate, op6_packing, op7_language, op9_simhash)}
 
 ORACLES = {
     "op3_warc": """
