@@ -13,6 +13,7 @@ Cases: a null or empty text is the end id alone; repeated rows are packed each;
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -21,6 +22,8 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +36,41 @@ LENGTH, END_ID = 2048, 1
 REMEMBERED = 500_000
 
 #: White space that needs no look at its neighbours is space and line feed; with any other the whole text is encoded at once.
-_ODD = re.compile("[^\\S \n]|[᠎​-‏⁠-⁯﻿\x1c-\x1f]")
+_ODD = r"[\x00-\x09\x0b-\x1f\x7f-\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
 #: Parts: a line end before text; Latin letters before white space or a sentence mark; sentence marks before white
 #: space; else white space with what follows it.
 _PARTS = re.compile("\n(?=\\S)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\\s.,;:!?]|\\Z)|[.,;:!?]+(?=\\s|\\Z)|\\s*\\S+|\\s+")
 
 
+#: Parts that are one pre-token, and so are merged alone.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Ranks of a tokenizer's byte strings, if merging by them is the same as merging by its list: byte-level BPE, cut by
+    the usual pattern, whose ids count its merges up after the 256 bytes."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    odd = model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges")
+    if model["type"] != "BPE" or odd or spec["normalizer"] or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True):
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [x for x in range(256) if x not in shown]
+    byte_of = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(hidden)}
+    vocabulary, special = model["vocab"], {x["content"] for x in spec["added_tokens"]}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if any(vocabulary[c] > 255 for c in byte_of) or any(vocabulary[m] != 256 + k for k, m in enumerate(merged)):
+        return None
+    return {bytes(byte_of[c] for c in t): k for t, k in vocabulary.items() if t not in special}
+
+
 class Encoder:
-    """Texts to ids, as little-endian bytes of ``kind``; one in a task."""
+    """Texts to the ids of a tokenizer, as little-endian bytes of ``kind``; one in a task.
+
+    Distinct words are merged by the tokenizer's own ranks where these decide its merges, else, as are all other
+    parts, by the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,19 +79,31 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        ranks = merge_ranks(path)
+        self.merge = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
 
     def learn(self, parts: list[str]) -> None:
-        code = "H" if self.kind == "<u2" else "I"
-        for a in range(0, len(parts), 20_000):
-            some = parts[a : a + 20_000]
+        code, merge, known = "H" if self.kind == "<u2" else "I", self.merge, self.known
+        rest = parts
+        if merge:
+            alone = _WORD.fullmatch
+            rest = []
+            for p in parts:
+                if alone(p):
+                    known[p] = array(code, merge(p)).tobytes()
+                else:
+                    rest.append(p)
+        for a in range(0, len(rest), 20_000):
+            some = rest[a : a + 20_000]
             for p, e in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[p] = array(code, e.ids).tobytes()
+                known[p] = array(code, e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_PARTS.findall(t) if not _ODD.search(t) else [t] for t in texts]
-        new = list({p for parts in split for p in parts}.difference(self.known))
+        odd = pc.match_substring_regex(pa.array(texts, pa.string()), _ODD).to_pylist()
+        split = [[t] if o else _PARTS.findall(t) for t, o in zip(texts, odd, strict=True)]
+        new = set().union(*split).difference(self.known)
         if new:
-            self.learn(new)
+            self.learn(list(new))
         out = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
         if len(self.known) > REMEMBERED:
             self.known = {}
