@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import archives, decontaminate, language, packing, simhash, tokens, toxicity
+from folioweave.llm import archives, decontaminate, language, packing, passages, simhash, suffixes, tokens, toxicity
 from folioweave.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -56,11 +56,21 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op4_toxicity, op5_decontaminate, op6_packing, op7_language, op9_simhash)}
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op4_toxicity, op5_decontaminate, op6_packing, op7_language, op8_passages, op9_simhash, op10_suffixes)}
 
 ORACLES = {
     "op3_warc": """
@@ -89,4 +99,15 @@ ORACLES = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op8_passages": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: md5(array_to_string(w[i:i + 12], ' ')))) AS h
+              FROM d WHERE len(w) >= 13),
+        m AS (SELECT h, min(doc_id) AS first FROM s GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM s JOIN m USING (h) WHERE m.first < s.doc_id),
+        g AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed,
+               sha256(CASE WHEN g.n IS NULL THEN array_to_string(w, ' ')
+                           ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ps, k)), lambda k: w[k]), ' '), '') END) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)""",
 }
