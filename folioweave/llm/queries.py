@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import archives, decontaminate, language, packing, passages, simhash, suffixes, tokens, toxicity
+from folioweave.llm import archives, decontaminate, language, neighbours, packing, passages, simhash, suffixes, tokens, toxicity
 from folioweave.llm.common import table
 
 TOKEN_LIMIT = 4096
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = neighbours.Index(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return index.search(F.col("id") % 100 == 0)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     counted = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -70,7 +75,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op4_toxicity, op5_decontaminate, op6_packing, op7_language, op8_passages, op9_simhash, op10_suffixes)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_token_counts, op3_warc, op4_toxicity, op5_decontaminate, op6_packing, op7_language, op8_passages, op9_simhash, op10_suffixes)}
 
 ORACLES = {
     "op3_warc": """
