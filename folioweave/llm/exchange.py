@@ -94,9 +94,17 @@ def blocks(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
         if held:
             yield out()
 
-    shared_dir(docs.sparkSession)
-    packed = docs.mapInArrow(run, "blk long, payload binary")
-    return packed.repartition(max(1, -(-size // (BLOCK * BLOCKS))), "blk").checkpoint(), size
+    spark = docs.sparkSession
+    shared_dir(spark)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (BLOCK * BLOCKS)))
+    # a checkpoint keeps its partitioning, and so spares every later join a shuffle of the blocks, unless its plan is adaptive
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        packed = docs.mapInArrow(run, "blk long, payload binary").repartition(n, "blk").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return packed, size
 
 
 def opened(payload: bytes) -> pa.RecordBatch:
@@ -200,6 +208,7 @@ def bits_of(answers: list | None) -> np.ndarray:
 def told(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """The blocks with their answers in one more column."""
     n = sum(c.startswith("answers") for c in blocks.columns)
+    answers = answers.hint("shuffle_hash")
     return blocks.join(answers.select(F.col("blk").alias("_blk"), F.col("answers").alias(f"answers{n}")), F.col("blk") == F.col("_blk"), "left").drop("_blk")
 
 
