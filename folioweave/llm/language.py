@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,6 +147,6 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: st
     return map_texts(docs, text, fields, make, SLICE)
 
 
-def fold(key: str, parts: int) -> F.Column:
+def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; of a null key as of the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
