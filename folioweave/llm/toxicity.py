@@ -26,7 +26,7 @@ from folioweave.llm.common import map_texts, texts_as_bytes
 
 BUCKETS, WIDTH, GRAMS, PASSAGE = 1 << 17, 8, (3, 4, 5), 6
 #: Bounds of what is learnt from: rows of either label, and characters of one text.
-SAMPLE, LONGEST = 5000, 60_000
+SAMPLE, LONGEST = 1500, 60_000
 STEPS, BATCH, RATE, SEED = 800, 64, 0.2, 7
 
 _WORD = re.compile(r"\w+")
@@ -53,7 +53,7 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ points[k : len(points) - n + 1 + k]) * _FACTORS[k]
             h ^= h >> np.uint64(29)
         inside = owner[: len(h)] == owner[n - 1 :]
-        found.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
+        found.append((h[inside] % np.uint64(BUCKETS)).astype(np.int32))
         owners.append(owner[: len(h)][inside])
     buckets, owners = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
@@ -67,6 +67,8 @@ def passages(n: int, size: int = PASSAGE) -> np.ndarray:
 
 def _means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Means of consecutive runs (none empty)."""
+    if not len(sizes):
+        return np.zeros(0)
     return np.add.reduceat(values, np.cumsum(sizes) - sizes, axis=0) / (sizes[:, None] if values.ndim > 1 else sizes)
 
 
@@ -98,15 +100,18 @@ class Model:
 def train(texts: list[str], labels: np.ndarray, rate: float, seed: int = SEED) -> Model:
     """``rate``: the share of toxic labels outside the sample, which has as many of either kind as it can."""
     rng = np.random.default_rng(seed)
-    split = [words_of(t[:LONGEST]) for t in texts]
     vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in split]
-    buckets, sizes = ngrams(list(vocabulary))
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t[:LONGEST])], np.int32) for t in texts]
+    words = list(vocabulary)
+    del vocabulary, texts
+    parts = [ngrams(words[a : a + 50_000]) for a in range(0, len(words), 50_000)] or [ngrams([])]
+    buckets, sizes = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del words, parts
     first = np.cumsum(sizes) - sizes
     vectors = rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH
     weights, bias = rng.uniform(-1, 1, (WIDTH, 2)) * 0.5, np.zeros(2)
     g_vectors, g_weights, g_bias = np.full(BUCKETS, 1e-8), np.full((WIDTH, 2), 1e-8), np.full(2, 1e-8)
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(ids))
     order = order[[len(ids[k]) > 0 for k in order]]
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
     for _ in range(-(-STEPS * BATCH // max(1, len(used)))):
