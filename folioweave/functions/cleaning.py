@@ -21,7 +21,7 @@ REWRITES: list[tuple[str, str, str]] = [
     ("ruled line", f"{LINES}^[{SPACES}\\-_=]{{3,}}$", ""),
     ("copyright sign", f"{LINES}©{S}*{DIGIT}{{4}}.*$", ""),
     ("copyright", f"(?Umd)\\b[Cc]opyright{S}*©?{S}*{DIGIT}{{4}}.*$", ""),
-    ("address of a page", "https?://(?:[a-z$-_!]|%[0-9a-fA-F]{2})[a-z$-_!]*", ""),
+    ("address of a page", "https?://[a-z$-_!]+", ""),
     ("address of mail", f"{WORDS}\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}}\\b", ""),
     ("control characters", "[\\x00-\\x08\\x0b-\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]", ""),
     ("list marks and blank lines", f"{LINES}^[{SPACES}•\\-\\*\\+●○■□▪▫]+", ""),

@@ -43,7 +43,7 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[tuple[str, str, str | None]] = []
-        self.kinds = ["UncategorizedText"]
+        self.open: list[tuple[str, str]] = [("", "UncategorizedText")]
         self.words: list[str] = []
         self.unseen = self.tables = 0
         self.markup: list[str] = []
@@ -52,7 +52,7 @@ class _Reader(HTMLParser):
         text = re.sub(r"\s+", " ", "".join(self.words)).strip()
         self.words = []
         if text:
-            self.found.append((self.kinds[-1], text, None))
+            self.found.append((self.open[-1][1], text, None))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _UNSEEN:
@@ -69,7 +69,10 @@ class _Reader(HTMLParser):
             if tag == "table":
                 self.tables, self.markup = 1, ["<table>"]
             elif tag not in _VOID:
-                self.kinds.append(_TYPES.get(tag, self.kinds[-1] if self.kinds[-1] in ("Header", "Footer", "ListItem") else "UncategorizedText"))
+                if self.open[-1][0] == "p" or tag == self.open[-1][0] == "li":  # their end tags may be left out
+                    self.open.pop()
+                outer = self.open[-1][1]
+                self.open.append((tag, _TYPES.get(tag, outer if outer in ("Header", "Footer", "ListItem") else "UncategorizedText")))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _UNSEEN:
@@ -85,8 +88,9 @@ class _Reader(HTMLParser):
                     self.found.append(("Table", text, "".join(self.markup)))
         elif tag in _APART and tag not in _VOID:
             self.emit()
-            if len(self.kinds) > 1:
-                self.kinds.pop()
+            if any(tag == t for t, _ in self.open):
+                while self.open.pop()[0] != tag:
+                    pass
 
     def handle_data(self, data: str) -> None:
         if not self.unseen:

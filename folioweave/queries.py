@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioweave.functions import chat, cleaning, vectors
 from folioweave.functions.patterns import DIGIT, S, re2
 from folioweave.operators import elements, embed, incremental, maxmin, recursive, retrieval, sentences
+from folioweave.sources.partitions import spread
 from folioweave.sources.sinks import chunks_json
 
 #: Lines that make the cleaner work: (k, r, text) goes to documents whose id leaves r when divided by k.
@@ -25,7 +26,8 @@ VECTOR, LOW, DIMENSIONS, TOP, FLOOR = 0, 0.05, 16, 10, 0.2
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spread(rows) if {"text", "html"} & set(columns) else rows
 
 
 def noised(docs: DataFrame) -> DataFrame:
