@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioweave.sources.partitions import spread
+
 #: A slice of a batch handed to an operator holds about so many bytes of text (one longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
 #: Keys with more rows than this, and more than this share of them, are looked up from a broadcast of at most 1 / share rows.
@@ -21,7 +23,7 @@ HOT_ROWS, HOT_SHARE = 1000, 1 / 512
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The whole table ``name``, with only ``columns``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
 def shared_dir(spark: SparkSession) -> str:
