@@ -34,11 +34,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the row with the smallest id, the first of several; rows without an id come last."""
-    rows = docs.withColumn("_at", F.monotonically_increasing_id())
-    keyed = rows.select(F.struct(F.col(ID).isNull().alias("none"), F.col(ID).alias("id"), "_at").alias("_key"), TEXT)
-    found = simhash.near_duplicates(keyed, "_key", TEXT)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_at"))
+    key = F.struct(F.col(f"_row.{ID}").isNull().alias("none"), F.col(f"_row.{ID}").alias("id"), "_at")
+    found = simhash.near_duplicates(rows.select(key.alias("_key"), F.col(f"_row.{TEXT}").alias(TEXT)), "_key", TEXT)
     stay = found.where(F.col("_key") == F.col("component_id")).select(F.col("_key._at").alias("_at"))
-    return rows.join(stay, "_at", "left_semi").drop("_at")
+    return _unwrapped(rows.join(stay, "_at", "left_semi"))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
