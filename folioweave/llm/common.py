@@ -92,6 +92,7 @@ def lookup(rows: DataFrame, found: DataFrame, key: str, counted: str) -> DataFra
     cold = found.where(F.col(counted) <= most).select(F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_salt"), F.struct(*values).alias("_cold"))
     joined = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     done = F.col("_hot_key").isNotNull() | F.col(key).isNull()
-    joined = joined.withColumn("_salt", F.when(done, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(4093))).otherwise(0))
+    content = [c for c, kind in rows.dtypes if "map<" not in kind]
+    joined = joined.withColumn("_salt", F.when(done, 1 + F.pmod(F.xxhash64(*content), F.lit(4093))).otherwise(F.lit(0).cast("long")))
     joined = joined.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
     return joined.select(*rows.columns, *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in values))
