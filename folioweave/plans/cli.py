@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--input", "-i", default=source)
         p.add_argument("--output", "-o", default=target)
         p.add_argument("--no-skip", action="store_true")
+        p.add_argument("--single", "-s", help="name of the one file of the input directory to do, done before or not")
         return p
 
     p = job("preprocess", "data/raw", "data/cleaned")
@@ -50,7 +51,7 @@ def named(path: str | None):
 
 def run(spark: SparkSession, argv: list[str]) -> int:
     a = parser().parse_args(argv)
-    common = {"skip_existing": not a.no_skip}
+    common = {"skip_existing": not a.no_skip, "only": a.single}
     if a.job == "preprocess":
         stats = jobs.preprocess(spark, a.input, a.output, extractor=named(a.extractor), save_metadata=a.metadata, **common)
     elif a.job == "recursive":

@@ -1,4 +1,4 @@
-"""Batch jobs from a directory to a directory. Each does only what isn't done, and returns one row of statistics.
+"""Batch jobs from a directory to a table. Each does only what isn't done, and returns one row of statistics.
 
 A bad document never stops a job: it is counted as failed.
 """
@@ -32,18 +32,34 @@ def _done(spark: SparkSession, output: str, skip_existing: bool) -> DataFrame:
     return spark.createDataFrame([], "source_file string")
 
 
-def _run(spark: SparkSession, docs: DataFrame, make: Callable[[DataFrame], DataFrame], rows: Callable[[DataFrame], DataFrame], output: str, skip_existing: bool, size: str | None) -> DataFrame:
+def _put(spark: SparkSession, rows: DataFrame, output: str, skip_existing: bool, only: str | None) -> None:
+    """Appends what was new; else replaces the table, or of it the one document ``only``."""
+    if only is None or not _exists(spark, output):
+        rows.write.mode("append" if skip_existing else "overwrite").parquet(output)
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    others = spark.read.parquet(output).where(F.col("source_file") != only)
+    others.unionByName(rows, allowMissingColumns=True).write.mode("overwrite").parquet(f"{output}.new")
+    fs = path(output).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path(output), True)
+    fs.rename(path(f"{output}.new"), path(output))
+
+
+def _run(spark: SparkSession, docs: DataFrame, make: Callable[[DataFrame], DataFrame], rows: Callable[[DataFrame], DataFrame], output: str, skip_existing: bool, size: str | None, only: str | None) -> DataFrame:
     """``make`` adds what a document becomes, null or empty if it failed; ``rows`` are written.
 
+    With ``only``, the name of one file, no other is looked at, and it is done whether it was done before or not.
     Statistics: total_files, processed, skipped, failed, total_chunks, avg_chunks, output_files and duration (seconds).
     """
     began = time.time()
+    if only is not None:
+        docs, skip_existing = docs.where(F.col("source_file") == only), False
     done = _done(spark, output, skip_existing).withColumn("_done", F.lit(True))
     marked = docs.join(done, "source_file", "left")
     made = make(marked.where(F.col("_done").isNull()).drop("_done")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fine = made.where(F.size(size) > 0) if size else made.where(F.length("text") > 0)
-        rows(fine).write.mode("append" if skip_existing else "overwrite").parquet(output)
+        _put(spark, rows(fine), output, skip_existing, only)
         text = F.when(F.size(size) > 0, F.lit("x")) if size else F.col("text")
         results = made.select("source_file", outcome(F.lit(False), text).alias("outcome"), (F.size(size) if size else F.lit(None).cast("int")).alias("n"))
         skipped = marked.where("_done").select("source_file", F.lit("skipped").alias("outcome"), F.lit(None).cast("int").alias("n"))
@@ -54,7 +70,7 @@ def _run(spark: SparkSession, docs: DataFrame, make: Callable[[DataFrame], DataF
         made.unpersist()
 
 
-def preprocess(spark: SparkSession, input: str, output: str, *, extractor: Extractor, save_metadata: bool = False, skip_existing: bool = True, pattern: str = "*.pdf") -> DataFrame:
+def preprocess(spark: SparkSession, input: str, output: str, *, extractor: Extractor, save_metadata: bool = False, skip_existing: bool = True, pattern: str = "*.pdf", only: str | None = None) -> DataFrame:
     """Files to cleaned texts: source_file, stem, text and, if asked for, the properties as lines in ``metadata_text``."""
 
     def make(files: DataFrame) -> DataFrame:
@@ -65,20 +81,20 @@ def preprocess(spark: SparkSession, input: str, output: str, *, extractor: Extra
         more = [properties_text(F.col("properties")).alias("metadata_text")] if save_metadata else []
         return docs.select("source_file", stem(F.col("source_file")).alias("stem"), "text", *more)
 
-    return _run(spark, read_files(spark, input, pattern), make, rows, output, skip_existing, None)
+    return _run(spark, read_files(spark, input, pattern), make, rows, output, skip_existing, None, only)
 
 
-def chunk_recursive(spark: SparkSession, input: str, output: str, *, chunk_size: int = 1000, chunk_overlap: int = 200, separators: Sequence[str] | None = None, include_metadata: bool = True, skip_existing: bool = True) -> DataFrame:
+def chunk_recursive(spark: SparkSession, input: str, output: str, *, chunk_size: int = 1000, chunk_overlap: int = 200, separators: Sequence[str] | None = None, include_metadata: bool = True, skip_existing: bool = True, only: str | None = None) -> DataFrame:
     """Text files to size-bounded chunks."""
 
     def make(docs: DataFrame) -> DataFrame:
         chunks = recursive.split(F.when(F.length(strip(F.col("text"))) > 0, F.col("text")), chunk_size=chunk_size, chunk_overlap=chunk_overlap, separators=separators)
         return docs.withColumn("chunks", chunks)
 
-    return _run(spark, read_texts(spark, input), make, lambda d: recursive.to_chunks(d, "chunks", "source_file", include_metadata), output, skip_existing, "chunks")
+    return _run(spark, read_texts(spark, input), make, lambda d: recursive.to_chunks(d, "chunks", "source_file", include_metadata), output, skip_existing, "chunks", only)
 
 
-def chunk_maxmin(spark: SparkSession, input: str, output: str, *, embedder: embed.Loader | None = None, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5, include_metadata: bool = True, skip_existing: bool = True, batch_size: int = 8) -> DataFrame:
+def chunk_maxmin(spark: SparkSession, input: str, output: str, *, embedder: embed.Loader | None = None, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5, include_metadata: bool = True, skip_existing: bool = True, batch_size: int = 8, only: str | None = None) -> DataFrame:
     """Text files to chunks of sentences that belong together."""
 
     def make(docs: DataFrame) -> DataFrame:
@@ -86,13 +102,13 @@ def chunk_maxmin(spark: SparkSession, input: str, output: str, *, embedder: embe
         embedded = embed.embed(cut, "sentences", "vectors", embedder=embedder, batch_size=batch_size)
         return maxmin.cluster(embedded, "vectors", fixed_threshold=fixed_threshold, c=c, init_constant=init_constant)
 
-    return _run(spark, read_texts(spark, input), make, lambda d: maxmin.to_chunks(d, "sentences", "starts", "source_file", include_metadata), output, skip_existing, "starts")
+    return _run(spark, read_texts(spark, input), make, lambda d: maxmin.to_chunks(d, "sentences", "starts", "source_file", include_metadata), output, skip_existing, "starts", only)
 
 
-def chunk_elements(spark: SparkSession, input: str, output: str, *, partitioner: Callable = elements.html_partitioner, pattern: str = "*.html", include_metadata: bool = True, skip_existing: bool = True) -> DataFrame:
+def chunk_elements(spark: SparkSession, input: str, output: str, *, partitioner: Callable = elements.html_partitioner, pattern: str = "*.html", include_metadata: bool = True, skip_existing: bool = True, only: str | None = None) -> DataFrame:
     """Files to one chunk for each element; PDF files with ``pattern="*.pdf"`` and a partitioner of their bytes."""
     files = read_pdfs(spark, input) if pattern == "*.pdf" else read_files(spark, input, pattern)
     content = F.col("content") if pattern == "*.pdf" else F.decode("content", "UTF-8")
     docs = files.select("source_file", content.alias("content"))
     make = lambda d: elements.partition(d, "content", "source_file", partitioner=partitioner)
-    return _run(spark, docs, make, lambda d: elements.to_chunks(d, "source_file", include_metadata), output, skip_existing, "elements")
+    return _run(spark, docs, make, lambda d: elements.to_chunks(d, "source_file", include_metadata), output, skip_existing, "elements", only)

@@ -147,6 +147,12 @@ def maxmin_documents(spark, sf_dir):
     return maxmin.to_chunks(found, "sentences", "starts", "doc_id")
 
 
+def maxmin_chunk_stats(spark, sf_dir):
+    n = F.col("num_sentences")
+    found = maxmin_documents(spark, sf_dir).agg(F.count(n).alias("chunks"), F.avg(n).alias("avg_sentences"), F.min(n).alias("min_sentences"), F.max(n).alias("max_sentences"))
+    return found
+
+
 def _partitioned(spark, sf_dir):
     return elements.partition(_read(spark, sf_dir, "pages", "page_id", "url", "html"), "html", "url")
 
@@ -275,7 +281,7 @@ def think_switch(spark, sf_dir):
 _ALL = [
     clean_documents, clean_plain_documents, clean_reduction_stats, clean_advanced_numbers, clean_advanced_punct, remove_headers, page_join_nonblank,
     recursive_windows, recursive_chunks, recursive_chunks_characters, recursive_chunk_stats, split_sentences, sentence_stats,
-    embedding_norms, embedding_normalize, maxmin_default, maxmin_low_threshold, maxmin_low_threshold_hof, maxmin_documents,
+    embedding_norms, embedding_normalize, maxmin_default, maxmin_low_threshold, maxmin_low_threshold_hof, maxmin_documents, maxmin_chunk_stats,
     html_elements, element_chunks, element_text_list, element_histogram, element_size_stats,
     skip_existing, already_done, run_statistics, chunk_json, chunk_json_compact,
     topk_similarity, topk_filtered, similarity_threshold, dot_top3, mmr, mrl_truncate, collection_upsert, collection_delete,

@@ -3,8 +3,9 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from folioweave.functions import sql
 from folioweave.operators import retrieval
-from folioweave.plans import cli, jobs
+from folioweave.plans import cli, jobs, logs
 from folioweave.sources import files, sinks
 from folioweave.streaming import arriving
 
@@ -71,6 +72,31 @@ def test_chunk_jobs_and_command_line(spark, tmp_path):
     assert jobs.chunk_recursive(spark, str(tmp_path / "none"), str(tmp_path / "n")).first()["total_files"] == 0
 
 
+def test_one_file_again(spark, tmp_path):
+    src = _texts(tmp_path)
+    out = str(tmp_path / "r")
+    jobs.chunk_recursive(spark, str(src), out)
+    (src / "a.txt").write_text("Baru.")
+    stats = jobs.chunk_recursive(spark, str(src), out, only="a.txt").first()
+    assert (stats["total_files"], stats["processed"]) == (1, 1)
+    rows = spark.read.parquet(out)
+    assert [r["text"] for r in rows.where("source_file = 'a.txt'").collect()] == ["Baru."]
+    assert rows.where("source_file = 'a_metadata.txt'").count() == 1
+
+
+def test_functions_in_sql(spark):
+    sql.register(spark)
+    row = spark.sql("SELECT clean_text('Page 1\na\n12\nb [3]') AS c, split_sentences('A b. C? d') AS s, l2_norm(array(3D, 4D)) AS n, dot_product(array(1D, 2D), array(3D, 4D)) AS d, sigmoid(0D) AS g").first()
+    assert (row["c"], row["s"], row["n"], row["d"], row["g"]) == ("a b", ["A b.", "C?", "d"], 5.0, 11.0, 0.5)
+    rows = spark.sql("SELECT d.id, c.* FROM VALUES (1, 'one two three'), (2, NULL) AS d(id, t), LATERAL recursive_chunks(d.t, 8, 0) AS c ORDER BY id, chunk_id").collect()
+    assert [(r["id"], r["chunk_id"], r["text"]) for r in rows] == [(1, 0, "one two"), (1, 1, "three")]
+
+
+def test_logging(spark, tmp_path):
+    logs.setup_logging(str(tmp_path)).info("started")
+    assert [r["message"] for r in files.read_log(spark, str(tmp_path)).collect()] == ["started"]
+
+
 def test_sinks(spark, tmp_path):
     chunks = spark.createDataFrame([("s", 1, "é"), ("s", 0, None)], "source_file string, chunk_id int, text string")
     assert sinks.chunks_json(chunks, "source_file", pretty=False).first()["json"] == '[{"chunk_id":0,"text":null},{"chunk_id":1,"text":"é"}]'
