@@ -119,7 +119,8 @@ class Block:
         first, last = np.maximum(low, at - (SPREAD - 1)), np.minimum(at, high - LENGTH)
         end = np.minimum(high, at + LENGTH)
         shape = ((at - first) * (LENGTH + 1) + (end - at)).astype(np.uint64)
-        gram, context = mix(self.hashes(at, at + GRAM)), mix(self.hashes(first, end) + (shape + ONE) * _BYTE[0])
+        # not the hashes that anchors were chosen for being the least of: those would all go to the first buckets
+        gram, context = mix(self.hashes(at, at + GRAM) + ONE), mix(self.hashes(first, end) + (shape + ONE) * _BYTE[0])
         keys, number = distinct_pairs(gram, context)
         return keys, number, first, last
 
