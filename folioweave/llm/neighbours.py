@@ -30,7 +30,7 @@ K, RECALL = 10, 0.97
 SAMPLE, LEAVES, CALIBRATING = 20_000, 2048, 96
 BRANCHES, ROUNDS, SEED = 8, 12, 5
 #: About so many vectors in a block, and queries in a chunk.
-BLOCK, CHUNK = 8192, 16_384
+BLOCK, CHUNK = 2048, 16_384
 
 
 class Tree:
