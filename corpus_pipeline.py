@@ -7,7 +7,7 @@ columns of ``docs``, whatever their names. A stage's result is written before th
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioweave.llm import decontaminate, language, packing, passages, simhash
@@ -17,43 +17,45 @@ ID, TEXT = "doc_id", "text"
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
-    """Id, text and the whole row, out of reach of the operators' own column names."""
-    return docs.select(ID, TEXT, F.struct(*docs.columns).alias("_row"))
+    """Id, text and the other columns, out of reach of the operators' own column names."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (ID, TEXT)]
+    return docs.select(ID, TEXT, F.struct(*rest, F.lit(True).alias("_")).alias("_rest"))
 
 
-def _unwrapped(docs: DataFrame) -> DataFrame:
-    return docs.select("_row.*")
+def _unwrapped(found: DataFrame, docs: DataFrame, **made: Column) -> DataFrame:
+    """The columns of ``docs`` in their order; those of ``made`` have new values."""
+    own = {c: made.get(c, F.col(c) if c in (ID, TEXT) else F.col(f"_rest.`{c}`")) for c in docs.columns}
+    return found.select(*(value.alias(c) for c, value in own.items()))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no language (null, or without a letter); profiles are learnt from three quarters of the labelled texts."""
     names, prototypes = language.learn(docs.where(language.fold(ID, 4) != 2).select(ID, TEXT, "lang"))
     found = language.identify(_wrapped(docs), names, prototypes)
-    return _unwrapped(found.where(F.col("lang_pred") != language.UNKNOWN) if names else found)
+    return _unwrapped(found.where(F.col("lang_pred") != language.UNKNOWN) if names else found, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the row with the smallest id, the first of several; rows without an id come last."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_at"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.monotonically_increasing_id().alias("_at"))
     key = F.struct(F.col(f"_row.{ID}").isNull().alias("none"), F.col(f"_row.{ID}").alias("id"), "_at")
     found = simhash.near_duplicates(rows.select(key.alias("_key"), F.col(f"_row.{TEXT}").alias(TEXT)), "_key", TEXT)
     stay = found.where(F.col("_key") == F.col("component_id")).select(F.col("_key._at").alias("_at"))
-    return _unwrapped(rows.join(stay, "_at", "left_semi"))
+    return rows.join(stay, "_at", "left_semi").select("_row.*")
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages out that an earlier document has; a text that loses nothing stays as it is."""
     found = passages.remove_repeats(_wrapped(docs), ID, TEXT)
-    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(f"_row.{TEXT}"))
-    made = {TEXT: text, "n_chars": F.length(text).cast("long")}
-    return found.select(*(made[c].alias(c) if c in made else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(TEXT))
+    return _unwrapped(found, docs, text=text, n_chars=F.length(text).cast("long"))
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are contaminated by the benchmark."""
     items = decontaminate.benchmark_items(table(spark, sf_dir, "benchmark", "item_id", "text"))
     found = decontaminate.judged(decontaminate.find(_wrapped(docs), items, TEXT))
-    return _unwrapped(found.where(~F.col("contaminated")))
+    return _unwrapped(found.where(~F.col("contaminated")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
