@@ -4,11 +4,11 @@ The suffixes in question are sorted by splitters and buckets as a suffix array i
 range-partition them by their leading bytes, buckets sort locally by multikey quicksort, and neighbours are compared.
 Three things keep this within the size of the input. Suffixes take part with their first 8 bytes and a 64-bit hash of
 their first 200, which is as far as any comparison has to go. Of suffixes that can't be repeated none takes part, of
-those in the midst of a longer repeat neither: both are told by anchors. An anchor is a place whose 100 bytes have the
-least hash among 101 places in a row, so every 200-byte string holds one, and equal strings hold it at the same offset;
-anchors are compared first, by their 100 bytes and by the context of all 200-byte strings around them. A repeated context
-settles its own strings; an anchor of one context only rules all others out; where contexts differ, the strings of each
-context are sorted as suffixes, of a repeated one those of one place. And equal suffixes of a block go as one, so
+those in the midst of a longer repeat neither: both are told by anchors. The anchor of a 200-byte string is the last of
+its 101 places whose 100 bytes have the least hash, so equal strings have it at the same offset. Anchors are compared
+first, by their 100 bytes and by the context of all strings that they are the anchors of. A repeated context settles its
+own strings; an anchor of one context only rules all others out; where contexts differ, the strings of each context are
+sorted as suffixes, of a repeated one those of one place. And equal suffixes of a block go as one, so
 splitters cut between unequal ones only and no run of equal ones goes over a boundary.
 
 Cases: a null or empty text has no bytes, and from a text under 200 bytes nothing goes; repeated rows are places like any
@@ -98,29 +98,58 @@ class Block:
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of anchors, and their documents' starts and ends."""
+        """Anchors of the strings of LENGTH bytes: places, and the first and last start of the strings that have each."""
         n = len(self.data)
         if n < LENGTH:
             return (np.zeros(0, np.int64),) * 3
         x = np.full(n, _NONE)
         m = n - GRAM + 1
         x[:m] = mix(self.hashes(slice(0, m), slice(GRAM, n + 1)))
+        strings = np.ones(n, bool)
         for e in np.unique(self.ends).tolist():
             x[max(0, e - GRAM + 1) : e] = _NONE
+            strings[max(0, e - LENGTH + 1) : e] = False
         least = np.zeros(n + SPREAD - 1, np.uint64)
         least[SPREAD - 1 : n] = sliding(x, SPREAD, np.minimum)
-        at = np.flatnonzero((sliding(least, SPREAD, np.maximum) == x) & (x != _NONE))
-        of = np.searchsorted(self.ends, at, "right")
-        return at, self.starts[of], self.ends[of]
+        chosen = (sliding(least, SPREAD, np.maximum) == x) & (x != _NONE)
+        at, upto, least = np.flatnonzero(chosen), np.cumsum(chosen, dtype=np.int32), least[SPREAD - 1 :]
+        hashes = x[at]
+
+        def anchor(start: np.ndarray) -> np.ndarray:
+            """From the last place chosen in a string back to the last one of its least hash."""
+            of, wanted = upto[start + SPREAD - 1] - 1, least[start]
+            late = np.flatnonzero(hashes[of] != wanted)
+            while len(late):
+                of[late] -= 1
+                late = late[hashes[of[late]] != wanted[late]]
+            return of
+
+        # strings in a row with one least hash have one anchor, unless its bytes are there again nearby
+        new = strings.copy()
+        new[1:] &= ~strings[:-1] | (least[1:n] != least[: n - 1])
+        first = np.flatnonzero(new)
+        if not len(first):
+            return (np.zeros(0, np.int64),) * 3
+        size = np.add.reduceat(strings, first, dtype=np.int64)
+        last = first + size - 1
+        of = anchor(first)
+        torn = np.flatnonzero(anchor(last) != of)
+        if len(torn):
+            start = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[torn].tolist(), last[torn].tolist(), strict=True)])
+            own = anchor(start)
+            cut = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(start, prepend=-1) != 1))
+            whole = np.ones(len(first), bool)
+            whole[torn] = False
+            of = np.concatenate([of[whole], own[cut]])
+            first, last = np.concatenate([first[whole], start[cut]]), np.concatenate([last[whole], start[np.append(cut[1:], len(start)) - 1]])
+        return at[of], first, last
 
     def contexts(self) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys (an anchor's bytes, its context), the anchors' numbers among them, and first and last start of the strings around each anchor."""
-        at, low, high = self.anchors()
-        first, last = np.maximum(low, at - (SPREAD - 1)), np.minimum(at, high - LENGTH)
-        end = np.minimum(high, at + LENGTH)
-        shape = ((at - first) * (LENGTH + 1) + (end - at)).astype(np.uint64)
+        """Distinct keys (an anchor's bytes, its context: all bytes of its strings), the anchors' numbers among them, and first and last start of each anchor's strings."""
+        at, first, last = self.anchors()
+        shape = ((at - first) * LENGTH + (last - first)).astype(np.uint64)
         # not the hashes that anchors were chosen for being the least of: those would all go to the first buckets
-        gram, context = mix(self.hashes(at, at + GRAM) + ONE), mix(self.hashes(first, end) + (shape + ONE) * _BYTE[0])
+        gram, context = mix(self.hashes(at, at + GRAM) + ONE), mix(self.hashes(first, last + LENGTH) + (shape + ONE) * _BYTE[0])
         keys, number = distinct_pairs(gram, context)
         return keys, number, first, last
 
@@ -128,14 +157,12 @@ class Block:
         """Whether each place starts a string that is repeated for sure; the starts in question, their keys, and their numbers among these."""
         _, number, first, last = self.contexts()
         shared, speaks, mixed = told[:, number]
-        some = first <= last
-        repeated = self.spread(first, last, shared & some)
+        repeated = self.spread(first, last, shared)
         # where an anchor's contexts differ: strings of a context that only this place has, and those of other contexts
         # at one place of the corpus
         once = np.zeros(len(number), bool)
         once[np.unique(number, return_index=True)[1]] = True
-        asked = self.spread(first, last, mixed & ~shared & some) & ~repeated
-        asked = np.flatnonzero(asked | self.spread(first, last, mixed & shared & speaks & once & some))
+        asked = np.flatnonzero(self.spread(first, last, mixed & (~shared | (speaks & once))))
         lead = np.zeros(len(asked), np.uint64)
         for k in range(8):
             lead = (lead << np.uint64(8)) | self.data[asked + k]

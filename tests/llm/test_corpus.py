@@ -364,3 +364,36 @@ def test_pipeline_keeps_clashing_columns(spark, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, small)
         assert out.columns == docs.columns and {r["score"] for r in out.collect()} == {"own"}
+
+
+def _asked(keys):
+    """What an exchange would answer to the keys of each block."""
+    a, b = np.concatenate([k.a for k in keys]), np.concatenate([k.b for k in keys])
+    bits, ends = exchange.answers(a, b, None, False), np.cumsum([len(k.a) for k in keys])
+    return [bits[:, e - len(k.a) : e] for e, k in zip(ends, keys, strict=True)]
+
+
+def test_suffixes_of_many_small_corpora():
+    powers = suffixes.Powers()
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        base = bytes(rng.integers(97, 97 + rng.integers(2, 6), 2500).astype(np.uint8))
+        if seed % 4 == 0:  # periodic, so that the least hash stands at several places
+            base = (base[: int(rng.integers(1, 60))] * 3000)[:2500]
+        texts = []
+        for _ in range(int(rng.integers(3, 25))):
+            at = int(rng.integers(0, 2000))
+            text = bytearray(base[at : at + int(rng.integers(180, 460))])
+            for _ in range(int(rng.integers(0, 3))):
+                text[rng.integers(0, len(text))] = 120
+            ends = [bytes(rng.integers(65, 70, int(rng.integers(0, 60))).astype(np.uint8)) for _ in range(2)]
+            texts.append(ends[0] + bytes(text) + ends[1])
+        n = int(rng.integers(1, 4))
+        blocks = [suffixes.Block(texts[k::n], powers) for k in range(n)]
+        first = _asked([b.contexts()[0] for b in blocks])
+        then = _asked([b.suffixes(t)[2] for b, t in zip(blocks, first, strict=True)])
+        got = Counter()
+        for block, one, two in zip(blocks, first, then, strict=True):
+            removed, spans, kept = block.kept(block.removed(one, two[0]))
+            got.update(zip(map(len, block.texts), removed, spans, map(sha, kept), strict=True))
+        assert got == Counter(brute_suffixes([t.decode() for t in texts]))
