@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioweave.functions.cleaning import strip
+from folioweave.operators.rows import each
 
 # Separators from paragraphs down to characters
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -87,6 +88,6 @@ def windows(text: Column, *, chunk_size: int = 1000, chunk_overlap: int = 200) -
 
 def to_chunks(docs: DataFrame, chunks: str, source: str, include_metadata: bool = True) -> DataFrame:
     """A row for each chunk of the array column ``chunks``: ``source``, chunk_id, text, num_characters, metadata."""
-    rows = docs.select(source, F.posexplode(chunks).alias("chunk_id", "text")).withColumn("num_characters", F.length("text"))
+    rows = each(docs, chunks, source, place="chunk_id", value="text").withColumn("num_characters", F.length("text"))
     metadata = F.struct(F.col(source).cast("string").alias("source_file"), F.lit(METHOD).alias("chunking_method"), F.col("num_characters").alias("chunk_length"))
     return rows.withColumn("metadata", metadata) if include_metadata else rows

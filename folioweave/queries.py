@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioweave.functions import chat, cleaning, vectors
 from folioweave.functions.patterns import DIGIT, S, re2
 from folioweave.operators import elements, embed, incremental, maxmin, recursive, retrieval, sentences
+from folioweave.operators.rows import each
 from folioweave.sources.partitions import spread
 from folioweave.sources.sinks import chunks_json
 
@@ -102,7 +103,7 @@ def recursive_chunk_stats(spark, sf_dir):
 
 def split_sentences(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.select("doc_id", F.posexplode(sentences.split_sentences(F.col("text"))).alias("ord", "sentence"))
+    return each(docs, sentences.split_sentences(F.col("text")), "doc_id", place="ord", value="sentence")
 
 
 def sentence_stats(spark, sf_dir):
@@ -125,7 +126,7 @@ def _clusters(spark, sf_dir, impl, **options):
     rows = _read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     docs = maxmin.gather(rows, "label", "vec_id", "vec_id", "embedding")
     found = maxmin.cluster(docs, "embedding", impl=impl, **options)
-    own = found.select("label", F.posexplode(maxmin.paragraphs(F.col("vec_id"), F.col("starts"))).alias("chunk_id", "members"))
+    own = each(found, maxmin.paragraphs(F.col("vec_id"), F.col("starts")), "label", place="chunk_id", value="members")
     return own.select("label", "chunk_id", F.explode("members").alias("vec_id"))
 
 

@@ -100,3 +100,9 @@ def test_clean_then_chunk_plans_one_python_step(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     plan = docs.select(recursive.split(clean_text(F.col("text"))))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "ArrowEvalPython" in plan
+
+
+def test_chunks_are_computed_once(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("chunks", recursive.split(clean_text(F.col("text"))))
+    plan = recursive.to_chunks(docs, "chunks", "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
