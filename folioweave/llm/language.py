@@ -29,6 +29,19 @@ UNKNOWN = "und"
 SLICE, CHUNK = 1 << 20, 4096
 
 
+def _pieces(text: bytes, size: int = SLICE) -> list[bytes]:
+    """A text cut at spaces into pieces of about ``size`` bytes; a space is a word boundary on either side."""
+    at, out = 0, []
+    while len(text) - at > size:
+        end = text.rfind(b" ", at + 1, at + size)
+        end = end if end > 0 else text.find(b" ", at + size)
+        if end < 0:
+            break
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 class Profiler:
     """Vectors of texts; one in a task."""
 
@@ -52,7 +65,18 @@ class Profiler:
         return found
 
     def vectors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text its vector, and whether it has a letter."""
+        """Of each text its vector, and whether it has a letter; long texts in pieces, whose vectors add up."""
+        pieces = [(k, p) for k, t in enumerate(texts) for p in _pieces(t)]
+        if len(pieces) == len(texts):
+            return self._vectors(texts)
+        out, lettered = np.zeros((len(texts), self.dimensions), np.float32), np.zeros(len(texts), bool)
+        for k, p in pieces:
+            vector, has = self._vectors([p])
+            out[k] += vector[0]
+            lettered[k] |= has[0]
+        return out, lettered
+
+    def _vectors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros((len(texts), self.dimensions), np.float32)
         points = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32) for t in texts]
         sizes = np.array([len(p) + 1 for p in points])

@@ -44,11 +44,11 @@ def fingerprint(text: bytes) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - WORDS + 1)
-    h = xxhash.xxh64_intdigest
-    hashes = [h(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)]
+    ends, h = ends[-n:], xxhash.xxh64_intdigest
     counts = np.zeros(64, np.int64)
     for k in range(0, n, 4096):
-        counts += np.unpackbits(np.array(hashes[k : k + 4096], np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        hashes = [h(line[a:b], SEED) for a, b in zip(starts[k : min(k + 4096, n)].tolist(), ends[k : k + 4096].tolist(), strict=True)]
+        counts += np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 

@@ -161,6 +161,15 @@ def test_profiles_are_bundles_of_bound_trigrams():
     assert np.array_equal(got[3], vector(" ab") + vector("ab ") + 8999 * vector("bab") + 8999 * vector("aba"))
 
 
+def test_pieces_of_a_long_text_add_up(monkeypatch):
+    text = " ".join(fuzz(500)).encode()
+    whole = language.Profiler(64)._vectors([text])
+    monkeypatch.setattr(language._pieces, "__defaults__", (97,))
+    assert b"".join(language._pieces(text)) == text and len(language._pieces(text)) > 50
+    got = language.Profiler(64).vectors([b"", text])
+    assert np.array_equal(got[0][1], whole[0][0]) and got[1].tolist() == [False, True]
+
+
 def test_language_cases(awkward, nothing):
     names, prototypes = language.learn(awkward)
     assert names == ["de", "en"]
