@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from folioweave.llm.common import map_texts, texts_as_bytes
 
 BUCKETS, WIDTH, GRAMS, PASSAGE = 1 << 17, 8, (3, 4, 5), 6
-#: Bounds of what is learnt from: rows of either label, and characters of one text.
-SAMPLE, LONGEST = 1500, 60_000
+#: Bound of what is learnt from: rows of either label, each with its whole text.
+SAMPLE = 1500
 STEPS, BATCH, RATE, SEED = 800, 64, 0.2, 7
 
 _WORD = re.compile(r"\w+")
@@ -97,16 +97,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -50, 50)))
 
 
-def train(texts: list[str], labels: np.ndarray, rate: float, seed: int = SEED) -> Model:
-    """``rate``: the share of toxic labels outside the sample, which has as many of either kind as it can."""
+def numbered(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with each text's distinct words (``text`` itself) and the numbers in them of all its words (``numbers``, int32 as bytes)."""
+
+    def make():
+        def run(batch):
+            coded = [pa.array(words_of(t.decode("utf-8", "replace")), pa.string()).dictionary_encode() for t in texts_as_bytes(batch.column(text))]
+            words = pa.array([c.dictionary.to_pylist() for c in coded], pa.list_(pa.string()))
+            return [words, pa.array([c.indices.to_numpy().astype(np.int32).tobytes() for c in coded], pa.binary())]
+
+        return run
+
+    fields = T.StructType([T.StructField(text, T.ArrayType(T.StringType())), T.StructField("numbers", T.BinaryType())])
+    return map_texts(docs, text, fields, make)
+
+
+def train(words: list[str], ids: list[np.ndarray], labels: np.ndarray, rate: float, seed: int = SEED) -> Model:
+    """``ids``: each text's words by their places in ``words``; ``rate``: the share of toxic labels outside the sample,
+    which has as many of either kind as it can."""
     rng = np.random.default_rng(seed)
-    vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t[:LONGEST])], np.int32) for t in texts]
-    words = list(vocabulary)
-    del vocabulary, texts
     parts = [ngrams(words[a : a + 50_000]) for a in range(0, len(words), 50_000)] or [ngrams([])]
     buckets, sizes = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del words, parts
+    del parts
     first = np.cumsum(sizes) - sizes
     vectors = rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH
     weights, bias = rng.uniform(-1, 1, (WIDTH, 2)) * 0.5, np.zeros(2)
@@ -180,12 +192,17 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return float(counts.get(1, 0) > 0)
     share = F.when(F.col("_y") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0]))
     chosen = labels.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.substring(text, 1, LONGEST).alias("_text")).join(F.broadcast(chosen), key).select("_text", "_y").toArrow()
-    texts, y = rows["_text"].to_pylist(), rows["_y"].to_numpy().astype(np.int64)
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key)
+    rows = numbered(rows.select("_text", "_y", F.sha2("_text", 256).alias("_order")), "_text").toArrow().combine_chunks()
     # rows in an order of their own, so that the model doesn't hang on the order of partitions
-    order = sorted(range(len(texts)), key=lambda k: (texts[k], y[k]))
-    texts, y = [texts[k] for k in order], y[order]
-    return train(texts, y, counts[1] / total) if len(np.unique(y)) == 2 else counts[1] / total
+    rows = rows.sort_by([("_order", "ascending"), ("_y", "ascending")])
+    y = rows["_y"].to_numpy().astype(np.int64)
+    if len(np.unique(y)) < 2:
+        return counts[1] / total
+    coded = rows["_text"].combine_chunks().flatten().dictionary_encode()
+    places, ends = coded.indices.to_numpy().astype(np.int32), np.cumsum([len(x) for x in rows["_text"]])
+    ids = [places[e - len(w) : e][np.frombuffer(n.as_py(), np.int32)] for w, n, e in zip(rows["_text"], rows["numbers"], ends.tolist(), strict=True)]
+    return train(coded.dictionary.to_pylist(), ids, y, counts[1] / total)
 
 
 def score(docs: DataFrame, model: Model | float, text: str = "text") -> DataFrame:

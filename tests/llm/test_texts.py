@@ -212,6 +212,17 @@ def test_toxicity_reaches_held_out_texts_and_misspellings(spark, awkward, nothin
     assert toxicity.score(nothing, model).count() == 0
 
 
+def test_toxicity_learns_from_the_ends_of_long_texts(spark):
+    long = "abc abd " * 7_600
+    clean = [(k, f"abc abd {t}", 0) for k, t, y in _toxic_texts(400, 3) if not y]
+    rows = [*clean, *((1000 + k, long + "scumbag worthless pathetic " * 2, 1) for k in range(100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs, docs)
+    fresh = spark.createDataFrame([("abc scumbag worthless pathetic jig",), ("abc abd jig bead fig",)], "text string")
+    toxic, other = (r["score"] for r in toxicity.score(fresh, model).collect())
+    assert toxic > 0.5 > other
+
+
 def test_toxicity_without_labels_of_both_kinds(spark, nothing):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")
