@@ -26,7 +26,7 @@ from folioweave.llm.common import map_texts, texts_as_bytes
 
 BUCKETS, WIDTH, GRAMS, PASSAGE = 1 << 17, 8, (3, 4, 5), 6
 #: Bound of what is learnt from: rows of either label, each with its whole text.
-SAMPLE = 1500
+SAMPLE = 5000
 STEPS, BATCH, RATE, SEED = 800, 64, 0.2, 7
 
 _WORD = re.compile(r"\w+")

@@ -223,6 +223,12 @@ def test_toxicity_learns_from_the_ends_of_long_texts(spark):
     assert toxic > 0.5 > other
 
 
+def test_toxicity_learns_from_thousands_of_labels(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "int(id % 2) AS toxic")
+    monkeypatch.setattr(toxicity, "train", lambda words, ids, labels, rate: (len(words), len(ids), labels.sum(), rate))
+    assert toxicity.learn(docs, docs) == (5001, 5000, 2500, 0.5)
+
+
 def test_toxicity_without_labels_of_both_kinds(spark, nothing):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")
