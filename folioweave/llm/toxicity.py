@@ -61,8 +61,8 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passages(n: int, size: int = PASSAGE) -> np.ndarray:
-    """Starts of a text's passages: every half passage, and the last one."""
-    return np.unique(np.append(np.arange(0, max(1, n - size + 1), size // 2), max(0, n - size)))
+    """Starts of a text's passages: every word that has a whole passage after it, or the first."""
+    return np.arange(max(1, n - size + 1))
 
 
 def _means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -229,6 +229,12 @@ def test_toxicity_learns_from_thousands_of_labels(spark, monkeypatch):
     assert toxicity.learn(docs, docs) == (5001, 5000, 2500, 0.5)
 
 
+def test_toxic_phrases_score_alike_at_any_offset():
+    found = [toxicity.best_passage(np.array([0.0] * k + [1.0] * 6 + [0.0] * (20 - k))) for k in range(21)]
+    assert found == [(1.0, k) for k in range(21)]
+    assert [toxicity.passages(n).tolist() for n in (1, 6, 8)] == [[0], [0], [0, 1, 2]]
+
+
 def test_toxicity_without_labels_of_both_kinds(spark, nothing):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")
