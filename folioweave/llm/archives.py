@@ -10,7 +10,7 @@ payload digests (SHA-1 in base 32). A record whose payload another one has alrea
 
 Cases: a null payload is empty; a url that is null or empty is ``-``, white space and controls in it are percent-encoded;
 pages without an id are responses, never targets; equal payloads below ``least`` bytes are responses each; of rows
-repeated under the target's id each is a response; an empty table writes an empty archive and gives no rows.
+repeated under the target's id each is a response; white space in an id is encoded as in a url; an empty table writes an empty archive and gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import base64
 import hashlib
 import re
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +40,12 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _UNSAFE = re.compile(rb"[\x00-\x20\x7f]")
+_ADDRESS = re.compile(r"-|[0-9.]{7,15}|[0-9a-fA-F]*:[0-9a-fA-F:.]+")
+_DATE = re.compile(r"[0-9]{4,17}")
+
+
+def _encoded(value: object) -> bytes:
+    return _UNSAFE.sub(lambda m: b"%%%02X" % m[0][0], str(value).encode()) or b"-"
 
 
 def arc_version_block(version: int, name: str, date: str) -> bytes:
@@ -48,36 +55,65 @@ def arc_version_block(version: int, name: str, date: str) -> bytes:
 
 
 def arc_record(version: int, block: bytes, url: str | None, date: str, kind: str = "text/html", ip: str = "0.0.0.0", code: int = 200, offset: object = "-", name: str = "-") -> bytes:
-    safe = _UNSAFE.sub(lambda m: b"%%%02X" % m[0][0], (url or "").encode()) or b"-"
-    middle = b"" if version == 1 else f" {code} - - {offset} {name}".encode()
-    return safe + f" {ip} {date} {kind}".encode() + middle + f" {len(block)}\n".encode() + block + b"\n"
+    middle = b"" if version == 1 else f" {code} - - ".encode() + _encoded(offset) + b" " + _encoded(name)
+    return _encoded(url or "") + f" {ip} {date} {kind}".encode() + middle + f" {len(block)}\n".encode() + block + b"\n"
+
+
+def arc_fields(line: str, names: list[str], sure: bool = False) -> dict[str, str] | None:
+    """The fields of a header line, None if it isn't one; ``sure``: only if it has an address and a date in their places.
+
+    Spaces beyond those between fields belong to the URL or to the content type, as many to the URL as leave an address
+    and a date in their places.
+    """
+    values = line.split(" ")
+    more = len(values) - len(names)
+    if more < 0 or not (values[-1].isascii() and values[-1].isdigit()):
+        return None
+    kind = names.index("Content-type") if "Content-type" in names[1:] else 0
+    for k in range(more, -1 if kind else more - 1, -1):
+        end = kind + more
+        parts = [" ".join(values[: k + 1]), *values[k + 1 : k + kind], " ".join(values[k + kind : end + 1]), *values[end + 1 :]] if kind else [" ".join(values[: k + 1]), *values[k + 1 :]]
+        fields = dict(zip(names, parts, strict=True))
+        if _ADDRESS.fullmatch(fields.get("IP-address", "")) and _DATE.fullmatch(fields.get("Archive-date", "")):
+            return fields
+    return None if sure or more else fields
 
 
 def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of an ARC file, the version block first; what comes before a damaged line is kept."""
-    at, names = 0, ARC_FIELDS[1].split()
+    """(fields, block) of each record of an ARC file; only the first can be its version block, whose fields have ``version``.
+
+    After a damaged line or a block that is cut short, the next whole record is looked for, and a warning says so.
+    """
+    at, names, opening, lost = 0, ARC_FIELDS[1].split(), True, None
     while at < len(data):
         end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
+        end = end if end >= 0 else len(data)
+        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
         if not line:
-            at = end + 1 if end >= 0 else len(data)
+            at = end + 1
+            continue
+        version = opening and line.startswith("filedesc://")
+        if version:
+            names = ARC_FIELDS[2 if line.count(" ") + 1 >= len(ARC_FIELDS[2].split()) else 1].split()
+        opening = False
+        fields = arc_fields(line, names, lost is not None)
+        size = int(fields[names[-1]]) if fields else 0
+        if not fields or end + 1 + size > len(data):
+            lost = at if lost is None else lost
+            at = end + 1
             continue
-        values = line.split(" ")
-        if line.startswith("filedesc://"):
-            names = ARC_FIELDS[1 if len(values) == 5 else 2].split()
-        if end < 0 or len(values) != len(names) or not values[-1].isdigit():
-            return
-        size = int(values[-1])
+        if lost is not None:
+            warnings.warn(f"no whole ARC record from byte {lost} to {at}", stacklevel=2)
+            lost = None
         block = data[end + 1 : end + 1 + size]
-        if len(block) < size:
-            return
-        fields = dict(zip(names, values, strict=True))
-        if line.startswith("filedesc://"):
+        if version:
             declared = block.split(b"\n")
             fields["version"] = declared[0].split(b" ")[0].decode("ascii", "replace")
             names = declared[1].decode("ascii", "replace").split() if len(declared) > 1 and declared[1].strip() else names
         yield fields, block
         at = end + 1 + size
+    if lost is not None:
+        warnings.warn(f"no whole ARC record from byte {lost} to {len(data)}", stacklevel=2)
 
 
 def sha1_32(data: bytes) -> str:
@@ -110,8 +146,8 @@ def warc_record(fields: dict[str, str], block: bytes, refers_to: str | None = No
     """The WARC record for an ARC record; ``refers_to`` is the identifier of the response with the same payload, if any."""
     head, payload = payload_of(block)
     named = [("WARC-Record-ID", record_id(fields, block)), ("WARC-Date", warc_date(fields["Archive-date"]))]
-    if fields["URL"].startswith("filedesc://"):
-        text = b"software: folioweave\r\nformat: WARC/1.1\r\noriginal-arc-version: " + fields.get("version", "1").encode() + b"\r\n"
+    if "version" in fields:
+        text = b"software: folioweave\r\nformat: WARC/1.1\r\noriginal-arc-version: " + fields["version"].encode() + b"\r\n"
         named = [("WARC-Type", "warcinfo"), *named, ("WARC-Filename", fields["URL"][11:]), ("Content-Type", "application/warc-fields")]
         block = text
     else:
@@ -172,9 +208,11 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
                 legacy.append(arc_record(version, head + body, u, date, offset="-" if page is None else page, name="pages"))
                 if to is not None:
-                    targets[k] = f"<urn:arc:pages:{to}>"
+                    targets[k] = f"<urn:arc:pages:{_encoded(to).decode()}>"
             # the writer ends each row with a line feed, the last byte of a record
             records = [x[:-1] for x in convert_arc(b"".join(legacy), targets)]
+            if len(records) != len(legacy):
+                raise ValueError(f"{len(legacy)} ARC records gave {len(records)} WARC records")
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
     per_file = max(1, FILE_BYTES // max(1, size // max(1, n)))

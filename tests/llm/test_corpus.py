@@ -319,6 +319,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert {bytes(r["payload"]).decode() for r in rows if r["payload"] is not None} == {big, "small", "", pages[-1][2]}
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_lines_with_spaces_and_damage(version):
+    record = lambda block, url, **more: archives.arc_record(version, block, "U", "19990102030406", **more).replace(b"U", url, 1)
+    data = archives.arc_version_block(version, "old.arc", "19990102030405") + record(b"one", b"http://a/b c d", ip="1.2.3.4")
+    data += record(b"two", b"http://a", kind="text/html; charset=x y") + record(b"three", b"http://a/ b", kind="a; b") + record(b"1 0 x\nURL\n", b"filedesc://b")
+    data += b"a damaged line\n" + record(b"four", b"http://d") + record(b"x" * 10, b"http://e").replace(b" 10\n", b" 9999\n") + record(b"five", b"http://f")
+    with pytest.warns(UserWarning, match="no whole ARC record"):
+        found = list(archives.arc_records(data))[1:]
+    assert [b for _, b in found] == [b"one", b"two", b"three", b"1 0 x\nURL\n", b"four", b"five"]
+    assert [f["URL"] for f, _ in found] == ["http://a/b c d", "http://a", "http://a/ b", "filedesc://b", "http://d", "http://f"]
+    assert [f["Content-type"] for f, _ in found[:3]] == ["text/html", "text/html; charset=x y", "a; b"] and found[0][0]["IP-address"] == "1.2.3.4"
+
+
+def test_warc_keeps_pages_after_a_version_blocks_url(spark, tmp_path):
+    pages = spark.createDataFrame([("a b", "filedesc://x", "1 0 x\nURL\n"), ("c", "u", "page"), ("d", "u", "last")], "page_id string, url string, html string").coalesce(1)
+    archives.write(pages, str(tmp_path / "w"))
+    rows = archives.read(spark, str(tmp_path / "w")).collect()
+    assert sorted((r["record_id"], r["url"]) for r in rows) == [("<urn:arc:pages:a%20b>", "filedesc://x"), ("<urn:arc:pages:c>", "u"), ("<urn:arc:pages:d>", "u")]
+
+
 def test_warc_query(same):
     same(q.op3_warc, q.ORACLES["op3_warc"])
 
