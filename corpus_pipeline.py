@@ -29,10 +29,17 @@ def _unwrapped(found: DataFrame, docs: DataFrame, **made: Column) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no language (null, or without a letter); profiles are learnt from three quarters of the labelled texts."""
+    """Drops texts in no language (null, or without a letter), and names the language of rows without one.
+
+    Nothing else hangs on the predictions: a language that a row has stays, also where the prediction is another one.
+    Profiles are learnt from three quarters of the labelled texts.
+    """
     names, prototypes = language.learn(docs.where(language.fold(ID, 4) != 2).select(ID, TEXT, "lang"))
     found = language.identify(_wrapped(docs), names, prototypes)
-    return _unwrapped(found.where(F.col("lang_pred") != language.UNKNOWN) if names else found, docs)
+    if not names:
+        return _unwrapped(found, docs)
+    lang = F.col("_rest.lang")
+    return _unwrapped(found.where(F.col("lang_pred") != language.UNKNOWN), docs, lang=F.when(lang.isNull(), F.col("lang_pred")).otherwise(lang))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -375,6 +375,14 @@ def test_pipeline_stages_against_brute_force(spark, small):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in clean.collect()}
 
 
+def test_pipeline_names_languages_that_rows_lack(spark, small):
+    texts = {"de": "der Hund und die Katze schlafen nicht", "en": "the dog and the cat are not asleep"}
+    rows = [(k, texts[lang], lang) for k in range(40) for lang in texts] + [(100, texts["de"], None), (101, texts["en"], None), (102, texts["en"], "de"), (103, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, small)
+    assert {r["doc_id"]: r["lang"] for r in kept.where("doc_id >= 100").collect()} == {100: "de", 101: "en", 102: "de"}
+
+
 def test_pipeline_runs(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
 
