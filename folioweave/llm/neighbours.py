@@ -16,6 +16,7 @@ vector's id once, and a row with the query's own id is no candidate; fewer than
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from folioweave.llm.common import lookup, materialise
 
 K, RECALL = 10, 0.97
-#: Bounds: vectors that the tree is fitted on, its leaves, and queries that calibrate it.
+#: Bounds: vectors that the tree is fitted on, its leaves, and queries that calibrate it; as many measure it.
 SAMPLE, LEAVES, CALIBRATING = 20_000, 2048, 96
 BRANCHES, ROUNDS, SEED = 8, 12, 5
 #: About so many vectors in a block, and queries in a chunk.
@@ -145,8 +146,10 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "vec binary, ids array<long>").groupBy("vec").agg(ids.alias("ids"))
 
 
-def _sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
-    return rows.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) <= int(min(1.0, most / max(1, n)) * (1 << 30)))
+def _sampled(rows: DataFrame, n: int, most: int, salt: str = "") -> DataFrame:
+    """About ``most`` of ``n`` rows; of another ``salt``, others that don't hang on these."""
+    mixed = F.xxhash64("vec", F.lit(salt)) if salt else F.xxhash64("vec")
+    return rows.where(F.pmod(mixed, F.lit(1 << 30)) <= int(min(1.0, most / max(1, n)) * (1 << 30)))
 
 
 def _nearest(vectors: np.ndarray, ids: list[list[int]], query: np.ndarray, k: int) -> list[tuple[float, int, int]]:
@@ -181,8 +184,12 @@ class Index:
         self.visits, self.recall = self._calibrate(recall)
 
     def _calibrate(self, recall: float) -> tuple[int, float]:
-        """Leaves to visit for ``recall`` of the true neighbours of some vectors, and the recall of these that this gives."""
-        some = _sampled(self.vectors.select("vec"), self.n, CALIBRATING).select("vec").toArrow()["vec"].to_pylist() or [r[0] for r in self.vectors.select("vec").limit(1).collect()]
+        """Leaves to visit for ``recall`` of the true neighbours of some vectors, and the recall that this gives for others.
+
+        Neither are drawn as the tree's vectors are. Where a table has too few vectors for others, the same ones are measured.
+        """
+        some = _sampled(self.vectors.select("vec"), self.n, 2 * CALIBRATING, "calibrating").select("vec").toArrow()["vec"].to_pylist() or [r[0] for r in self.vectors.select("vec").limit(1).collect()]
+        some.sort(key=lambda v: hashlib.sha1(v).digest())
         queries, k = np.frombuffer(b"".join(some), np.float64).reshape(len(some), -1), self.k
         sent = self.vectors.sparkSession.sparkContext.broadcast(queries)
 
@@ -196,14 +203,14 @@ class Index:
 
         best = F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "leaf"))), 1, k + 1)
         truth = self.vectors.mapInArrow(run, "q int, d double, id long, leaf int").groupBy("q").agg(best.alias("best")).collect()
-        ranks = []
+        ranks, measured = [], []
         for r in truth:
             order = {leaf: j for j, leaf in enumerate(self.tree.visits(queries[r["q"]], self.tree.n_leaves), 1)}
             # the first one is the vector itself, and no neighbour
-            ranks += [order[x["leaf"]] for x in r["best"][1:]]
+            (measured if r["q"] % 2 and self.n > 2 * CALIBRATING else ranks).extend(order[x["leaf"]] for x in r["best"][1:])
         ranks = np.sort(ranks) if ranks else np.ones(1, np.int64)
         visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)])
-        return visits, float((ranks <= visits).mean())
+        return visits, float((np.array(measured or ranks) <= visits).mean())
 
     def search(self, wanted) -> DataFrame:
         """The nearest found of each vector whose id fulfils ``wanted`` (a condition on ``id``): query_id, rank, vec_id, score."""

@@ -270,6 +270,16 @@ def test_neighbours_query_recalls_nine_of_ten(spark, small):
     assert np.mean(hits) >= 0.9
 
 
+def test_neighbours_calibrate_on_vectors_of_their_own(spark, monkeypatch):
+    drawn, sampled = [], neighbours._sampled
+    monkeypatch.setattr(neighbours, "SAMPLE", 300)
+    monkeypatch.setattr(neighbours, "_sampled", lambda *a: drawn.append({bytes(r[0]) for r in sampled(*a).select("vec").collect()}) or sampled(*a))
+    data = np.random.default_rng(4).normal(size=(2000, 4)).tolist()
+    index = neighbours.Index(_vectors(spark, [(i, v, 0, "", "", "", "") for i, v in enumerate(data)]))
+    fitted, calibrating = drawn
+    assert len(calibrating & fitted) < len(calibrating) / 2 and 0.85 < index.recall <= 1
+
+
 def test_best_bin_first_visits_every_leaf_once():
     points = np.random.default_rng(3).normal(size=(500, 4))
     tree = neighbours.Tree(points, 30)
