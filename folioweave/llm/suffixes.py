@@ -1,7 +1,8 @@
 """Byte-level substring deduplication: which 200-byte strings occur at two places or more.
 
 The suffixes in question are sorted by splitters and buckets as a suffix array is built: sampled splitters
-range-partition them by their leading bytes, buckets sort locally by multikey quicksort, and neighbours are compared.
+range-partition them by their leading 8 bytes, buckets order them by these and ties by a hash, and neighbours are
+compared; beyond byte 8 the order isn't that of the bytes, but equal suffixes are neighbours.
 Three things keep this within the size of the input. Suffixes take part with their first 8 bytes and a 64-bit hash of
 their first 200, which is as far as any comparison has to go. Of suffixes that can't be repeated none takes part, of
 those in the midst of a longer repeat neither: both are told by anchors. The anchor of a 200-byte string is the last of
