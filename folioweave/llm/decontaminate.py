@@ -1,29 +1,42 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-All windows of 13 consecutive words of the benchmark's texts (a shorter item is one window) go into one automaton over
-normalised bytes; each document is scanned once, and hits are mapped back to its own words and UTF-8 offsets.
+A window is 13 consecutive words of a benchmark text (a shorter text is one window). The automaton holds, as normalised
+bytes, anchors of 5 words at every 9th place of each text, one of which lies whole in any window, and the shorter texts
+themselves. Each document is scanned once. Around an anchor that it holds, its windows of 13 words are looked up by a
+hash that tells all the benchmark's windows apart, and compared byte by byte. Hits are mapped back to the document's own
+words and UTF-8 offsets. So the automaton takes less than the benchmark's own size in states, however long the windows.
 
 Normalising maps each ASCII byte that is no word byte to a space and A-Z to a-z, so it keeps byte offsets. Words are
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after that.
 
+Bounds: the benchmark's size is asked for before any of it is collected. Up to PASS bytes are broadcast, and each worker
+builds the automaton once; of a larger benchmark each further PASS bytes are scanned for in one more pass over the documents.
+
 Cases: a null or wordless document has no words, no hits and no items; a null or wordless item has no windows; an item
-repeated under one id counts once; items without an id make hits but are not listed; repeated documents are judged each.
+repeated under one id counts once; items without an id make hits but are not listed; repeated documents are judged each;
+columns of ``docs`` that have the names of new ones are replaced; no documents give no rows, no items no hits.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable, Iterator
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioweave.llm.common import map_texts, texts_as_bytes
+from folioweave.llm.common import map_texts, materialise, texts_as_bytes
 
-WINDOW = 13
-#: Normalised benchmark bytes that go into one automaton; a larger benchmark is scanned in shards of that size.
-AUTOMATON_BYTES = 256 << 10
+WINDOW, ANCHOR = 13, 5
+#: UTF-8 bytes of benchmark texts that one pass over the documents scans for.
+PASS = 16 << 20
+
+Items = list[tuple[str | None, bytes]]
 
 _WORD = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 _FOLD = bytes(i if i in _WORD else i + 32 if 0x41 <= i <= 0x5A else 0x20 for i in range(256))
@@ -44,81 +57,159 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def shards(items: list[tuple[str | None, bytes]], window: int, limit: int = AUTOMATON_BYTES) -> list[dict]:
-    """Window -> (its words, ids of its items), in shards of about ``limit`` bytes of windows' items."""
-    out, size = [{}], 0
-    for item, text in items:
-        words = words_of(text)
-        if size and size + len(text) > limit:
-            out, size = [*out, {}], 0
-        size += len(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            part = words[i : i + window]
-            key = (b" " + b" ".join(part) + b" ").decode("latin-1")
-            out[-1].setdefault(key, (len(part), set()))[1].update([item] if item is not None else [])
-    return out
-
-
-def automaton(windows: dict) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton()
-    for key, (n, items) in windows.items():
-        out.add_word(key, (n, items))
-    if windows:
-        out.make_automaton()
-    return out
-
-
-def scan(found: ahocorasick.Automaton, text: bytes) -> tuple[int, list[tuple[int, int]], set[str], list[tuple[int, int]]]:
-    """Number of words, maximal hit runs of words [from, to), items, and the same runs as UTF-8 offsets of ``text``."""
+class Windows:
+    """The distinct windows of some items, sorted by hash, and the patterns of the automaton that finds them."""
+
+    def __init__(self, items: Items, window: int = WINDOW):
+        self.key, self.window, self.anchor = uuid.uuid4().hex, window, min(ANCHOR, window)
+        lines, at, names, owner, start, stop, short = [], 0, {}, [], [], [], []
+        anchors: dict[bytes, tuple[int, int]] = {}
+        for item, text in items:
+            words = words_of(text)
+            if not words:
+                continue
+            line = b" " + b" ".join(words) + b" "
+            gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+            size = min(window, len(words))
+            n = len(words) - size + 1
+            owner.append(np.full(n, -1 if item is None else names.setdefault(item, len(names))))
+            start.append(at + gaps[:n])
+            stop.append(at + gaps[size:] + 1)
+            short.append(np.full(n, size if size < window else 0))
+            if size == window:
+                places = range(0, len(words) - self.anchor + 1, window - self.anchor + 1)
+                anchors.update((line[gaps[i] : gaps[i + self.anchor] + 1], (at + int(gaps[i]), at + int(gaps[i + self.anchor]) + 1)) for i in places)
+            lines.append(line)
+            at += len(line)
+        self.data, self.ids = b"".join(lines), list(names)
+        none = [np.zeros(0, np.int64)]
+        owner, start, stop, short = (np.concatenate(x or none) for x in (owner, start, stop, short))
+        self.seed, order, first = self._told_apart(start, stop)
+        self.start, self.stop, short = start[order][first], stop[order][first], short[order][first]
+        of = np.cumsum(first) - 1
+        pairs = np.unique(np.stack([of, owner[order]], axis=1)[owner[order] >= 0], axis=0)
+        self.items, self.first_item = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.start) + 1))
+        # short items as (start, stop, words, number), anchors as (start, stop, number of the short item that is the same or -1)
+        self.short = [(a, b, n, k) for k, (a, b, n) in enumerate(zip(self.start.tolist(), self.stop.tolist(), short.tolist(), strict=True)) if n]
+        same = {self.data[a:b]: k for a, b, _, k in self.short}
+        self.spans = [(a, b, same.get(text, -1)) for text, (a, b) in anchors.items()]
+
+    def _told_apart(self, start: np.ndarray, stop: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """A seed under which only equal windows have equal hashes, the windows' order by it, and the first of each; sets the hashes."""
+        for seed in range(64):
+            hashes = np.fromiter((xxhash.xxh64_intdigest(self.data[a:b], seed) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
+            order = np.argsort(hashes, kind="stable")
+            first = np.ones(len(order), bool)
+            first[1:] = hashes[order[1:]] != hashes[order[:-1]]
+            again = np.flatnonzero(~first)
+            a, b, c, d = (x.tolist() for x in (start[order[again]], stop[order[again]], start[order[again - 1]], stop[order[again - 1]]))
+            if all(self.data[w:x] == self.data[y:z] for w, x, y, z in zip(a, b, c, d, strict=True)):
+                self.hashes = hashes[order][first]
+                return seed, order, first
+        raise ValueError("no seed tells the windows apart")
+
+    def automaton(self) -> ahocorasick.Automaton:
+        """Patterns as latin-1; a value is (words, window of a short item or -1, whether it is an anchor)."""
+        out = ahocorasick.Automaton()
+        for a, b, n, k in self.short:
+            out.add_word(self.data[a:b].decode("latin-1"), (n, k, False))
+        for a, b, k in self.spans:
+            out.add_word(self.data[a:b].decode("latin-1"), (self.anchor, k, True))
+        if len(out):
+            out.make_automaton()
+        return out
+
+    def among(self, line: bytes, gaps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the windows that start at these words of ``line`` are the benchmark's: their starts and numbers."""
+        spans = list(zip(gaps[starts].tolist(), (gaps[starts + self.window] + 1).tolist(), strict=True))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(line[a:b], self.seed) for a, b in spans), np.uint64, len(spans))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = [j for j in np.flatnonzero(self.hashes[at] == hashes).tolist() if line[slice(*spans[j])] == self.data[self.start[at[j]] : self.stop[at[j]]]]
+        return starts[same], at[same]
+
+
+#: The last automaton that this worker built, by its windows' key.
+_built: dict[str, ahocorasick.Automaton] = {}
+
+
+def built(windows: Windows) -> ahocorasick.Automaton:
+    if windows.key not in _built:
+        _built.clear()
+        _built[windows.key] = windows.automaton()
+    return _built[windows.key]
+
+
+Found = tuple[int, list[tuple[int, int]], set[str], list[tuple[int, int]]]
+
+
+def scan(windows: Windows, found: ahocorasick.Automaton, text: bytes, earlier: Found | None = None) -> Found:
+    """Number of words, maximal hit runs of words [from, to), items, and the same runs as UTF-8 offsets of ``text``.
+
+    What an ``earlier`` pass found is added.
+    """
     folded = text.translate(_FOLD)
     words = folded.split()
+    earlier = earlier or (len(words), [], set(), [])
     if not words or not len(found):
-        return len(words), [], set(), []
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    hits = list(found.iter(line))
+        return earlier
+    line = b" " + b" ".join(words) + b" "
+    hits = list(found.iter(line.decode("latin-1")))
     if not hits:
-        return len(words), [], set(), []
-    gaps = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-    runs: list[list[int]] = []
-    ends = np.searchsorted(gaps, [end for end, _ in hits])
-    for a, b in sorted((int(e) - n, int(e)) for e, (_, (n, _)) in zip(ends, hits, strict=True)):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
-    inside = np.frombuffer(b" " + folded + b" ", np.uint8) != 32
-    edge = np.diff(inside.astype(np.int8))
-    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return len(words), [(a, b) for a, b in runs], set().union(*(x[1][1] for x in hits)), [(int(starts[a]), int(stops[b - 1])) for a, b in runs]
-
-
-def find(docs: DataFrame, items: list[tuple[str | None, bytes]], text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with the columns of FOUND: what of each text lies in windows of ``items``.
-
-    ``items`` are the benchmark's (id, UTF-8 text), of whatever size: they go into as many automata as AUTOMATON_BYTES asks
-    for, which a task builds one after another, so its memory holds one at a time for each slice of documents.
+        return earlier
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    cover, near = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 2, np.int64)
+    last = len(words) - windows.window
+    numbers = []
+    for e, (_, (n, k, anchor)) in zip(np.searchsorted(gaps, [end for end, _ in hits]).tolist(), hits, strict=True):
+        if k >= 0:
+            cover[e - n] += 1
+            cover[e] -= 1
+            numbers.append(k)
+        if anchor and last >= 0:
+            near[max(0, e - windows.window)] += 1
+            near[max(0, min(e - n, last) + 1)] -= 1
+    starts, those = windows.among(line, gaps, np.flatnonzero(np.cumsum(near[: len(words)]) > 0))
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, starts + windows.window, -1)
+    numbers = np.unique(np.concatenate([np.array(numbers, np.int64), those]))
+    if not len(numbers):
+        return earlier
+    for a, b in earlier[1]:
+        cover[a] += 1
+        cover[b] -= 1
+    edge = np.diff((np.cumsum(cover) > 0).astype(np.int8), prepend=0)
+    runs = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+    named = {windows.ids[i] for k in numbers.tolist() for i in windows.items[windows.first_item[k] : windows.first_item[k + 1]].tolist()}
+    inside = np.diff((np.frombuffer(b" " + folded + b" ", np.uint8) != 32).astype(np.int8))
+    from_, to = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
+    return len(words), runs, earlier[2] | named, [(int(from_[a]), int(to[b - 1])) for a, b in runs]
+
+
+def find(docs: DataFrame, parts: Iterable[Items], text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with the columns of FOUND: what of each text lies in windows of the benchmark's items, (id, UTF-8 text).
+
+    Each of ``parts`` is one pass over ``docs`` (and what the passes before it found).
     """
-    sets = shards(items, window)
-    sent = docs.sparkSession.sparkContext.broadcast(sets)
+    found = None
+    for items in parts:
+        found = _pass(docs if found is None else materialise(found), Windows(items, window), text, found is not None)
+    return _pass(docs, Windows([], window), text, False) if found is None else found
+
+
+def _pass(docs: DataFrame, windows: Windows, text: str, more: bool) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(windows)
 
     def make():
-        parts = sent.value
-        ready = automaton(parts[0]) if len(parts) == 1 else None
+        windows = sent.value
+        found = built(windows)
+
+        def earlier(batch):
+            n, hit_from, hit_to, items, byte_from, byte_to = (batch.column(c).to_pylist() for c in FOUND.names)
+            return [(*x[:1], list(zip(x[1], x[2], strict=True)), set(x[3]), list(zip(x[4], x[5], strict=True))) for x in zip(n, hit_from, hit_to, items, byte_from, byte_to, strict=True)]
 
         def run(batch):
             texts = texts_as_bytes(batch.column(text))
-            got = [[0, [], set(), []] for _ in texts]
-            for windows in parts:
-                one = ready or automaton(windows)
-                for have, t in zip(got, texts, strict=True):
-                    n, runs, named, spans = scan(one, t)
-                    have[0] = n
-                    have[1] += runs
-                    have[2] |= named
-                    have[3] += spans
-            if len(parts) > 1:
-                for have in got:
-                    have[1], have[3] = _union(have[1]), _join(have[1], have[3])
+            got = [scan(windows, found, t, e) for t, e in zip(texts, earlier(batch) if more else [None] * len(texts), strict=True)]
             return [
                 pa.array([x[0] for x in got], pa.int64()),
                 *(pa.array([[r[k] for r in x[1]] for x in got], pa.list_(pa.int64())) for k in (0, 1)),
@@ -131,29 +222,14 @@ def find(docs: DataFrame, items: list[tuple[str | None, bytes]], text: str = "te
     return map_texts(docs, text, FOUND, make)
 
 
-def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def _join(runs: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The spans of the union of ``runs``, each of which has one of ``spans``."""
-    out = []
-    for a, b in _union(runs):
-        inside = [s for r, s in zip(runs, spans, strict=True) if a <= r[0] and r[1] <= b]
-        out.append((min(s[0] for s in inside), max(s[1] for s in inside)))
-    return out
-
-
-def benchmark_items(benchmark: DataFrame) -> list[tuple[str | None, bytes]]:
-    """The benchmark's rows; a test set is kept whole by the driver, as by each task that scans for it."""
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text")).collect()
-    return [(r[0], (r[1] or "").encode()) for r in rows]
+def benchmark_items(benchmark: DataFrame) -> Iterator[Items]:
+    """The benchmark's rows, in as many parts, each by itself on the driver, as PASS asks for by the size of all."""
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // PASS))
+    for k in range(n):
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
+        yield [(r[0], (r[1] or "").encode()) for r in part.collect()]
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -165,5 +241,3 @@ def judged(found: DataFrame) -> DataFrame:
         .withColumn("items_sha256", F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     )
-
-

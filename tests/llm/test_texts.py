@@ -110,10 +110,9 @@ def brute_hits(text, items):
     return len(words), len(hit), sorted(named)
 
 
-@pytest.mark.parametrize("limit", [decontaminate.AUTOMATON_BYTES, 30])
+@pytest.mark.parametrize("limit", [decontaminate.PASS, 100])
 def test_decontamination_against_brute_force(spark, awkward, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", limit)
-    monkeypatch.setattr(decontaminate.shards, "__defaults__", (limit,))
+    monkeypatch.setattr(decontaminate, "PASS", limit)
     rnd = random.Random(1)
     vocabulary = ["a", "b", "é", "C3", "dd"]
     line = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
@@ -136,7 +135,23 @@ def test_decontamination_cases(spark, awkward, nothing):
     found = decontaminate.find(awkward, [])
     assert found.count() == 11 and found.where("n_words > 0 and size(items) > 0").count() == 0
     assert dict(found.dtypes)["n_words"] == "bigint" and dict(found.dtypes)["score"] == "string"
-    assert decontaminate.find(nothing, [("1", b"a b")]).count() == 0
+    assert decontaminate.find(nothing, [[("1", b"a b")]]).count() == 0
+
+
+def test_decontamination_of_many_small_texts():
+    for seed in range(60):
+        rnd = random.Random(seed)
+        vocabulary = [f"w{k}" for k in range(rnd.choice([2, 3, 40]))]
+        line = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+        items = [(str(k), line(rnd.randint(1, 40))) for k in range(rnd.randint(1, 8))]
+        windows = decontaminate.Windows([(k, " ".join(w).encode()) for k, w in items])
+        found = windows.automaton()
+        for _ in range(10):
+            own = rnd.choice(items)[1]
+            a = rnd.randrange(len(own))
+            words = line(rnd.randint(0, 20)) + own[a : a + rnd.randint(1, 40)] + line(rnd.randint(0, 20))
+            n, runs, named, _ = decontaminate.scan(windows, found, " ".join(words).encode())
+            assert (n, sum(b - a for a, b in runs), sorted(named)) == brute_hits(" ".join(words), [(k, " ".join(w)) for k, w in items])
 
 
 def test_decontamination_query(same):
