@@ -5,9 +5,15 @@ first: a priority queue holds the nodes seen, by the distance of their centres,
 leaves a query visits is calibrated on the whole table: some queries are held against all vectors, and visits widen
 until the wanted share of the true neighbours lies in visited leaves.
 
+A leaf that can't hold a neighbour isn't visited: each leaf's radius is known, the fitted vectors near a query bound the
+distance of its k-th neighbour from above, and by the triangle inequality a leaf whose ball lies beyond that has none.
+This loses nothing. It spares clustered tables most visits; of vectors without clusters nearly all balls overlap, and a
+search remains near brute force.
+
 Equal vectors are one vector with the k + 1 smallest of their ids, which are all that a list of k can name. Leaves are
-dealt over blocks of bounded size, large ones over several, and queries over chunks, so no task holds more than one
-block and one chunk.
+dealt over blocks of bounded size, large ones over several, and queries by a hash over chunks, so no task holds more than
+one block and one chunk. A block's queries and vectors are compared by one matrix product, and what may be among the k
+nearest by its exact distance.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of another
 length than the most common one (the shorter of two) or without an id; ties go to smaller ids; a repeated id is one
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +34,14 @@ from pyspark.sql import functions as F
 from folioweave.llm.common import lookup, materialise
 
 K, RECALL = 10, 0.97
-#: Bounds: vectors that the tree is fitted on, its leaves, and queries that calibrate it; as many measure it.
-SAMPLE, LEAVES, CALIBRATING = 20_000, 2048, 96
+#: Bounds: vectors that the tree is fitted on and their bytes, its leaves (as many as the root of the table's vectors, and
+#: an eighth of the fitted ones at most), and queries that calibrate it; as many measure it.
+SAMPLE, SAMPLE_BYTES, LEAVES, CALIBRATING = 65_536, 32 << 20, 8192, 96
 BRANCHES, ROUNDS, SEED = 8, 12, 5
-#: About so many vectors in a block, and queries in a chunk.
-BLOCK, CHUNK = 2048, 16_384
+#: Most vectors in a block and queries in a chunk; small tables make about BLOCKS blocks of LEAST vectors or more.
+BLOCK, LEAST, BLOCKS, CHUNK = 16_384, 1024, 64, 65_536
+#: Numbers in a matrix of approximate distances.
+MATRIX = 4 << 20
 
 
 class Tree:
@@ -59,6 +69,13 @@ class Tree:
                 self.leaf.append(-1)
         self.n_leaves = made
         self.stacked = np.array(self.centres)
+        inner = np.array(self.leaf)
+        self.leaf_centres = np.zeros((made, points.shape[1]))
+        self.leaf_centres[inner[inner >= 0]] = self.stacked[inner >= 0]
+        # the fitted vectors by leaf
+        leaf = self.fall(points)
+        order = np.argsort(leaf, kind="stable")
+        self.points, self.first_point = points[order].astype(np.float32 if (points == points.astype(np.float32)).all() else np.float64), np.searchsorted(leaf[order], np.arange(made + 1))
 
     def fall(self, points: np.ndarray) -> np.ndarray:
         """The leaf that each vector falls to, always by the nearest child."""
@@ -90,6 +107,24 @@ class Tree:
         return out
 
 
+    def reach(self, query: np.ndarray, order: list[int], k: int) -> float:
+        """No less than the distance of the ``k``-th nearest vector: that of the fitted ones in the first leaves of ``order``."""
+        spans, n = [], 0
+        for leaf in order:
+            spans.append(np.arange(self.first_point[leaf], self.first_point[leaf + 1]))
+            n += len(spans[-1])
+            if n >= 4 * k:
+                break
+        if n < k:
+            return np.inf
+        return float(np.partition(distances(self.points[np.concatenate(spans)].astype(np.float64), query), k - 1)[k - 1])
+
+    def beyond(self, query: np.ndarray, order: list[int], radii: np.ndarray, reach: float) -> np.ndarray:
+        """Which leaves have no vector within ``reach`` for sure."""
+        far = distances(self.leaf_centres[order], query)
+        return far - radii[order] > reach + 1e-9 * (far + reach + 1)
+
+
 def kmeans(points: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
     """Centres and members of the clusters that have any."""
     centres = points[rng.choice(len(points), min(k, len(points)), replace=False)]
@@ -107,15 +142,15 @@ def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt(((vectors - query) ** 2).sum(axis=1))
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
-    """Vectors kept as bytes, as rows of a matrix."""
-    found = column.to_pylist()
-    return np.frombuffer(b"".join(found), np.float64).reshape(len(found), -1)
+def unpacked(column: pa.Array | list[bytes], kind: str) -> np.ndarray:
+    """Vectors kept as bytes of numbers of a ``kind``, as rows of a matrix of doubles."""
+    found = column if isinstance(column, list) else column.to_pylist()
+    return np.frombuffer(b"".join(found), kind).astype(np.float64).reshape(len(found), -1)
 
 
-def _valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id`` and ``vec`` (doubles as bytes) of the vectors that take part."""
-    v = F.col(vector).cast("array<double>")
+def _valid(vectors: DataFrame, key: str, vector: str, kind: str) -> DataFrame:
+    """``id`` and ``vec`` (numbers of a ``kind`` as bytes) of the vectors that take part."""
+    v = F.col(vector).cast("array<float>" if kind == "f4" else "array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
     sizes = sorted((-r[1], r[0]) for r in rows.groupBy(F.size("v")).count().collect())
@@ -124,7 +159,7 @@ def _valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            flat = np.asarray(batch.column("v").flatten(), np.float64) + 0.0  # no negative zero
+            flat = np.asarray(batch.column("v").flatten(), kind) + np.dtype(kind).type(0)  # no negative zero
             data = flat.reshape(n, -1) if n else flat
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in data], pa.binary())], names=["id", "vec"])
 
@@ -159,28 +194,61 @@ def _nearest(vectors: np.ndarray, ids: list[list[int]], query: np.ndarray, k: in
     return sorted((float(far[r]), i, int(r)) for r in some.tolist() for i in ids[r])[:k]
 
 
+def _compared(asked: pa.Table, held: pa.Table, k: int, kind: str) -> Iterator[tuple[int, float, int]]:
+    """(query, distance, id) of the ``k`` nearest ids that each query has in its leaves of one block."""
+    leaf = held["leaf"].to_numpy()
+    data, ids, names = unpacked(held["vec"].combine_chunks(), kind), held["ids"].to_pylist(), np.unique(leaf)
+    column = np.searchsorted(names, leaf)
+    queries, numbers, lists = unpacked(asked["vec"].combine_chunks(), kind), asked["q"].to_pylist(), asked["leaves"].combine_chunks()
+    wanted = np.searchsorted(names, lists.flatten().to_numpy(zero_copy_only=False))
+    of = np.repeat(np.arange(len(numbers)), np.diff(lists.offsets.to_numpy()))
+    here = np.isin(lists.flatten().to_numpy(zero_copy_only=False), names)
+    size = (data**2).sum(axis=1)
+    step = max(1, MATRIX // len(data))
+    for a in range(0, len(numbers), step):
+        part = queries[a : a + step]
+        visits = np.zeros((len(part), len(names)), bool)
+        mine = here & (of >= a) & (of < a + step)
+        visits[of[mine] - a, wanted[mine]] = True
+        own = (part**2).sum(axis=1)[:, None]
+        near = own + size - 2 * part @ data.T
+        near[~visits[:, column]] = np.inf
+        # the matrix product may be off by its rounding; exact distances decide
+        limit = np.partition(near, k - 1, axis=1)[:, k - 1 : k] if near.shape[1] > k else np.full((len(part), 1), np.inf)
+        row, at = np.nonzero((near <= limit + 1e-9 * (own + size.max())) & (near < np.inf))
+        far = np.sqrt(((data[at] - part[row]) ** 2).sum(axis=1)).tolist()
+        cuts = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
+        for j, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            for d, i in sorted((far[z], i) for z in range(x, y) for i in ids[at[z]])[:k]:
+                yield numbers[a + j], d, i
+
+
 class Index:
     """The fitted tree, the vectors with their leaves (``vec``, ``ids``, ``leaf``), and leaves to visit."""
 
     def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, recall: float = RECALL):
         self.k = k
-        self.rows = materialise(_valid(vectors, key, vector))
+        self.kind = kind = "f4" if dict(vectors.dtypes)[vector] == "array<float>" else "f8"
+        self.rows = materialise(_valid(vectors, key, vector, kind))
         classes = materialise(_classes(self.rows, k))
-        self.n = classes.count()
+        self.n, width = classes.agg(F.count(F.lit(1)), F.max(F.octet_length("vec"))).first()
         self.tree = None
         if not self.n:
             return
-        points = unpacked(_sampled(classes, self.n, SAMPLE).select("vec").toArrow()["vec"].combine_chunks())
-        points = points[np.lexsort(points.T)] if len(points) else unpacked(classes.limit(1).select("vec").toArrow()["vec"].combine_chunks())
+        most = max(1, min(SAMPLE, SAMPLE_BYTES // width))
+        points = unpacked(_sampled(classes, self.n, most).select("vec").toArrow()["vec"].combine_chunks(), kind)
+        points = points[np.lexsort(points.T)] if len(points) else unpacked([r[0] for r in classes.limit(1).select("vec").collect()], kind)
         self.tree = Tree(points, min(LEAVES, int(np.ceil(np.sqrt(self.n))), max(1, len(points) // 8)))
         tree = classes.sparkSession.sparkContext.broadcast(self.tree)
 
         def run(batches):
             for batch in batches:
-                leaf = tree.value.fall(unpacked(batch.column("vec"))) if batch.num_rows else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("ids"), pa.array(leaf, pa.int32())], names=["vec", "ids", "leaf"])
+                data = unpacked(batch.column("vec"), kind) if batch.num_rows else np.zeros((0, tree.value.stacked.shape[1]))
+                leaf = tree.value.fall(data)
+                far = distances(data, tree.value.leaf_centres[leaf])
+                yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("ids"), pa.array(leaf, pa.int32()), pa.array(far)], names=["vec", "ids", "leaf", "far"])
 
-        self.vectors = materialise(classes.mapInArrow(run, "vec binary, ids array<long>, leaf int"))
+        self.vectors = materialise(classes.mapInArrow(run, "vec binary, ids array<long>, leaf int, far double"))
         self.visits, self.recall = self._calibrate(recall)
 
     def _calibrate(self, recall: float) -> tuple[int, float]:
@@ -190,14 +258,15 @@ class Index:
         """
         some = _sampled(self.vectors.select("vec"), self.n, 2 * CALIBRATING, "calibrating").select("vec").toArrow()["vec"].to_pylist() or [r[0] for r in self.vectors.select("vec").limit(1).collect()]
         some.sort(key=lambda v: hashlib.sha1(v).digest())
-        queries, k = np.frombuffer(b"".join(some), np.float64).reshape(len(some), -1), self.k
+        kind, k = self.kind, self.k
+        queries = unpacked(some, kind)
         sent = self.vectors.sparkSession.sparkContext.broadcast(queries)
 
         def run(batches):
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                data, ids, leaf = unpacked(batch.column("vec")), batch.column("ids").to_pylist(), batch.column("leaf").to_pylist()
+                data, ids, leaf = unpacked(batch.column("vec"), kind), batch.column("ids").to_pylist(), batch.column("leaf").to_pylist()
                 rows = [(q, d, i, leaf[r]) for q, query in enumerate(sent.value) for d, i, r in _nearest(data, ids, query, k + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.int64(), pa.int32()), strict=True)], names=["q", "d", "id", "leaf"])
 
@@ -214,54 +283,48 @@ class Index:
 
     def search(self, wanted) -> DataFrame:
         """The nearest found of each vector whose id fulfils ``wanted`` (a condition on ``id``): query_id, rank, vec_id, score."""
-        spark, k = self.rows.sparkSession, self.k
+        spark, k, kind = self.rows.sparkSession, self.k, self.kind
         schema = "query_id long, rank int, vec_id long, score double"
         if not self.n:
             return spark.createDataFrame([], schema)
         asked = self.rows.where(wanted)
         queries = materialise(asked.groupBy("vec").agg(F.min("id").alias("q"), F.count(F.lit(1)).alias("_times")))
         n_queries = queries.count()
-        first, parts = self._blocks()
+        first, parts, radii = self._blocks()
         chunks = max(1, -(-n_queries // CHUNK))
-        sent = spark.sparkContext.broadcast((self.tree, first, parts, self.visits))
+        sent = spark.sparkContext.broadcast((self.tree, first, parts, radii, self.visits))
 
         def route(batches):
-            tree, first, parts, most = sent.value
+            tree, first, parts, radii, most = sent.value
             for batch in batches:
                 rows = []
-                for q, v in zip(batch.column("q").to_pylist(), batch.column("vec").to_pylist(), strict=True):
+                for q, v, chunk in zip(*(batch.column(c).to_pylist() for c in ("q", "vec", "chunk")), strict=True):
+                    query = unpacked([v], kind)[0]
+                    order = tree.visits(query, most)
+                    out = tree.beyond(query, order, radii, tree.reach(query, order, k + 1))
                     at: dict[int, list[int]] = {}
-                    for leaf in tree.visits(np.frombuffer(v, np.float64), most):
+                    for leaf in np.array(order)[~out].tolist():
                         for b in range(first[leaf], first[leaf] + parts[leaf]):
                             at.setdefault(b, []).append(leaf)
-                    rows += [(b, q % chunks, q, v, leaves) for b, leaves in at.items()]
+                    rows += [(b, chunk, q, v, leaves) for b, leaves in at.items()]
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "chunk", "q", "vec", "leaves"])
 
         def place(batches):
-            _, first, parts, _ = sent.value
+            _, first, parts, _, _ = sent.value
             for batch in batches:
                 leaf = batch.column("leaf").to_numpy()
                 block = np.array(first)[leaf] + batch.column("salt").to_numpy() % np.array(parts)[leaf]
                 yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *(batch.column(c) for c in ("vec", "ids", "leaf"))], names=["block", "vec", "ids", "leaf"])
 
         def match(asked: pa.Table, held: pa.Table) -> pa.Table:
-            rows = []
-            if asked.num_rows and held.num_rows:
-                leaf = held["leaf"].to_numpy()
-                order = np.argsort(leaf, kind="stable")
-                data, ids, leaf = unpacked(held["vec"].combine_chunks())[order], held["ids"].to_pylist(), leaf[order]
-                ids = [ids[r] for r in order.tolist()]
-                for q, v, leaves in zip(asked["q"].to_pylist(), asked["vec"].to_pylist(), asked["leaves"].to_pylist(), strict=True):
-                    query = np.frombuffer(v, np.float64)
-                    here = np.concatenate([np.arange(*np.searchsorted(leaf, (x, x + 1))) for x in sorted(leaves)])
-                    if len(here):
-                        rows += [(q, d, i) for d, i, _ in _nearest(data[here], [ids[r] for r in here.tolist()], query, k + 1)]
+            rows = list(_compared(asked, held, k + 1, kind)) if asked.num_rows and held.num_rows else []
             columns = list(zip(*rows, strict=True)) or [()] * 3
             return pa.table({n: pa.array(c, t) for n, c, t in zip(("q", "score", "vec_id"), columns, (pa.int64(), pa.float64(), pa.int64()), strict=True)})
 
-        routed = queries.select("q", "vec").mapInArrow(route, "block int, chunk int, q long, vec binary, leaves array<int>")
+        chunk = F.pmod(F.xxhash64("vec", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk")
+        routed = queries.select("q", "vec", chunk).mapInArrow(route, "block int, chunk int, q long, vec binary, leaves array<int>")
         held = self.vectors.withColumn("salt", F.pmod(F.xxhash64("vec"), F.lit(1 << 20)))
         held = held.mapInArrow(place, "block int, vec binary, ids array<long>, leaf int")
         held = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
@@ -274,21 +337,24 @@ class Index:
         out = out.select(F.col("id").alias("query_id"), F.posexplode(others).alias("rank", "near"))
         return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("near.vec_id").alias("vec_id"), F.col("near.score").alias("score"))
 
-    def _blocks(self) -> tuple[list[int], list[int]]:
-        """Of each leaf its first block, and over how many blocks it is dealt."""
-        sizes = {r[0]: r[1] for r in self.vectors.groupBy("leaf").count().collect()}
+    def _blocks(self) -> tuple[list[int], list[int], np.ndarray]:
+        """Of each leaf its first block, over how many blocks it is dealt, and its radius."""
+        found = self.vectors.groupBy("leaf").agg(F.count(F.lit(1)), F.max("far")).collect()
+        sizes, radii = {r[0]: r[1] for r in found}, np.zeros(self.tree.n_leaves)
+        radii[[r[0] for r in found]] = [r[2] for r in found]
+        most = min(BLOCK, max(LEAST, self.n // BLOCKS))
         first, parts, block, held = [], [], 0, 0
         for leaf in range(self.tree.n_leaves):
             n = sizes.get(leaf, 0)
-            if n > BLOCK:
+            if n > most:
                 block, held = block + (held > 0), 0
                 first.append(block)
-                parts.append(-(-n // BLOCK))
+                parts.append(-(-n // most))
                 block += parts[-1]
                 continue
-            if held + n > BLOCK:
+            if held + n > most:
                 block, held = block + 1, 0
             first.append(block)
             parts.append(1)
             held += n
-        return first, parts
+        return first, parts, radii

@@ -256,6 +256,45 @@ def test_neighbours_are_exact_when_all_leaves_are_visited(spark):
         assert np.allclose([s for _, _, s in found], [d for d, _ in want], rtol=0, atol=1e-12)
 
 
+def _nearest_ten(data, k):
+    far = np.sqrt(((data - data[k]) ** 2).sum(axis=1))
+    return [i for _, i in sorted((float(d), i) for i, d in enumerate(far) if i != k)[:10]]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_in_several_chunks_and_blocks(spark, monkeypatch, kind):
+    for name, value in {"CHUNK": 7, "BLOCK": 40, "LEAST": 40, "MATRIX": 90}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(900, 5))
+    data = data.astype(np.float32).astype(np.float64) if kind == "float" else data
+    frame = spark.createDataFrame([(100 * k, [float(x) for x in v]) for k, v in enumerate(data)], f"vec_id long, embedding array<{kind}>")
+    index = neighbours.Index(frame)
+    index.visits = index.tree.n_leaves
+    got = defaultdict(list)
+    for r in index.search(F.col("id") % 1000 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {1000 * k: [100 * i for i in _nearest_ten(data, 10 * k)] for k in range(90)}
+
+
+def test_far_leaves_are_not_visited_and_nothing_is_lost(spark):
+    rng = np.random.default_rng(5)
+    data = (rng.normal(size=(60, 8)) * 50)[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 8))
+    frame = _vectors(spark, [(k, [float(x) for x in v], 0, "", "", "", "") for k, v in enumerate(data)])
+    data = data.astype(np.float32).astype(np.float64)
+    index = neighbours.Index(frame)
+    index.visits, (_, _, radii), tree = index.tree.n_leaves, index._blocks(), index.tree
+    left = []
+    for q in data[:100]:
+        order = tree.visits(q, tree.n_leaves)
+        left.append(np.sum(~tree.beyond(q, order, radii, tree.reach(q, order, 11))))
+    assert np.mean(left) < tree.n_leaves / 4
+    got = defaultdict(list)
+    for r in index.search(F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {k: _nearest_ten(data, k) for k in range(0, 3000, 50)}
+
+
 def test_neighbours_query_recalls_nine_of_ten(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect()
     ids, data = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
