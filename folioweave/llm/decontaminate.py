@@ -19,7 +19,6 @@ columns of ``docs`` that have the names of new ones are replaced; no documents g
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -61,7 +60,8 @@ class Windows:
     """The distinct windows of some items, sorted by hash, and the patterns of the automaton that finds them."""
 
     def __init__(self, items: Items, window: int = WINDOW):
-        self.key, self.window, self.anchor = uuid.uuid4().hex, window, min(ANCHOR, window)
+        self.ready: ahocorasick.Automaton | None = None
+        self.window, self.anchor = window, min(ANCHOR, window)
         lines, at, names, owner, start, stop, short = [], 0, {}, [], [], [], []
         anchors: dict[bytes, tuple[int, int]] = {}
         for item, text in items:
@@ -128,17 +128,6 @@ class Windows:
         return starts[same], at[same]
 
 
-#: The last automaton that this worker built, by its windows' key.
-_built: dict[str, ahocorasick.Automaton] = {}
-
-
-def built(windows: Windows) -> ahocorasick.Automaton:
-    if windows.key not in _built:
-        _built.clear()
-        _built[windows.key] = windows.automaton()
-    return _built[windows.key]
-
-
 Found = tuple[int, list[tuple[int, int]], set[str], list[tuple[int, int]]]
 
 
@@ -200,8 +189,10 @@ def _pass(docs: DataFrame, windows: Windows, text: str, more: bool) -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(windows)
 
     def make():
-        windows = sent.value
-        found = built(windows)
+        windows = sent.value  # a worker keeps it for its later tasks, and so the automaton
+        if windows.ready is None:
+            windows.ready = windows.automaton()
+        found = windows.ready
 
         def earlier(batch):
             n, hit_from, hit_to, items, byte_from, byte_to = (batch.column(c).to_pylist() for c in FOUND.names)
