@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,56 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Paths of the intermediate tables and checkpoints that this process has written and not deleted, in order.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder; unlike a table it keeps its partitioning."""
+    shared_dir(df.sparkSession)
+    out = df.checkpoint()
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _written.append(file.get())
+    return out
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the intermediates written since there were ``since`` of them: for when all results made of them are written."""
+    delete(spark, _written[since:])
+    del _written[since:]
+
+
+@contextmanager
+def only_result(spark: SparkSession):
+    """Inside, the function that is given writes a result; what else was written meanwhile is deleted."""
+    since, results = len(_written), []
+
+    def write(df: DataFrame) -> DataFrame:
+        out = materialise(df)
+        results.append(_written.pop())
+        return out
+
+    yield write
+    forget(spark, since)
+    _written.extend(results)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice's ``column`` has about ``limit`` bytes at most."""
     for batch in batches:

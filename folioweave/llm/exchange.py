@@ -1,26 +1,35 @@
 """Questions that blocks of documents ask about keys of the whole corpus.
 
-Documents are packed into blocks of a few MB. A block asks about its distinct keys: sorted, cut at splitters and sent to
-buckets as arrays. A bucket sorts what all blocks sent and answers each with one bit a key, in the order sent, so
-answers are tiny and a key that a third of all documents hold is one item from each block. Blocks keep their
-partitioning, so answers travel to them and texts don't move again.
+Documents are packed into blocks of a few MB, blocks into units. A block asks about its distinct keys: sorted, cut at
+splitters and sent to buckets, one message from each unit with its blocks' keys in a row. A bucket sorts what all units
+sent and answers each with one bit a key, in the order sent, so answers are tiny and a key that a third of all documents
+hold is one item from each block. Units keep their partitioning and answers come with the same one, so nothing but keys
+and answers moves.
+
+Partitions, units and buckets follow the size of the texts. Up to some 50 GB a unit is one block and a bucket has
+KEYS keys. Messages would shrink as buckets multiply, so beyond that units and buckets both grow, to hold a message at
+about MESSAGE keys; a block is still worked on by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkContext, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioweave.llm.common import shared_dir, slices
+from folioweave.llm.common import checkpointed, slices
 
-#: Bytes of text in a block, blocks in a partition, and keys for which a bucket is made.
-BLOCK, BLOCKS, KEYS = 3 << 20, 4, 1 << 19
+#: Bytes of text in a block, blocks in a partition, keys for which a bucket is made, and buckets in a partition.
+BLOCK, BLOCKS, KEYS, BUCKETS = 3 << 20, 4, 1 << 19, 4
+#: Keys that a message should have, and how many times KEYS a bucket may have for that.
+MESSAGE, WIDEST = 32, 16
 
 ONE = np.uint64(1)
 
@@ -68,43 +77,94 @@ def distinct(keys: np.ndarray, owners: np.ndarray | None = None) -> tuple[np.nda
     return (ranked[starts] << ONE) | several.astype(np.uint64), number
 
 
-def blocks(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
-    """``docs`` as blocks (``blk``, ``payload``: an Arrow stream), checkpointed and partitioned by ``blk``, and the bytes of all texts."""
+@dataclass(frozen=True)
+class Blocks:
+    """Units of blocks (``blk``; ``payload``: each block as an Arrow stream; answers so far), partitioned by ``blk``."""
+
+    frame: DataFrame
+    parts: int
+    #: bytes of all texts, blocks in a unit, keys in a bucket
+    size: int
+    unit: int
+    keys: int
+
+    def buckets(self, n_keys: int) -> int:
+        return max(1, -(-n_keys // self.keys))
+
+    def told(self, answers: DataFrame) -> Blocks:
+        """The blocks with their answers in one more column."""
+        n = len(self.replies())
+        answers = answers.hint("shuffle_hash").select(F.col("blk").alias("_blk"), F.col("answers").alias(f"answers{n}"))
+        return replace(self, frame=self.frame.join(answers, F.col("blk") == F.col("_blk"), "left").drop("_blk"))
+
+    def replies(self) -> list[str]:
+        return [c for c in self.frame.columns if c.startswith("answers")]
+
+
+def _partitioned(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed with its partitioning, which spares later joins a shuffle; an adaptive plan would lose it.
+
+    The setting is another one for no longer than the plan takes to make, and for one plan at a time.
+    """
+    spark = df.sparkSession
+    with SparkContext._lock:
+        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            df._jdf.queryExecution().executedPlan()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return checkpointed(df)
+
+
+def _least_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def grown(size: int) -> tuple[int, int]:
+    """Blocks in a unit and keys in a bucket for so many bytes of text."""
+    times = max(1, MESSAGE * size // (BLOCK * KEYS))
+    wider = min(WIDEST, isqrt(times))
+    return -(-times // wider), KEYS * wider
+
+
+def blocks(docs: DataFrame, text: str) -> Blocks:
+    """``docs`` as blocks."""
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    unit, keys = grown(size)
     names = docs.columns
 
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        number, held, held_bytes = TaskContext.get().partitionId() << 32, [], 0
+        number, streams, held, held_bytes = TaskContext.get().partitionId() << 32, [], [], 0
 
-        def out():
+        def stream():
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=options) as writer:
                 for x in held:
                     writer.write_batch(x)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["blk", "payload"])
+            return sink.getvalue().to_pybytes()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([streams], pa.list_(pa.binary()))], names=["blk", "payload"])
 
         for part in slices(batches, text, BLOCK):
             part_bytes = part.column(names.index(text)).nbytes
             if held and held_bytes + part_bytes > BLOCK:
-                yield out()
-                number, held, held_bytes = number + 1, [], 0
+                streams.append(stream())
+                held, held_bytes = [], 0
+                if len(streams) == unit:
+                    yield out()
+                    number, streams = number + 1, []
             held.append(part)
             held_bytes += part_bytes
         if held:
+            streams.append(stream())
             yield out()
 
-    spark = docs.sparkSession
-    shared_dir(spark)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (BLOCK * BLOCKS)))
-    # a checkpoint keeps its partitioning, and so spares every later join a shuffle of the blocks, unless its plan is adaptive
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        packed = docs.mapInArrow(run, "blk long, payload binary").repartition(n, "blk").checkpoint()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    return packed, size
+    parts = max(_least_parts(docs), -(-size // (BLOCK * max(BLOCKS, unit))))
+    frame = _partitioned(docs.mapInArrow(run, "blk long, payload array<binary>").repartition(parts, "blk"))
+    return Blocks(frame, parts, size, unit, keys)
 
 
 def opened(payload: bytes) -> pa.RecordBatch:
@@ -113,28 +173,36 @@ def opened(payload: bytes) -> pa.RecordBatch:
     return found.to_batches()[0]
 
 
-def ask(blocks: DataFrame, make: Callable, splitters: np.ndarray, least: bool = False) -> DataFrame:
+def each_block(batch: pa.RecordBatch, replies: list[str], k: int):
+    """The rows of each block of unit ``k`` and the answers that it has."""
+    payload = batch.column("payload")[k]
+    answers = [bits_of(batch.column(c)[k].as_py(), len(payload)) for c in replies]
+    for j, stream in enumerate(payload):
+        yield opened(stream.as_py()), [x[j] for x in answers]
+
+
+def ask(blocks: Blocks, make: Callable, splitters: np.ndarray, least: bool = False) -> DataFrame:
     """Answers to the keys that ``make()(rows, answers so far)`` finds in each block: ``blk`` and one array of buckets' bits.
 
     The answer is whether several blocks hold a key, or one whose lowest bit (of the last of ``a`` and ``b``) is set. If
     keys have a ``b``, two more bits tell if this block is the one of those that hold the key that may speak for it, and
     if several ``b`` are held for its ``a``. With ``least``, the answer is whether a lower ``v`` is held for the key.
     """
-    sent = blocks.sparkSession.sparkContext.broadcast(splitters)
-    replies = [c for c in blocks.columns if c.startswith("answers")]
+    sent = blocks.frame.sparkSession.sparkContext.broadcast(splitters)
+    replies = blocks.replies()
 
     def send(batches):
         fn, splitters = make(), sent.value
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = opened(batch.column("payload")[k].as_py())
-                keys = fn(rows, [bits_of(batch.column(c)[k].as_py()) for c in replies])
-                edges = [0, *keys.cuts(splitters).tolist(), len(keys.a)]
-                spans = [(p, x, y) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y]
+                keys = [fn(rows, told) for rows, told in each_block(batch, replies, k)]
+                edges = np.array([[0, *x.cuts(splitters).tolist(), len(x.a)] for x in keys])
+                sizes = np.diff(edges, axis=1)
+                spans = np.flatnonzero(sizes.any(axis=0)).tolist()
                 blk = batch.column("blk")[k].as_py()
-                parts = [[None if c is None else c[x:y].tobytes() for _, x, y in spans] for c in (keys.a, keys.b, keys.v)]
-                columns = [pa.array([p for p, _, _ in spans], pa.int32()), pa.array([blk] * len(spans), pa.int64()), *(pa.array(c, pa.binary()) for c in parts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "blk", "a", "b", "v"])
+                parts = [[None if getattr(keys[0], c) is None else b"".join([getattr(x, c)[e[p] : e[p + 1]].tobytes() for x, e in zip(keys, edges, strict=True)]) for p in spans] for c in "abv"]
+                columns = [pa.array(spans, pa.int32()), pa.array([blk] * len(spans), pa.int64()), pa.array(sizes.T[spans].tolist(), pa.list_(pa.int32())), *(pa.array(c, pa.binary()) for c in parts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "blk", "sizes", "a", "b", "v"])
 
     def answer(group: pa.Table) -> pa.Table:
         a = [np.frombuffer(x, np.uint64) for x in group.column("a").to_pylist()]
@@ -147,11 +215,14 @@ def ask(blocks: DataFrame, make: Callable, splitters: np.ndarray, least: bool =
         ends = np.cumsum(sizes)
         out = [np.packbits(bits[:, e - n : e].ravel()).tobytes() for e, n in zip(ends.tolist(), sizes, strict=True)]
         kinds = pa.array([len(bits)] * len(sizes), pa.int32())
-        return pa.table({"blk": group.column("blk"), "bucket": group.column("bucket"), "kinds": kinds, "n": pa.array(sizes, pa.int32()), "bits": pa.array(out, pa.binary())})
+        return pa.table({"blk": group.column("blk"), "bucket": group.column("bucket"), "kinds": kinds, "sizes": group.column("sizes"), "bits": pa.array(out, pa.binary())})
 
-    asked = blocks.mapInArrow(send, "bucket int, blk long, a binary, b binary, v binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "blk long, bucket int, kinds int, n int, bits binary")
-    return answered.groupBy("blk").agg(F.collect_list(F.struct("bucket", "kinds", "n", "bits")).alias("answers"))
+    asked = blocks.frame.mapInArrow(send, "bucket int, blk long, sizes array<int>, a binary, b binary, v binary")
+    n = len(splitters) + 1
+    asked = asked.repartition(max(min(n, _least_parts(blocks.frame)), -(-n * blocks.keys // (BUCKETS * KEYS))), "bucket")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "blk long, bucket int, kinds int, sizes array<int>, bits binary")
+    answered = answered.repartition(blocks.parts, "blk")
+    return _partitioned(answered.groupBy("blk").agg(F.collect_list(F.struct("bucket", "kinds", "sizes", "bits")).alias("answers")))
 
 
 def multikey_order(a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
@@ -196,40 +267,31 @@ def answers(a: np.ndarray, b: np.ndarray | None, v: np.ndarray | None, least: bo
     return out
 
 
-def bits_of(answers: list | None) -> np.ndarray:
-    """All answers of a block, in the order of its keys, a row for each kind."""
-    parts = sorted(answers or [], key=lambda r: r["bucket"])
-    if not parts:
-        return np.zeros((3, 0), bool)
-    rows = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["kinds"] * r["n"]).reshape(r["kinds"], r["n"]) for r in parts]
-    return np.concatenate(rows, axis=1).astype(bool)
-
-
-def told(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """The blocks with their answers in one more column."""
-    n = sum(c.startswith("answers") for c in blocks.columns)
-    answers = answers.hint("shuffle_hash")
-    return blocks.join(answers.select(F.col("blk").alias("_blk"), F.col("answers").alias(f"answers{n}")), F.col("blk") == F.col("_blk"), "left").drop("_blk")
+def bits_of(answers: list | None, n: int = 1) -> list[np.ndarray]:
+    """All answers of each of a unit's ``n`` blocks, in the order of its keys, a row for each kind."""
+    out: list[list[np.ndarray]] = [[] for _ in range(n)]
+    for r in sorted(answers or [], key=lambda r: r["bucket"]):
+        total = sum(r["sizes"])
+        rows, at = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["kinds"] * total).reshape(r["kinds"], total), 0
+        for own, size in zip(out, r["sizes"], strict=True):
+            own.append(rows[:, at : at + size])
+            at += size
+    return [np.concatenate(x, axis=1).astype(bool) if x else np.zeros((3, 0), bool) for x in out]
 
 
-def finish(blocks: DataFrame, schema: T.StructType, fields: T.StructType, make: Callable) -> DataFrame:
+def finish(blocks: Blocks, schema: T.StructType, fields: T.StructType, make: Callable) -> DataFrame:
     """The documents of the blocks with ``fields``, which ``make()(rows, answers)`` gives; columns of the same names are replaced."""
     new = set(fields.names)
     kept = [f for f in schema.fields if f.name not in new]
     out = T.StructType([*kept, *fields.fields])
     keep, names = [f.name for f in kept], out.names
-    replies = [c for c in blocks.columns if c.startswith("answers")]
+    replies = blocks.replies()
 
     def run(batches):
         fn = make()
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = opened(batch.column("payload")[k].as_py())
-                made = fn(rows, [bits_of(batch.column(c)[k].as_py()) for c in replies])
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *made], names=names)
-
-    return blocks.mapInArrow(run, out)
-
+                for rows, told in each_block(batch, replies, k):
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *fn(rows, told)], names=names)
 
-def buckets(n_keys: int) -> int:
-    return max(1, -(-n_keys // KEYS))
+    return blocks.frame.mapInArrow(run, out)

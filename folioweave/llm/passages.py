@@ -103,8 +103,8 @@ class Block:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept``, the UTF-8 of the kept words, joined by one space each."""
-    blocks, size = exchange.blocks(docs, text)
-    even = exchange.even_splitters(exchange.buckets(size // 14))
+    blocks = exchange.blocks(docs, text)
+    even = exchange.even_splitters(blocks.buckets(blocks.size // 14))
 
     def anchors():
         return lambda rows, _: Keys(Block(rows, key, text).anchors()[0])
@@ -124,6 +124,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
         return run
 
-    once = exchange.told(blocks, exchange.ask(blocks, anchors, even).checkpoint())
-    twice = exchange.told(once, exchange.ask(once, windows, even, least=True).checkpoint())
+    once = blocks.told(exchange.ask(blocks, anchors, even))
+    twice = once.told(exchange.ask(once, windows, even, least=True))
     return exchange.finish(twice, docs.schema, FIELDS, keep)

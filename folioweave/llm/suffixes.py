@@ -197,7 +197,7 @@ class Block:
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept``, the bytes left."""
-    blocks, size = exchange.blocks(docs, text)
+    blocks = exchange.blocks(docs, text)
 
     def anchors():
         powers = Powers()
@@ -217,28 +217,31 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return run
 
-    first = exchange.ask(blocks, anchors, exchange.even_splitters(exchange.buckets(size // (SPREAD // 4))))
-    once = exchange.told(blocks, first.checkpoint())
-    twice = exchange.told(once, exchange.ask(once, suffixes, splitters(once, suffixes, size)).checkpoint())
+    first = exchange.ask(blocks, anchors, exchange.even_splitters(blocks.buckets(blocks.size // (SPREAD // 4))))
+    once = blocks.told(first)
+    twice = once.told(exchange.ask(once, suffixes, splitters(once, suffixes)))
     return exchange.finish(twice, docs.schema, FIELDS, keep)
 
 
-def splitters(blocks: DataFrame, make, size: int) -> np.ndarray:
-    """Cuts (leading bytes, hash) from the suffixes of about SAMPLED blocks, for buckets of about KEYS suffixes."""
+def splitters(blocks: exchange.Blocks, make) -> np.ndarray:
+    """Cuts (leading bytes, hash) from the suffixes of about SAMPLED blocks, for buckets of suffixes."""
+    replies = blocks.replies()
 
     def sample(batches):
         fn = make()
         for batch in batches:
             for k in range(batch.num_rows):
-                keys = fn(exchange.opened(batch.column("payload")[k].as_py()), [exchange.bits_of(batch.column("answers0")[k].as_py())])
-                at = np.unique(np.linspace(0, len(keys.a) - 1, EACH).astype(np.int64)) if len(keys.a) else np.zeros(0, np.int64)
-                row = [pa.array([len(keys.a)], pa.int64()), *(pa.array([c[at].tobytes()], pa.binary()) for c in (keys.a, keys.b))]
-                yield pa.RecordBatch.from_arrays(row, names=["n", "a", "b"])
-
-    n_blocks = size / exchange.BLOCK + 1
-    rows = blocks.sample(min(1.0, SAMPLED / n_blocks), seed=1).mapInArrow(sample, "n long, a binary, b binary").collect()
+                for held, told in exchange.each_block(batch, replies, k):
+                    keys = fn(held, told)
+                    at = np.unique(np.linspace(0, len(keys.a) - 1, EACH).astype(np.int64)) if len(keys.a) else np.zeros(0, np.int64)
+                    row = [pa.array([len(keys.a)], pa.int64()), *(pa.array([c[at].tobytes()], pa.binary()) for c in (keys.a, keys.b))]
+                    yield pa.RecordBatch.from_arrays(row, names=["n", "a", "b"])
+
+    n_blocks = blocks.size / exchange.BLOCK + 1
+    share = min(1.0, max(SAMPLED, 4 * blocks.unit) / n_blocks)
+    rows = blocks.frame.sample(share, seed=1).mapInArrow(sample, "n long, a binary, b binary").collect()
     total = sum(r[0] for r in rows) / max(1, len(rows)) * n_blocks
-    n = exchange.buckets(int(total))
+    n = blocks.buckets(int(total))
     parts = [(np.frombuffer(r[1], np.uint64), np.frombuffer(r[2], np.uint64) & ~ONE, np.full(len(r[1]) // 8, r[0] / max(1, len(r[1]) // 8))) for r in rows]
     if not parts or not total or n == 1:
         return np.zeros((0, 2), np.uint64)

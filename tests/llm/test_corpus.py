@@ -62,6 +62,7 @@ def _passages(docs):
 def test_passages_against_brute_force(spark, awkward, monkeypatch, block):
     monkeypatch.setattr(exchange, "BLOCK", block)
     monkeypatch.setattr(exchange, "KEYS", 64 if block == 900 else exchange.KEYS)
+    monkeypatch.setattr(exchange, "MESSAGE", 20 if block == 900 else exchange.MESSAGE)
     rows = [(k * 7 % 53, t) for k, t in enumerate(_repeating_texts(53, 4))] + [(5, "w " * 40), (None, "w " * 30), (None, "w " * 30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     if block != 900:
@@ -79,15 +80,25 @@ def test_passages_of_nothing(nothing):
 
 def test_blocks_are_not_shuffled_again(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    blocks, _ = exchange.blocks(docs, "text")
-    answers = blocks.select("blk", F.lit(None).cast("array<struct<bucket:int,kinds:int,n:int,bits:binary>>").alias("answers")).checkpoint()
+    blocks = exchange.blocks(docs, "text")
+    keys = exchange.Keys(np.arange(5, dtype=np.uint64))
+    ask = lambda b: exchange.ask(b, lambda: lambda rows, told: keys, exchange.even_splitters(3))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = exchange.told(exchange.told(blocks, answers), answers)._jdf.queryExecution().executedPlan().toString()
+        once = blocks.told(ask(blocks))
+        plan = once.told(ask(once)).frame._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Exchange" not in plan and plan.count("ShuffledHashJoin") == 2
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_units_and_buckets_grow_with_the_texts():
+    assert exchange.grown(0) == exchange.grown(30 << 30) == (1, exchange.KEYS)
+    for size in (1 << 38, 1 << 40, 100 << 40):
+        unit, keys = exchange.grown(size)
+        assert unit * exchange.BLOCK * keys >= 0.9 * exchange.MESSAGE * size and unit < 256 and keys <= exchange.WIDEST * exchange.KEYS
 
 
 def brute_suffixes(texts):
@@ -128,6 +139,7 @@ def _spliced(seed, n):
 def test_suffixes_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(exchange, "BLOCK", block)
     monkeypatch.setattr(exchange, "KEYS", 300 if block == 3000 else exchange.KEYS)
+    monkeypatch.setattr(exchange, "MESSAGE", 200 if block == 3000 else exchange.MESSAGE)
     fixed = [None, "", "a" * 199, "b" * 200, "c" * 201, "d" * 1000, "ab" * 400, "x" * 200 + "y" * 200, "y" * 200 + "x" * 200]
     for seed in range(2):
         texts = fixed + _spliced(seed, 40)
