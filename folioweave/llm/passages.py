@@ -4,9 +4,9 @@ A passage of 13 words goes from a document where an earlier one (by id) has it t
 places whose remainder by 7 is in the difference cover {0, 1, 3}: whatever two remainders a common passage starts at,
 one of its first 7 places has a remainder of the cover in both documents, so the two share an aligned anchor. Blocks
 ask which anchors several documents hold, extend these to all windows of 13 words around them, ask for which windows an
-earlier document exists (by 96 bits of hash), and drop the words that such windows cover.
+earlier document exists (by 64 and 32 bits of two hashes), and drop the words that such windows cover.
 
-Cases: a null or empty text has no words; with fewer than 13 nothing goes; rows that share an id don't take words from
+The key must be a number or null. Cases: a null or empty text has no words; with fewer than 13 nothing goes; rows that share an id don't take words from
 each other; rows without an id come after all others and don't take words from each other.
 """
 
@@ -55,8 +55,9 @@ class Block:
         self.words = [t.split() for t in texts_as_bytes(rows.column(text))]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         coded = pa.array([w for ws in self.words for w in ws], pa.binary()).dictionary_encode()
-        numbers = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-        self.hashes = numbers[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
+        # two hashes of each word that don't hang on each other: anchors and 64 bits of a window are made of the first, 32 of the second
+        numbers = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in coded.dictionary.to_pylist()]), np.uint64).reshape(-1, 2)
+        self.hashes, self.others = numbers[coded.indices.to_numpy()].T.copy() if len(coded) else np.zeros((2, 0), np.uint64)
         ids = rows.column(key).cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -80,7 +81,7 @@ class Block:
         np.add.at(marked, here + 1, -1)
         start = np.flatnonzero((np.cumsum(marked[:-1]) > 0) & (self.left >= WINDOW))
         a = window_hashes(self.hashes, WINDOW, _FACTORS[1])[start]
-        b = (window_hashes(self.hashes, WINDOW, _FACTORS[2])[start] >> np.uint64(32)).astype(np.uint32)
+        b = (window_hashes(self.others, WINDOW, _FACTORS[2])[start] >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((b, a))
         first = np.ones(len(order), bool)
         first[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])

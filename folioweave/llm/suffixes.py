@@ -1,9 +1,9 @@
 """Byte-level substring deduplication: which 200-byte strings occur at two places or more.
 
 The suffixes in question are sorted by splitters and buckets as a suffix array is built: sampled splitters
-range-partition them by their leading 8 bytes, buckets order them by these and ties by a hash, and neighbours are
-compared; beyond byte 8 the order isn't that of the bytes, but equal suffixes are neighbours.
-Three things keep this within the size of the input. Suffixes take part with their first 8 bytes and a 64-bit hash of
+range-partition them by their leading 6 bytes, buckets order them by these and ties by a hash, and neighbours are
+compared; beyond byte 6 the order isn't that of the bytes, but equal suffixes are neighbours.
+Three things keep this within the size of the input. Suffixes take part with their first 6 bytes and hashes of
 their first 200, which is as far as any comparison has to go. Of suffixes that can't be repeated none takes part, of
 those in the midst of a longer repeat neither: both are told by anchors. The anchor of a 200-byte string is the last of
 its 101 places whose 100 bytes have the least hash, so equal strings have it at the same offset. Anchors are compared
@@ -12,6 +12,11 @@ own strings; an anchor of one context only rules all others out; where contexts
 sorted as suffixes, of a repeated one those of one place. And equal suffixes of a block go as one, so
 splitters cut between unequal ones only and no run of equal ones goes over a boundary.
 
+Equality rests on two polynomial hashes that are independent of each other, one modulo 2 ** 64 and one modulo the prime
+2 ** 61 - 1. Contexts are told apart by 64 bits of the first (of their anchor) and the second, suffixes by their 6
+bytes, 16 bits of the first and the second. Two strings of at most 301 bytes have the same second one at no more
+than 301 of its 2 ** 61 bases.
+
 Cases: a null or empty text has no bytes, and from a text under 200 bytes nothing goes; repeated rows are places like any
 others; a removed run may cut a character, so what is kept is bytes.
 """
@@ -34,6 +39,11 @@ SAMPLED, EACH = 48, 512
 
 _RANDOM = np.random.default_rng(9001).integers(1, 1 << 62, 257).astype(np.uint64) * np.uint64(2) + ONE
 _BYTE, _BASE = _RANDOM[:256], int(_RANDOM[256])
+PRIME, _HALF = np.uint64((1 << 61) - 1), np.uint64(31)
+_LOW = np.uint64((1 << 31) - 1)
+_ROOT = int(np.random.default_rng(6101).integers(1 << 40, int(PRIME)))
+#: So many bytes' products of two halves can be added up in 64 bits.
+_ADDED = 1 << 22
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 FIELDS = T.StructType(
@@ -46,11 +56,50 @@ FIELDS = T.StructType(
 )
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, of numbers below it, by halves of 31 and 30 bits."""
+    a_high, a_low, b_high, b_low = a >> _HALF, a & _LOW, b >> _HALF, b & _LOW
+    middle = a_high * b_low + a_low * b_high
+    thirty = np.uint64(30)
+    return folded(a_high * b_high * np.uint64(2) + (middle >> thirty) + ((middle & np.uint64((1 << 30) - 1)) << _HALF) + folded(a_low * b_low))
+
+
+def powers_of(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers modulo the prime."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, times(out, np.uint64(pow(base, len(out), int(PRIME))))])
+    return out[:n]
+
+
 class Powers:
-    """Powers of the base and of its inverse modulo 2 ** 64, as many as were asked for; one in a task."""
+    """Powers of the bases and of their inverses, as many as were asked for; one in a task."""
 
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
+        self.low = self.high = np.zeros(0, np.uint32)
+        inverse = pow(_ROOT, -1, int(PRIME))
+        self.small, self.great = powers_of(inverse, 4096), powers_of(pow(inverse, 4096, int(PRIME)), 4096)
+
+    def halves(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Low and high bits of the powers modulo the prime."""
+        if len(self.low) < n:
+            found = powers_of(_ROOT, 1 << (n - 1).bit_length())
+            self.low, self.high = (found & _LOW).astype(np.uint32), (found >> _HALF).astype(np.uint32)
+        return self.low[:n], self.high[:n]
+
+    def inverse(self, at: np.ndarray) -> np.ndarray:
+        """Powers of the inverse modulo the prime."""
+        high = at >> 12
+        if len(high) and int(high.max()) >= len(self.great):
+            self.great = powers_of(pow(_ROOT, -4096, int(PRIME)), int(high.max()) + 1)
+        return times(self.small[at & 4095], self.great[high])
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
@@ -94,6 +143,21 @@ class Block:
         up, self.down = powers.upto(len(self.data) + 1)
         self.prefix = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_BYTE[self.data] * up[:-1], out=self.prefix[1:])
+        self.powers = powers
+        self.sums = tuple(self._sums(x) for x in powers.halves(len(self.data)))
+
+    def _sums(self, half: np.ndarray) -> np.ndarray:
+        """Sums of the bytes' products with halves of powers, brought below the prime now and then."""
+        out = np.zeros(len(self.data) + 1, np.uint64)
+        for a in range(0, len(self.data), _ADDED):
+            b = min(a + _ADDED, len(self.data))
+            np.cumsum((self.data[a:b].astype(np.uint64) + ONE) * half[a:b], out=out[a + 1 : b + 1])
+            out[a + 1 : b + 1] += folded(out[a : a + 1])
+        return out
+
+    def prime_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = (folded(x[end]) + PRIME - folded(x[start]) for x in self.sums)
+        return times(folded(folded(low) + times(folded(high), np.uint64(1 << 31))), self.powers.inverse(start))
 
     def hashes(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
@@ -150,7 +214,7 @@ class Block:
         at, first, last = self.anchors()
         shape = ((at - first) * LENGTH + (last - first)).astype(np.uint64)
         # not the hashes that anchors were chosen for being the least of: those would all go to the first buckets
-        gram, context = mix(self.hashes(at, at + GRAM) + ONE), mix(self.hashes(first, last + LENGTH) + (shape + ONE) * _BYTE[0])
+        gram, context = mix(self.hashes(at, at + GRAM) + ONE), (self.prime_hashes(first, last + LENGTH) ^ shape << np.uint64(45)) << ONE
         keys, number = distinct_pairs(gram, context)
         return keys, number, first, last
 
@@ -165,9 +229,10 @@ class Block:
         once[np.unique(number, return_index=True)[1]] = True
         asked = np.flatnonzero(self.spread(first, last, mixed & (~shared | (speaks & once))))
         lead = np.zeros(len(asked), np.uint64)
-        for k in range(8):
+        for k in range(6):
             lead = (lead << np.uint64(8)) | self.data[asked + k]
-        keys, of = distinct_pairs(lead, mix(self.hashes(asked, asked + LENGTH)))
+        lead = (lead << np.uint64(16)) | (mix(self.hashes(asked, asked + LENGTH)) >> np.uint64(48))
+        keys, of = distinct_pairs(lead, self.prime_hashes(asked, asked + LENGTH) << ONE)
         return repeated, asked, keys, of
 
     def spread(self, first: np.ndarray, last: np.ndarray, which: np.ndarray) -> np.ndarray:

@@ -462,6 +462,20 @@ def _asked(keys):
     return [bits[:, e - len(k.a) : e] for e, k in zip(ends, keys, strict=True)]
 
 
+def test_hashes_modulo_a_prime(monkeypatch):
+    prime, root = int(suffixes.PRIME), suffixes._ROOT
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, prime, (2, 1000)).astype(np.uint64)
+    a[:3] = b[:3] = (0, 1, prime - 1)
+    assert suffixes.times(a, b).tolist() == [x * y % prime for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    monkeypatch.setattr(suffixes, "_ADDED", 64)  # as if sums were brought below the prime often
+    text = bytes(rng.integers(0, 256, 20_000).astype(np.uint8))
+    block = suffixes.Block([text], suffixes.Powers())
+    start = np.array([0, 1, 5000, 17_000])
+    got = block.prime_hashes(start, start + 300).tolist()
+    assert got == [sum((c + 1) * pow(root, k, prime) for k, c in enumerate(text[s : s + 300])) % prime for s in start.tolist()]
+
+
 def test_suffixes_of_many_small_corpora():
     powers = suffixes.Powers()
     for seed in range(40):
