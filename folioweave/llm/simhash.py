@@ -6,6 +6,11 @@ embeddings is a lower bound of the number of differing bits. The grid: the segme
 counts in 4 of them; a distance of at most 4 can change at most 4 groups, so two near fingerprints share one of the 70
 kinds of cells. Within a cell the bound is tried first and then the exact number of differing bits.
 
+A cell of more than MANY fingerprints is split, and no task ever holds it: of its near pairs, either one more group has
+equal counts, which makes a finer cell for each group that isn't fixed yet; or all others differ, which leaves no
+differing bits to the fixed groups (two at least are needed to keep a count), so their very bits make a cell. Finer cells
+are split once more. What shares 6 groups of counts, or 4 or 5 groups of bits, is compared at once.
+
 Only distinct fingerprints are joined; texts of one fingerprint are linked by it. A cell gives a spanning forest of its
 links, not all pairs.
 
@@ -15,6 +20,7 @@ one component; a row without an id takes part, but never names a component (null
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,8 +35,12 @@ from folioweave.llm.components import components
 
 WORDS, SEED, NEAR = 4, 42, 4
 GROUPS = 8
+#: In place of a group's number: the cell fixes bits.
+BITS = 7
 #: Cells of up to so many fingerprints are compared pair by pair at once, many cells together.
 FEW = 8
+#: Cells of more fingerprints are split, LEVELS times.
+MANY, LEVELS = 512, 2
 
 _LOWER = bytes(i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 
@@ -103,6 +113,37 @@ def forest(prints: np.ndarray) -> list[tuple[int, int]]:
     return [(int(prints[r]), int(prints[k])) for k, r in enumerate(label.tolist()) if r != k]
 
 
+def finer(cell: np.ndarray, prints: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that a cell's fingerprints fall to when it is split: cells and fingerprints.
+
+    A cell's number is that of the cell before, one of the groups that weren't fixed (or BITS) and this group's counts;
+    a cell of bits has the numbers of its groups and their bits before it.
+    """
+    counts, raw = embed(prints).view(np.uint8).reshape(-1, GROUPS).astype(np.int64), prints.view(np.uint8).reshape(-1, GROUPS).astype(np.int64)
+    made, of = [], []
+    chain = [cell >> (11 * up) for up in range(level, -1, -1)]  # this cell's ancestors, the coarsest first
+    names = np.stack([chain[0] >> 32, *((c >> 8) & 7 for c in chain[1:])], axis=1)
+    for name in np.unique(names, axis=0).tolist():
+        at = np.flatnonzero((names == name).all(axis=1))
+        if BITS in name[1:]:
+            continue
+        fixed = list(_PICKS[name[0]])
+        for j in name[1:]:
+            fixed.append([g for g in range(GROUPS) if g not in fixed][j])
+        rest = [g for g in range(GROUPS) if g not in fixed]
+        for j, g in enumerate(rest):
+            made.append((cell[at] << 11) | (j << 8) | counts[at, g])
+            of.append(prints[at])
+        bits = np.full(len(at), name[0], np.int64)
+        for j in name[1:]:
+            bits = (bits << 3) | j
+        for g in fixed:
+            bits = (bits << 8) | raw[at, g]
+        made.append((bits << 11) | (BITS << 8))
+        of.append(prints[at])
+    return np.concatenate(made or [np.zeros(0, np.int64)]), np.concatenate(of or [np.zeros(0, np.uint64)])
+
+
 def links(prints: DataFrame, column: str = "fingerprint") -> DataFrame:
     """Links ``a`` and ``b`` that connect all near ones of distinct fingerprints (signed longs)."""
 
@@ -113,19 +154,52 @@ def links(prints: DataFrame, column: str = "fingerprint") -> DataFrame:
                 part = found[a : a + 8192]
                 yield pa.RecordBatch.from_arrays([pa.array(cells(part).ravel()), pa.array(np.repeat(part, len(_PICKS)).view(np.int64))], names=["cell", "print"])
 
+    found, rows = [], prints.select(column).distinct().mapInArrow(spread, "cell long, print long")
+    for level in range(LEVELS + 1):
+        made = materialise(_joined(rows, level))
+        found.append(made.where("cell is null").select("a", "b"))
+        rows = made.where("cell is not null").select("cell", F.col("a").alias("print"))
+        if rows.isEmpty():
+            break
+        rows = _split(rows, level)
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _joined(rows: DataFrame, level: int) -> DataFrame:
+    """Links ``a``, ``b`` within cells, and the fingerprints ``a`` of the cells (``cell``) that are to be split."""
+
     def join(batches):
         held = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        large = None  # the cell whose rows go on as they come
         for batch in batches:
             cell = np.concatenate([held[0], batch.column(0).to_numpy()])
             found = np.concatenate([held[1], batch.column(1).to_numpy().view(np.uint64)])
-            last = int(np.searchsorted(cell, cell[-1]))  # this cell may go on in the next batch
-            yield _linked(cell[:last], found[:last])
+            starts = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
+            sizes = np.diff(np.append(starts, len(cell)))
+            splits = ((sizes > MANY) | (cell[starts] == large)) & (level < LEVELS) & (((cell[starts] >> 8) & 7 != BITS) | (level == 0))
+            later = np.repeat(splits, sizes)
+            last = len(cell) if splits[-1:].any() else int(starts[-1]) if len(starts) else 0  # the last cell may go on in the next batch
+            yield _rows(cell[later], found[later])
+            now = ~later[:last]
+            yield _linked(cell[:last][now], found[:last][now])
+            large = int(cell[-1]) if splits[-1:].any() else None
             held = cell[last:], found[last:]
         yield _linked(*held)
 
-    spread_out = prints.select(column).distinct().mapInArrow(spread, "cell long, print long")
-    sorted_cells = spread_out.repartition("cell").sortWithinPartitions("cell")
-    return sorted_cells.mapInArrow(join, "a long, b long").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(join, "cell long, a long, b long")
+
+
+def _split(rows: DataFrame, level: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            cell, prints = finer(batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), level)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(prints.view(np.int64))], names=["cell", "print"])
+
+    return rows.mapInArrow(run, "cell long, print long")
+
+
+def _rows(cell: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(prints.view(np.int64)), pa.nulls(len(cell), pa.int64())], names=["cell", "a", "b"])
 
 
 def _linked(cell: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
@@ -144,7 +218,7 @@ def _linked(cell: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
         ok = near(a, b)
         made.update(zip(np.minimum(a, b)[ok].tolist(), np.maximum(a, b)[ok].tolist(), strict=True))
     pairs = np.array(sorted(made), np.uint64).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["cell", "a", "b"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

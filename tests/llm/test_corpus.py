@@ -208,7 +208,9 @@ def test_simhash_against_brute_force(spark, awkward, small):
     assert got == want
 
 
-def test_links_of_close_fingerprints(spark):
+@pytest.mark.parametrize("many", [simhash.MANY, 3])
+def test_links_of_close_fingerprints(spark, monkeypatch, many):
+    monkeypatch.setattr(simhash, "MANY", many)
     rng = np.random.default_rng(4)
     centres = rng.integers(0, 1 << 63, 40).astype(np.uint64)
     prints = [int(c) for c in centres]
@@ -226,6 +228,22 @@ def test_links_of_close_fingerprints(spark):
     assert _roots(links, prints) == want
 
 
+def test_near_pairs_share_a_cell_however_often_cells_are_split():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        a = rng.integers(0, 1 << 63, 1).astype(np.uint64)
+        b = a.copy()
+        for bit in rng.choice(64, rng.integers(0, 5), replace=False).tolist():
+            b ^= np.uint64(1 << bit)
+        shared = set(simhash.cells(a)[0].tolist()) & set(simhash.cells(b)[0].tolist())
+        for level in range(simhash.LEVELS):
+            assert shared
+            settled = {c for c in shared if level and (c >> 8) & 7 == simhash.BITS}
+            of = [set(simhash.finer(np.array(sorted(shared - settled), np.int64), np.repeat(x, len(shared - settled)), level)[0].tolist()) for x in (a, b)]
+            shared = (of[0] & of[1]) | settled
+        assert shared
+
+
 def test_the_embedding_bounds_the_distance_from_below():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, (2, 500)).astype(np.uint64)
