@@ -1,16 +1,19 @@
 """ARC archives to WARC archives, and WARC archives to rows.
 
 ``arc_records`` reads ARC files of version 1 and 2 by the header lines that their version block declares and by the
-lengths that each line declares. ``warc_records`` makes the equivalent WARC/1.1 records: identifiers (from the place in
-the source archive that version 2 names, else from a hash of the header line and the block), dates, types, block and
+lengths that each line declares. ``warc_record`` makes the equivalent WARC/1.1 record: identifier (from the place in
+the source archive that version 2 names, else from a hash of the header line and the block), date, type, block and
 payload digests (SHA-1 in base 32). A record whose payload another one has already is written as a revisit of it.
 
-``write`` stores records as WARC files of bounded size through Spark's writer, so that any store Spark knows will do;
-``read`` reads such files.
+``write_arc`` lays pages down as ARC files, compressed, with their true offsets; ``convert`` reads ARC files, finds equal
+payloads and writes WARC files; ``read`` reads these. Files go through Spark's writer and reader, so that any store Spark
+knows will do, and are of bounded size. Any of the files may be compressed by gzip, whole or record by record. ``write``
+does all for a table of pages. A page's id travels in a header of its own, ``X-Page-Id``.
 
 Cases: a null payload is empty; a url that is null or empty is ``-``, white space and controls in it are percent-encoded;
 pages without an id are responses, never targets; equal payloads below ``least`` bytes are responses each; of rows
-repeated under the target's id each is a response; white space in an id is encoded as in a url; an empty table writes an empty archive and gives no rows.
+repeated under the target's id each is a response; white space in an id is encoded as in a url; an empty table writes an
+empty archive and gives no rows; columns of the pages beside those named are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,16 +23,19 @@ import hashlib
 import re
 import uuid
 import warnings
+import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import lookup, materialise, shared_dir, slices, texts_as_bytes
+from folioweave.llm.common import delete, lookup, materialise, shared_dir, slices, texts_as_bytes
 
 LEAST = 1000
-#: About so many payload bytes go into one WARC file.
+#: About so many payload bytes go into one file.
 FILE_BYTES = 16 << 20
 
 # The field lines of the two ARC versions
@@ -40,10 +46,32 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _UNSAFE = re.compile(rb"[\x00-\x20\x7f]")
+_PAGE_ID = re.compile(rb"(?im)^X-Page-Id: *([^\r\n]*)")
+_GZIP, _CHUNK = b"\x1f\x8b", 1 << 16
 _ADDRESS = re.compile(r"-|[0-9.]{7,15}|[0-9a-fA-F]*:[0-9a-fA-F:.]+")
 _DATE = re.compile(r"[0-9]{4,17}")
 
 
+def inflated(data: bytes) -> bytes:
+    """A file's bytes, of all its members if it is compressed; after a damaged member the next whole one is looked for."""
+    if not data.startswith(_GZIP):
+        return data
+    view, out, at = memoryview(data), [], 0
+    while at >= 0:
+        member, to, whole = zlib.decompressobj(31), at, True
+        try:
+            while to < len(data) and not member.eof:
+                out.append(member.decompress(view[to : to + _CHUNK]))
+                to += min(_CHUNK, len(data) - to)
+            whole = member.eof
+        except zlib.error:
+            whole = False
+        if not whole:
+            warnings.warn(f"a damaged gzip member at byte {at}", stacklevel=2)
+        at = data.find(_GZIP, to - len(member.unused_data) if whole else at + 2)
+    return b"".join(out)
+
+
 def _encoded(value: object) -> bytes:
     return _UNSAFE.sub(lambda m: b"%%%02X" % m[0][0], str(value).encode()) or b"-"
 
@@ -142,8 +170,8 @@ def payload_of(block: bytes) -> tuple[bytes, bytes]:
     return block[:at], block[at:]
 
 
-def warc_record(fields: dict[str, str], block: bytes, refers_to: str | None = None) -> bytes:
-    """The WARC record for an ARC record; ``refers_to`` is the identifier of the response with the same payload, if any."""
+def warc_record(fields: dict[str, str], block: bytes, refers_to: str | None = None, refers_to_page: str | None = None) -> bytes:
+    """The WARC record for an ARC record; ``refers_to`` is the identifier of the response with the same payload, if any, and ``refers_to_page`` its page's id."""
     head, payload = payload_of(block)
     named = [("WARC-Record-ID", record_id(fields, block)), ("WARC-Date", warc_date(fields["Archive-date"]))]
     if "version" in fields:
@@ -158,6 +186,7 @@ def warc_record(fields: dict[str, str], block: bytes, refers_to: str | None = No
         named.append(("WARC-Payload-Digest", sha1_32(payload)))
         if refers_to:
             named += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", refers_to)]
+            named += [] if refers_to_page is None else [("X-Refers-To-Page-Id", _encoded(refers_to_page).decode())]
             block = head or f"Content-Length: {len(payload)}\r\n\r\n".encode()
         named.append(("WARC-Block-Digest", sha1_32(block)))
         named.append(("Content-Type", "application/http; msgtype=response" if head else fields["Content-type"]))
@@ -165,6 +194,11 @@ def warc_record(fields: dict[str, str], block: bytes, refers_to: str | None = No
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def _headers(data: bytes) -> dict[str, str]:
+    lines = data.decode("utf-8", "replace").split("\r\n")[1:]
+    return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
 def convert_arc(data: bytes, refers_to: dict[int, str] | None = None) -> Iterator[bytes]:
     """WARC records of an ARC file; ``refers_to`` has the identifiers that some records (by their number, from 0) revisit."""
     for k, (fields, block) in enumerate(arc_records(data), -1):
@@ -172,76 +206,129 @@ def convert_arc(data: bytes, refers_to: dict[int, str] | None = None) -> Iterato
 
 
 def warc_parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file."""
+    """(headers, block) of each record of a WARC file; what isn't a whole record is skipped, and a warning says so."""
     at = data.find(b"WARC/")
-    while 0 <= at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = data.find(b"WARC/", end + 4 + size)
-
-
-def with_targets(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = LEAST) -> tuple[DataFrame, int, int]:
-    """``pages`` with ``refers_to``: the largest key that has the same payload of at least ``least`` bytes, if it's another one; their number and bytes."""
-    raw = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    slim = pages.select(F.col(key).alias("_key"), F.octet_length(raw).alias("_size"), F.when((F.octet_length(raw) >= least) & F.col(key).isNotNull(), F.sha1(raw)).alias("_digest"))
-    n, size = slim.agg(F.count(F.lit(1)), F.sum("_size")).first()
-    groups = slim.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.max("_key").alias("_target"), F.count(F.lit(1)).alias("_times"))
-    groups = materialise(groups.where(F.col("_times") > 1))
-    digest = F.when((F.octet_length(raw) >= least) & F.col(key).isNotNull(), F.sha1(raw))
-    found = lookup(pages.withColumn("_digest", digest), groups, "_digest", "_times")
-    return found.withColumn("refers_to", F.when(F.col("_target") != F.col(key), F.col("_target"))).drop("_digest", "_target"), n, size or 0
+    while at >= 0:
+        end = data.find(b"\r\n\r\n", at)
+        headers = _headers(data[at:end]) if end >= 0 else {}
+        size = headers.get("content-length", "")
+        if not (size.isascii() and size.isdigit()) or end + 4 + int(size) > len(data) or "warc-type" not in headers:
+            warnings.warn(f"no whole WARC record at byte {at}", stacklevel=2)
+            at = data.find(b"WARC/", at + 5)
+            continue
+        yield headers, data[end + 4 : end + 4 + int(size)]
+        at = data.find(b"WARC/", end + 4 + int(size))
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, version: int = 2, date: str = "20240101000000") -> None:
-    """Lays each page down as an ARC record of a legacy archive, converts the archive and writes WARC files to ``path``."""
-    found, n, size = with_targets(pages, key, payload, least)
-    found = found.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"), F.col("refers_to").cast("string"))
+def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", version: int = 2, date: str = "20240101000000") -> None:
+    """Lays each page down as a record of compressed ARC files in ``path``."""
+    found = pages.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"))
+
+    def run(batches):
+        partition = TaskContext.get().partitionId()
+        for n, batch in enumerate(slices(batches, "payload", FILE_BYTES)):
+            name = f"pages-{partition:06d}-{n:06d}.arc"
+            parts = [arc_version_block(version, name, date)]
+            at = len(parts[0])
+            for page, u, body in zip(batch.column("key").to_pylist(), batch.column("url").to_pylist(), texts_as_bytes(batch.column("payload")), strict=True):
+                own = b"" if page is None else b"X-Page-Id: " + _encoded(page) + b"\r\n"
+                head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n" + own + f"Content-Length: {len(body)}\r\n\r\n".encode()
+                parts.append(arc_record(version, head + body, u, date, offset=at, name=name))
+                at += len(parts[-1])
+            # the writer ends each row with a line feed, the last byte of a record
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], names=["file"])
+
+    # a row is a file
+    found.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+
+
+_ARC = "fields map<string,string>, id string, page string, digest string, size long, block binary"
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of the ARC files in ``path``: their fields, identifier, page's id, the payload's SHA-1 and size, and the block."""
 
     def run(batches):
-        for batch in slices(batches, "payload"):
-            keys, urls = batch.column("key").to_pylist(), batch.column("url").to_pylist()
-            legacy, targets = [arc_version_block(version, "pages", date)], {}
-            for k, (page, u, body, to) in enumerate(zip(keys, urls, texts_as_bytes(batch.column("payload")), batch.column("refers_to").to_pylist(), strict=True)):
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                legacy.append(arc_record(version, head + body, u, date, offset="-" if page is None else page, name="pages"))
-                if to is not None:
-                    targets[k] = f"<urn:arc:pages:{_encoded(to).decode()}>"
+        names = ["fields", "id", "page", "digest", "size", "block"]
+        kinds = [pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = []
+                for fields, block in arc_records(inflated(content.as_py())):
+                    head, payload = payload_of(block)
+                    page = _PAGE_ID.search(head)
+                    rows.append((list(fields.items()), record_id(fields, block), unquote(page[1].decode()) if page else None, hashlib.sha1(payload).hexdigest(), len(payload), block))
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _ARC)
+
+
+def convert(spark: SparkSession, arc_path: str, path: str, least: int = LEAST, order: str = "long") -> int:
+    """Converts the ARC files in ``arc_path`` to WARC files in ``path``; the number of records other than version blocks.
+
+    Of records with one payload of at least ``least`` bytes, those of the page with the largest id (as an ``order``) stay
+    responses, and the others are revisits of one of them.
+    """
+    records = read_arc(spark, arc_path)
+    version = F.map_contains_key("fields", F.lit("version"))
+    at = F.col("page").cast(order)
+    slim = materialise(records.where(~version).select("id", at.alias("at"), "page", "digest", "size"))
+    n, size = slim.agg(F.count(F.lit(1)), F.sum("size")).first()
+    groups = slim.where((F.col("size") >= least) & F.col("at").isNotNull()).groupBy("digest").agg(F.max(F.struct("at", "id", "page")).alias("target"), F.count(F.lit(1)).alias("_times"))
+    groups = materialise(groups.where(F.col("_times") > 1))
+    asked = F.when(~version & (F.col("size") >= least) & at.isNotNull(), F.col("digest")).alias("digest")
+    found = lookup(records.select("fields", at.alias("at"), "block", asked), groups, "digest", "_times")
+    other = F.col("target.at") != F.col("at")
+    found = found.select("fields", "block", F.when(other, F.col("target.id")).alias("to"), F.when(other, F.col("target.page")).alias("to_page"))
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("fields", "block", "to", "to_page")), strict=True)
             # the writer ends each row with a line feed, the last byte of a record
-            records = [x[:-1] for x in convert_arc(b"".join(legacy), targets)]
-            if len(records) != len(legacy):
-                raise ValueError(f"{len(legacy)} ARC records gave {len(records)} WARC records")
+            records = [warc_record(dict(fields), block, to, page)[:-1] for fields, block, to, page in rows]
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
-    per_file = max(1, FILE_BYTES // max(1, size // max(1, n)))
+    per_file = max(1, FILE_BYTES // max(1, (size or 0) // max(1, n)))
     found.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", per_file).text(path)
+    return n
+
+
+def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, version: int = 2, date: str = "20240101000000") -> None:
+    """Lays the pages down as a legacy archive in ``path``-arc, converts it to WARC files in ``path`` and deletes it."""
+    spark = pages.sparkSession
+    write_arc(pages, f"{path}-arc", key, url, payload, version, date)
+    n, wanted = convert(spark, f"{path}-arc", path, least, dict(pages.dtypes)[key]), pages.count()
+    if n != wanted:
+        raise ValueError(f"{wanted} pages gave {n} ARC records")
+    delete(spark, [f"{path}-arc"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each page record of the WARC files in ``path``: record_id, url, date, record_type, refers_to_id, payload_bytes, payload_digest (hex) and payload (null for a revisit)."""
+    """A row for each page record of the WARC files in ``path``: record_id, page_id, url, date, record_type, refers_to_id, refers_to_page, payload_bytes, payload_digest (hex) and payload (null for a revisit)."""
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
+            for content in batch.column("content"):
                 rows = []
-                for headers, block in warc_parsed(batch.column("content")[k].as_py()):
-                    if headers["warc-type"] not in ("response", "resource", "revisit"):
+                for headers, block in warc_parsed(inflated(content.as_py())):
+                    kind = headers["warc-type"]
+                    if kind not in ("response", "resource", "revisit"):
                         continue
-                    head, payload = payload_of(block) if headers["warc-type"] != "revisit" else (block, None)
-                    declared = re.search(rb"(?i)content-length: *(\d+)", head)
+                    head, payload = payload_of(block) if kind != "revisit" else (block, None)
+                    declared, page = re.search(rb"(?i)content-length: *(\d+)", head), _PAGE_ID.search(head)
                     digest = base64.b32decode(headers["warc-payload-digest"][5:]).hex()
                     if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{headers['warc-record-id']}: the payload doesn't have the digest that its header declares")
-                    size = len(payload) if payload is not None else int(declared[1])
-                    rows.append((headers["warc-record-id"], headers.get("warc-target-uri"), headers["warc-date"], headers["warc-type"], headers.get("warc-refers-to"), size, digest, payload))
-                columns = list(zip(*rows, strict=True)) or [()] * 8
-                kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.binary()]
+                    size = len(payload) if payload is not None else int(declared[1]) if declared else None
+                    of, to = (unquote(x) if x is not None else None for x in (page[1].decode() if page else None, headers.get("x-refers-to-page-id")))
+                    rows.append((headers["warc-record-id"], of, headers.get("warc-target-uri"), headers["warc-date"], kind, headers.get("warc-refers-to"), to, size, digest, payload))
+                columns = list(zip(*rows, strict=True)) or [()] * 10
+                kinds = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    names = ["record_id", "url", "date", "record_type", "refers_to_id", "payload_bytes", "payload_digest", "payload"]
-    schema = "record_id string, url string, date string, record_type string, refers_to_id string, payload_bytes long, payload_digest string, payload binary"
+    names = ["record_id", "page_id", "url", "date", "record_type", "refers_to_id", "refers_to_page", "payload_bytes", "payload_digest", "payload"]
+    schema = "record_id string, page_id string, url string, date string, record_type string, refers_to_id string, refers_to_page string, payload_bytes long, payload_digest string, payload binary"
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 

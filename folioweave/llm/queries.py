@@ -27,9 +27,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = archives.new_path(spark)
     archives.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
     rows = archives.read(spark, path)
-    number = lambda c: F.regexp_extract(c, "^<urn:arc:pages:(-?\\d+)>$", 1)
-    as_id = lambda c: F.when(number(c) != "", number(c).cast("long"))
-    return rows.select(as_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to_id").alias("refers_to"))
+    as_id = lambda c: F.col(c).cast("long")
+    return rows.select(as_id("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to_page").alias("refers_to"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators that hold texts against each other, archives, and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -387,14 +388,15 @@ def test_warc_round_trip(spark, tmp_path):
     frame = spark.createDataFrame([(*p, "own", "own") for p in pages], "page_id long, url string, html string, refers_to string, record_type string")
     archives.write(frame.drop("refers_to"), str(tmp_path / "w"))
     rows = archives.read(spark, str(tmp_path / "w")).collect()
-    got = sorted((r["record_id"][10:][-8:] if "uuid" in r["record_id"] else r["record_id"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to_id"]) for r in rows if "uuid" not in r["record_id"])
+    got = sorted((r["page_id"] or "", r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to_page"]) for r in rows)
     want = []
     for k, _, html in pages:
         raw = (html or "").encode()
         again = html == big and k not in (9, None)
-        if k is not None:
-            want.append((f"<urn:arc:pages:{k}>", "revisit" if again else "response", len(raw), hashlib.sha1(raw).hexdigest(), "<urn:arc:pages:9>" if again else None))
-    assert got == sorted(want, key=lambda x: x[:4]) and len(rows) == len(pages)
+        want.append((str(k or ""), "revisit" if again else "response", len(raw), hashlib.sha1(raw).hexdigest(), "9" if again else None))
+    assert got == sorted(want, key=lambda x: x[:4]) and len({r["record_id"] for r in rows}) == len(pages)
+    nine = {r["record_id"] for r in rows if r["page_id"] == "9"}
+    assert {r["refers_to_id"] in nine for r in rows if r["record_type"] == "revisit"} == {True}
     assert {bytes(r["payload"]).decode() for r in rows if r["payload"] is not None} == {big, "small", "", pages[-1][2]}
 
 
@@ -415,7 +417,40 @@ def test_warc_keeps_pages_after_a_version_blocks_url(spark, tmp_path):
     pages = spark.createDataFrame([("a b", "filedesc://x", "1 0 x\nURL\n"), ("c", "u", "page"), ("d", "u", "last")], "page_id string, url string, html string").coalesce(1)
     archives.write(pages, str(tmp_path / "w"))
     rows = archives.read(spark, str(tmp_path / "w")).collect()
-    assert sorted((r["record_id"], r["url"]) for r in rows) == [("<urn:arc:pages:a%20b>", "filedesc://x"), ("<urn:arc:pages:c>", "u"), ("<urn:arc:pages:d>", "u")]
+    assert sorted((r["page_id"], r["url"]) for r in rows) == [("a b", "filedesc://x"), ("c", "u"), ("d", "u")]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_files_are_read_back_at_their_offsets(spark, tmp_path, version):
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"<p>{k}é" * (k + 1)) for k in range(30)], "page_id long, url string, html string").repartition(3)
+    archives.write_arc(pages, str(tmp_path / "arc"), version=version)
+    files = [archives.inflated(f.read_bytes()) for f in (tmp_path / "arc").glob("*.gz")]
+    assert len(files) >= 2 and all(f.startswith(b"filedesc://") for f in files)
+    for data in files:
+        for fields, _ in list(archives.arc_records(data))[1:]:
+            if version == 2:
+                assert data[int(fields["Offset"]) :].startswith(fields["URL"].encode() + b" ")
+    rows = archives.read_arc(spark, str(tmp_path / "arc")).where("page is not null").collect()
+    assert {(r["page"], payload.decode()) for r in rows for _, payload in [archives.payload_of(bytes(r["block"]))]} == {(str(k), f"<p>{k}é" * (k + 1)) for k in range(30)}
+    assert archives.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc")) == 30
+    assert archives.read(spark, str(tmp_path / "warc")).count() == 30
+
+
+def test_archives_compressed_record_by_record():
+    records = [archives.arc_version_block(1, "old.arc", "19990102030405"), *(archives.arc_record(1, b"block %d" % k, f"http://{k}", "19990102030406") for k in range(4))]
+    packed = [gzip.compress(r) for r in records]
+    assert list(archives.arc_records(archives.inflated(b"".join(packed)))) == list(archives.arc_records(b"".join(records)))
+    assert archives.inflated(b"plain") == b"plain" and archives.inflated(b"") == b""
+    with pytest.warns(UserWarning, match="damaged gzip member"):
+        found = archives.inflated(packed[0] + packed[1] + packed[2][:-6] + packed[3] + packed[4])
+    assert [f["URL"] for f, _ in archives.arc_records(found)][-2:] == ["http://2", "http://3"]
+
+
+def test_damaged_warc_records_are_skipped():
+    whole = [archives.warc_record({"URL": f"http://{k}", "IP-address": "-", "Archive-date": "1999", "Content-type": "a", "Archive-length": "3"}, b"abc") for k in range(3)]
+    with pytest.warns(UserWarning, match="no whole WARC record"):
+        found = list(archives.warc_parsed(whole[0] + whole[1].replace(b"Content-Length: 3", b"Content-Length: x") + whole[2] + b"WARC/1.1\r\ncut"))
+    assert [h["warc-target-uri"] for h, _ in found] == ["http://0", "http://2"]
 
 
 def test_warc_query(same):
