@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from folioweave.llm.common import checkpointed, slices
 
-#: Bytes of text in a block, blocks in a partition, keys for which a bucket is made, and buckets in a partition.
-BLOCK, BLOCKS, KEYS, BUCKETS = 3 << 20, 4, 1 << 19, 4
+#: Bytes of text in a block, blocks in a partition, and keys for which a bucket is made.
+BLOCK, BLOCKS, KEYS = 3 << 20, 4, 1 << 19
 #: Keys that a message should have, and how many times KEYS a bucket may have for that.
 MESSAGE, WIDEST = 32, 16
 
@@ -117,10 +117,6 @@ def _partitioned(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
-def _least_parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def grown(size: int) -> tuple[int, int]:
     """Blocks in a unit and keys in a bucket for so many bytes of text."""
     times = max(1, MESSAGE * size // (BLOCK * KEYS))
@@ -162,7 +158,7 @@ def blocks(docs: DataFrame, text: str) -> Blocks:
             streams.append(stream())
             yield out()
 
-    parts = max(_least_parts(docs), -(-size // (BLOCK * max(BLOCKS, unit))))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (BLOCK * max(BLOCKS, unit))))
     frame = _partitioned(docs.mapInArrow(run, "blk long, payload array<binary>").repartition(parts, "blk"))
     return Blocks(frame, parts, size, unit, keys)
 
@@ -181,6 +177,24 @@ def each_block(batch: pa.RecordBatch, replies: list[str], k: int):
         yield opened(stream.as_py()), [x[j] for x in answers]
 
 
+def slots(n: int) -> np.ndarray:
+    """For each of ``n`` partitions a number that Spark's hash (Murmur3 of an int, seed 42) deals to it, so that none gets two.
+
+    What isn't found, which is unlikely, shares another's partition.
+    """
+    tries = np.arange(int(n * (np.log(n) + 10)), dtype=np.uint32)
+    turned = lambda x, by: (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+    h = turned(turned(tries * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    part = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+    out = -1 - np.arange(n)
+    found, first = np.unique(part, return_index=True)
+    out[found] = tries[first]
+    return out.astype(np.int32)
+
+
 def ask(blocks: Blocks, make: Callable, splitters: np.ndarray, least: bool = False) -> DataFrame:
     """Answers to the keys that ``make()(rows, answers so far)`` finds in each block: ``blk`` and one array of buckets' bits.
 
@@ -188,11 +202,11 @@ def ask(blocks: Blocks, make: Callable, splitters: np.ndarray, least: bool = Fal
     keys have a ``b``, two more bits tell if this block is the one of those that hold the key that may speak for it, and
     if several ``b`` are held for its ``a``. With ``least``, the answer is whether a lower ``v`` is held for the key.
     """
-    sent = blocks.frame.sparkSession.sparkContext.broadcast(splitters)
+    sent = blocks.frame.sparkSession.sparkContext.broadcast((splitters, slots(len(splitters) + 1)))
     replies = blocks.replies()
 
     def send(batches):
-        fn, splitters = make(), sent.value
+        fn, (splitters, slot) = make(), sent.value
         for batch in batches:
             for k in range(batch.num_rows):
                 keys = [fn(rows, told) for rows, told in each_block(batch, replies, k)]
@@ -201,8 +215,8 @@ def ask(blocks: Blocks, make: Callable, splitters: np.ndarray, least: bool = Fal
                 spans = np.flatnonzero(sizes.any(axis=0)).tolist()
                 blk = batch.column("blk")[k].as_py()
                 parts = [[None if getattr(keys[0], c) is None else b"".join([getattr(x, c)[e[p] : e[p + 1]].tobytes() for x, e in zip(keys, edges, strict=True)]) for p in spans] for c in "abv"]
-                columns = [pa.array(spans, pa.int32()), pa.array([blk] * len(spans), pa.int64()), pa.array(sizes.T[spans].tolist(), pa.list_(pa.int32())), *(pa.array(c, pa.binary()) for c in parts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "blk", "sizes", "a", "b", "v"])
+                columns = [pa.array(slot[spans], pa.int32()), pa.array(spans, pa.int32()), pa.array([blk] * len(spans), pa.int64()), pa.array(sizes.T[spans].tolist(), pa.list_(pa.int32())), *(pa.array(c, pa.binary()) for c in parts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["slot", "bucket", "blk", "sizes", "a", "b", "v"])
 
     def answer(group: pa.Table) -> pa.Table:
         a = [np.frombuffer(x, np.uint64) for x in group.column("a").to_pylist()]
@@ -217,10 +231,8 @@ def ask(blocks: Blocks, make: Callable, splitters: np.ndarray, least: bool = Fal
         kinds = pa.array([len(bits)] * len(sizes), pa.int32())
         return pa.table({"blk": group.column("blk"), "bucket": group.column("bucket"), "kinds": kinds, "sizes": group.column("sizes"), "bits": pa.array(out, pa.binary())})
 
-    asked = blocks.frame.mapInArrow(send, "bucket int, blk long, sizes array<int>, a binary, b binary, v binary")
-    n = len(splitters) + 1
-    asked = asked.repartition(max(min(n, _least_parts(blocks.frame)), -(-n * blocks.keys // (BUCKETS * KEYS))), "bucket")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "blk long, bucket int, kinds int, sizes array<int>, bits binary")
+    asked = blocks.frame.mapInArrow(send, "slot int, bucket int, blk long, sizes array<int>, a binary, b binary, v binary")
+    answered = asked.repartition(len(splitters) + 1, "slot").groupBy("slot").applyInArrow(answer, "blk long, bucket int, kinds int, sizes array<int>, bits binary")
     answered = answered.repartition(blocks.parts, "blk")
     return _partitioned(answered.groupBy("blk").agg(F.collect_list(F.struct("bucket", "kinds", "sizes", "bits")).alias("answers")))
 

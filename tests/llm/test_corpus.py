@@ -102,6 +102,12 @@ def test_units_and_buckets_grow_with_the_texts():
         assert unit * exchange.BLOCK * keys >= 0.9 * exchange.MESSAGE * size and unit < 256 and keys <= exchange.WIDEST * exchange.KEYS
 
 
+@pytest.mark.parametrize("n", [1, 7, 118])
+def test_each_slot_has_a_partition_of_its_own(spark, n):
+    numbers = spark.createDataFrame([(int(x),) for x in exchange.slots(n)], "slot int").repartition(n, "slot")
+    assert [tuple(r) for r in numbers.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()] == [(k, 1) for k in range(n)]
+
+
 def brute_suffixes(texts):
     raw = [(t or "").encode() for t in texts]
     times = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
