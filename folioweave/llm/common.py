@@ -67,16 +67,21 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def written() -> int:
+    """How many intermediates this process has written and not deleted."""
+    return len(_written)
+
+
 def forget(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the intermediates written since there were ``since`` of them: for when all results made of them are written."""
+    """Deletes all intermediates but the first ``since``: for when all results made of them are written."""
     delete(spark, _written[since:])
     del _written[since:]
 
 
 @contextmanager
-def only_result(spark: SparkSession):
-    """Inside, the function that is given writes a result; what else was written meanwhile is deleted."""
-    since, results = len(_written), []
+def only_result(spark: SparkSession, since: int):
+    """Gives a function that writes a result; of the intermediates after the first ``since`` only such results stay."""
+    results = []
 
     def write(df: DataFrame) -> DataFrame:
         out = materialise(df)

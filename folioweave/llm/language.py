@@ -8,7 +8,8 @@ Letters are folded to lower case and to 128 slots, ``a`` to ``z`` and other Lati
 point; everything else is one word boundary, which is a letter too.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing was learnt; ties go to
-the language first in alphabetical order; repeated rows are judged each; texts of any length are read whole.
+the language first in alphabetical order; repeated rows are judged each; texts of any length are read whole; an empty
+table gives no rows; columns ``lang_pred`` and ``score`` are replaced, all others are kept.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ nearest by its exact distance.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of another
 length than the most common one (the shorter of two) or without an id; ties go to smaller ids; a repeated id is one
-vector's id once, and a row with the query's own id is no candidate; fewer than k candidates make shorter lists.
+vector's id once, and a row with the query's own id is no candidate; fewer than k candidates make shorter lists; an empty
+table gives no rows; columns beside the key and the vector are not looked at, whatever their names.
 """
 
 from __future__ import annotations

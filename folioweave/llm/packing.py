@@ -8,7 +8,9 @@ document on such a boundary gets a record on either side. Only the last sequence
 Tokenising cuts texts where a pre-token must end whatever surrounds it, encodes each distinct part once in a task, and
 joins ids; texts with rare white space go to the tokenizer whole.
 
-Cases: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives no pieces.
+Cases: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives no pieces; a text of
+any length is read whole and cut into as many pieces as it takes; columns of the names that pieces have (``ids``,
+``doc_tokens``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``, ``_part``, ``_at``) are replaced, all others but the text are kept.
 """
 
 from __future__ import annotations

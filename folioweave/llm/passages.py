@@ -7,7 +7,8 @@ ask which anchors several documents hold, extend these to all windows of 13 word
 earlier document exists (by 64 and 32 bits of two hashes), and drop the words that such windows cover.
 
 The key must be a number or null. Cases: a null or empty text has no words; with fewer than 13 nothing goes; rows that share an id don't take words from
-each other; rows without an id come after all others and don't take words from each other.
+each other; rows without an id come after all others and don't take words from each other; a text of any length is read
+whole; an empty table gives no rows; columns ``n_words``, ``n_removed`` and ``kept`` are replaced, all others are kept.
 """
 
 from __future__ import annotations

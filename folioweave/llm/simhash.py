@@ -15,7 +15,8 @@ Only distinct fingerprints are joined; texts of one fingerprint are linked by it
 links, not all pairs.
 
 Cases: null, empty and blank texts have fingerprint zero; fewer than 4 words are one shingle; repeated rows are rows of
-one component; a row without an id takes part, but never names a component (null if no row of it has an id).
+one component; a row without an id takes part, but never names a component (null if no row of it has an id); a text of
+any length is read whole; an empty table gives no rows; the result has the key, the fingerprint and the component alone.
 """
 
 from __future__ import annotations

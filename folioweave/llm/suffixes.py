@@ -18,7 +18,8 @@ bytes, 16 bits of the first and the second. Two strings of at most 301 bytes hav
 than 301 of its 2 ** 61 bases.
 
 Cases: a null or empty text has no bytes, and from a text under 200 bytes nothing goes; repeated rows are places like any
-others; a removed run may cut a character, so what is kept is bytes.
+others; a removed run may cut a character, so what is kept is bytes; a text of any length is read whole; an empty table
+gives no rows; columns ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` are replaced, all others are kept.
 """
 
 from __future__ import annotations

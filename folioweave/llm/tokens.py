@@ -5,7 +5,8 @@ pre-token of the corpus; each text's pre-token frequencies are joined with these
 pre-tokens (HOT at most) are joined inside the scan from a broadcast of that bound, all others by a shuffle join.
 
 Cases: a null or empty text has 0 tokens; repeated rows are counted each; texts are read whole, and one without spaces
-or line ends is one pre-token.
+or line ends is one pre-token; an empty table gives no rows; columns of the names ``n_bytes``, ``n_tokens``, ``_row``,
+``_known``, ``_rest`` and ``_more`` are replaced or dropped, all others but the text are kept.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ left out makes the scores probabilities at the true rate of labels.
 As everything after the vectors is linear, scoring looks each n-gram's share of the logit up in one table.
 
 Cases: a null, empty or wordless text scores as a passage of no words does; repeated rows are scored each; without
-labels of both kinds every score is the share of toxic labels, 0 if there are none; null labels teach nothing.
+labels of both kinds every score is the share of toxic labels, 0 if there are none; null labels teach nothing; a text
+of any length is read whole; an empty table gives no rows; a column ``score`` is replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -112,6 +113,27 @@ def numbered(docs: DataFrame, text: str) -> DataFrame:
     return map_texts(docs, text, fields, make)
 
 
+def gradient(vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, grams: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The softmax's loss over bags of words, the vectors that it hangs on, and its slopes by these, the weights and the bias.
+
+    ``grams``: buckets of all bags' words' n-grams, of which each word has ``sizes``; each bag has ``lengths`` words.
+    """
+    text_of = np.repeat(np.repeat(np.arange(len(lengths)), lengths), sizes)
+    weight = np.repeat(1 / sizes, sizes) / lengths[text_of]
+    picked = vectors[grams] * weight[:, None]
+    means = np.stack([np.bincount(text_of, picked[:, d], len(lengths)) for d in range(vectors.shape[1])], axis=1)
+    logits = means @ weights + bias
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    own = np.arange(len(lengths))
+    loss = float(-np.log(np.maximum(p[own, labels], 1e-300)).sum())
+    p[own, labels] -= 1
+    d_means = p @ weights.T
+    touched, where = np.unique(grams, return_inverse=True)
+    step = np.stack([np.bincount(where, weight * d_means[text_of, d], len(touched)) for d in range(vectors.shape[1])], axis=1)
+    return loss, touched, step, means.T @ p, p.sum(axis=0)
+
+
 def train(words: list[str], ids: list[np.ndarray], labels: np.ndarray, rate: float, seed: int = SEED) -> Model:
     """``ids``: each text's words by their places in ``words``; ``rate``: the share of toxic labels outside the sample,
     which has as many of either kind as it can."""
@@ -133,27 +155,10 @@ def train(words: list[str], ids: list[np.ndarray], labels: np.ndarray, rate: flo
             rows = used[a : a + BATCH].tolist()
             starts = [best_passage(scores[ids[k]])[1] for k in rows]
             bags = [ids[k][s : s + PASSAGE] for k, s in zip(rows, starts, strict=True)]
-            lengths = np.array([len(b) for b in bags])
             flat = np.concatenate(bags)
             n = sizes[flat]
-            at = np.repeat(first[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            grams = buckets[at]
-            by_word = np.repeat(1 / n, n)
-            text_of = np.repeat(np.repeat(np.arange(len(bags)), lengths), n)
-            weight = by_word / lengths[text_of]
-            picked = vectors[grams] * weight[:, None]
-            means = np.zeros((len(bags), WIDTH))
-            for d in range(WIDTH):
-                means[:, d] = np.bincount(text_of, picked[:, d], len(bags))
-            logits = means @ weights + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(bags)), labels[rows]] -= 1
-            d_weights, d_bias, d_means = means.T @ p, p.sum(axis=0), p @ weights.T
-            touched, where = np.unique(grams, return_inverse=True)
-            step = np.zeros((len(touched), WIDTH))
-            for d in range(WIDTH):
-                step[:, d] = np.bincount(where, weight * d_means[text_of, d], len(touched))
+            grams = buckets[np.repeat(first[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            _, touched, step, d_weights, d_bias = gradient(vectors, weights, bias, grams, n, np.array([len(b) for b in bags]), labels[rows])
             g_vectors[touched] += (step**2).mean(axis=1)
             vectors[touched] -= RATE * step / np.sqrt(g_vectors[touched])[:, None]
             g_weights += d_weights**2

@@ -4,15 +4,19 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioweave.llm import archives, exchange, neighbours, passages, simhash, suffixes
+from folioweave.llm import archives, common, exchange, neighbours, passages, simhash, suffixes
 from folioweave.llm import queries as q
 from folioweave.llm.components import components
 
@@ -21,6 +25,24 @@ def sha(data):
     return hashlib.sha256(data).hexdigest()
 
 
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def brute_hits(text, items):
+    """(words, hit words, items) of a text that is held against the benchmark's windows."""
+    split = lambda t: WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+    words, hit, named = split(text), set(), set()
+    for item, t in items:
+        own = split(t)
+        for i in range(max(1, len(own) - 12) if own else 0):
+            w = own[i : i + 13]
+            for j in range(len(words) - len(w) + 1):
+                if words[j] == w[0] and words[j : j + len(w)] == w:
+                    hit.update(range(j, j + len(w)))
+                    named |= {str(item)} if item is not None else set()
+    return len(words), len(hit), sorted(named)
+
+
 def brute_passages(rows):
     """(doc_id, n_words, n_removed, kept) of each row."""
     last = 1 << 70
@@ -489,10 +511,40 @@ def test_pipeline_stages_against_brute_force(spark, small):
         assert r["n_chars"] == len(r["text"])
     assert cut.columns == docs.columns
     clean = stages["decontamination"](spark, cut, small)
-    flagged = {r["doc_id"] for r in cut.collect()} - {r["doc_id"] for r in clean.collect()}
-    assert clean.schema == cut.schema and len(flagged) < 0.2 * cut.count()
+    items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
+    judged = {r["doc_id"]: brute_hits(r["text"], items) for r in cut.collect()}
+    flagged = {d for d, (n, hit, _) in judged.items() if hit and 20 * hit >= n}
+    assert clean.schema == cut.schema and flagged and sorted(r["doc_id"] for r in clean.collect()) == sorted(set(judged) - flagged)
     packed = stages["packing"](spark, clean, small)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in clean.collect()}
+    model, got = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), defaultdict(list)
+    for r in packed.orderBy("doc_id", "start").collect():
+        got[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+    assert got == {r["doc_id"]: [*model.encode(r["text"], add_special_tokens=False).ids, 1] for r in clean.collect()}
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_of_nothing_and_of_a_very_long_text(spark, small, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    assert run(spark, spark.createDataFrame([], schema), small).count() == 0
+    long = " ".join(f"w{k}" for k in range(150_000))
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, "a b c d e", "en", "s", 9)], schema)
+    out = run(spark, docs, small)
+    if stage == "packing":
+        return
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(1, long), (2, "a b c d e")}
+
+
+def test_intermediates_are_deleted_when_results_are_written(spark, tmp_path, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    began = common.written()
+    with common.only_result(spark, began) as write:
+        found = write(passages.remove_repeats(docs))
+        made = list(common._written[began:])
+        assert len(made) >= 3 and all(Path(re.sub("^file:/*", "/", p)).exists() for p in made)
+    assert not any(Path(re.sub("^file:/*", "/", p)).exists() for p in made)
+    assert found.count() == docs.count() and common.written() == began + 1
+    common.forget(spark, began)
 
 
 def test_pipeline_names_languages_that_rows_lack(spark, small):

@@ -176,6 +176,32 @@ def test_profiles_are_bundles_of_bound_trigrams():
     assert np.array_equal(got[3], vector(" ab") + vector("ab ") + 8999 * vector("bab") + 8999 * vector("aba"))
 
 
+def _naive_vector(text, profiler):
+    """The sum of the bound trigrams of a text's words, one after another."""
+    slot = lambda c: 0 if not c.isalpha() else ord(c.lower()[:1]) - 96 if "a" <= c.lower()[:1] <= "z" else 27 + ord(c.lower()[:1]) % (language.SLOTS - 27)
+    letters = [slot(c) for c in text]
+    out = np.zeros(profiler.dimensions)
+    for word in "".join(chr(s) for s in letters).split("\0"):
+        line = [0, *map(ord, word), 0] if word else []
+        for a, b, c in zip(line, line[1:], line[2:], strict=False):
+            out += profiler.rolled[0][a] * profiler.rolled[1][b] * profiler.rolled[2][c]
+    return out
+
+
+def test_languages_are_those_of_the_nearest_prototype(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    profiler = language.Profiler()
+    vectors = {d: _naive_vector(t, profiler) for d, t, _ in rows}
+    sums = {}
+    for d, _, lang in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + vectors[d] / np.linalg.norm(vectors[d])
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    for r in q.op7_language(spark, small).collect():
+        want = {name: cosine(vectors[r["doc_id"]], s) for name, s in sums.items()}
+        assert r["lang_pred"] == max(want, key=want.get) and abs(r["score"] - max(want.values())) < 1e-5
+
+
 def test_pieces_of_a_long_text_add_up(monkeypatch):
     text = " ".join(fuzz(500)).encode()
     whole = language.Profiler(64)._vectors([text])
@@ -250,6 +276,54 @@ def test_toxic_phrases_score_alike_at_any_offset():
     assert [toxicity.passages(n).tolist() for n in (1, 6, 8)] == [[0], [0], [0, 1, 2]]
 
 
+def test_ngrams_and_passages_against_naive_ones():
+    words = ["ab", "ünï", "a", "longer", "x" * 9, "\U0001f600b"]
+    buckets, sizes = toxicity.ngrams(words)
+
+    def naive(word):
+        points, out = [ord(c) for c in f"<{word}>"], []
+        for n in toxicity.GRAMS:
+            for a in range(len(points) - n + 1):
+                h = n
+                for k in range(n):
+                    h = (h ^ points[a + k]) * int(toxicity._FACTORS[k]) % (1 << 64)
+                    h ^= h >> 29
+                out.append(h % toxicity.BUCKETS)
+        return out
+
+    assert sizes.tolist() == [len(naive(w)) for w in words]
+    ends = np.cumsum(sizes)
+    assert [sorted(buckets[e - n : e].tolist()) for e, n in zip(ends, sizes, strict=True)] == [sorted(naive(w)) for w in words]
+    rng = np.random.default_rng(2)
+    shares = rng.normal(size=toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.Model(shares, 1.5, -0.25)
+    text = [words[k] for k in rng.integers(0, len(words), 40)]
+    each = [np.mean([float(shares[b]) for b in naive(w)]) for w in text]
+    want = max(np.mean(each[a : a + toxicity.PASSAGE]) for a in range(len(each) - toxicity.PASSAGE + 1))
+    best, _ = toxicity.best_passage(model.words(text))
+    assert abs(best - want) < 1e-5 and abs(float(model.probability(np.array(best))) - 1 / (1 + np.exp(0.25 - 1.5 * want))) < 1e-5
+
+
+def test_the_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(7)
+    vectors, weights, bias = rng.normal(size=(30, 4)), rng.normal(size=(4, 2)), rng.normal(size=2)
+    sizes, lengths, labels = rng.integers(1, 5, 9), np.array([2, 3, 4]), np.array([1, 0, 1])
+    grams = rng.integers(0, 20, sizes.sum())
+    loss = lambda: toxicity.gradient(vectors, weights, bias, grams, sizes, lengths, labels)[0]
+    _, touched, step, d_weights, d_bias = toxicity.gradient(vectors, weights, bias, grams, sizes, lengths, labels)
+    whole = np.zeros_like(vectors)
+    whole[touched] = step
+    for values, slopes in ((vectors, whole), (weights, d_weights), (bias, d_bias)):
+        for at in np.ndindex(values.shape):
+            before, tiny = values[at], 1e-6
+            values[at] = before + tiny
+            up = loss()
+            values[at] = before - tiny
+            down = loss()
+            values[at] = before
+            assert abs((up - down) / (2 * tiny) - slopes[at]) < 1e-6
+
+
 def test_toxicity_without_labels_of_both_kinds(spark, nothing):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")
