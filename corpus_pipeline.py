@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences, in five stages of the operators for training data.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
-columns of ``docs``, whatever their names. A stage's result is written before the next one reads it.
+columns of ``docs``, whatever their names. A stage's result is written before the next one reads it; ``run`` then deletes
+what the stages up to it have written besides.
+
+Cases, for each stage: an empty table gives no rows; null and empty texts are rejected by the language stage, and stay in
+the others; a text of any length is read whole; of repeated rows one stays in the near-duplicate stage; rows without an
+id are kept like others, and columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioweave.llm import decontaminate, language, packing, passages, simhash
-from folioweave.llm.common import materialise, table
+from folioweave.llm.common import materialise, only_result, table, written
 
 ID, TEXT = "doc_id", "text"
 
@@ -43,8 +48,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the row with the smallest id, the first of several; rows without an id come last."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.monotonically_increasing_id().alias("_at"))
+    """Keeps of each group of near duplicates the row with the smallest id, the first of several; rows without an id come last.
+
+    Rows are numbered in a table of their own, so a task that runs again can't number them otherwise.
+    """
+    rows = materialise(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.monotonically_increasing_id().alias("_at")))
     key = F.struct(F.col(f"_row.{ID}").isNull().alias("none"), F.col(f"_row.{ID}").alias("id"), "_at")
     found = simhash.near_duplicates(rows.select(key.alias("_key"), F.col(f"_row.{TEXT}").alias(TEXT)), "_key", TEXT)
     stay = found.where(F.col("_key") == F.col("component_id")).select(F.col("_key._at").alias("_at"))
@@ -84,7 +92,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents", "*")
+    docs, began = table(spark, sf_dir, "documents", "*"), written()
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with only_result(spark, began) as write:
+            docs = write(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
