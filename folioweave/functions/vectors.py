@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +24,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(_sum(F.transform(doubles(v), lambda x: x * x)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of ``value``, which is computed once, also if it is used within a lambda function."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def l2_normalize(v: Column) -> Column:
     """Of length 1; a zero vector stays as it is."""
-    return F.transform(doubles(v), lambda x: x / F.when(norm(v) == 0, 1.0).otherwise(norm(v)))
+    scaled = lambda xs, size: F.transform(xs, lambda x: x / F.when(size == 0, 1.0).otherwise(size))
+    return bound(doubles(v), lambda xs: bound(norm(xs), lambda size: scaled(xs, size)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,16 +1,26 @@
-"""Search among embedded chunks. One query is a literal of the plan, so each search is a scan with a top-k."""
+"""Search among embedded chunks.
+
+One query is a literal of the plan, so each search is a scan with a top-k. ``search`` answers many queries in one scan for
+each block of them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.functions.vectors import cosine
 
 
+#: Queries of one block.
+QUERIES = 4096
+
+
 def as_vector(query: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in query))
 
@@ -31,6 +41,45 @@ def top_k(chunks: DataFrame, vector: str, query: Sequence[float], key: str, k: i
     return found.orderBy(F.desc("similarity"), key).limit(k).withColumn("score", 1 - F.col("similarity")).drop("similarity")
 
 
+def search(chunks: DataFrame, vector: str, key: str, queries: DataFrame, query_vector: str, query_key: str, k: int = 4) -> DataFrame:
+    """For each of ``queries`` the ``k`` most similar of ``chunks``: ``query_key`` as ``query``, ``rank`` from 0, ``key`` and ``score`` as in ``top_k``.
+
+    Queries come to the driver and go to the executors in blocks of QUERIES; each batch of chunks passes on its own ``k``
+    best of each query, so nothing but these is shuffled. Null vectors are left out; keys are longs.
+    """
+    spark, schema = chunks.sparkSession, "query long, similarity double, key long"
+    rows = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).cast("long"), F.col(query_vector).cast("array<double>")).toLocalIterator()
+    found = None
+    while block := list(islice(rows, QUERIES)):
+        sent = spark.sparkContext.broadcast(([r[0] for r in block], _unit(np.array([r[1] for r in block]))))
+
+        def nearest(batches, sent=sent):
+            names, wanted = sent.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                data = _unit(np.asarray(batch.column("vector").flatten()).reshape(batch.num_rows, -1))
+                keys = batch.column("key").to_numpy()
+                order = np.argsort(keys, kind="stable")
+                near = wanted @ data[order].T
+                best = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                score = np.take_along_axis(near, best, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(score.ravel()), pa.array(keys[order][best].ravel())], names=["query", "similarity", "key"])
+
+        held = chunks.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+        part = held.mapInArrow(nearest, schema)
+        found = part if found is None else found.unionByName(part)
+    found = spark.createDataFrame([], schema) if found is None else found
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "key"))), 1, k)
+    ranked = found.groupBy("query").agg(best.alias("best")).select("query", F.posexplode("best").alias("rank", "b"))
+    return ranked.select("query", "rank", F.col("b.key").alias(key), (1 + F.col("b.far")).alias("score"))
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(size == 0, 1, size)
+
+
 def above(chunks: DataFrame, vector: str, query: Sequence[float], threshold: float) -> DataFrame:
     """All rows with a similarity of at least ``threshold``."""
     return similarity(chunks, vector, query).where(F.col("similarity") >= threshold)
@@ -39,7 +88,7 @@ def above(chunks: DataFrame, vector: str, query: Sequence[float], threshold: flo
 def mmr(chunks: DataFrame, vector: str, query: Sequence[float], key: str, k: int = 4, fetch_k: int = 20, weight: float = 0.5) -> DataFrame:
     """Of the ``fetch_k`` most similar rows ``k``, chosen in turn for nearness to the query and distance from those chosen.
 
-    Adds ``rank`` from 0. Only keys and vectors of ``fetch_k`` rows come to the driver.
+    Adds ``rank`` from 0. Of values that differ by rounding only, the one nearest to the query is chosen. Only keys and vectors of ``fetch_k`` rows come to the driver.
     """
     near = top_k(chunks, vector, query, key, fetch_k).select(key, vector).collect()
     unit = lambda v: (x := np.asarray(v, np.float64)) / (np.linalg.norm(x) or 1.0)
@@ -48,7 +97,7 @@ def mmr(chunks: DataFrame, vector: str, query: Sequence[float], key: str, k: int
     chosen: list[int] = []
     while len(chosen) < min(k, len(near)):
         repeat = (vectors @ vectors[chosen].T).max(axis=1) if chosen else np.zeros(len(near))
-        value = weight * wanted - (1 - weight) * repeat
+        value = np.round(weight * wanted - (1 - weight) * repeat, 12)
         value[chosen] = -np.inf
         chosen.append(int(value.argmax()))
     ranks = chunks.sparkSession.createDataFrame([(near[j][0], r) for r, j in enumerate(chosen)], f"{key} {dict(chunks.dtypes)[key]}, rank int")

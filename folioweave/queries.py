@@ -144,7 +144,7 @@ def maxmin_low_threshold_hof(spark, sf_dir):
 
 def maxmin_documents(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents", "doc_id", "text").withColumn("sentences", sentences.split_sentences(F.col("text")))
-    found = maxmin.cluster(embed.embed(docs, "sentences", "vectors"), "vectors")
+    found = maxmin.embed_and_cluster(docs, "sentences")
     return maxmin.to_chunks(found, "sentences", "starts", "doc_id")
 
 
@@ -163,11 +163,12 @@ def html_elements(spark, sf_dir):
 
 
 def element_chunks(spark, sf_dir):
-    return elements.to_chunks(_partitioned(spark, sf_dir), "page_id")
+    return elements.to_chunks(_partitioned(spark, sf_dir), "page_id").select("page_id", "chunk_id", "text", "metadata.*")
 
 
 def element_text_list(spark, sf_dir):
-    return _partitioned(spark, sf_dir).select("page_id", elements.to_text_list(F.col("elements")).alias("texts"))
+    texts = elements.to_text_list(F.col("elements"))
+    return _partitioned(spark, sf_dir).select("page_id", F.size(texts).alias("texts"), _fingerprint(F.array_join(texts, "\n")).alias("texts_md5"))
 
 
 def element_histogram(spark, sf_dir):
@@ -175,7 +176,8 @@ def element_histogram(spark, sf_dir):
 
 
 def element_size_stats(spark, sf_dir):
-    return elements.size_stats(elements.to_chunks(_partitioned(spark, sf_dir), "page_id"))
+    found = elements.size_stats(elements.to_chunks(_partitioned(spark, sf_dir), "page_id"))
+    return found.withColumn("avg_chars", F.round("avg_chars", 6))
 
 
 def skip_existing(spark, sf_dir):
@@ -199,6 +201,11 @@ def chunk_json(spark, sf_dir):
     return chunks_json(recursive_chunks(spark, sf_dir), "doc_id")
 
 
+def chunk_json_windows(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text").withColumn("chunks", recursive.windows(F.col("text")))
+    return chunks_json(recursive.to_chunks(docs, "chunks", "doc_id", include_metadata=False), "doc_id")
+
+
 def chunk_json_compact(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents", "doc_id", "text").withColumn("chunks", recursive.windows(F.col("text")))
     chunks = recursive.to_chunks(docs, "chunks", "doc_id", include_metadata=False).select("doc_id", "chunk_id", "num_characters")
@@ -216,6 +223,12 @@ def topk_similarity(spark, sf_dir):
     return found.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+def topk_batch(spark, sf_dir):
+    chunks = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    found = retrieval.search(chunks, "embedding", "vec_id", chunks.where(F.col("vec_id") % 20 == 0), "embedding", "vec_id", 5)
+    return found.select("query", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 def topk_filtered(spark, sf_dir):
     chunks = _read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     found = retrieval.top_k(chunks, "embedding", _query(spark, sf_dir), "vec_id", 4, {"label": 3})
@@ -284,8 +297,8 @@ _ALL = [
     recursive_windows, recursive_chunks, recursive_chunks_characters, recursive_chunk_stats, split_sentences, sentence_stats,
     embedding_norms, embedding_normalize, maxmin_default, maxmin_low_threshold, maxmin_low_threshold_hof, maxmin_documents, maxmin_chunk_stats,
     html_elements, element_chunks, element_text_list, element_histogram, element_size_stats,
-    skip_existing, already_done, run_statistics, chunk_json, chunk_json_compact,
-    topk_similarity, topk_filtered, similarity_threshold, dot_top3, mmr, mrl_truncate, collection_upsert, collection_delete,
+    skip_existing, already_done, run_statistics, chunk_json, chunk_json_windows, chunk_json_compact,
+    topk_similarity, topk_batch, topk_filtered, similarity_threshold, dot_top3, mmr, mrl_truncate, collection_upsert, collection_delete,
     instruct_queries, thinking_split, conversation_history, think_switch,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
@@ -356,7 +369,29 @@ _LAST = "string_split(text, '</think>')"
 _CONTENT = _stripped(f"{_LAST}[-1]")
 _THOUGHT = "CASE WHEN contains(text, '</think>') THEN " + _stripped("regexp_replace(substr(text, 1, length(text) - length(" + _LAST + "[-1]) - 8), '^\\s*<think>', '')") + " ELSE '' END"
 
+_BLOCKS = "p|li|ul|nav|div|article|h1|footer|body|br"
+_MARKED = _rewritten("html", [("(?is)<(script|style|title)[^>]*>.*?</(script|style|title)>", ""), ("(?s)<!.*?>", ""), (f"<(/?({_BLOCKS}))( [^>]*)?>", "\x01\\1\x02"), ("<[^>]*>", "")])
+_NAMED = _rewritten("split_part(s, chr(2), 2)", [("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;?", "&"), (f"{S}+", " ")])
+#: Elements of pages made of these blocks without tables or nested lists; their type is that of the last tag but ``br``.
+_ELEMENTS = f"""(
+    SELECT page_id, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS ord, element_type, text
+    FROM (SELECT page_id, url, i, text, CASE last_value(nullif(tag, 'br') IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING)
+                 WHEN 'p' THEN 'NarrativeText' WHEN 'li' THEN 'ListItem' WHEN 'h1' THEN 'Title' WHEN 'footer' THEN 'Footer' ELSE 'UncategorizedText' END AS element_type
+          FROM (SELECT page_id, url, i, split_part(s, chr(2), 1) AS tag, {_stripped(_NAMED)} AS text
+                FROM (SELECT page_id, url, unnest(parts) AS s, unnest(range(len(parts))) AS i FROM (SELECT page_id, url, string_split({_MARKED}, chr(1)) AS parts FROM pages))))
+    WHERE length(text) > 0)"""
+_ELEMENT_ID = "substr(sha256(coalesce(url, 'None') || chr(10) || ord || chr(10) || text), 1, 32)"
+_ELEMENT_REST = f"element_type, {_ELEMENT_ID} AS element_id, text, CAST(NULL AS INTEGER) AS page_number, CAST(NULL AS VARCHAR) AS coordinates, url AS filename, CAST(NULL AS VARCHAR) AS text_as_html"
+
 ORACLES = {
+    "html_elements": f"SELECT page_id, ord, {_ELEMENT_REST} FROM {_ELEMENTS}",
+    "element_chunks": f"SELECT page_id, ord AS chunk_id, {_ELEMENT_REST} FROM {_ELEMENTS}",
+    "element_text_list": f"SELECT page_id, CAST(count(text) AS INTEGER) AS texts, md5(coalesce(string_agg(text, chr(10) ORDER BY ord), '')) AS texts_md5 FROM pages LEFT JOIN {_ELEMENTS} USING (page_id) GROUP BY page_id",
+    "element_histogram": f"SELECT element_type, count(*) AS n FROM {_ELEMENTS} GROUP BY element_type",
+    "element_size_stats": f"SELECT CAST(sum(length(text)) AS BIGINT) AS total_chars, round(avg(length(text)), 6) AS avg_chars FROM {_ELEMENTS}",
+    "chunk_json_windows": f"""
+        SELECT doc_id, '[ ' || string_agg('{{' || chr(10) || '  "chunk_id" : ' || chunk_id || ',' || chr(10) || '  "text" : ' || to_json(text) || ',' || chr(10) || '  "num_characters" : ' || length(text) || chr(10) || '}}', ', ' ORDER BY chunk_id) || ' ]' AS json
+        FROM ({_WINDOW_ROWS}) GROUP BY doc_id""",
     "clean_documents": f"SELECT doc_id, CAST(length(text) AS INTEGER) AS n_before, CAST(length(cleaned) AS INTEGER) AS n_after, cleaned FROM (SELECT doc_id, text, {_cleaned('text')} AS cleaned FROM {_NOISED})",
     "clean_plain_documents": f"SELECT doc_id, {_cleaned(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS cleaned FROM documents",
     "clean_reduction_stats": f"SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE (length(text) - length(cleaned)) / CAST(length(text) AS DOUBLE) * 100 END, 6) AS reduction_percent FROM (SELECT doc_id, text, {_cleaned('text')} AS cleaned FROM {_NOISED})",
@@ -381,6 +416,20 @@ ORACLES = {
         FROM (SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'skipped' WHEN coalesce(length(text), 0) = 0 THEN 'failed' ELSE 'processed' END AS o, len({_WINDOWS}) AS n FROM documents)""",
     "chunk_json_compact": f"""SELECT doc_id, '[' || string_agg('{{"chunk_id":' || chunk_id || ',"num_characters":' || length(text) || '}}', ',' ORDER BY chunk_id) || ']' AS json FROM ({_WINDOW_ROWS}) GROUP BY doc_id""",
     "topk_similarity": f"SELECT vec_id, label, round(1 - {_COSINE}, 6) AS score FROM embeddings ORDER BY {_COSINE} DESC, vec_id LIMIT {TOP}",
+    "topk_batch": f"""
+        SELECT query, CAST(n - 1 AS INTEGER) AS rank, vec_id, round(1 - s, 6) AS score
+        FROM (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(q.e, e.e) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, e.e) DESC, e.vec_id) AS n
+              FROM (SELECT vec_id, {_D} AS e FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT vec_id, {_D} AS e FROM embeddings) e) WHERE n <= 5""",
+    "mmr": f"""
+        WITH RECURSIVE c AS (SELECT vec_id, {_D} AS e, {_COSINE} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 20),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM c a, c b),
+        r AS (
+            SELECT 0 AS rank, [(SELECT vec_id FROM c ORDER BY s DESC, vec_id LIMIT 1)] AS chosen
+            UNION ALL
+            SELECT rank + 1, list_append(chosen, (SELECT c.vec_id FROM c WHERE NOT list_contains(chosen, c.vec_id)
+                ORDER BY round(0.5 * c.s - 0.5 * (SELECT max(p.s) FROM p WHERE p.a = c.vec_id AND list_contains(chosen, p.b)), 12) DESC, c.s DESC, c.vec_id LIMIT 1))
+            FROM r WHERE rank < 3)
+        SELECT vec_id, CAST(n - 1 AS INTEGER) AS rank FROM (SELECT unnest(chosen) AS vec_id, unnest(range(1, 5)) AS n FROM r WHERE rank = 3)""",
     "topk_filtered": f"SELECT vec_id, label, round(1 - {_COSINE}, 6) AS score FROM embeddings WHERE label = 3 ORDER BY {_COSINE} DESC, vec_id LIMIT 4",
     "similarity_threshold": f"SELECT vec_id, round({_COSINE}, 6) AS similarity FROM embeddings WHERE {_COSINE} >= {FLOOR}",
     "dot_top3": f"SELECT vec_id, round(list_inner_product({_D}, {_Q}), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 3",

@@ -1,9 +1,14 @@
+import re
+import time
+from collections import deque
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from folioweave.functions import vectors
 from folioweave.functions.cleaning import clean_text
 from folioweave.operators import elements, embed, maxmin, recursive, sentences
 
@@ -37,6 +42,44 @@ def test_chunks_are_bounded_and_keep_every_word_character(text, size, overlap):
         assert "".join("".join(chunks).split()) == "".join(text.split())
 
 
+def naive_split(text, size, overlap, separators):
+    """The published contract of a recursive splitter, said as plainly as can be: separators are plain texts, kept in front of what follows."""
+    separator = next((s for s in separators if s in text), separators[-1])
+    finer = separators[separators.index(separator) + 1 :]
+    pieces, rest = ([], text) if separator else (list(text), "")
+    while rest:  # a separator that overlaps itself counts at its leftmost places
+        own = len(separator) if rest.startswith(separator) else 0
+        at = rest.find(separator, own)
+        at = at if at >= 0 else len(rest)
+        pieces.append(rest[:at])
+        rest = rest[at:]
+    groups, out = [[]], []
+    for piece in pieces:
+        if len(piece) < size:
+            groups[-1].append(piece)
+        else:
+            groups += [piece, []]
+    for group in groups:
+        if isinstance(group, str):
+            out += naive_split(group, size, overlap, finer) if finer else [group]
+            continue
+        window = deque()
+        for piece in [*group, None]:
+            if piece is None or (window and sum(map(len, window)) + len(piece) > size):
+                out += [c] if (c := "".join(window).strip()) else []
+                while piece is not None and window and (sum(map(len, window)) > overlap or sum(map(len, window)) + len(piece) > size):
+                    window.popleft()
+            window.append(piece)
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab \n", max_size=120), st.integers(1, 20), st.integers(0, 20))
+def test_chunks_are_those_of_a_naive_splitter(text, size, overlap):
+    overlap = min(overlap, size)
+    assert split(text, size, overlap) == naive_split(text, size, overlap, ["\n\n", "\n", " ", ""])
+
+
 def test_overlap_larger_than_chunks_fails(spark):
     rows = spark.createDataFrame([("abc",)], "text string")
     assert rows.select(recursive.split(F.col("text"), chunk_size=3, chunk_overlap=4)).first()[0] is None
@@ -78,6 +121,20 @@ def test_embeddings_have_length_one(spark):
     assert got[1:] == [[], None]
 
 
+def test_a_norm_is_computed_once(spark):
+    rows = spark.range(50).select(F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda x: x.cast("double")).alias("v"))
+    unit = rows.select(vectors.l2_normalize(F.col("v")).alias("u"))
+    began = time.perf_counter()
+    got = unit.select(F.round(vectors.norm(F.col("u")), 9).alias("n")).distinct().collect()
+    assert [r["n"] for r in got] == [1.0] and time.perf_counter() - began < 30  # 50 x 4000 x 4000 products would take minutes
+
+
+def test_embedding_and_folding_in_one_pass(spark):
+    rows = spark.createDataFrame([(["ab cd ef", "ab cd eg", "xyz"],), ([],), (None,)], "s array<string>")
+    both = maxmin.cluster(embed.embed(rows, "s", "v"), "v").select("starts").collect()
+    assert maxmin.embed_and_cluster(rows, "s").select("starts").collect() == both and both[1:] == [([],), (None,)]
+
+
 def test_elements_keep_gaps(spark):
     page = "<html><head><title>no</title><script>var t='</p>';</script></head><body><h1>A</h1><hr><p> B <b>c</b></p><ul><li>d<li>e</ul><table><tr><td>1</td><td>2</td></tr></table>tail</body>"
     rows = spark.createDataFrame([("u", page), ("v", None)], "url string, html string")
