@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from folioweave.operators import embed, models
 from folioweave.plans import jobs
 
 
@@ -20,7 +21,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--input", "-i", default=source)
         p.add_argument("--output", "-o", default=target)
         p.add_argument("--no-skip", action="store_true")
-        p.add_argument("--single", "-s", help="name of the one file of the input directory to do, done before or not")
+        p.add_argument("--single", *(["-s"] if name in ("preprocess", "recursive") else []), help="name or path of the one file of the input directory to do, done before or not")
+        p.add_argument("--log-dir", help="directory for the run's log")
         return p
 
     p = job("preprocess", "data/raw", "data/cleaned")
@@ -31,12 +33,20 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--overlap", type=int, default=200)
     p.add_argument("--no-metadata", action="store_true")
     p = job("maxmin", "data/cleaned", "data/chunked/maxmin_semantic")
-    for flag, default in (("--threshold", 0.6), ("--c", 0.9), ("--init", 1.5)):
-        p.add_argument(flag, type=float, default=default)
+    for flags, default in ((("--threshold", "-t"), 0.6), (("--c",), 0.9), (("--init",), 1.5)):
+        p.add_argument(*flags, type=float, default=default)
     p.add_argument("--batch-size", type=int, default=8)
-    p.add_argument("--embedder", help="module:function that loads a model")
+    p.add_argument("--gguf", default=models.GGUF, help="file of a quantised model, which is what embeds unless another choice is made")
+    p.add_argument("--no-gguf", action="store_true", help="a model by name instead")
+    p.add_argument("--n-gpu-layers", type=int, default=-1)
+    p.add_argument("--model", "-m", default=models.NAMED)
+    p.add_argument("--device", choices=("cpu", "cuda"), default="cuda")
+    p.add_argument("--low-memory", action="store_true", help="half precision, for a model by name")
+    p.add_argument("--embedder", help="module:function that loads any other model, such as folioweave.operators.embed:hashing")
     p.add_argument("--no-metadata", action="store_true")
     p = job("element", "data/raw", "data/chunked/element_based")
+    p.add_argument("--strategy", "-s", choices=("auto", "hi_res", "fast", "ocr_only"), default="hi_res", help="for the partitioner")
+    p.add_argument("--languages", nargs="*", default=["ind"], help="for the partitioner")
     p.add_argument("--partitioner", help="module:function from a file's bytes to elements; HTML files without it")
     p.add_argument("--no-metadata", action="store_true")
     return out
@@ -49,17 +59,27 @@ def named(path: str | None):
     return getattr(importlib.import_module(module), name)
 
 
+def embedder(a: argparse.Namespace) -> embed.Loader:
+    """The loader that the options ask for."""
+    if a.embedder:
+        return named(a.embedder)
+    if a.no_gguf:
+        return models.sentence_transformer(a.model, device=a.device, low_memory=a.low_memory, batch_size=a.batch_size)
+    return models.gguf(a.gguf, n_gpu_layers=a.n_gpu_layers)
+
+
 def run(spark: SparkSession, argv: list[str]) -> int:
     a = parser().parse_args(argv)
-    common = {"skip_existing": not a.no_skip, "only": a.single}
+    only = a.single.rsplit("/", 1)[-1] if a.single else None
+    common = {"skip_existing": not a.no_skip, "only": only, "log_dir": a.log_dir}
     if a.job == "preprocess":
         stats = jobs.preprocess(spark, a.input, a.output, extractor=named(a.extractor), save_metadata=a.metadata, **common)
     elif a.job == "recursive":
         stats = jobs.chunk_recursive(spark, a.input, a.output, chunk_size=a.chunk_size, chunk_overlap=a.overlap, include_metadata=not a.no_metadata, **common)
     elif a.job == "maxmin":
-        stats = jobs.chunk_maxmin(spark, a.input, a.output, embedder=named(a.embedder), fixed_threshold=a.threshold, c=a.c, init_constant=a.init, batch_size=a.batch_size, include_metadata=not a.no_metadata, **common)
+        stats = jobs.chunk_maxmin(spark, a.input, a.output, embedder=embedder(a), fixed_threshold=a.threshold, c=a.c, init_constant=a.init, batch_size=a.batch_size, include_metadata=not a.no_metadata, **common)
     else:
-        plug = {"partitioner": named(a.partitioner), "pattern": "*.pdf"} if a.partitioner else {}
+        plug = {"partitioner": named(a.partitioner), "pattern": "*.pdf", "strategy": a.strategy, "languages": a.languages} if a.partitioner else {}
         stats = jobs.chunk_elements(spark, a.input, a.output, include_metadata=not a.no_metadata, **plug, **common)
     row = stats.first()
     print(row.asDict())

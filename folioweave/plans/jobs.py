@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,61 +18,106 @@ from folioweave.functions.cleaning import clean_text, stem, strip
 from folioweave.operators import elements, embed, maxmin, recursive
 from folioweave.operators.incremental import outcome, run_statistics
 from folioweave.operators.sentences import split_sentences
-from folioweave.sources.files import Extractor, extract_text, read_files, read_pdfs, read_texts
+from folioweave.plans.logs import job_log
+from folioweave.sources.files import Extractor, extract_text, names, read_some, texts_of
 from folioweave.sources.sinks import properties_text
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+#: Failed documents that a log names.
+NAMED = 100
+
+
+def _fs(spark: SparkSession, path: str):
+    """A path and its file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _done(spark: SparkSession, output: str, skip_existing: bool) -> DataFrame:
-    """Sources that a table in ``output`` has."""
-    if skip_existing and _exists(spark, output):
-        return spark.read.parquet(output).select("source_file").distinct()
-    return spark.createDataFrame([], "source_file string")
+def _exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _fs(spark, path)
+    return fs.exists(at)
+
+
+def _recover(spark: SparkSession, output: str) -> None:
+    """Puts a table back that a run moved aside and was ended before it had put the new one in its place."""
+    (old, fs), (at, _) = _fs(spark, f"{output}.old"), _fs(spark, output)
+    if fs.exists(old):
+        if fs.exists(at):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, at)
 
 
 def _put(spark: SparkSession, rows: DataFrame, output: str, skip_existing: bool, only: str | None) -> None:
-    """Appends what was new; else replaces the table, or of it the one document ``only``."""
+    """Appends what was new; else replaces the table, or of it the one document ``only``.
+
+    For that, the whole new table is written beside the old one, which is moved aside and deleted last, so that at any
+    moment one of them is whole.
+    """
     if only is None or not _exists(spark, output):
         rows.write.mode("append" if skip_existing else "overwrite").parquet(output)
         return
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     others = spark.read.parquet(output).where(F.col("source_file") != only)
     others.unionByName(rows, allowMissingColumns=True).write.mode("overwrite").parquet(f"{output}.new")
-    fs = path(output).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path(output), True)
-    fs.rename(path(f"{output}.new"), path(output))
+    (at, fs), (new, _), (old, _) = (_fs(spark, output + end) for end in ("", ".new", ".old"))
+    fs.rename(at, old)
+    fs.rename(new, at)
+    fs.delete(old, True)
+
+
+def output_files(spark: SparkSession, output: str) -> DataFrame:
+    """The sources that a job's table has: a table, as there may be any number."""
+    return spark.read.parquet(output).select("source_file").distinct()
+
 
+def failures(spark: SparkSession, output: str) -> DataFrame:
+    """``source_file``, ``error`` and ``at`` of what failed in a job's runs."""
+    path = f"{output}-failed"
+    return spark.read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], "source_file string, error string, at timestamp")
 
-def _run(spark: SparkSession, docs: DataFrame, make: Callable[[DataFrame], DataFrame], rows: Callable[[DataFrame], DataFrame], output: str, skip_existing: bool, size: str | None, only: str | None) -> DataFrame:
-    """``make`` adds what a document becomes, null or empty if it failed; ``rows`` are written.
 
-    With ``only``, the name of one file, no other is looked at, and it is done whether it was done before or not.
-    Statistics: total_files, processed, skipped, failed, total_chunks, avg_chunks, output_files and duration (seconds).
+def _run(
+    spark: SparkSession, job: str, input: str, pattern: str, read: Callable[[DataFrame], DataFrame], make: Callable[[DataFrame], DataFrame], rows: Callable[[DataFrame], DataFrame],
+    output: str, skip_existing: bool, size: str | None, only: str | None, log_dir: str | None,
+) -> DataFrame:
+    """``read`` turns files into documents, ``make`` adds what a document becomes, null or empty if it failed; ``rows`` are written.
+
+    Files that the table in ``output`` has are told by their names and not read. With ``only``, the name of one file, no
+    other is looked at, and it is done whether it was done before or not. Reasons for failed documents are appended to
+    the table ``failures``, and the log names some. Statistics: total_files, processed, skipped, failed, total_chunks,
+    avg_chunks and duration (seconds).
     """
     began = time.time()
+    _recover(spark, output)
+    listed = names(spark, input, pattern)
     if only is not None:
-        docs, skip_existing = docs.where(F.col("source_file") == only), False
-    done = _done(spark, output, skip_existing).withColumn("_done", F.lit(True))
-    marked = docs.join(done, "source_file", "left")
-    made = make(marked.where(F.col("_done").isNull()).drop("_done")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fine = made.where(F.size(size) > 0) if size else made.where(F.length("text") > 0)
-        _put(spark, rows(fine), output, skip_existing, only)
-        text = F.when(F.size(size) > 0, F.lit("x")) if size else F.col("text")
-        results = made.select("source_file", outcome(F.lit(False), text).alias("outcome"), (F.size(size) if size else F.lit(None).cast("int")).alias("n"))
-        skipped = marked.where("_done").select("source_file", F.lit("skipped").alias("outcome"), F.lit(None).cast("int").alias("n"))
-        stats = run_statistics(results.unionByName(skipped), "outcome", F.col("n"), F.col("source_file"))
-        found = stats.withColumn("duration", F.lit(time.time() - began)).collect()
-        return spark.createDataFrame(found, stats.schema.add("duration", "double"))
-    finally:
-        made.unpersist()
-
-
-def preprocess(spark: SparkSession, input: str, output: str, *, extractor: Extractor, save_metadata: bool = False, skip_existing: bool = True, pattern: str = "*.pdf", only: str | None = None) -> DataFrame:
+        listed, skip_existing = listed.where(F.col("source_file") == only), False
+    done = output_files(spark, output) if skip_existing and _exists(spark, output) else spark.createDataFrame([], "source_file string")
+    new = listed.join(done, "source_file", "left_anti")
+    with job_log(job, log_dir) as log:
+        log.info("started: %s to %s", input, output)
+        made = make(read(read_some(spark, input, pattern, new))).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fine = F.coalesce(F.size(size) > 0, F.lit(False)) if size else F.coalesce(F.length("text") > 0, F.lit(False))
+            # the count fills the cache before the table that ``done`` reads is changed
+            results = made.select("source_file", outcome(F.lit(False), F.when(fine, "x")).alias("outcome"), (F.size(size) if size else F.lit(None).cast("int")).alias("n"))
+            skipped = listed.join(done, "source_file", "left_semi").select("source_file", F.lit("skipped").alias("outcome"), F.lit(None).cast("int").alias("n"))
+            stats = run_statistics(results.unionByName(skipped), "outcome", F.col("n"))
+            found = stats.first()
+            _put(spark, rows(made.where(fine)), output, skip_existing, only)
+            if found["failed"]:
+                error = F.coalesce(F.col("error") if "error" in made.columns else F.lit(None).cast("string"), F.lit("no text" if size is None else "no chunks"))
+                failed = made.where(~fine).select("source_file", error.alias("error"), F.lit(datetime.fromtimestamp(began)).alias("at"))
+                failed.write.mode("append").parquet(f"{output}-failed")
+                for r in failed.limit(NAMED).collect():
+                    log.error("failed: %s: %s", r["source_file"], r["error"])
+            log.info("finished: %d files, %d processed, %d skipped, %d failed", found["total_files"], found["processed"], found["skipped"], found["failed"])
+            return spark.createDataFrame([(*found, time.time() - began)], stats.schema.add("duration", "double"))
+        finally:
+            made.unpersist()
+
+
+def preprocess(spark: SparkSession, input: str, output: str, *, extractor: Extractor, save_metadata: bool = False, skip_existing: bool = True, pattern: str = "*.pdf", only: str | None = None, log_dir: str | None = None) -> DataFrame:
     """Files to cleaned texts: source_file, stem, text and, if asked for, the properties as lines in ``metadata_text``."""
 
     def make(files: DataFrame) -> DataFrame:
@@ -81,34 +128,36 @@ def preprocess(spark: SparkSession, input: str, output: str, *, extractor: Extra
         more = [properties_text(F.col("properties")).alias("metadata_text")] if save_metadata else []
         return docs.select("source_file", stem(F.col("source_file")).alias("stem"), "text", *more)
 
-    return _run(spark, read_files(spark, input, pattern), make, rows, output, skip_existing, None, only)
+    return _run(spark, "preprocess", input, pattern, lambda f: f, make, rows, output, skip_existing, None, only, log_dir)
 
 
-def chunk_recursive(spark: SparkSession, input: str, output: str, *, chunk_size: int = 1000, chunk_overlap: int = 200, separators: Sequence[str] | None = None, include_metadata: bool = True, skip_existing: bool = True, only: str | None = None) -> DataFrame:
+def chunk_recursive(spark: SparkSession, input: str, output: str, *, chunk_size: int = 1000, chunk_overlap: int = 200, separators: Sequence[str] | None = None, include_metadata: bool = True, skip_existing: bool = True, only: str | None = None, log_dir: str | None = None) -> DataFrame:
     """Text files to size-bounded chunks."""
 
     def make(docs: DataFrame) -> DataFrame:
         chunks = recursive.split(F.when(F.length(strip(F.col("text"))) > 0, F.col("text")), chunk_size=chunk_size, chunk_overlap=chunk_overlap, separators=separators)
         return docs.withColumn("chunks", chunks)
 
-    return _run(spark, read_texts(spark, input), make, lambda d: recursive.to_chunks(d, "chunks", "source_file", include_metadata), output, skip_existing, "chunks", only)
+    return _run(spark, "recursive", input, "*.txt", texts_of, make, lambda d: recursive.to_chunks(d, "chunks", "source_file", include_metadata), output, skip_existing, "chunks", only, log_dir)
 
 
-def chunk_maxmin(spark: SparkSession, input: str, output: str, *, embedder: embed.Loader | None = None, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5, include_metadata: bool = True, skip_existing: bool = True, batch_size: int = 8, only: str | None = None) -> DataFrame:
+def chunk_maxmin(spark: SparkSession, input: str, output: str, *, embedder: embed.Loader | None = None, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5, include_metadata: bool = True, skip_existing: bool = True, batch_size: int = 8, only: str | None = None, log_dir: str | None = None) -> DataFrame:
     """Text files to chunks of sentences that belong together."""
 
     def make(docs: DataFrame) -> DataFrame:
         cut = docs.withColumn("sentences", split_sentences(F.col("text")))
-        embedded = embed.embed(cut, "sentences", "vectors", embedder=embedder, batch_size=batch_size)
-        return maxmin.cluster(embedded, "vectors", fixed_threshold=fixed_threshold, c=c, init_constant=init_constant)
+        return maxmin.embed_and_cluster(cut, "sentences", embedder=embedder, batch_size=batch_size, fixed_threshold=fixed_threshold, c=c, init_constant=init_constant)
+
+    return _run(spark, "maxmin", input, "*.txt", texts_of, make, lambda d: maxmin.to_chunks(d, "sentences", "starts", "source_file", include_metadata), output, skip_existing, "starts", only, log_dir)
 
-    return _run(spark, read_texts(spark, input), make, lambda d: maxmin.to_chunks(d, "sentences", "starts", "source_file", include_metadata), output, skip_existing, "starts", only)
 
+def chunk_elements(spark: SparkSession, input: str, output: str, *, partitioner: Callable = elements.html_partitioner, pattern: str = "*.html", strategy: str | None = None, languages: Sequence[str] | None = None, include_metadata: bool = True, skip_existing: bool = True, only: str | None = None, log_dir: str | None = None) -> DataFrame:
+    """Files to one chunk for each element; PDF files with ``pattern="*.pdf"`` and a partitioner of their bytes.
 
-def chunk_elements(spark: SparkSession, input: str, output: str, *, partitioner: Callable = elements.html_partitioner, pattern: str = "*.html", include_metadata: bool = True, skip_existing: bool = True, only: str | None = None) -> DataFrame:
-    """Files to one chunk for each element; PDF files with ``pattern="*.pdf"`` and a partitioner of their bytes."""
-    files = read_pdfs(spark, input) if pattern == "*.pdf" else read_files(spark, input, pattern)
+    ``strategy`` and ``languages`` are handed to the partitioner, where they are given.
+    """
+    options = {k: v for k, v in (("strategy", strategy), ("languages", languages)) if v is not None}
     content = F.col("content") if pattern == "*.pdf" else F.decode("content", "UTF-8")
-    docs = files.select("source_file", content.alias("content"))
-    make = lambda d: elements.partition(d, "content", "source_file", partitioner=partitioner)
-    return _run(spark, docs, make, lambda d: elements.to_chunks(d, "source_file", include_metadata), output, skip_existing, "elements", only)
+    make = lambda d: elements.partition(d, "content", "source_file", partitioner=partial(partitioner, **options) if options else partitioner)
+    read = lambda files: files.select("source_file", content.alias("content"))
+    return _run(spark, "element", input, pattern, read, make, lambda d: elements.to_chunks(d, "source_file", include_metadata), output, skip_existing, "elements", only, log_dir)

@@ -1,8 +1,10 @@
-"""A job's log: one file for each run, and the console. Reasons for failed documents are data, in ``error`` columns."""
+"""A job's log, a file for each run. Reasons for failed documents are data as well, in the job's table of failures."""
 
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 from pathlib import Path
 
@@ -10,15 +12,22 @@ from pathlib import Path
 FORMAT = "%(asctime)s - %(name)s - %(levelname)s - %(message)s"
 
 
-def setup_logging(log_dir: str = "logs", name: str = "folioweave") -> logging.Logger:
-    """The engine's logger, with all modules' messages below it in ``<log_dir>/preprocessing_<time>.log``."""
-    Path(log_dir).mkdir(parents=True, exist_ok=True)
-    logger = logging.getLogger(name)
-    logger.setLevel(logging.INFO)
-    for handler in list(logger.handlers):
-        logger.removeHandler(handler)
-        handler.close()
-    for handler in (logging.FileHandler(Path(log_dir) / f"preprocessing_{datetime.now():%Y%m%d_%H%M%S}.log", encoding="utf-8"), logging.StreamHandler()):
-        handler.setFormatter(logging.Formatter(FORMAT))
-        logger.addHandler(handler)
-    return logger
+@contextmanager
+def job_log(job: str, directory: str | None = None) -> Iterator[logging.Logger]:
+    """The logger of one run of ``job``; with a ``directory`` on the driver its messages also go to a file there."""
+    log = logging.getLogger(f"folioweave.{job}")
+    if directory is None:
+        yield log
+        return
+    Path(directory).mkdir(parents=True, exist_ok=True)
+    file = logging.FileHandler(Path(directory) / f"{job}-{datetime.now():%Y%m%dT%H%M%S%f}.log", encoding="utf-8")
+    file.setFormatter(logging.Formatter(FORMAT))
+    before = log.level
+    log.setLevel(logging.INFO)
+    log.addHandler(file)
+    try:
+        yield log
+    finally:
+        log.removeHandler(file)
+        log.setLevel(before)
+        file.close()

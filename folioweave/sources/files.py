@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -18,6 +19,28 @@ Extractor = Callable[[bytes], tuple[list[str], dict[str, object]]]
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
+def _named(files: DataFrame) -> DataFrame:
+    return files.withColumn("source_file", F.regexp_extract("path", "[^/]*$", 0))
+
+
+def names(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``path`` and ``source_file`` of the files in a directory; no content is read."""
+    return read_files(spark, path, pattern).select("path", "source_file")
+
+
+def read_some(spark: SparkSession, path: str, pattern: str, chosen: DataFrame) -> DataFrame:
+    """``read_files`` of the files whose ``path`` is in ``chosen``; no other file's content is read.
+
+    Spark's driver holds a list of all files that a source reads, and so holds that of the chosen ones here.
+    """
+    paths = [r[0] for r in chosen.select("path").collect()]
+    if not paths:
+        return _named(spark.createDataFrame([], _FILE))
+    empty = read_files(spark, path, pattern).where(F.col("length") == 0).join(chosen.select("path"), "path", "left_semi").select(*(f.split()[0] for f in _FILE.split(", ")), "source_file")
+    found = spark.read.format("binaryFile").load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]).where(F.col("length") > 0)
+    return _named(found).unionByName(empty)
+
+
 def read_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """path, modificationTime, length, content and ``source_file`` of the files in ``path`` itself; none if it is missing.
 
@@ -35,7 +58,7 @@ def read_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
             files = files.unionByName(rows.select("path", F.timestamp_millis((F.col("at") * 1000).cast("long")).alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     else:
         files = spark.createDataFrame([], _FILE)
-    return files.withColumn("source_file", F.regexp_extract("path", "[^/]*$", 0))
+    return _named(files)
 
 
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
@@ -52,12 +75,15 @@ def read_texts(spark: SparkSession, path: str, *, exclude_metadata: bool = False
 
     Files of properties that lie beside them (``*_metadata.txt``) are read too, unless ``exclude_metadata``.
     """
-    files = read_files(spark, path, "*.txt")
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
-    texts = files.select("source_file", text.alias("text"))
+    texts = texts_of(read_files(spark, path, "*.txt"))
     return texts.where(~F.col("source_file").endswith("_metadata.txt")) if exclude_metadata else texts
 
 
+def texts_of(files: DataFrame) -> DataFrame:
+    """``source_file`` and ``text`` of files."""
+    return files.select("source_file", F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("text"))
+
+
 def extract_pages(files: DataFrame, extractor: Extractor) -> DataFrame:
     """``files`` without content, with ``pages``, ``properties`` and ``error``; a file that the extractor can't read has null pages."""
     kept = [f for f in files.schema.fields if f.name != "content"]

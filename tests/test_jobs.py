@@ -1,4 +1,5 @@
 import sys
+import types
 
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ def test_preprocess_then_chunk(spark, tmp_path):
     out = str(tmp_path / "cleaned")
     first = jobs.preprocess(spark, str(raw), out, extractor=pages_of, save_metadata=True).first()
     assert (first["total_files"], first["processed"], first["skipped"], first["failed"]) == (3, 1, 0, 2)
-    assert first["output_files"] == ["a.b.pdf"]
+    assert [r[0] for r in jobs.output_files(spark, out).collect()] == ["a.b.pdf"]
+    assert {(r["source_file"], r["error"]) for r in jobs.failures(spark, out).collect()} == {("bad.pdf", "ValueError: not a document"), ("empty.pdf", "no text")}
     row = spark.read.parquet(out).first()
     assert (row["stem"], row["text"]) == ("a.b", "Satu dua.\nTiga empat.")
     assert row["metadata_text"].startswith("title: T\nauthor: \n") and row["metadata_text"].endswith("page_count: 3")
@@ -92,9 +94,76 @@ def test_functions_in_sql(spark):
     assert [(r["id"], r["chunk_id"], r["text"]) for r in rows] == [(1, 0, "one two"), (1, 1, "three")]
 
 
-def test_logging(spark, tmp_path):
-    logs.setup_logging(str(tmp_path)).info("started")
-    assert [r["message"] for r in files.read_log(spark, str(tmp_path)).collect()] == ["started"]
+def test_jobs_log_what_failed(spark, tmp_path):
+    src, log = _texts(tmp_path), str(tmp_path / "log")
+    jobs.chunk_recursive(spark, str(src), str(tmp_path / "r"), log_dir=log)
+    rows = files.read_log(spark, log).collect()
+    assert {r["logger"] for r in rows} == {"folioweave.recursive"} and sorted(r["message"] for r in rows if r["level"] == "ERROR") == ["failed: blank.txt: no chunks", "failed: empty.txt: no chunks"]
+    assert rows[0]["message"].startswith("started: ") and any(r["message"] == "finished: 4 files, 2 processed, 0 skipped, 2 failed" for r in rows)
+    with logs.job_log("quiet") as quiet:
+        assert not quiet.handlers
+
+
+def test_only_new_files_are_read(spark, tmp_path):
+    src, out = _texts(tmp_path), str(tmp_path / "r")
+    (src / "odd [1]{2}*?.txt").write_text("Lagi.")
+    jobs.chunk_recursive(spark, str(src), out)
+    assert "odd [1]{2}*?.txt" in {r[0] for r in jobs.output_files(spark, out).collect()}
+    (src / "b.txt").write_text("Baru.")
+    chosen = files.names(spark, str(src), "*.txt").where("source_file = 'b.txt'")
+    found = files.read_some(spark, str(src), "*.txt", chosen)
+    assert [(r["source_file"], bytes(r["content"])) for r in found.collect()] == [("b.txt", b"Baru.")]
+    plan = found._jdf.queryExecution().executedPlan().toString()  # files without a byte are looked for by length alone
+    assert "EqualTo(length,0)" in plan
+    stats = jobs.chunk_recursive(spark, str(src), out).first()
+    assert (stats["processed"], stats["skipped"], stats["failed"]) == (1, 3, 2)
+
+
+def test_a_table_that_was_moved_aside_comes_back(spark, tmp_path):
+    src, out = _texts(tmp_path), tmp_path / "r"
+    jobs.chunk_recursive(spark, str(src), str(out))
+    out.rename(tmp_path / "r.old")
+    assert jobs.chunk_recursive(spark, str(src), str(out)).first()["skipped"] == 2
+    assert not (tmp_path / "r.old").exists()
+
+
+def test_models_of_the_command_line(monkeypatch):
+    seen = {}
+
+    class Llama:
+        def __init__(self, **options):
+            seen.update(options)
+
+        def embed(self, text):
+            return [float(len(text)), 1.0]
+
+    class SentenceTransformer:
+        def __init__(self, name, **options):
+            seen.update(options, name=name)
+
+        def encode(self, texts, **options):
+            seen.update(options)
+            return [[1.0, float(len(t))] for t in texts]
+
+    monkeypatch.setitem(sys.modules, "llama_cpp", types.SimpleNamespace(Llama=Llama, LLAMA_POOLING_TYPE_LAST=3))
+    monkeypatch.setitem(sys.modules, "sentence_transformers", types.SimpleNamespace(SentenceTransformer=SentenceTransformer))
+    model = cli.embedder(cli.parser().parse_args(["maxmin", "--gguf", "m.gguf", "--n-gpu-layers", "4"]))()
+    assert model(["ab", "c"]).tolist() == [[2.0, 1.0], [1.0, 1.0]] and (seen["model_path"], seen["n_gpu_layers"], seen["pooling_type"]) == ("m.gguf", 4, 3)
+    model = cli.embedder(cli.parser().parse_args(["maxmin", "--no-gguf", "-m", "x/y", "--device", "cpu", "--low-memory", "--batch-size", "2", "-t", "0.5"]))()
+    assert model(["abc"]).tolist() == [[1.0, 3.0]] and (seen["name"], seen["device"], seen["batch_size"], seen["model_kwargs"]) == ("x/y", "cpu", 2, {"torch_dtype": "float16"})
+    assert cli.embedder(cli.parser().parse_args(["maxmin", "--embedder", "folioweave.operators.embed:hashing"]))()(["a b"]).shape == (1, 64)
+
+
+def scanned(content, strategy, languages):
+    return iter([("NarrativeText", f"{strategy} {languages} {len(content)}", None)])
+
+
+def test_strategy_reaches_the_partitioner(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF")
+    jobs.chunk_elements(spark, str(tmp_path / "in"), str(tmp_path / "e"), partitioner=scanned, pattern="*.pdf", strategy="fast", languages=["ind"])
+    assert spark.read.parquet(str(tmp_path / "e")).first()["text"] == "fast ['ind'] 4"
+    assert cli.parser().parse_args(["element"]).strategy == "hi_res"
 
 
 def test_sinks(spark, tmp_path):
