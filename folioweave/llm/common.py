@@ -46,7 +46,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
