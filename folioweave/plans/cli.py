@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--no-skip", action="store_true")
         p.add_argument("--single", *(["-s"] if name in ("preprocess", "recursive") else []), help="name or path of the one file of the input directory to do, done before or not")
         p.add_argument("--log-dir", help="directory for the run's log")
+        p.add_argument("--files", help="folder for a file of each document's result, beside the table")
         return p
 
     p = job("preprocess", "data/raw", "data/cleaned")
@@ -71,7 +72,7 @@ def embedder(a: argparse.Namespace) -> embed.Loader:
 def run(spark: SparkSession, argv: list[str]) -> int:
     a = parser().parse_args(argv)
     only = a.single.rsplit("/", 1)[-1] if a.single else None
-    common = {"skip_existing": not a.no_skip, "only": only, "log_dir": a.log_dir}
+    common = {"skip_existing": not a.no_skip, "only": only, "log_dir": a.log_dir, "files_to": a.files}
     if a.job == "preprocess":
         stats = jobs.preprocess(spark, a.input, a.output, extractor=named(a.extractor), save_metadata=a.metadata, **common)
     elif a.job == "recursive":

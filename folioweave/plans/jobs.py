@@ -20,7 +20,7 @@ from folioweave.operators.incremental import outcome, run_statistics
 from folioweave.operators.sentences import split_sentences
 from folioweave.plans.logs import job_log
 from folioweave.sources.files import Extractor, extract_text, names, read_some, texts_of
-from folioweave.sources.sinks import properties_text
+from folioweave.sources.sinks import chunk_files, properties_text, text_files, write_files
 
 
 #: Failed documents that a log names.
@@ -78,13 +78,14 @@ def failures(spark: SparkSession, output: str) -> DataFrame:
 
 def _run(
     spark: SparkSession, job: str, input: str, pattern: str, read: Callable[[DataFrame], DataFrame], make: Callable[[DataFrame], DataFrame], rows: Callable[[DataFrame], DataFrame],
-    output: str, skip_existing: bool, size: str | None, only: str | None, log_dir: str | None,
+    output: str, skip_existing: bool, size: str | None, only: str | None, log_dir: str | None, files_to: str | None,
 ) -> DataFrame:
     """``read`` turns files into documents, ``make`` adds what a document becomes, null or empty if it failed; ``rows`` are written.
 
     Files that the table in ``output`` has are told by their names and not read. With ``only``, the name of one file, no
     other is looked at, and it is done whether it was done before or not. Reasons for failed documents are appended to
-    the table ``failures``, and the log names some. Statistics: total_files, processed, skipped, failed, total_chunks,
+    the table ``failures``, and the log names some. With ``files_to``, a folder that executors share, each document's
+    result is also written as a file of its own. Statistics: total_files, processed, skipped, failed, total_chunks,
     avg_chunks and duration (seconds).
     """
     began = time.time()
@@ -105,6 +106,9 @@ def _run(
             stats = run_statistics(results.unionByName(skipped), "outcome", F.col("n"))
             found = stats.first()
             _put(spark, rows(made.where(fine)), output, skip_existing, only)
+            if files_to is not None:
+                own = rows(made.where(fine))
+                log.info("files written to %s: %d", files_to, write_files(text_files(own) if size is None else chunk_files(own), files_to))
             if found["failed"]:
                 error = F.coalesce(F.col("error") if "error" in made.columns else F.lit(None).cast("string"), F.lit("no text" if size is None else "no chunks"))
                 failed = made.where(~fine).select("source_file", error.alias("error"), F.lit(datetime.fromtimestamp(began)).alias("at"))
@@ -117,7 +121,7 @@ def _run(
             made.unpersist()
 
 
-def preprocess(spark: SparkSession, input: str, output: str, *, extractor: Extractor, save_metadata: bool = False, skip_existing: bool = True, pattern: str = "*.pdf", only: str | None = None, log_dir: str | None = None) -> DataFrame:
+def preprocess(spark: SparkSession, input: str, output: str, *, extractor: Extractor, save_metadata: bool = False, skip_existing: bool = True, pattern: str = "*.pdf", only: str | None = None, log_dir: str | None = None, files_to: str | None = None) -> DataFrame:
     """Files to cleaned texts: source_file, stem, text and, if asked for, the properties as lines in ``metadata_text``."""
 
     def make(files: DataFrame) -> DataFrame:
@@ -128,30 +132,30 @@ def preprocess(spark: SparkSession, input: str, output: str, *, extractor: Extra
         more = [properties_text(F.col("properties")).alias("metadata_text")] if save_metadata else []
         return docs.select("source_file", stem(F.col("source_file")).alias("stem"), "text", *more)
 
-    return _run(spark, "preprocess", input, pattern, lambda f: f, make, rows, output, skip_existing, None, only, log_dir)
+    return _run(spark, "preprocess", input, pattern, lambda f: f, make, rows, output, skip_existing, None, only, log_dir, files_to)
 
 
-def chunk_recursive(spark: SparkSession, input: str, output: str, *, chunk_size: int = 1000, chunk_overlap: int = 200, separators: Sequence[str] | None = None, include_metadata: bool = True, skip_existing: bool = True, only: str | None = None, log_dir: str | None = None) -> DataFrame:
+def chunk_recursive(spark: SparkSession, input: str, output: str, *, chunk_size: int = 1000, chunk_overlap: int = 200, separators: Sequence[str] | None = None, include_metadata: bool = True, skip_existing: bool = True, only: str | None = None, log_dir: str | None = None, files_to: str | None = None) -> DataFrame:
     """Text files to size-bounded chunks."""
 
     def make(docs: DataFrame) -> DataFrame:
         chunks = recursive.split(F.when(F.length(strip(F.col("text"))) > 0, F.col("text")), chunk_size=chunk_size, chunk_overlap=chunk_overlap, separators=separators)
         return docs.withColumn("chunks", chunks)
 
-    return _run(spark, "recursive", input, "*.txt", texts_of, make, lambda d: recursive.to_chunks(d, "chunks", "source_file", include_metadata), output, skip_existing, "chunks", only, log_dir)
+    return _run(spark, "recursive", input, "*.txt", texts_of, make, lambda d: recursive.to_chunks(d, "chunks", "source_file", include_metadata), output, skip_existing, "chunks", only, log_dir, files_to)
 
 
-def chunk_maxmin(spark: SparkSession, input: str, output: str, *, embedder: embed.Loader | None = None, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5, include_metadata: bool = True, skip_existing: bool = True, batch_size: int = 8, only: str | None = None, log_dir: str | None = None) -> DataFrame:
+def chunk_maxmin(spark: SparkSession, input: str, output: str, *, embedder: embed.Loader | None = None, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5, include_metadata: bool = True, skip_existing: bool = True, batch_size: int = 8, only: str | None = None, log_dir: str | None = None, files_to: str | None = None) -> DataFrame:
     """Text files to chunks of sentences that belong together."""
 
     def make(docs: DataFrame) -> DataFrame:
         cut = docs.withColumn("sentences", split_sentences(F.col("text")))
         return maxmin.embed_and_cluster(cut, "sentences", embedder=embedder, batch_size=batch_size, fixed_threshold=fixed_threshold, c=c, init_constant=init_constant)
 
-    return _run(spark, "maxmin", input, "*.txt", texts_of, make, lambda d: maxmin.to_chunks(d, "sentences", "starts", "source_file", include_metadata), output, skip_existing, "starts", only, log_dir)
+    return _run(spark, "maxmin", input, "*.txt", texts_of, make, lambda d: maxmin.to_chunks(d, "sentences", "starts", "source_file", include_metadata), output, skip_existing, "starts", only, log_dir, files_to)
 
 
-def chunk_elements(spark: SparkSession, input: str, output: str, *, partitioner: Callable = elements.html_partitioner, pattern: str = "*.html", strategy: str | None = None, languages: Sequence[str] | None = None, include_metadata: bool = True, skip_existing: bool = True, only: str | None = None, log_dir: str | None = None) -> DataFrame:
+def chunk_elements(spark: SparkSession, input: str, output: str, *, partitioner: Callable = elements.html_partitioner, pattern: str = "*.html", strategy: str | None = None, languages: Sequence[str] | None = None, include_metadata: bool = True, skip_existing: bool = True, only: str | None = None, log_dir: str | None = None, files_to: str | None = None) -> DataFrame:
     """Files to one chunk for each element; PDF files with ``pattern="*.pdf"`` and a partitioner of their bytes.
 
     ``strategy`` and ``languages`` are handed to the partitioner, where they are given.
@@ -160,4 +164,4 @@ def chunk_elements(spark: SparkSession, input: str, output: str, *, partitioner:
     content = F.col("content") if pattern == "*.pdf" else F.decode("content", "UTF-8")
     make = lambda d: elements.partition(d, "content", "source_file", partitioner=partial(partitioner, **options) if options else partitioner)
     read = lambda files: files.select("source_file", content.alias("content"))
-    return _run(spark, "element", input, pattern, read, make, lambda d: elements.to_chunks(d, "source_file", include_metadata), output, skip_existing, "elements", only, log_dir)
+    return _run(spark, "element", input, pattern, read, make, lambda d: elements.to_chunks(d, "source_file", include_metadata), output, skip_existing, "elements", only, log_dir, files_to)

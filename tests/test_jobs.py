@@ -1,3 +1,4 @@
+import json
 import sys
 import types
 
@@ -74,6 +75,19 @@ def test_chunk_jobs_and_command_line(spark, tmp_path):
     assert jobs.chunk_recursive(spark, str(tmp_path / "none"), str(tmp_path / "n")).first()["total_files"] == 0
 
 
+def test_files_for_each_document(spark, tmp_path):
+    raw, out = tmp_path / "raw", tmp_path / "files"
+    raw.mkdir()
+    (raw / "a.b.pdf").write_bytes("Satu é.\fDua.".encode())
+    (raw / "bad.pdf").write_bytes(b"bad")
+    jobs.preprocess(spark, str(raw), str(tmp_path / "t"), extractor=pages_of, save_metadata=True, files_to=str(out))
+    assert {f.name: f.read_text().splitlines()[0] for f in out.iterdir()} == {"a.b.txt": "Satu é.", "a.b_metadata.txt": "title: T"}
+    jobs.chunk_recursive(spark, str(out), str(tmp_path / "c"), files_to=(tmp_path / "json").as_uri(), include_metadata=False)
+    assert json.loads((tmp_path / "json" / "a.b_chunks.json").read_text()) == [{"chunk_id": 0, "text": "Satu é.\nDua.", "num_characters": 12}]
+    assert cli.run(spark, ["recursive", "-i", str(out), "-o", str(tmp_path / "d"), "--files", str(tmp_path / "more")]) == 0
+    assert sorted(f.name for f in (tmp_path / "more").iterdir()) == ["a.b_chunks.json", "a.b_metadata_chunks.json"]
+
+
 def test_one_file_again(spark, tmp_path):
     src = _texts(tmp_path)
     out = str(tmp_path / "r")
