@@ -57,7 +57,7 @@ class Block:
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         coded = pa.array([w for ws in self.words for w in ws], pa.binary()).dictionary_encode()
         # two hashes of each word that don't hang on each other: anchors and 64 bits of a window are made of the first, 32 of the second
-        numbers = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in coded.dictionary.to_pylist()]), np.uint64).reshape(-1, 2)
+        numbers = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in coded.dictionary.to_numpy(zero_copy_only=False)]), np.uint64).reshape(-1, 2)
         self.hashes, self.others = numbers[coded.indices.to_numpy()].T.copy() if len(coded) else np.zeros((2, 0), np.uint64)
         ids = rows.column(key).cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
         self.starts = np.cumsum(self.sizes) - self.sizes
