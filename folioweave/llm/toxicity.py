@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: Model | float, text: str = "text") -> DataFram
             split = [words_of(t.decode("utf-8", "replace")) for t in texts]
             sizes = [len(w) for w in split]
             coded = pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
-            scores = model.words(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0)
+            scores = model.words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0)
             ends = np.cumsum(sizes)
             best = np.array([best_passage(scores[e - n : e])[0] for e, n in zip(ends, sizes, strict=True)])
             return [pa.array(model.probability(best))]
