@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from folioweave.llm.common import delete, lookup, materialise, shared_dir, slices, texts_as_bytes
 
 LEAST = 1000
-#: About so many payload bytes go into one file.
-FILE_BYTES = 16 << 20
+#: About so many payload bytes go into one WARC file, and into one ARC file, which a task holds whole.
+FILE_BYTES, ARC_BYTES = 16 << 20, 8 << 20
 
 # The field lines of the two ARC versions
 ARC_FIELDS = {
@@ -226,7 +226,7 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
 
     def run(batches):
         partition = TaskContext.get().partitionId()
-        for n, batch in enumerate(slices(batches, "payload", FILE_BYTES)):
+        for n, batch in enumerate(slices(batches, "payload", ARC_BYTES)):
             name = f"pages-{partition:06d}-{n:06d}.arc"
             parts = [arc_version_block(version, name, date)]
             at = len(parts[0])
