@@ -24,6 +24,8 @@ gives no rows; columns ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` are
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,7 +147,11 @@ class Block:
         self.prefix = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_BYTE[self.data] * up[:-1], out=self.prefix[1:])
         self.powers = powers
-        self.sums = tuple(self._sums(x) for x in powers.halves(len(self.data)))
+
+    @cached_property
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """What hashes modulo the prime are made of; not there while anchors are chosen, which takes the most memory."""
+        return tuple(self._sums(x) for x in self.powers.halves(len(self.data)))
 
     def _sums(self, half: np.ndarray) -> np.ndarray:
         """Sums of the bytes' products with halves of powers, brought below the prime now and then."""
