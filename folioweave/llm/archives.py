@@ -5,8 +5,8 @@ lengths that each line declares. ``warc_record`` makes the equivalent WARC/1.1 r
 the source archive that version 2 names, else from a hash of the header line and the block), date, type, block and
 payload digests (SHA-1 in base 32). A record whose payload another one has already is written as a revisit of it.
 
-``write_arc`` lays pages down as ARC files, compressed, with their true offsets; ``convert`` reads ARC files, finds equal
-payloads and writes WARC files; ``read`` reads these. Files go through Spark's writer and reader, so that any store Spark
+``write_arc`` lays pages down as ARC files with their true offsets; ``convert`` reads ARC files, finds equal payloads and
+writes WARC files; ``read`` reads these. Files are written compressed, each as one member. Files go through Spark's writer and reader, so that any store Spark
 knows will do, and are of bounded size. Any of the files may be compressed by gzip, whole or record by record. ``write``
 does all for a table of pages. A page's id travels in a header of its own, ``X-Page-Id``.
 
@@ -38,6 +38,8 @@ LEAST = 1000
 #: About so many payload bytes go into one WARC file, and into one ARC file, which a task holds whole.
 FILE_BYTES, ARC_BYTES = 16 << 20, 8 << 20
 
+_PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
 # The field lines of the two ARC versions
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -239,7 +241,7 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], names=["file"])
 
     # a row is a file
-    found.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    found.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).options(**_PACKED).text(path)
 
 
 _ARC = "fields map<string,string>, id string, page string, digest string, size long, block binary"
@@ -290,7 +292,7 @@ def convert(spark: SparkSession, arc_path: str, path: str, least: int = LEAST, o
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
     per_file = max(1, FILE_BYTES // max(1, (size or 0) // max(1, n)))
-    found.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", per_file).text(path)
+    found.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", per_file).options(**_PACKED).text(path)
     return n
 
 
