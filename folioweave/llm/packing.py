@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -67,6 +68,17 @@ def merge_ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(byte_of[c] for c in t): k for t, k in vocabulary.items() if t not in special}
 
 
+class _Known(dict):
+    """Ids of the parts met, made when they are first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        found = self[part] = self.make(part)
+        return found
+
+
 class Encoder:
     """Texts to the ids of a tokenizer, as little-endian bytes of ``kind``; one in a task.
 
@@ -80,35 +92,21 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.known = _Known(self.one)
         ranks = merge_ranks(path)
         self.merge = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
 
-    def learn(self, parts: list[str]) -> None:
-        code, merge, known = "H" if self.kind == "<u2" else "I", self.merge, self.known
-        rest = parts
-        if merge:
-            alone = _WORD.fullmatch
-            rest = []
-            for p in parts:
-                if alone(p):
-                    known[p] = array(code, merge(p)).tobytes()
-                else:
-                    rest.append(p)
-        for a in range(0, len(rest), 20_000):
-            some = rest[a : a + 20_000]
-            for p, e in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True):
-                known[p] = array(code, e.ids).tobytes()
+    def one(self, part: str) -> bytes:
+        ids = self.merge(part) if self.merge and _WORD.fullmatch(part) else self.model.encode(part, add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = pc.match_substring_regex(pa.array(texts, pa.string()), _ODD).to_pylist()
-        split = [[t] if o else _PARTS.findall(t) for t, o in zip(texts, odd, strict=True)]
-        new = set().union(*split).difference(self.known)
-        if new:
-            self.learn(list(new))
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+        ids_of = self.known.__getitem__
+        out = [self.one(t) if o else b"".join(map(ids_of, _PARTS.findall(t))) for t, o in zip(texts, odd, strict=True)]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known.clear()
         return out
 
 
