@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
+def handed(spark: SparkSession, value):
+    """``value`` for the workers, as a function that gives it there.
+
+    Its classes travel with it, as those of workers' functions do; those of a plain broadcast would have to be installed
+    on executors. A worker unpacks it once for all its tasks.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def opened():
+        if not hasattr(sent, "opened"):
+            sent.opened = cloudpickle.loads(sent.value)
+        return sent.opened
+
+    return opened
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset."""
     context = spark.sparkContext

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioweave.llm.common import map_texts, materialise, texts_as_bytes
+from folioweave.llm.common import handed, map_texts, materialise, texts_as_bytes
 
 WINDOW, ANCHOR = 13, 5
 #: UTF-8 bytes of benchmark texts that one pass over the documents scans for.
@@ -186,10 +186,10 @@ def find(docs: DataFrame, parts: Iterable[Items], text: str = "text", window: in
 
 
 def _pass(docs: DataFrame, windows: Windows, text: str, more: bool) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(windows)
+    sent = handed(docs.sparkSession, windows)
 
     def make():
-        windows = sent.value  # a worker keeps it for its later tasks, and so the automaton
+        windows = sent()  # a worker keeps it for its later tasks, and so the automaton
         if windows.ready is None:
             windows.ready = windows.automaton()
         found = windows.ready

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import lookup, materialise
+from folioweave.llm.common import handed, lookup, materialise
 
 K, RECALL = 10, 0.97
 #: Bounds: vectors that the tree is fitted on and their bytes, its leaves (as many as the root of the table's vectors, and
@@ -240,13 +240,13 @@ class Index:
         points = unpacked(_sampled(classes, self.n, most).select("vec").toArrow()["vec"].combine_chunks(), kind)
         points = points[np.lexsort(points.T)] if len(points) else unpacked([r[0] for r in classes.limit(1).select("vec").collect()], kind)
         self.tree = Tree(points, min(LEAVES, int(np.ceil(np.sqrt(self.n))), max(1, len(points) // 8)))
-        tree = classes.sparkSession.sparkContext.broadcast(self.tree)
+        tree = handed(classes.sparkSession, self.tree)
 
         def run(batches):
             for batch in batches:
-                data = unpacked(batch.column("vec"), kind) if batch.num_rows else np.zeros((0, tree.value.stacked.shape[1]))
-                leaf = tree.value.fall(data)
-                far = distances(data, tree.value.leaf_centres[leaf])
+                data = unpacked(batch.column("vec"), kind) if batch.num_rows else np.zeros((0, tree().stacked.shape[1]))
+                leaf = tree().fall(data)
+                far = distances(data, tree().leaf_centres[leaf])
                 yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("ids"), pa.array(leaf, pa.int32()), pa.array(far)], names=["vec", "ids", "leaf", "far"])
 
         self.vectors = materialise(classes.mapInArrow(run, "vec binary, ids array<long>, leaf int, far double"))
@@ -293,10 +293,10 @@ class Index:
         n_queries = queries.count()
         first, parts, radii = self._blocks()
         chunks = max(1, -(-n_queries // CHUNK))
-        sent = spark.sparkContext.broadcast((self.tree, first, parts, radii, self.visits))
+        sent = handed(spark, (self.tree, first, parts, radii, self.visits))
 
         def route(batches):
-            tree, first, parts, radii, most = sent.value
+            tree, first, parts, radii, most = sent()
             for batch in batches:
                 rows = []
                 for q, v, chunk in zip(*(batch.column(c).to_pylist() for c in ("q", "vec", "chunk")), strict=True):
@@ -313,7 +313,7 @@ class Index:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "chunk", "q", "vec", "leaves"])
 
         def place(batches):
-            _, first, parts, _, _ = sent.value
+            _, first, parts, _, _ = sent()
             for batch in batches:
                 leaf = batch.column("leaf").to_numpy()
                 block = np.array(first)[leaf] + batch.column("salt").to_numpy() % np.array(parts)[leaf]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioweave.llm.common import map_texts, texts_as_bytes
+from folioweave.llm.common import handed, map_texts, texts_as_bytes
 
 BUCKETS, WIDTH, GRAMS, PASSAGE = 1 << 17, 8, (3, 4, 5), 6
 #: Bound of what is learnt from: rows of either label, each with its whole text.
@@ -212,10 +212,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Model | float, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, from 0 to 1."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = handed(docs.sparkSession, model)
 
     def make():
-        model = sent.value
+        model = sent()
 
         def run(batch):
             texts = texts_as_bytes(batch.column(text))

@@ -3,8 +3,11 @@
 import base64
 import gzip
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -611,3 +614,21 @@ def test_suffixes_of_many_small_corpora():
             removed, spans, kept = block.kept(block.removed(one, two[0]))
             got.update(zip(map(len, block.texts), removed, spans, map(sha, kept), strict=True))
         assert got == Counter(brute_suffixes([t.decode() for t in texts]))
+
+
+def test_workers_need_no_copy_of_the_package(small, tmp_path):
+    """Only the driver can import the package; workers start in another folder."""
+    root = str(Path(corpus_pipeline.__file__).resolve().parent)
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+queries = __spark_entry__.queries()
+for name in [n for n in queries if n.startswith("op") or n in ("pipeline", "maxmin_documents", "recursive_chunks", "html_elements", "topk_batch")]:
+    queries[name](spark, {small!r}).write.format("noop").mode("overwrite").save()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" or root not in v}
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert ran.returncode == 0, ran.stderr[-3000:]
