@@ -114,4 +114,16 @@ ORACLES = {
                sha256(CASE WHEN g.n IS NULL THEN array_to_string(w, ' ')
                            ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ps, k)), lambda k: w[k]), ' '), '') END) AS kept_sha256
         FROM d LEFT JOIN g USING (doc_id)""",
+    "op10_suffixes": """
+        WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        s AS (SELECT r, unnest(range(1, n - 198)) AS i, b FROM d WHERE n >= 200),
+        c AS (SELECT r, i, count(*) OVER (PARTITION BY w) AS times FROM (SELECT r, i, b[i:i + 199] AS w FROM s)),
+        g AS (SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run
+              FROM (SELECT r, i, lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) AS before FROM c WHERE times > 1)),
+        runs AS (SELECT r, run, min(i) AS first, max(i) + 199 AS last FROM g GROUP BY r, run),
+        cuts AS (SELECT r, list(first ORDER BY first) AS firsts, list(last ORDER BY first) AS lasts, sum(last - first + 1) AS gone, count(*) AS spans FROM runs GROUP BY r),
+        k AS (SELECT doc_id, n, coalesce(gone, 0) AS gone, coalesce(spans, 0) AS spans,
+                     array_to_string(list_transform(range(1, CAST(coalesce(spans, 0) AS BIGINT) + 2), lambda j: hex(b[coalesce(lasts[j - 1], 0) + 1:coalesce(firsts[j], n + 1) - 1])), '') AS kept
+              FROM d LEFT JOIN cuts USING (r))
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k""",
 }

@@ -100,6 +100,10 @@ def test_passages_query(same):
     same(q.op8_passages, q.ORACLES["op8_passages"])
 
 
+def test_suffixes_are_those_of_the_sql(same):
+    same(q.op10_suffixes, q.ORACLES["op10_suffixes"])
+
+
 def test_passages_of_nothing(nothing):
     assert passages.remove_repeats(nothing).count() == 0
 
