@@ -88,7 +88,7 @@ def _chunked(spark, sf_dir, **options):
 
 
 def recursive_chunks(spark, sf_dir):
-    return recursive.to_chunks(_chunked(spark, sf_dir), "chunks", "doc_id")
+    return recursive.to_chunks(_chunked(spark, sf_dir), "chunks", "doc_id").select("doc_id", "chunk_id", "text", "num_characters", "metadata.*")
 
 
 def recursive_chunks_characters(spark, sf_dir):
@@ -98,7 +98,8 @@ def recursive_chunks_characters(spark, sf_dir):
 
 
 def recursive_chunk_stats(spark, sf_dir):
-    return incremental.chunk_statistics(recursive.to_chunks(_chunked(spark, sf_dir), "chunks", "doc_id"))
+    found = incremental.chunk_statistics(recursive.to_chunks(_chunked(spark, sf_dir), "chunks", "doc_id"))
+    return found.withColumn("avg_chars", F.round("avg_chars", 6))
 
 
 def split_sentences(spark, sf_dir):
@@ -198,7 +199,7 @@ def run_statistics(spark, sf_dir):
 
 
 def chunk_json(spark, sf_dir):
-    return chunks_json(recursive_chunks(spark, sf_dir), "doc_id")
+    return chunks_json(recursive.to_chunks(_chunked(spark, sf_dir), "chunks", "doc_id"), "doc_id")
 
 
 def chunk_json_windows(spark, sf_dir):
@@ -363,6 +364,39 @@ def _maxmin(threshold: float) -> str:
         SELECT v.label, f.chunk_id, v.vec_id FROM f JOIN v ON f.label = v.label AND f.i = v.i"""
 
 
+def _split(docs: str, size: int = 1000, overlap: int = 200) -> str:
+    """Rows of chunks (doc_id, chunk_id, text) of ``docs`` (doc_id, text) by the four separators.
+
+    Each level cuts texts at the first separator that they have; pieces of ``size`` go on to the next level, and runs of
+    shorter ones are merged: from each piece on, where a chunk would end and the next one begin is looked up in running
+    sizes, and chunks follow these from the run's first piece.
+    """
+    levels = []
+    for k in range(4):
+        texts = f"SELECT doc_id, [] :: BIGINT[] AS k, text, 1 AS finer FROM {docs}" if k == 0 else f"SELECT doc_id, list_append(k, i) AS k, piece AS text, level + 1 AS finer FROM p{k - 1} WHERE length(piece) >= {size} AND level < 4"
+        levels.append(f"""
+        t{k} AS (SELECT doc_id, k, text, CASE WHEN finer <= 1 AND contains(text, chr(10) || chr(10)) THEN 1 WHEN finer <= 2 AND contains(text, chr(10)) THEN 2 WHEN finer <= 3 AND contains(text, ' ') THEN 3 ELSE 4 END AS level FROM ({texts})),
+        c{k} AS (SELECT doc_id, k, level, CASE level WHEN 1 THEN chr(10) || chr(10) WHEN 2 THEN chr(10) WHEN 3 THEN ' ' ELSE '' END AS sep,
+                        CASE WHEN level = 4 THEN list_transform(range(1, length(text) + 1), lambda j: substr(text, j, 1)) ELSE string_split(text, CASE level WHEN 1 THEN chr(10) || chr(10) WHEN 2 THEN chr(10) ELSE ' ' END) END AS parts FROM t{k}),
+        p{k} AS (SELECT doc_id, k, level, i, piece FROM (SELECT doc_id, k, level, i, CASE WHEN i = 1 THEN part ELSE sep || part END AS piece
+                 FROM (SELECT doc_id, k, level, sep, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM c{k})) WHERE length(piece) > 0),
+        r{k} AS (SELECT doc_id, list_append(k, min(i) OVER (PARTITION BY doc_id, k, large)) AS k, i, piece FROM (
+                 SELECT doc_id, k, i, piece, count(*) FILTER (length(piece) >= {size} AND level < 4) OVER (PARTITION BY doc_id, k ORDER BY i) AS large, level FROM p{k}) WHERE length(piece) < {size} OR level = 4)""")
+    return f"""
+        WITH RECURSIVE {','.join(levels)},
+        pieces AS MATERIALIZED (SELECT doc_id, k, i, piece, length(piece) AS z, sum(length(piece)) OVER (PARTITION BY doc_id, k ORDER BY i) AS upto
+                                FROM ({' UNION ALL '.join(f'SELECT * FROM r{k}' for k in range(4))})),
+        runs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, k) AS run, doc_id, k, string_agg(piece, '' ORDER BY i) AS text, sum(z) AS total FROM pieces GROUP BY doc_id, k),
+        x AS MATERIALIZED (SELECT run, upto - z AS a, z FROM pieces JOIN runs USING (doc_id, k) UNION ALL SELECT run, total AS a, 0 AS z FROM runs),
+        ends AS (SELECT s.run, s.a, e.a AS b, e.a - least({overlap}, {size} - e.z) AS since FROM x s ASOF JOIN x e ON s.run = e.run AND s.a + {size} >= e.a),
+        steps AS MATERIALIZED (SELECT ends.run, ends.a, ends.b, n.a AS after FROM ends ASOF JOIN x n ON ends.run = n.run AND ends.since <= n.a),
+        w AS (SELECT run, 0 AS w, a, b, after FROM steps WHERE a = 0
+              UNION ALL SELECT w.run, w.w + 1, n.a, n.b, n.after FROM w JOIN steps n ON w.run = n.run AND w.after = n.a JOIN runs ON runs.run = w.run WHERE w.b < runs.total),
+        cut AS (SELECT doc_id, k, w, {_stripped('substr(text, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT))')} AS text FROM w JOIN runs USING (run))
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, w) - 1 AS INTEGER) AS chunk_id, text FROM cut WHERE length(text) > 0"""
+
+
+_CHUNK_ROWS = _split(f"(SELECT doc_id, {_cleaned('coalesce(text, ' + chr(39) * 2 + ')')} AS text FROM documents)")
 _TURNS = """(SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN CASE WHEN conv_id % 4 = 0 THEN '<think>' || chr(10) || 'hm </think> so' || chr(10) || '</think>' || chr(10) || chr(10) || text ELSE text END
     ELSE CASE WHEN (conv_id + turn) % 5 = 0 THEN text || ' /no_think' WHEN (conv_id + turn) % 7 = 0 THEN text || ' /think' ELSE text END END AS text FROM conversations)"""
 _LAST = "string_split(text, '</think>')"
@@ -389,6 +423,13 @@ ORACLES = {
     "element_text_list": f"SELECT page_id, CAST(count(text) AS INTEGER) AS texts, md5(coalesce(string_agg(text, chr(10) ORDER BY ord), '')) AS texts_md5 FROM pages LEFT JOIN {_ELEMENTS} USING (page_id) GROUP BY page_id",
     "element_histogram": f"SELECT element_type, count(*) AS n FROM {_ELEMENTS} GROUP BY element_type",
     "element_size_stats": f"SELECT CAST(sum(length(text)) AS BIGINT) AS total_chars, round(avg(length(text)), 6) AS avg_chars FROM {_ELEMENTS}",
+    "recursive_chunks": f"""
+        SELECT doc_id, chunk_id, text, CAST(length(text) AS INTEGER) AS num_characters, CAST(doc_id AS VARCHAR) AS source_file, '{recursive.METHOD}' AS chunking_method, CAST(length(text) AS INTEGER) AS chunk_length FROM ({_CHUNK_ROWS})""",
+    "recursive_chunk_stats": f"SELECT count(*) AS chunks, round(avg(length(text)), 6) AS avg_chars, CAST(min(length(text)) AS INTEGER) AS min_chars, CAST(max(length(text)) AS INTEGER) AS max_chars FROM ({_CHUNK_ROWS})",
+    "chunk_json": f"""
+        SELECT doc_id, '[ ' || string_agg('{{' || chr(10) || '  "chunk_id" : ' || chunk_id || ',' || chr(10) || '  "text" : ' || to_json(text) || ',' || chr(10) || '  "num_characters" : ' || length(text) || ',' || chr(10)
+               || '  "metadata" : {{' || chr(10) || '    "source_file" : "' || doc_id || '",' || chr(10) || '    "chunking_method" : "{recursive.METHOD}",' || chr(10) || '    "chunk_length" : ' || length(text) || chr(10) || '  }}' || chr(10) || '}}', ', ' ORDER BY chunk_id) || ' ]' AS json
+        FROM ({_CHUNK_ROWS}) GROUP BY doc_id""",
     "chunk_json_windows": f"""
         SELECT doc_id, '[ ' || string_agg('{{' || chr(10) || '  "chunk_id" : ' || chunk_id || ',' || chr(10) || '  "text" : ' || to_json(text) || ',' || chr(10) || '  "num_characters" : ' || length(text) || chr(10) || '}}', ', ' ORDER BY chunk_id) || ' ]' AS json
         FROM ({_WINDOW_ROWS}) GROUP BY doc_id""",
