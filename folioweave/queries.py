@@ -146,13 +146,14 @@ def maxmin_low_threshold_hof(spark, sf_dir):
 def maxmin_documents(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents", "doc_id", "text").withColumn("sentences", sentences.split_sentences(F.col("text")))
     found = maxmin.embed_and_cluster(docs, "sentences")
-    return maxmin.to_chunks(found, "sentences", "starts", "doc_id")
+    own = maxmin.to_chunks(found, "sentences", "starts", "doc_id")
+    joined = _fingerprint(F.array_join("metadata.sentences", "\n")).alias("sentences_md5")
+    return own.select("doc_id", "chunk_id", "text", "num_sentences", "metadata.source_file", "metadata.chunking_method", "metadata.num_characters", joined)
 
 
 def maxmin_chunk_stats(spark, sf_dir):
     n = F.col("num_sentences")
-    found = maxmin_documents(spark, sf_dir).agg(F.count(n).alias("chunks"), F.avg(n).alias("avg_sentences"), F.min(n).alias("min_sentences"), F.max(n).alias("max_sentences"))
-    return found
+    return maxmin_documents(spark, sf_dir).agg(F.count(n).alias("chunks"), F.round(F.avg(n), 6).alias("avg_sentences"), F.min(n).alias("min_sentences"), F.max(n).alias("max_sentences"))
 
 
 def _partitioned(spark, sf_dir):
@@ -348,10 +349,11 @@ _COSINE = f"list_cosine_similarity({_D}, {_Q})"
 _WINDOW_ROWS = f"SELECT doc_id, CAST(unnest(range(0, len(c))) AS INTEGER) AS chunk_id, unnest(c) AS text FROM (SELECT doc_id, {_WINDOWS} AS c FROM documents)"
 
 
-def _maxmin(threshold: float) -> str:
+def _maxmin(threshold: float, rows: str = "embeddings") -> str:
+    """Clusters of ``rows`` (label, vec_id, embedding)."""
     return f"""
-        WITH RECURSIVE v AS (SELECT label, vec_id, {_D} AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings),
-        s AS (SELECT a.label, a.i, list(list_cosine_similarity(a.e, b.e) ORDER BY b.i) AS near FROM v a JOIN v b ON a.label = b.label AND b.i < a.i GROUP BY a.label, a.i),
+        WITH RECURSIVE v AS MATERIALIZED (SELECT label, vec_id, {_D} AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM {rows}),
+        s AS MATERIALIZED (SELECT a.label, a.i, list(list_cosine_similarity(a.e, b.e) ORDER BY b.i) AS near FROM v a JOIN v b ON a.label = b.label AND b.i < a.i GROUP BY a.label, a.i),
         f AS (
             SELECT label, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS start, CAST(NULL AS DOUBLE) AS lowest, 0 AS chunk_id FROM v WHERE i = 0
             UNION ALL
@@ -364,6 +366,24 @@ def _maxmin(threshold: float) -> str:
         SELECT v.label, f.chunk_id, v.vec_id FROM f JOIN v ON f.label = v.label AND f.i = v.i"""
 
 
+#: Sentences of documents with the vectors that ``embed.HashEmbedder`` gives them; hashes are CRC-32, byte by byte.
+_EMBEDDED = f"""(
+    WITH b AS (SELECT list(CAST(c AS BIGINT) ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(CAST(n AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+    s AS MATERIALIZED (SELECT doc_id, unnest(s) AS sentence, unnest(range(len(s))) AS i FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)),
+    w AS MATERIALIZED (SELECT doc_id, i, word, count(*) AS times FROM (SELECT doc_id, i, unnest(string_split_regex(lower(sentence), {_literal(f'{S}+')})) AS word FROM s) WHERE word <> '' GROUP BY doc_id, i, word),
+    p AS (SELECT word, unnest(list_prepend('<' || word || '>', list_transform(range(1, length(word) + 1), lambda j: substr('<' || word || '>', j, 3)))) AS part FROM (SELECT DISTINCT word FROM w)),
+    h AS (SELECT part, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(part))), lambda j: CAST('0x' || substr(hex(encode(part)), 2 * j + 1, 2) AS BIGINT))),
+                                       lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM (SELECT DISTINCT part FROM p), b),
+    d AS (SELECT word, (h >> 1) % 64 AS place, sum(1 - 2 * (h & 1)) AS x FROM p JOIN h USING (part) GROUP BY word, place),
+    e AS (SELECT doc_id, i, place, sum(times * x) AS x FROM w JOIN d USING (word) GROUP BY doc_id, i, place),
+    v AS (SELECT doc_id, i, list(coalesce(CAST(x AS DOUBLE), 0) ORDER BY place) AS v, sqrt(sum(coalesce(CAST(x * x AS DOUBLE), 0))) AS size FROM (SELECT doc_id, i, unnest(range(64)) AS place FROM s) LEFT JOIN e USING (doc_id, i, place) GROUP BY doc_id, i)
+    SELECT doc_id AS label, i AS vec_id, list_transform(v, lambda x: CAST(x / CASE WHEN size = 0 THEN 1 ELSE size END AS FLOAT)) AS embedding FROM v)"""
+_PARAGRAPHS = f"""(
+    SELECT label AS doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, string_agg(sentence, ' ' ORDER BY i) AS text, CAST(count(*) AS INTEGER) AS num_sentences, md5(string_agg(sentence, chr(10) ORDER BY i)) AS sentences_md5
+    FROM ({_maxmin(0.6, _EMBEDDED)}) JOIN (SELECT doc_id AS label, unnest(s) AS sentence, unnest(range(len(s))) AS i FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)) USING (label)
+    WHERE vec_id = i GROUP BY label, chunk_id)"""
+
+
 def _split(docs: str, size: int = 1000, overlap: int = 200) -> str:
     """Rows of chunks (doc_id, chunk_id, text) of ``docs`` (doc_id, text) by the four separators.
 
@@ -447,6 +467,8 @@ ORACLES = {
     "embedding_norms": f"SELECT round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm, round(avg(n), 6) AS avg_norm FROM (SELECT sqrt(list_inner_product({_D}, {_D})) AS n FROM embeddings)",
     "embedding_normalize": f"SELECT vec_id, CAST(unnest(range(0, len(e))) AS INTEGER) AS place, round(unnest(e) / sqrt(list_inner_product(e, e)), 6) AS x FROM (SELECT vec_id, {_D} AS e FROM embeddings)",
     "maxmin_default": _maxmin(0.6),
+    "maxmin_documents": f"SELECT doc_id, chunk_id, text, num_sentences, CAST(doc_id AS VARCHAR) AS source_file, '{maxmin.METHOD}' AS chunking_method, CAST(length(text) AS INTEGER) AS num_characters, sentences_md5 FROM {_PARAGRAPHS}",
+    "maxmin_chunk_stats": f"SELECT count(*) AS chunks, round(avg(num_sentences), 6) AS avg_sentences, min(num_sentences) AS min_sentences, max(num_sentences) AS max_sentences FROM {_PARAGRAPHS}",
     "maxmin_low_threshold": _maxmin(LOW),
     "maxmin_low_threshold_hof": _maxmin(LOW),
     "skip_existing": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",

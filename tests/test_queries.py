@@ -9,9 +9,8 @@ def test_rows_are_those_of_the_sql(name, same):
     same(queries.QUERIES[name], queries.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
-def test_other_queries_give_rows(name, spark, small):
-    assert queries.QUERIES[name](spark, small).count() > 0
+def test_every_query_has_its_sql():
+    assert set(queries.QUERIES) == set(queries.ORACLES)
 
 
 def test_entry(spark, small):
