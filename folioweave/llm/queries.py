@@ -76,6 +76,57 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_neighbours, op2_token_counts, op3_warc, op4_toxicity, op5_decontaminate, op6_packing, op7_language, op8_passages, op9_simhash, op10_suffixes)}
 
+#: The primes of XXH64
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_M = f"{1 << 64}::UHUGEINT"
+
+
+def _xxh64(texts: str, seed: int = simhash.SEED) -> str:
+    """Rows (s, h) of the distinct texts ``s`` in ``texts`` and their XXH64.
+
+    Numbers are wide enough for products, and brought below 2 ** 64 after them. To rotate by r is to multiply by 2 ** r
+    modulo 2 ** 64 - 1. ``x`` has the bytes of a text in hex, the last one first.
+    """
+    wide = lambda n: f"{n % (1 << 64)}::UHUGEINT"
+    rotated = lambda x, r: f"(({x}) * {1 << r}::UHUGEINT % {wide((1 << 64) - 1)})"
+    lane = lambda at, size: f"CAST(CAST('0x' || substr(x, 2 * (n - ({at}) - {size}) + 1, {2 * size}) AS UBIGINT) AS UHUGEINT)"
+    product = lambda x, m: f"(({x}) * {wide(m)} % {_M})"
+    turned = lambda acc, x: product(rotated(f"({acc} + {product(x, _P2)}) % {_M}", 31), _P1)
+    starts = (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)
+    sums = [f"list_reduce(list_prepend({wide(a)}, list_transform(range(0, n // 32), lambda k: {lane(f'32 * k + {8 * j}', 8)})), lambda acc, v: {turned('acc', 'v')}) AS a{j}" for j, a in enumerate(starts)]
+    merged = "(" + " + ".join(rotated(f"a{j}", r) for j, r in enumerate((1, 7, 12, 18))) + f") % {_M}"
+    for j in range(4):
+        merged = f"((xor({merged}, {turned(wide(0), f'a{j}')}) * {wide(_P1)} + {wide(_P4)}) % {_M})"
+    step = lambda x, r, m, a: f"{{'h': {wide(0)}, 'x': {x}, 'r': {wide(1 << r)}, 'm': {wide(m)}, 'a': {wide(a)}}}"
+    eights = f"list_transform(range(0, n % 32 // 8), lambda k: {step(turned(wide(0), lane('n - n % 32 + 8 * k', 8)), 27, _P1, _P4)})"
+    fours = f"list_transform(range(0, n % 8 // 4), lambda k: {step(product(lane('n - n % 8', 4), _P1), 23, _P2, _P3)})"
+    ones = f"list_transform(range(0, n % 4), lambda k: {step(product(lane('n - n % 4 + k', 1), _P5), 11, _P1, 0)})"
+    first = f"{{'h': (h + CAST(n AS UHUGEINT)) % {_M}, 'x': {wide(0)}, 'r': {wide(0)}, 'm': {wide(0)}, 'a': {wide(0)}}}"
+    taken = f"{{'h': (xor(t.h, o.x) * o.r % {wide((1 << 64) - 1)} * o.m + o.a) % {_M}, 'x': o.x, 'r': o.r, 'm': o.m, 'a': o.a}}"
+    return f"""
+        SELECT s, CAST(xor(h, h // {wide(1 << 32)}) AS UBIGINT) AS h FROM (
+        SELECT s, xor(h, h // {wide(1 << 29)}) * {wide(_P3)} % {_M} AS h FROM (
+        SELECT s, xor(h, h // {wide(1 << 33)}) * {wide(_P2)} % {_M} AS h FROM (
+        SELECT s, list_reduce(list_concat([{first}], {eights}, {fours}, {ones}), lambda t, o: {taken}).h AS h FROM (
+        SELECT s, x, n, CASE WHEN n >= 32 THEN {merged} ELSE {wide(seed + _P5)} END AS h FROM (
+        SELECT s, x, n, {', '.join(sums)} FROM (
+        SELECT s, CAST(octet_length(encode(s)) AS BIGINT) AS n, array_to_string(list_reverse(regexp_extract_all(hex(encode(s)), '..')), '') AS x FROM (SELECT DISTINCT s FROM {texts})))))))"""
+
+
+_SIMHASH = rf"""
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS MATERIALIZED (SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - {simhash.WORDS - 1}) + 1), lambda i: array_to_string(w[i:i + {simhash.WORDS - 1}], ' '))) AS s FROM d WHERE len(w) > 0),
+        h AS MATERIALIZED ({_xxh64('p')}),
+        f AS MATERIALIZED (
+            SELECT doc_id, coalesce(v, 0 :: UBIGINT) AS v FROM d LEFT JOIN (
+                SELECT doc_id, CAST({' + '.join(f'CASE WHEN 2 * sum((h >> {k}) & 1) > count(*) THEN {1 << k}::HUGEINT ELSE 0 END' for k in range(64))} AS UBIGINT) AS v
+                FROM p JOIN h USING (s) GROUP BY doc_id) USING (doc_id)),
+        g AS MATERIALIZED (SELECT v, min(doc_id) AS least FROM f GROUP BY v),
+        links AS MATERIALIZED (SELECT a.v AS a, b.v AS b FROM g a JOIN g b ON bit_count(xor(a.v, b.v)) <= {simhash.NEAR} AND a.v <> b.v),
+        r AS (SELECT v AS root, v FROM g UNION SELECT r.root, links.b FROM r JOIN links ON r.v = links.a)
+        SELECT doc_id, printf('%016x', f.v) AS fingerprint, c.component_id FROM f JOIN (SELECT root AS v, min(least) AS component_id FROM r JOIN g USING (v) GROUP BY root) c USING (v)"""
+
 ORACLES = {
     "op3_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
@@ -114,6 +165,7 @@ ORACLES = {
                sha256(CASE WHEN g.n IS NULL THEN array_to_string(w, ' ')
                            ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ps, k)), lambda k: w[k]), ' '), '') END) AS kept_sha256
         FROM d LEFT JOIN g USING (doc_id)""",
+    "op9_simhash": _SIMHASH,
     "op10_suffixes": """
         WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
         s AS (SELECT r, unnest(range(1, n - 198)) AS i, b FROM d WHERE n >= 200),
