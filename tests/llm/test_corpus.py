@@ -107,8 +107,8 @@ def test_simhash_is_that_of_the_sql(same):
 def test_hash_of_the_sql(duck):
     chars = random.Random(1)
     texts = ["".join(chars.choice("abcé ü日x") for _ in range(n)) for n in range(150)]
-    duck.execute("CREATE OR REPLACE TEMP TABLE some AS SELECT unnest($1) AS s", [texts])
-    assert dict(duck.execute(q._xxh64("some")).fetchall()) == {t: xxhash.xxh64_intdigest(t.encode(), simhash.SEED) for t in texts}
+    duck.execute("CREATE OR REPLACE TEMP TABLE strings AS SELECT unnest($1) AS s", [texts])
+    assert dict(duck.execute(q._xxh64("strings")).fetchall()) == {t: xxhash.xxh64_intdigest(t.encode(), simhash.SEED) for t in texts}
 
 
 def test_suffixes_are_those_of_the_sql(same):
