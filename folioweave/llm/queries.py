@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import archives, decontaminate, language, neighbours, packing, passages, simhash, suffixes, tokens, toxicity
+from folioweave.llm import archives, decontaminate, language, neighbours, packing, passages, phrases, secrets, simhash, suffixes, tokens, toxicity, transactions
 from folioweave.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -74,7 +76,22 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_token_counts, op3_warc, op4_toxicity, op5_decontaminate, op6_packing, op7_language, op8_passages, op9_simhash, op10_suffixes)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    counts = (secrets.count("base", kind).alias(f"n_{kind}") for kind in secrets.KINDS)
+    return found.select("doc_id", *counts, F.sha2(secrets.listed("base").cast("binary"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
+def op13_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.report(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+_OWN = (op1_neighbours, op2_token_counts, op3_warc, op4_toxicity, op5_decontaminate, op6_packing, op7_language, op8_passages, op9_simhash, op10_suffixes, op11_phrases, op12_secrets, op13_transactions)
+QUERIES = {f.__name__: f for f in _OWN}
 
 #: The primes of XXH64
 _P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
@@ -127,6 +144,86 @@ _SIMHASH = rf"""
         r AS (SELECT v AS root, v FROM g UNION SELECT r.root, links.b FROM r JOIN links ON r.v = links.a)
         SELECT doc_id, printf('%016x', f.v) AS fingerprint, c.component_id FROM f JOIN (SELECT root AS v, min(least) AS component_id FROM r JOIN g USING (v) GROUP BY root) c USING (v)"""
 
+_PHRASES = r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10),
+        longer AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS held FROM c, (VALUES (1), (2)) t(i) WHERE k = 3 GROUP BY ALL),
+        stay AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE held IS NULL OR 100 * held < 50 * a),
+        cuts AS (SELECT s.lang, s.phrase, s.a, i, l.f AS l, r.f AS r, CAST(1000000::HUGEINT * s.a * s.a // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+                 FROM stay s JOIN (VALUES (1), (2)) t(i) ON i < s.k
+                 JOIN f l ON l.lang = s.lang AND l.phrase = array_to_string(s.w[1:i], ' ') JOIN f r ON r.lang = s.lang AND r.phrase = array_to_string(s.w[i + 1:s.k], ' ')),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
+def _secrets() -> str:
+    either = lambda m: f"[{m[0].upper()}{m[0]}]"
+    plain = {k: re.sub("[a-z]", either, v[: v.index(")")].replace("(?i:", "(")) + v[v.index(")") :] if k == "assign" else v for k, v in secrets.KINDS.items()} | {"opaque": secrets.OPAQUE}
+    quoted = {k: v.replace("'", "''") for k, v in plain.items()}
+    order, n = {k: i for i, k in enumerate(secrets.ORDER)} | {"opaque": -1}, "len(list_distinct(regexp_extract_all(v, '(?s).')))"
+    kinds = " UNION ALL ".join(
+        f"SELECT r, doc_id, source, {order[k]} AS kind, unnest(range(1, len(m) + 1)) AS k, unnest(m) AS m, unnest(g[:len(m)]) AS gap FROM (SELECT *, regexp_extract_all(t, '{p}') AS m, list_transform(regexp_split_to_array(t, '{p}'), lambda x: length(x)) AS g FROM d)"
+        for k, p in quoted.items()
+    )
+    least = " ".join(f"WHEN {order[k]} THEN length(v) >= {x}" for k, x in secrets.LEAST.items())
+    named = " ".join(f"WHEN {i} THEN '{k}'" for k, i in order.items() if i >= 0)
+    listing = f"string_agg((CASE kind {named} END) || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = {order[k]}) AS BIGINT) AS n_{k}" for k in secrets.KINDS)
+    return rf"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+        m AS ({kinds}),
+        x AS (SELECT r, doc_id, source, kind, m, CASE WHEN kind = 0 THEN regexp_extract(m, '{quoted['assign']}', 2) ELSE m END AS v,
+                     CAST(sum(gap + length(m)) OVER (PARTITION BY r, kind ORDER BY k) AS BIGINT) AS e FROM m),
+        y AS MATERIALIZED (SELECT *, regexp_matches(v, '[0-9]') AS digit, regexp_matches(v, '[A-Z]') AS upper, regexp_matches(v, '[a-z]') AS lower FROM x
+              WHERE CASE kind {least} ELSE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND NOT regexp_matches(v, '{secrets.WORDLIKE}') END),
+        o AS (SELECT v, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners FROM y GROUP BY v),
+        base AS (SELECT r, kind, e - length(m) AS s, e FROM y WHERE kind >= 0),
+        more AS (SELECT DISTINCT r, CASE WHEN owners >= {secrets.EXAMPLE} THEN {order['example']} ELSE {order['live']} END AS kind, e - length(v) AS s, e FROM y JOIN o USING (v)
+                 WHERE owners >= {secrets.EXAMPLE} OR (digit AND (upper OR lower) AND {n} >= {secrets.VARIED})),
+        b AS (SELECT r, {counts}, {listing} AS spans FROM base GROUP BY r),
+        a AS (SELECT r, {listing} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY r)
+        SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in secrets.KINDS)}, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
+        FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r)"""
+
+
+def _crc32(blob: str) -> str:
+    """The CRC-32 of a blob: bytes in turn, and for each bit of one a polynomial."""
+    bits = []
+    for j in range(8):
+        c = 1 << j
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        bits.append(c)
+    x = "(xor(acc, v) & 255)"
+    step = "acc >> 8"
+    for j, c in enumerate(bits):
+        step = f"xor({step}, (({x} >> {j}) & 1) * {c})"
+    values = f"list_transform(range(1, octet_length({blob}) + 1), lambda i: CAST('0x' || hex({blob}[i:i]) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda acc, v: {step}), 4294967295)"
+
+
+_TRANSACTIONS = f"""
+        WITH d AS MATERIALIZED (SELECT doc_id AS id, source, text, {_crc32('encode(CAST(doc_id AS VARCHAR))')} AS h FROM documents WHERE doc_id IS NOT NULL),
+        o AS (SELECT *, CASE WHEN h % 23 < 2 THEN 0 WHEN h % 23 < 3 THEN 1 WHEN h % 23 < 5 THEN 2 WHEN h % 23 < 7 THEN 3 ELSE 4 END AS op, h // 100 % 300 AS key FROM d),
+        b AS MATERIALIZED (SELECT id, encode(key || ':' || text) AS body FROM o WHERE op = 4 AND text IS NOT NULL AND id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
+        v AS MATERIALIZED (SELECT id, {_crc32('body')} AS crc FROM b),
+        t AS (SELECT *, coalesce(sum(CASE WHEN op < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tx,
+                     sum(CASE WHEN op = 0 THEN 1 ELSE 0 END) OVER (ORDER BY id) AS nth, coalesce(source, '') || CASE WHEN source IS NULL THEN '-' ELSE '+' END AS src FROM o),
+        s AS (SELECT *, sum(CASE op WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE 0 END) OVER (PARTITION BY src, tx ORDER BY id) AS x FROM t),
+        p AS (SELECT *, x - least(0, min(x) OVER (PARTITION BY src, tx ORDER BY id)) AS depth FROM s),
+        q AS MATERIALIZED (SELECT *, coalesce(lag(depth) OVER (PARTITION BY src, tx ORDER BY id), 0) AS was FROM p),
+        u AS (SELECT c.id, min(r.id) AS by_id FROM q c JOIN q r ON r.src = c.src AND r.tx = c.tx AND r.op = 3 AND c.op = 4 AND r.id > c.id AND r.was <= c.depth GROUP BY c.id),
+        f AS MATERIALIZED (SELECT c.id, c.key, u.by_id, e.op AS ended, e.id AS end_id, e.nth AS nth FROM q c LEFT JOIN u USING (id) LEFT JOIN q e ON e.src = c.src AND e.tx = c.tx AND e.op < 2 WHERE c.op = 4),
+        k AS MATERIALIZED (SELECT id, key, nth, (nth - 1) // 4 + 1 AS epoch FROM f WHERE by_id IS NULL AND ended = 0),
+        n AS (SELECT unnest(range(1, CAST((max(nth) + 3) // 4 AS BIGINT) + 1)) AS epoch FROM q WHERE op = 0),
+        l AS (SELECT n.epoch, k.key, k.id FROM n JOIN k ON k.epoch <= n.epoch QUALIFY row_number() OVER (PARTITION BY n.epoch, k.key ORDER BY k.nth DESC, k.id DESC) = 1)
+        SELECT 'state' AS kind, n.epoch AS id, count(v.id) AS n, CAST(coalesce(sum(v.crc), 0) AS BIGINT) AS value FROM n LEFT JOIN l ON l.epoch = n.epoch LEFT JOIN v ON v.id = l.id GROUP BY n.epoch
+        UNION ALL SELECT CASE WHEN by_id IS NOT NULL THEN 'rollback' ELSE 'abort' END, id, coalesce(by_id, end_id), CAST(key AS BIGINT) FROM f WHERE by_id IS NOT NULL OR coalesce(ended, 1) = 1"""
+
 ORACLES = {
     "op3_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
@@ -166,6 +263,9 @@ ORACLES = {
                            ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ps, k)), lambda k: w[k]), ' '), '') END) AS kept_sha256
         FROM d LEFT JOIN g USING (doc_id)""",
     "op9_simhash": _SIMHASH,
+    "op11_phrases": _PHRASES,
+    "op12_secrets": _secrets(),
+    "op13_transactions": _TRANSACTIONS,
     "op10_suffixes": """
         WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
         s AS (SELECT r, unnest(range(1, n - 198)) AS i, b FROM d WHERE n >= 200),
