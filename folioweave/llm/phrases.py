@@ -37,7 +37,7 @@ from folioweave.llm.common import lookup, materialise, slices
 #: What ends a piece
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Bytes of text whose suffixes are counted together, for which a bucket is made, and that the sample has.
-SLICE, BUCKET, SAMPLE = 16 << 20, 4 << 20, 64 << 20
+SLICE, BUCKET, SAMPLE = 8 << 20, 4 << 20, 64 << 20
 #: Buckets for each of Spark's shuffle partitions at least; the share of a bucket's mean from which a word is dealt by its second, too.
 SPREAD, HOT = 4, 0.25
 #: Buckets up to which frequent prefixes are told from others; they are max_n * WIDEST / HOT at most.
@@ -69,27 +69,30 @@ def ranked(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)]
 
 
+def binaries(data: np.ndarray, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The runs of bytes that are ``inside``, as an Arrow array, and where they begin."""
+    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]), starts
+
+
 def suffixes(texts: list[bytes], langs: list[str], max_n: int) -> tuple[list[str], pa.Array, np.ndarray, np.ndarray]:
     """Languages, words, the distinct suffixes (rows of language, then numbers of words from 1, 0 for none) and their counts."""
-    tokens, ends = [], []
-    for t in texts:
-        tokens += t.translate(_FOLD).replace(_BREAK, b" . ").split()
-        tokens.append(_BREAK)
-        ends.append(len(tokens))
-    words, ids = ranked(pa.array([_BREAK, *tokens], pa.binary()))
-    ids, stop = ids[1:], ids[0]
+    data = np.frombuffer(_BREAK.join([*texts, b""]).translate(_FOLD), np.uint8)
+    found, starts = binaries(data, (data != 32) & (data != _BREAK[0]))
+    words, ids = ranked(found)
+    ids = np.append(ids.astype(np.int32) + 1, np.zeros(max_n, np.int32))
+    # two words are in one piece if no break lies between them
+    piece = np.append(np.searchsorted(np.flatnonzero(data == _BREAK[0]), starts), np.full(max_n, -1))
     names = sorted(set(langs))
     numbers = {x: k for k, x in enumerate(names)}
-    of = np.repeat(np.array([numbers[x] for x in langs], np.int64), np.diff(ends, prepend=0))
-    # past a break, and at it, there is no word
-    ids = np.append(np.where(ids == stop, 0, ids + 1), np.zeros(max_n, np.int64))
-    starts = np.flatnonzero(ids)
-    columns = [of[starts]]
-    for k in range(max_n):
-        column = ids[starts + k]
-        columns.append(column if k == 0 else np.where(columns[-1] == 0, 0, column))
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+    n = len(starts)
+    columns = [np.array([numbers[x] for x in langs], np.int32)[text], ids[:n]]
+    columns += [np.where(piece[k : n + k] == piece[:n], ids[k : n + k], 0) for k in range(1, max_n)]
     _, first, count = np.unique(packed(columns, [len(names), *[len(words) + 1] * max_n]), return_index=True, return_counts=True)
-    return names, words, np.stack(columns)[:, first], count
+    return names, words, np.stack([c[first] for c in columns]), count
 
 
 def hashes(names: list[str], words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -158,23 +161,24 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_n
                 known, own = np.unique(rows[1:, a:b], return_inverse=True)
                 known, own = (known, own) if known[0] == 0 else (np.append(0, known), own + 1)
                 own = np.concatenate([rows[:1, a:b], own.reshape(max_n, -1), counts[None, a:b]]).astype(np.int32)
-                held = b"\n".join(words.take(pa.array(known[1:] - 1)).to_pylist())
+                held = _BREAK.join(words.take(pa.array(known[1:] - 1)).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([names], pa.list_(pa.string())), pa.array([pack(held)], pa.binary()), pa.array([pack(own.tobytes())], pa.binary())], names=["bucket", "langs", "words", "suffixes"])
 
     def count(group: pa.Table) -> pa.Table:
         unpack, texts, names, rows, at, to = zstandard.ZstdDecompressor().decompress, [], [], [], 0, 0
         for langs, held, own in zip(*(group.column(c).to_pylist() for c in ("langs", "words", "suffixes")), strict=True):
-            held, own = unpack(held).split(b"\n"), np.frombuffer(unpack(own), np.int32).reshape(max_n + 2, -1).astype(np.int64)
+            own = np.frombuffer(unpack(own), np.int32).reshape(max_n + 2, -1).copy()
             own[0] += to
-            own[1:-1] += np.where(own[1:-1] > 0, at, 0)
-            texts += held
+            own[1:-1] += np.where(own[1:-1] > 0, at, 0).astype(np.int32)
+            texts.append(unpack(held))
             names += langs
             rows.append(own)
-            at, to = at + len(held), to + len(langs)
-        words, number = ranked(pa.array(texts, pa.binary()))
+            at, to = at + texts[-1].count(_BREAK) + 1, to + len(langs)
+        data = np.frombuffer(_BREAK.join(texts), np.uint8)
+        words, number = ranked(binaries(data, data != _BREAK[0])[0])
         langs, of = ranked(pa.array(names, pa.string()))
         rows = np.concatenate(rows, axis=1)
-        counts, rows = rows[-1], np.concatenate([of[rows[:1]], np.append(0, number + 1)[rows[1:-1]]])
+        counts, rows = rows[-1].astype(np.int64), np.concatenate([of[rows[:1]], np.append(0, number + 1)[rows[1:-1]]]).astype(np.int32)
         lang, word = hashes(langs.to_pylist(), words)
         found = []
         for k, (prefixes, f) in enumerate(prefix_counts(rows, [len(langs), *[len(words) + 1] * max_n], counts)):
