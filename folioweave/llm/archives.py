@@ -2,13 +2,16 @@
 
 ``arc_records`` reads ARC files of version 1 and 2 by the header lines that their version block declares and by the
 lengths that each line declares. ``warc_record`` makes the equivalent WARC/1.1 record: identifier (from the place in
-the source archive that version 2 names, else from a hash of the header line and the block), date, type, block and
+the source archive that version 2 names, else from a hash of the file, the place in it, the header line and the block), date, type, block and
 payload digests (SHA-1 in base 32). A record whose payload another one has already is written as a revisit of it.
 
-``write_arc`` lays pages down as ARC files with their true offsets; ``convert`` reads ARC files, finds equal payloads and
-writes WARC files; ``read`` reads these. Files are written compressed, each as one member. Files go through Spark's writer and reader, so that any store Spark
-knows will do, and are of bounded size. Any of the files may be compressed by gzip, whole or record by record. ``write``
-does all for a table of pages. A page's id travels in a header of its own, ``X-Page-Id``.
+``write_arc`` lays pages down as ARC files with their true offsets, under names that no other archive has; ``convert`` reads ARC files once, finds
+equal payloads and writes WARC files (``.warc.gz``, a gzip member for each record); ``read`` reads these. Files go through Spark's writer and
+reader, so that any store Spark knows will do, and end with the record that brings them to their size. Any of the files may be compressed
+by gzip, whole or record by record. ``write`` does all for a table of pages. A page's id travels in a header of its own, ``X-Page-Id``.
+
+Dates are kept as far as they are known: a part out of its range, and what is behind it, is left out; years of two digits are
+those from 1970 to 2069; a record whose year isn't known has its archive's date, or 1970.
 
 Cases: a null payload is empty; a url that is null or empty is ``-``, white space and controls in it are percent-encoded;
 pages without an id are responses, never targets; equal payloads below ``least`` bytes are responses each; of rows
@@ -19,12 +22,14 @@ empty archive and gives no rows; columns of the pages beside those named are lef
 from __future__ import annotations
 
 import base64
+import calendar
 import hashlib
 import re
 import uuid
 import warnings
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -32,12 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import delete, lookup, materialise, shared_dir, slices, texts_as_bytes
+from folioweave.llm.common import delete, forget, lookup, materialise, shared_dir, slices, texts_as_bytes, written
 
 LEAST = 1000
 #: About so many payload bytes go into one WARC file, and into one ARC file, which a task holds whole.
 FILE_BYTES, ARC_BYTES = 16 << 20, 8 << 20
 
+#: A gzip member's last four bytes are its size, so that of one shorter than 16 MB ends in a zero, which stands for a line's end.
+_MEMBER = 1 << 23
+_END = b"\0"
+
 _PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 # The field lines of the two ARC versions
@@ -110,7 +119,13 @@ def arc_fields(line: str, names: list[str], sure: bool = False) -> dict[str, str
 
 
 def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of an ARC file; only the first can be its version block, whose fields have ``version``.
+    """(fields, block) of each record of an ARC file; only the first can be its version block, whose fields have ``version``."""
+    for _, fields, block in arc_places(data):
+        yield fields, block
+
+
+def arc_places(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """``arc_records`` with the place where each begins.
 
     After a damaged line or a block that is cut short, the next whole record is looked for, and a warning says so.
     """
@@ -140,7 +155,7 @@ def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             declared = block.split(b"\n")
             fields["version"] = declared[0].split(b" ")[0].decode("ascii", "replace")
             names = declared[1].decode("ascii", "replace").split() if len(declared) > 1 and declared[1].strip() else names
-        yield fields, block
+        yield at, fields, block
         at = end + 1 + size
     if lost is not None:
         warnings.warn(f"no whole ARC record from byte {lost} to {len(data)}", stacklevel=2)
@@ -150,17 +165,38 @@ def sha1_32(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(fields: dict[str, str], block: bytes) -> str:
+def record_id(fields: dict[str, str], block: bytes, place: str = "") -> str:
+    """The identifier; ``place`` says where the record lies, if its fields don't."""
     if fields.get("Offset", "-") not in ("-", "") and fields.get("Filename", "-") not in ("-", ""):
         return f"<urn:arc:{fields['Filename']}:{fields['Offset']}>"
-    seed = " ".join(fields.values()) + hashlib.sha1(block).hexdigest()
+    seed = " ".join([place, *fields.values()]) + hashlib.sha1(block).hexdigest()
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>"
 
 
-def warc_date(date: str) -> str:
-    d = (date if date.isdigit() else "").ljust(14, "0")[:14]
-    d = d if d[4:6] != "00" and d[6:8] != "00" else "19700101000000"
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
+def _known(digits: str) -> list[int]:
+    """Year, month, day, hour, minute and second, as far as they are in their ranges."""
+    found: list[int] = []
+    for at, size in ((0, 4), (4, 2), (6, 2), (8, 2), (10, 2), (12, 2)):
+        part = digits[at : at + size]
+        k = len(found)
+        most = calendar.monthrange(found[0], found[1])[1] if k == 2 else (2100, 12, 0, 23, 59, 59)[k]
+        if len(part) < size or not (1970, 1, 1, 0, 0, 0)[k] <= int(part) <= most:
+            break
+        found.append(int(part))
+    return found[:3] if len(found) == 4 else found  # an hour says nothing without its minute
+
+
+def warc_date(date: str, other: str = "19700101000000") -> str:
+    """An archive's date as WARC has it, with as many parts as are known; ``other`` if not even the year is."""
+    digits = date if date.isascii() and date.isdigit() else ""
+    found = _known(digits)
+    if len(digits) in (6, 8, 10, 12):  # years of two digits
+        short = _known(("19" if digits[:2] >= "70" else "20") + digits)
+        found = short if len(short) > len(found) else found
+    if not found:
+        return warc_date(other)
+    text = "-".join(f"{x:0{4 if k == 0 else 2}d}" for k, x in enumerate(found[:3]))
+    return text + (("T" + ":".join(f"{x:02d}" for x in found[3:])) + "Z" if len(found) > 3 else "")
 
 
 def payload_of(block: bytes) -> tuple[bytes, bytes]:
@@ -172,10 +208,13 @@ def payload_of(block: bytes) -> tuple[bytes, bytes]:
     return block[:at], block[at:]
 
 
-def warc_record(fields: dict[str, str], block: bytes, refers_to: str | None = None, refers_to_page: str | None = None) -> bytes:
-    """The WARC record for an ARC record; ``refers_to`` is the identifier of the response with the same payload, if any, and ``refers_to_page`` its page's id."""
+def warc_record(fields: dict[str, str], block: bytes, refers_to: str | None = None, refers_to_page: str | None = None, name: str | None = None, date: str = "") -> bytes:
+    """The WARC record for an ARC record; ``refers_to`` is the identifier of the response with the same payload, if any, and ``refers_to_page`` its page's id.
+
+    ``name`` is its own identifier, made of fields and block if there is none; ``date`` the archive's.
+    """
     head, payload = payload_of(block)
-    named = [("WARC-Record-ID", record_id(fields, block)), ("WARC-Date", warc_date(fields["Archive-date"]))]
+    named = [("WARC-Record-ID", name or record_id(fields, block)), ("WARC-Date", warc_date(fields["Archive-date"], date))]
     if "version" in fields:
         text = b"software: folioweave\r\nformat: WARC/1.1\r\noriginal-arc-version: " + fields["version"].encode() + b"\r\n"
         named = [("WARC-Type", "warcinfo"), *named, ("WARC-Filename", fields["URL"][11:]), ("Content-Type", "application/warc-fields")]
@@ -201,10 +240,23 @@ def _headers(data: bytes) -> dict[str, str]:
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
-def convert_arc(data: bytes, refers_to: dict[int, str] | None = None) -> Iterator[bytes]:
+def convert_arc(data: bytes, refers_to: dict[int, str] | None = None, file: str = "") -> Iterator[bytes]:
     """WARC records of an ARC file; ``refers_to`` has the identifiers that some records (by their number, from 0) revisit."""
-    for k, (fields, block) in enumerate(arc_records(data), -1):
-        yield warc_record(fields, block, (refers_to or {}).get(k))
+    opened = ""
+    for k, (at, fields, block) in enumerate(arc_places(data), -1):
+        opened = fields["Archive-date"] if "version" in fields else opened
+        yield warc_record(fields, block, (refers_to or {}).get(k), None, record_id(fields, block, f"{file}:{at}"), opened)
+
+
+def member(record: bytes) -> bytes:
+    """A record as a gzip member, or as several if it is long, of which the last byte is zero."""
+    parts = [record[a : a + _MEMBER] for a in range(0, len(record), _MEMBER)] or [b""]
+    return b"".join(_deflated(p) for p in parts)
+
+
+def _deflated(data: bytes) -> bytes:
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
 
 
 def warc_parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -224,12 +276,13 @@ def warc_parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", version: int = 2, date: str = "20240101000000") -> None:
     """Lays each page down as a record of compressed ARC files in ``path``."""
+    archive = uuid.uuid4().hex[:16]
     found = pages.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"))
 
     def run(batches):
         partition = TaskContext.get().partitionId()
         for n, batch in enumerate(slices(batches, "payload", ARC_BYTES)):
-            name = f"pages-{partition:06d}-{n:06d}.arc"
+            name = f"pages-{archive}-{partition:06d}-{n:06d}.arc"
             parts = [arc_version_block(version, name, date)]
             at = len(parts[0])
             for page, u, body in zip(batch.column("key").to_pylist(), batch.column("url").to_pylist(), texts_as_bytes(batch.column("payload")), strict=True):
@@ -244,58 +297,79 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
     found.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).options(**_PACKED).text(path)
 
 
-_ARC = "fields map<string,string>, id string, page string, digest string, size long, block binary"
+_ARC = "fields map<string,string>, id string, page string, digest string, size long, opened string, block binary"
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the ARC files in ``path``: their fields, identifier, page's id, the payload's SHA-1 and size, and the block."""
+    """The records of the ARC files in ``path``: their fields, identifier, page's id, the payload's SHA-1 and size, the archive's own date, and the block."""
 
     def run(batches):
-        names = ["fields", "id", "page", "digest", "size", "block"]
-        kinds = [pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        names = ["fields", "id", "page", "digest", "size", "opened", "block"]
+        kinds = [pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
-            for content in batch.column("content"):
-                rows = []
-                for fields, block in arc_records(inflated(content.as_py())):
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows, opened = [], ""
+                for at, fields, block in arc_places(inflated(content.as_py())):
+                    opened = fields["Archive-date"] if "version" in fields else opened
                     head, payload = payload_of(block)
                     page = _PAGE_ID.search(head)
-                    rows.append((list(fields.items()), record_id(fields, block), unquote(page[1].decode()) if page else None, hashlib.sha1(payload).hexdigest(), len(payload), block))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
+                    name = record_id(fields, block, f"{file.rsplit('/', 1)[-1]}:{at}")
+                    rows.append((list(fields.items()), name, unquote(page[1].decode()) if page else None, hashlib.sha1(payload).hexdigest(), len(payload), opened, block))
+                columns = list(zip(*rows, strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _ARC)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _ARC)
 
 
 def convert(spark: SparkSession, arc_path: str, path: str, least: int = LEAST, order: str = "long") -> int:
     """Converts the ARC files in ``arc_path`` to WARC files in ``path``; the number of records other than version blocks.
 
     Of records with one payload of at least ``least`` bytes, those of the page with the largest id (as an ``order``) stay
-    responses, and the others are revisits of one of them.
+    responses, and the others are revisits of one of them. Archives are parsed once, into a table that is deleted at the end.
     """
-    records = read_arc(spark, arc_path)
+    since = written()
     version = F.map_contains_key("fields", F.lit("version"))
-    at = F.col("page").cast(order)
-    slim = materialise(records.where(~version).select("id", at.alias("at"), "page", "digest", "size"))
-    n, size = slim.agg(F.count(F.lit(1)), F.sum("size")).first()
-    groups = slim.where((F.col("size") >= least) & F.col("at").isNotNull()).groupBy("digest").agg(F.max(F.struct("at", "id", "page")).alias("target"), F.count(F.lit(1)).alias("_times"))
+    records = materialise(read_arc(spark, arc_path).withColumn("at", F.when(~version, F.col("page").cast(order))).withColumn("version", version))
+    n = records.where(~F.col("version")).count()
+    asked = ~F.col("version") & (F.col("size") >= least) & F.col("at").isNotNull()
+    groups = records.where(asked).groupBy("digest").agg(F.max(F.struct("at", "id", "page")).alias("target"), F.count(F.lit(1)).alias("_times"))
     groups = materialise(groups.where(F.col("_times") > 1))
-    asked = F.when(~version & (F.col("size") >= least) & at.isNotNull(), F.col("digest")).alias("digest")
-    found = lookup(records.select("fields", at.alias("at"), "block", asked), groups, "digest", "_times")
+    found = lookup(records.select("fields", "id", "at", "opened", "block", F.when(asked, F.col("digest")).alias("digest")), groups, "digest", "_times")
     other = F.col("target.at") != F.col("at")
-    found = found.select("fields", "block", F.when(other, F.col("target.id")).alias("to"), F.when(other, F.col("target.page")).alias("to_page"))
+    found = found.select("fields", "id", "opened", "block", F.when(other, F.col("target.id")).alias("to"), F.when(other, F.col("target.page")).alias("to_page"))
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("fields", "block", "to", "to_page")), strict=True)
-            # the writer ends each row with a line feed, the last byte of a record
-            records = [warc_record(dict(fields), block, to, page)[:-1] for fields, block, to, page in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
-
-    per_file = max(1, FILE_BYTES // max(1, (size or 0) // max(1, n)))
-    found.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", per_file).options(**_PACKED).text(path)
+            for fields, name, opened, block, to, page in zip(*(batch.column(c).to_pylist() for c in ("fields", "id", "opened", "block", "to", "to_page")), strict=True):
+                held.append(member(warc_record(dict(fields), block, to, page, name, opened)))
+                size += len(held[-1])
+                if size >= FILE_BYTES:
+                    yield _file(held)
+                    held, size = [], 0
+        if held:
+            yield _file(held)
+
+    # a row is a file, and the end of a line its last byte
+    found.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", _END.decode()).text(path)
+    forget(spark, since)
+    _renamed(spark, path)
     return n
 
 
+def _file(members: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], names=["file"])
+
+
+def _renamed(spark: SparkSession, path: str) -> None:
+    """Gives Spark's text files the name of what they are."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().endswith(".txt")]
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda f: fs.rename(f, f.suffix("").getParent().suffix("/" + f.getName().removesuffix(".txt") + ".warc.gz")), files))
+
+
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, version: int = 2, date: str = "20240101000000") -> None:
     """Lays the pages down as a legacy archive in ``path``-arc, converts it to WARC files in ``path`` and deletes it."""
     spark = pages.sparkSession

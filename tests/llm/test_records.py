@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioweave.llm import phrases, secrets, transactions
+from folioweave.llm import archives, phrases, secrets, transactions
 from folioweave.llm import queries as q
 
 WORDS = [*"ab", "c-d", "Ébc", "the", "of", "OF", "x\xa0y"]
@@ -247,3 +247,47 @@ def test_lockstep_keeps_long_and_short_transactions_apart():
             if what <= transactions.ABORT:
                 saved = []
     assert by.tolist() == want.tolist() and kept.tolist() == want_kept.tolist()
+
+
+@pytest.mark.parametrize(
+    ("date", "want"),
+    [
+        ("19990102030406", "1999-01-02T03:04:06Z"), ("20241399999999", "2024"), ("2024", "2024"), ("960923142103", "1996-09-23T14:21:03Z"), ("691231235959", "2069-12-31T23:59:59Z"), ("199609231421", "1996-09-23T14:21Z"),
+        ("200923142103", "2020-09-23T14:21:03Z"), ("20240230", "2024-02"), ("1999010203", "1999-01-02"), ("19990102039959", "1999-01-02"), ("20240101000060", "2024-01-01T00:00Z"), ("20240101000000123", "2024-01-01T00:00:00Z"),
+        ("bad", "2001-02-03T04:05:06Z"), ("", "2001-02-03T04:05:06Z"), ("00000000000000", "2001-02-03T04:05:06Z"), ("960923", "1996-09-23"), ("٢٠٢٤", "2001-02-03T04:05:06Z"),
+    ],
+)
+def test_dates_are_kept_as_far_as_they_are_known(date, want):
+    assert archives.warc_date(date, "20010203040506") == want
+    assert archives.warc_date("x") == "1970-01-01T00:00:00Z"
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_identifiers_differ_between_archives_and_repeated_rows(spark, tmp_path, version):
+    pages = spark.createDataFrame([(1, "http://a", "same")] * 3 + [(2, "http://b", "b" * 2000)], "page_id long, url string, html string").coalesce(1)
+    ids = []
+    for name in ("one", "two"):
+        archives.write(pages, str(tmp_path / name), version=version)
+        ids += [r["record_id"] for r in archives.read(spark, str(tmp_path / name)).collect()]
+    assert len(set(ids)) == 8
+
+
+def test_warc_files_have_a_member_for_each_record(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "FILE_BYTES", 3000)
+    monkeypatch.setattr(archives, "_MEMBER", 40_000)
+    rnd = random.Random(1)
+    pages = [(k, f"http://a/{k}", "".join(rnd.choice("abc ") for _ in range(1500))) for k in range(20)] + [(20, "u", "é" * 50_000), (21, "u", None)]
+    archives.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    files = sorted((tmp_path / "w").glob("*.warc.gz"))
+    assert len(files) > 3 and not list((tmp_path / "w").glob("*.txt*"))
+    n = 0
+    for f in files:
+        data, sizes = f.read_bytes(), []
+        while data:
+            one = zlib.decompressobj(31)
+            text, sizes, data = one.decompress(data), [*sizes, len(data)], one.unused_data
+            assert one.eof
+            n += text.startswith(b"WARC/1.1\r\n")
+        assert sizes[-1] == sizes[0] or sizes[0] - sizes[-1] < 3000  # all but the last record are below the size
+    assert n == 23  # the pages and the version block
+    assert {int(r["page_id"]): r["payload_bytes"] for r in archives.read(spark, str(tmp_path / "w")).collect()} == {k: len((t or "").encode()) for k, _, t in pages}
