@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -39,6 +40,15 @@ _APART = {"div", "section", "article", "main", "nav", "aside", "ul", "ol", "body
 _VOID = {"hr", "br", "img", "meta", "link", "input"}
 
 
+#: Attributes that say what a cell is; others are left out of a table's markup.
+_KEPT = ("colspan", "rowspan", "scope", "headers", "id")
+
+
+def _opening(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    kept = (f" {k}" if v is None else f' {k}="{escape(v)}"' for k, v in attrs if k in _KEPT)
+    return f"<{tag}{''.join(kept)}>"
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -59,7 +69,7 @@ class _Reader(HTMLParser):
             self.unseen += 1
         elif self.tables:
             self.tables += tag == "table"
-            self.markup.append(f"<{tag}>")
+            self.markup.append(_opening(tag, attrs))
             self.words.append(" ")
         elif tag == "hr":
             self.emit()
@@ -67,7 +77,7 @@ class _Reader(HTMLParser):
         elif tag in _APART:
             self.emit()
             if tag == "table":
-                self.tables, self.markup = 1, ["<table>"]
+                self.tables, self.markup = 1, [_opening(tag, attrs)]
             elif tag not in _VOID:
                 if self.open[-1][0] == "p" or tag == self.open[-1][0] == "li":  # their end tags may be left out
                     self.open.pop()
@@ -134,6 +144,55 @@ def partition(docs: DataFrame, content: str, filename: str, *, partitioner: Call
     return docs.mapInArrow(run, out)
 
 
+def route(docs: DataFrame, content: str, filename: str, measure: Callable[[object], float], partitioners: dict[str, tuple[float, Callable[[object], Elements]]]) -> DataFrame:
+    """``partition`` by the strategy that each document's own measure asks for, with ``strategy`` and ``share``, in one reading.
+
+    ``measure`` says what share of a document is text that can be extracted (``by_pages`` makes one of an extractor). The
+    strategy is the one with the greatest least share, of ``partitioners`` (name: least share, function), that the document
+    reaches; one that no strategy takes, or that can't be measured, has null elements and an ``error``.
+    """
+    order = sorted(((least, name, make) for name, (least, make) in partitioners.items()), key=lambda x: -x[0])
+    kept = [f for f in docs.schema.fields if f.name not in (content, "strategy", "share", "failure")]
+    out = T.StructType([*kept, *(f for f in docs.schema.fields if f.name == content), T.StructField("strategy", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("failure", T.StringType())])
+
+    def measured(batches):
+        for batch in batches:
+            names, shares, failures = [], [], []
+            for data in batch.column(content).to_pylist():
+                share = failure = None
+                try:
+                    if data is None:
+                        raise ValueError("no content")
+                    share = float(measure(data))
+                except Exception as e:  # a bad document is a row that says so
+                    failure = str(e) if isinstance(e, ValueError) else f"{type(e).__name__}: {e}"
+                shares.append(share)
+                failures.append(failure)
+                names.append(next((name for least, name, _ in order if share is not None and share >= least), None))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), batch.column(content), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(failures, pa.string())], names=out.names)
+
+    chosen = {name: make for _, name, make in order}
+
+    def by_strategy(data: dict) -> Elements:
+        if data["strategy"] is None:
+            raise ValueError(data["failure"] or "no strategy takes it")
+        return chosen[data["strategy"]](data["content"])
+
+    found = docs.mapInArrow(measured, out)
+    both = found.withColumn("_both", F.struct(F.col(content).alias("content"), "strategy", "failure")).drop(content, "failure")
+    return partition(both, "_both", filename, partitioner=by_strategy)
+
+
+def by_pages(extractor: Callable[[bytes], tuple[list[str], dict[str, object]]], least: int = 20) -> Callable[[bytes], float]:
+    """A measure: the share of pages on which ``extractor`` finds ``least`` characters that aren't white space; 0 without pages."""
+
+    def measure(content: bytes) -> float:
+        pages, _ = extractor(content)
+        return sum(sum(not c.isspace() for c in p) >= least for p in pages) / len(pages) if pages else 0.0
+
+    return measure
+
+
 def to_chunks(docs: DataFrame, source: str, include_metadata: bool = True) -> DataFrame:
     """A row for each element with text: ``source``, chunk_id (the element's place, so ids have gaps), text, metadata."""
     rows = docs.select(source, F.explode("elements").alias("e")).select(source, F.col("e.ord").alias("chunk_id"), strip(F.col("e.text")).alias("text"), "e")

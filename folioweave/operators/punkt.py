@@ -220,7 +220,8 @@ def _by_sets(boundaries: Column, rules: DataFrame) -> Column:
 
 
 def _by_joins(docs: DataFrame, model: Model, into: str) -> DataFrame:
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    # equal texts are cut alike, so the text itself is what joins them
+    docs = docs.withColumn("_row", F.sha2(F.array_join("_units", ""), 256))
     rows = docs.select("_row", F.posexplode(_boundaries(F.col("_units"))).alias("i", "x")).select("_row", (F.col("i") + 1).alias("i"), "x.*")
     # each pair of words is judged once; a pair that is seen very often is a skewed key that Spark splits, as it has one judgement
     pairs = rows.select("before", "mark", "type", "case").distinct()
@@ -229,6 +230,6 @@ def _by_joins(docs: DataFrame, model: Model, into: str) -> DataFrame:
     is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
     judged = told.select("before", "mark", "type", F.coalesce("case", F.lit(-1)).alias("case"), _ends(F.col("mark"), F.col("before"), F.col("case"), *(is_(c) for c in ("abbreviation", "starter", "lower", "opens", "either", "pair"))).alias("ends"))
     ends = rows.withColumn("case", F.coalesce("case", F.lit(-1))).join(judged.where("ends"), ["before", "mark", "type", "case"])
-    by_row = ends.groupBy("_row").agg(F.array_sort(F.collect_list("i")).alias("_open"))
+    by_row = ends.groupBy("_row").agg(F.array_sort(F.collect_set("i")).alias("_open"))
     found = docs.join(by_row, "_row", "left")
     return found.withColumn(into, _joined(F.col("_units"), F.coalesce("_open", F.array().cast("array<int>")))).drop("_units", "_open", "_row")

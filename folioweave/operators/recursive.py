@@ -91,3 +91,9 @@ def to_chunks(docs: DataFrame, chunks: str, source: str, include_metadata: bool
     rows = each(docs, chunks, source, place="chunk_id", value="text").withColumn("num_characters", F.length("text"))
     metadata = F.struct(F.col(source).cast("string").alias("source_file"), F.lit(METHOD).alias("chunking_method"), F.col("num_characters").alias("chunk_length"))
     return rows.withColumn("metadata", metadata) if include_metadata else rows
+
+
+def structs(chunks: Column, source: Column, include_metadata: bool = True) -> Column:
+    """What ``to_chunks`` makes of ``chunks``, as an array of structs (chunk_id, text, num_characters, metadata)."""
+    own = lambda text: F.struct(source.cast("string").alias("source_file"), F.lit(METHOD).alias("chunking_method"), F.length(text).alias("chunk_length")).alias("metadata")
+    return F.transform(chunks, lambda text, k: F.struct(k.alias("chunk_id"), text.alias("text"), F.length(text).alias("num_characters"), *([own(text)] if include_metadata else [])))

@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from folioweave.operators import embed, models
+from folioweave.operators.cache import Cache
 from folioweave.plans import jobs
 
 
@@ -43,12 +44,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--model", "-m", default=models.NAMED)
     p.add_argument("--device", choices=("cpu", "cuda"), default="cuda")
     p.add_argument("--low-memory", action="store_true", help="half precision, for a model by name")
+    p.add_argument("--sentences", choices=("learnt", "pattern"), default="learnt", help="boundaries learnt from the texts, or at every full stop")
+    p.add_argument("--learn-from", help="directory of texts to learn sentence boundaries from, if not those that are done")
+    p.add_argument("--cache", help="folder of embeddings that are kept by sentence and model")
     p.add_argument("--embedder", help="module:function that loads any other model, such as folioweave.operators.embed:hashing")
     p.add_argument("--no-metadata", action="store_true")
     p = job("element", "data/raw", "data/chunked/element_based")
     p.add_argument("--strategy", "-s", choices=("auto", "hi_res", "fast", "ocr_only"), default="hi_res", help="for the partitioner")
     p.add_argument("--languages", nargs="*", default=["ind"], help="for the partitioner")
     p.add_argument("--partitioner", help="module:function from a file's bytes to elements; HTML files without it")
+    p.add_argument("--measure", help="module:function from a file's bytes to its share of text, by which --strategy auto chooses")
+    p.add_argument("--route", nargs=3, action="append", metavar=("NAME", "SHARE", "MODULE:FUNCTION"), help="for --measure: a strategy, the least share of text, and its partitioner")
     p.add_argument("--no-metadata", action="store_true")
     return out
 
@@ -78,9 +84,13 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     elif a.job == "recursive":
         stats = jobs.chunk_recursive(spark, a.input, a.output, chunk_size=a.chunk_size, chunk_overlap=a.overlap, include_metadata=not a.no_metadata, **common)
     elif a.job == "maxmin":
-        stats = jobs.chunk_maxmin(spark, a.input, a.output, embedder=embedder(a), fixed_threshold=a.threshold, c=a.c, init_constant=a.init, batch_size=a.batch_size, include_metadata=not a.no_metadata, **common)
+        kept = Cache(spark, a.cache, a.embedder or (a.model if a.no_gguf else a.gguf)) if a.cache else None
+        stats = jobs.chunk_maxmin(spark, a.input, a.output, embedder=embedder(a), sentences=a.sentences, learn_from=a.learn_from, cache=kept, fixed_threshold=a.threshold, c=a.c, init_constant=a.init, batch_size=a.batch_size, include_metadata=not a.no_metadata, **common)
     else:
         plug = {"partitioner": named(a.partitioner), "pattern": "*.pdf", "strategy": a.strategy, "languages": a.languages} if a.partitioner else {}
+        if a.measure:
+            routes = {name: (float(least), named(path)) for name, least, path in a.route or ()}
+            plug = {"pattern": "*.pdf", "strategy": a.strategy, "languages": a.languages, "measure": named(a.measure), "partitioners": routes}
         stats = jobs.chunk_elements(spark, a.input, a.output, include_metadata=not a.no_metadata, **plug, **common)
     row = stats.first()
     print(row.asDict())

@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from folioweave.functions.cleaning import clean_text, stem, strip
-from folioweave.operators import elements, embed, maxmin, recursive
+from folioweave.operators import elements, embed, maxmin, punkt, recursive
+from folioweave.operators.cache import Cache, embed_cached
 from folioweave.operators.incremental import outcome, run_statistics
 from folioweave.operators.sentences import split_sentences
 from folioweave.plans.logs import job_log
-from folioweave.sources.files import Extractor, extract_text, names, read_some, texts_of
+from folioweave.sources import listing
+from folioweave.sources.files import Extractor, extract_text, names, read_some, read_texts, texts_of
 from folioweave.sources.sinks import chunk_files, properties_text, text_files, write_files
 
 
-#: Failed documents that a log names.
+#: Documents that a log names, failed ones and others.
 NAMED = 100
 
 
@@ -76,6 +78,16 @@ def failures(spark: SparkSession, output: str) -> DataFrame:
     return spark.read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], "source_file string, error string, at timestamp")
 
 
+def document_sizes(spark: SparkSession, output: str) -> DataFrame:
+    """For each document that a job's runs did: ``source_file``, ``at``, its ``characters``, those ``written`` (or null) and its ``chunks`` (or null)."""
+    return spark.read.schema("source_file string, at timestamp, characters long, written long, chunks int").parquet(f"{output}-sizes")
+
+
+def reduced(before: int | None, after: int | None) -> float:
+    """By how many percent a text got shorter."""
+    return 100 * (1 - (after or 0) / before) if before else 0.0
+
+
 def _run(
     spark: SparkSession, job: str, input: str, pattern: str, read: Callable[[DataFrame], DataFrame], make: Callable[[DataFrame], DataFrame], rows: Callable[[DataFrame], DataFrame],
     output: str, skip_existing: bool, size: str | None, only: str | None, log_dir: str | None, files_to: str | None,
@@ -84,20 +96,22 @@ def _run(
 
     Files that the table in ``output`` has are told by their names and not read. With ``only``, the name of one file, no
     other is looked at, and it is done whether it was done before or not. Reasons for failed documents are appended to
-    the table ``failures``, and the log names some. With ``files_to``, a folder that executors share, each document's
+    the table ``failures``, sizes of the others to ``document_sizes``, and the log names some (NAMED of each). With ``files_to``, a folder that executors share, each document's
     result is also written as a file of its own. Statistics: total_files, processed, skipped, failed, total_chunks,
     avg_chunks and duration (seconds).
     """
     began = time.time()
     _recover(spark, output)
-    listed = names(spark, input, pattern)
+    distributed = listing.readable(input)
+    listed = (listing.listed(spark, input, pattern) if distributed else names(spark, input, pattern)).persist(StorageLevel.MEMORY_AND_DISK)
     if only is not None:
         listed, skip_existing = listed.where(F.col("source_file") == only), False
     done = output_files(spark, output) if skip_existing and _exists(spark, output) else spark.createDataFrame([], "source_file string")
     new = listed.join(done, "source_file", "left_anti")
     with job_log(job, log_dir) as log:
         log.info("started: %s to %s", input, output)
-        made = make(read(read_some(spark, input, pattern, new))).persist(StorageLevel.MEMORY_AND_DISK)
+        read_files = listing.contents(new).withColumnRenamed("error", "read_error") if distributed else read_some(spark, input, pattern, new)
+        made = make(read(read_files)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             fine = F.coalesce(F.size(size) > 0, F.lit(False)) if size else F.coalesce(F.length("text") > 0, F.lit(False))
             # the count fills the cache before the table that ``done`` reads is changed
@@ -109,8 +123,15 @@ def _run(
             if files_to is not None:
                 own = rows(made.where(fine))
                 log.info("files written to %s: %d", files_to, write_files(text_files(own) if size is None else chunk_files(own), files_to))
+            sizes = made.where(fine).select(
+                "source_file", F.lit(datetime.fromtimestamp(began)).alias("at"), (F.col("n_before") if "n_before" in made.columns else F.length("text") if "text" in made.columns else F.lit(None)).cast("long").alias("characters"),
+                (F.length("text") if size is None else F.lit(None)).cast("long").alias("written"), (F.size(size) if size else F.lit(None)).cast("int").alias("chunks"),
+            )
+            sizes.write.mode("append").parquet(f"{output}-sizes")
+            for r in sizes.orderBy("source_file").limit(NAMED).collect():
+                log.info("%s: %s characters, %s", r["source_file"], r["characters"], f"{r['chunks']} chunks" if size else f"{r['written']} left ({reduced(r['characters'], r['written']):.2f} % less)")
             if found["failed"]:
-                error = F.coalesce(F.col("error") if "error" in made.columns else F.lit(None).cast("string"), F.lit("no text" if size is None else "no chunks"))
+                error = F.coalesce(*(F.col(c) for c in ("read_error", "error") if c in made.columns), F.lit("no text" if size is None else "no chunks"))
                 failed = made.where(~fine).select("source_file", error.alias("error"), F.lit(datetime.fromtimestamp(began)).alias("at"))
                 failed.write.mode("append").parquet(f"{output}-failed")
                 for r in failed.limit(NAMED).collect():
@@ -119,6 +140,7 @@ def _run(
             return spark.createDataFrame([(*found, time.time() - began)], stats.schema.add("duration", "double"))
         finally:
             made.unpersist()
+            listed.unpersist()
 
 
 def preprocess(spark: SparkSession, input: str, output: str, *, extractor: Extractor, save_metadata: bool = False, skip_existing: bool = True, pattern: str = "*.pdf", only: str | None = None, log_dir: str | None = None, files_to: str | None = None) -> DataFrame:
@@ -126,7 +148,7 @@ def preprocess(spark: SparkSession, input: str, output: str, *, extractor: Extra
 
     def make(files: DataFrame) -> DataFrame:
         found = extract_text(files, extractor)
-        return found.withColumn("text", F.when(F.length("text") > 0, clean_text(F.col("text"))))
+        return found.withColumn("n_before", F.length("text")).withColumn("text", F.when(F.length("text") > 0, clean_text(F.col("text"))))
 
     def rows(docs: DataFrame) -> DataFrame:
         more = [properties_text(F.col("properties")).alias("metadata_text")] if save_metadata else []
@@ -145,23 +167,45 @@ def chunk_recursive(spark: SparkSession, input: str, output: str, *, chunk_size:
     return _run(spark, "recursive", input, "*.txt", texts_of, make, lambda d: recursive.to_chunks(d, "chunks", "source_file", include_metadata), output, skip_existing, "chunks", only, log_dir, files_to)
 
 
-def chunk_maxmin(spark: SparkSession, input: str, output: str, *, embedder: embed.Loader | None = None, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5, include_metadata: bool = True, skip_existing: bool = True, batch_size: int = 8, only: str | None = None, log_dir: str | None = None, files_to: str | None = None) -> DataFrame:
-    """Text files to chunks of sentences that belong together."""
+def chunk_maxmin(spark: SparkSession, input: str, output: str, *, embedder: embed.Loader | None = None, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5, include_metadata: bool = True, skip_existing: bool = True, batch_size: int = 8, sentences: str = "learnt", learn_from: str | None = None, cache: Cache | None = None, only: str | None = None, log_dir: str | None = None, files_to: str | None = None) -> DataFrame:
+    """Text files to chunks of sentences that belong together.
+
+    ``sentences``: ``learnt`` from the texts in ``learn_from``, or else from those that are done; or ``pattern``, by which every
+    full stop before white space ends one. With a ``cache``, ``embedder`` embeds what that doesn't have.
+    """
+    models: list[punkt.Model] = []
 
     def make(docs: DataFrame) -> DataFrame:
-        cut = docs.withColumn("sentences", split_sentences(F.col("text")))
+        if sentences == "learnt":
+            models.append(punkt.learn(read_texts(spark, learn_from, exclude_metadata=True) if learn_from else docs))
+            cut = punkt.split(docs, models[0])
+        else:
+            cut = docs.withColumn("sentences", split_sentences(F.col("text")))
+        if cache is not None:
+            found = embed_cached(cut, "sentences", "embeddings", cache=cache, embedder=embedder or embed.HashEmbedder(), batch_size=batch_size)
+            return maxmin.cluster(found, "embeddings", fixed_threshold=fixed_threshold, c=c, init_constant=init_constant).drop("embeddings")
         return maxmin.embed_and_cluster(cut, "sentences", embedder=embedder, batch_size=batch_size, fixed_threshold=fixed_threshold, c=c, init_constant=init_constant)
 
-    return _run(spark, "maxmin", input, "*.txt", texts_of, make, lambda d: maxmin.to_chunks(d, "sentences", "starts", "source_file", include_metadata), output, skip_existing, "starts", only, log_dir, files_to)
+    try:
+        return _run(spark, "maxmin", input, "*.txt", texts_of, make, lambda d: maxmin.to_chunks(d, "sentences", "starts", "source_file", include_metadata), output, skip_existing, "starts", only, log_dir, files_to)
+    finally:
+        for model in models:
+            model.forget()
 
 
-def chunk_elements(spark: SparkSession, input: str, output: str, *, partitioner: Callable = elements.html_partitioner, pattern: str = "*.html", strategy: str | None = None, languages: Sequence[str] | None = None, include_metadata: bool = True, skip_existing: bool = True, only: str | None = None, log_dir: str | None = None, files_to: str | None = None) -> DataFrame:
+def chunk_elements(spark: SparkSession, input: str, output: str, *, partitioner: Callable = elements.html_partitioner, pattern: str = "*.html", strategy: str | None = None, languages: Sequence[str] | None = None, measure: Callable | None = None, partitioners: dict[str, tuple[float, Callable]] | None = None, include_metadata: bool = True, skip_existing: bool = True, only: str | None = None, log_dir: str | None = None, files_to: str | None = None) -> DataFrame:
     """Files to one chunk for each element; PDF files with ``pattern="*.pdf"`` and a partitioner of their bytes.
 
-    ``strategy`` and ``languages`` are handed to the partitioner, where they are given.
+    ``strategy`` and ``languages`` are handed to the partitioner, where they are given. With ``strategy="auto"`` and ``measure``,
+    each file goes to the one of ``partitioners`` that its share of text asks for (``elements.route``).
     """
     options = {k: v for k, v in (("strategy", strategy), ("languages", languages)) if v is not None}
     content = F.col("content") if pattern == "*.pdf" else F.decode("content", "UTF-8")
-    make = lambda d: elements.partition(d, "content", "source_file", partitioner=partial(partitioner, **options) if options else partitioner)
-    read = lambda files: files.select("source_file", content.alias("content"))
+    if strategy == "auto" and measure is not None:
+        own = {k: v for k, v in options.items() if k != "strategy"}
+        routes = {name: (least, partial(p, **own) if own else p) for name, (least, p) in (partitioners or {}).items()}
+        make = lambda d: elements.route(d, "content", "source_file", measure, routes)
+    else:
+        make = lambda d: elements.partition(d, "content", "source_file", partitioner=partial(partitioner, **options) if options else partitioner)
+    read = lambda files: files.select("source_file", content.alias("content"), *(c for c in files.columns if c == "read_error"))
     return _run(spark, "element", input, pattern, read, make, lambda d: elements.to_chunks(d, "source_file", include_metadata), output, skip_existing, "elements", only, log_dir, files_to)

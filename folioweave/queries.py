@@ -10,7 +10,7 @@ from folioweave.functions.patterns import DIGIT, S, re2
 from folioweave.operators import elements, embed, incremental, maxmin, recursive, retrieval, sentences
 from folioweave.operators.rows import each
 from folioweave.sources.partitions import spread
-from folioweave.sources.sinks import chunks_json
+from folioweave.sources.sinks import arrays_json
 
 #: Lines that make the cleaner work: (k, r, text) goes to documents whose id leaves r when divided by k.
 NOISE = [
@@ -199,19 +199,21 @@ def run_statistics(spark, sf_dir):
     return stats.withColumn("avg_chunks", F.round("avg_chunks", 6))
 
 
+def _windowed(spark, sf_dir):
+    return _read(spark, sf_dir, "documents", "doc_id", "text").withColumn("chunks", recursive.windows(F.col("text")))
+
+
 def chunk_json(spark, sf_dir):
-    return chunks_json(recursive.to_chunks(_chunked(spark, sf_dir), "chunks", "doc_id"), "doc_id")
+    return arrays_json(_chunked(spark, sf_dir), "doc_id", recursive.structs(F.col("chunks"), F.col("doc_id")))
 
 
 def chunk_json_windows(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents", "doc_id", "text").withColumn("chunks", recursive.windows(F.col("text")))
-    return chunks_json(recursive.to_chunks(docs, "chunks", "doc_id", include_metadata=False), "doc_id")
+    return arrays_json(_windowed(spark, sf_dir), "doc_id", recursive.structs(F.col("chunks"), F.col("doc_id"), include_metadata=False))
 
 
 def chunk_json_compact(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents", "doc_id", "text").withColumn("chunks", recursive.windows(F.col("text")))
-    chunks = recursive.to_chunks(docs, "chunks", "doc_id", include_metadata=False).select("doc_id", "chunk_id", "num_characters")
-    return chunks_json(chunks, "doc_id", pretty=False)
+    slim = F.transform("chunks", lambda text, k: F.struct(k.alias("chunk_id"), F.length(text).alias("num_characters")))
+    return arrays_json(_windowed(spark, sf_dir), "doc_id", slim, pretty=False)
 
 
 def _query(spark, sf_dir) -> list[float]:

@@ -1,13 +1,21 @@
-"""Registered queries of learnt sentences, and their SQL."""
+"""Registered queries of learnt sentences, kept embeddings, strategies and reading order, and their SQL."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from folioweave.functions.patterns import S
-from folioweave.operators import punkt
+from folioweave.operators import elements, embed, layout, maxmin, punkt, sentences
+from folioweave.operators.cache import Cache, embed_cached
 from folioweave.operators.rows import each
-from folioweave.queries import _literal, _read, _stripped
+from folioweave.queries import ORACLES as OWN
+from folioweave.queries import _fingerprint, _literal, _read, _stripped
+from folioweave.sources.store import scratch
+
+#: From this share of text on a page is partitioned into elements; below it, it is one.
+SHARE = 0.75
 
 
 def punkt_sentences(spark, sf_dir):
@@ -24,7 +32,50 @@ def punkt_types(spark, sf_dir):
     return model.types.where("type <> ''")
 
 
-QUERIES = {f.__name__: f for f in (punkt_sentences, punkt_types)}
+def maxmin_cached(spark, sf_dir):
+    """Max-min chunks of sentences whose vectors come from a cache that half of the documents have filled before."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text").withColumn("sentences", sentences.split_sentences(F.col("text")))
+    cache = Cache(spark, scratch(spark), "hashing")
+    embed_cached(docs.where("doc_id % 2 = 0"), "sentences", cache=cache, embedder=embed.hashing)
+    found = maxmin.cluster(embed_cached(docs, "sentences", cache=cache, embedder=embed.hashing), "embeddings")
+    own = maxmin.to_chunks(found, "sentences", "starts", "doc_id")
+    return own.select("doc_id", "chunk_id", "num_sentences", _fingerprint(F.array_join("metadata.sentences", "\n")).alias("sentences_md5"))
+
+
+def share_of_text(html: str) -> float:
+    """The part of a page that isn't markup."""
+    return len(re.sub("<[^>]*>", "", html)) / len(html) if html else 0.0
+
+
+def whole(html: str):
+    return iter([("UncategorizedText", html, None)])
+
+
+def auto_strategy(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages", "page_id", "url", "html")
+    found = elements.route(pages, "html", "url", share_of_text, {"fast": (SHARE, elements.html_partitioner), "hi_res": (0.0, whole)})
+    return found.select("page_id", "strategy", F.round("share", 6).alias("share"), F.size("elements").alias("elements"))
+
+
+def reading_order(spark, sf_dir):
+    """Elements of pages laid out below each other in two columns under a heading of full width, put back into order from where they lie."""
+    pages = elements.partition(_read(spark, sf_dir, "pages", "page_id", "url", "html"), "html", "url")
+    half = F.ceil((F.size("elements") - 1) / 2)
+    box = lambda e: F.struct(e["ord"].alias("ord"), F.lit(1).alias("page_number"), e["text"].alias("text"), *corners(e["ord"]))
+
+    def corners(at):
+        column, row = (at > half).cast("int"), F.when(at > half, at - half).otherwise(at)
+        head = at == 0
+        x0 = F.when(head, 0.0).otherwise(F.lit(60.0) * column)
+        return (x.cast("double").alias(name) for name, x in (("x0", x0), ("y0", 12.0 * row), ("x1", F.when(head, 100.0).otherwise(x0 + 45)), ("y1", 12.0 * row + 9)))
+
+    mixed = F.array_sort(F.transform("elements", lambda e: F.struct(F.xxhash64(e["element_id"]).alias("_h"), box(e).alias("e"))))
+    laid = pages.where(F.size("elements") > 0).select("page_id", F.transform(mixed, lambda r: r["e"]).alias("boxes"))
+    found = layout.in_reading_order(laid, "boxes")
+    return found.select("page_id", F.posexplode("boxes").alias("place", "e")).select("page_id", "place", _fingerprint(F.col("e.text")).alias("text_md5"))
+
+
+QUERIES = {f.__name__: f for f in (punkt_sentences, punkt_types, maxmin_cached, auto_strategy, reading_order)}
 
 
 def _fields(word: str) -> str:
@@ -95,5 +146,11 @@ _PUNKT = f"""
 
 ORACLES = {
     "punkt_sentences": _PUNKT,
+    "maxmin_cached": f"SELECT doc_id, chunk_id, num_sentences, sentences_md5 FROM ({OWN['maxmin_documents']})",
+    "auto_strategy": f"""
+        WITH e AS (SELECT page_id, count(*) AS n FROM ({OWN['html_elements']}) GROUP BY page_id),
+        s AS (SELECT page_id, CASE WHEN length(html) > 0 THEN length(regexp_replace(html, '<[^>]*>', '', 'g')) / length(html) ELSE 0.0 END AS share FROM pages)
+        SELECT page_id, CASE WHEN share >= {SHARE} THEN 'fast' ELSE 'hi_res' END AS strategy, round(share, 6) AS share, CAST(CASE WHEN share >= {SHARE} THEN coalesce(n, 0) ELSE 1 END AS INTEGER) AS elements FROM s LEFT JOIN e USING (page_id)""",
+    "reading_order": f"SELECT page_id, ord AS place, md5(text) AS text_md5 FROM ({OWN['html_elements']})",
     "punkt_types": f"WITH {_MODEL} SELECT type, abbreviation, starter, lower, opens, either FROM types",
 }

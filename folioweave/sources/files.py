@@ -80,8 +80,9 @@ def read_texts(spark: SparkSession, path: str, *, exclude_metadata: bool = False
 
 
 def texts_of(files: DataFrame) -> DataFrame:
-    """``source_file`` and ``text`` of files."""
-    return files.select("source_file", F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("text"))
+    """``source_file`` and ``text`` of files, and why one couldn't be read where they say so."""
+    why = [c for c in ("read_error",) if c in files.columns]
+    return files.select("source_file", *why, F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("text"))
 
 
 def extract_pages(files: DataFrame, extractor: Extractor) -> DataFrame:

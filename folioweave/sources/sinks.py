@@ -23,6 +23,12 @@ def chunks_json(chunks: DataFrame, source: str, pretty: bool = True) -> DataFram
     return chunks.groupBy(source).agg(F.to_json(ordered, options).alias("json"))
 
 
+def arrays_json(docs: DataFrame, source: str, chunks: Column, pretty: bool = True) -> DataFrame:
+    """``source`` and ``json`` of the array of structs ``chunks``, where the document lies; none for a null or empty array."""
+    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
+    return docs.select(source, chunks.alias("_chunks")).where(F.size("_chunks") > 0).select(source, F.to_json("_chunks", options).alias("json"))
+
+
 def write_chunks(chunks: DataFrame, path: str, *, format: str = "json", source: str = "source_file", mode: str = "overwrite") -> None:
     """Chunks as lines or columns, a directory for each source; only the sources that are written are replaced."""
     chunks.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy(source).format(format).save(path)
@@ -70,9 +76,9 @@ def text_files(texts: DataFrame, source: str = "source_file") -> DataFrame:
     out = texts.select(F.concat(own, F.lit(".txt")).alias("name"), F.col("text").alias("content"))
     if "metadata_text" not in texts.columns:
         return out
-    return out.unionByName(texts.select(F.concat(own, F.lit("_metadata.txt")).alias("name"), F.col("metadata_text").alias("content")))
+    return out.unionByName(texts.select(F.concat(own, F.lit("_metadata.txt")).alias("name"), F.concat("metadata_text", F.lit("\n")).alias("content")))
 
 
 def properties_text(properties: Column) -> Column:
-    """``key: value`` lines."""
+    """``key: value`` lines; a file of them ends with a line's end, too."""
     return F.concat_ws("\n", *(F.concat(F.lit(f"{p}: "), F.coalesce(properties[p].cast("string"), F.lit(""))) for p in (*PROPERTIES, "page_count")))

@@ -1,16 +1,19 @@
 import pytest
 
 import __spark_entry__ as entry
-from folioweave import queries
+from folioweave import queries, queries_search, queries_text
 
+QUERIES = queries.QUERIES | queries_text.QUERIES | queries_search.QUERIES
+ORACLES = queries.ORACLES | queries_text.ORACLES | queries_search.ORACLES
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows_are_those_of_the_sql(name, same):
-    same(queries.QUERIES[name], queries.ORACLES[name])
+    same(QUERIES[name], ORACLES[name])
 
 
 def test_every_query_has_its_sql():
-    assert set(queries.QUERIES) == set(queries.ORACLES)
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark, small):
