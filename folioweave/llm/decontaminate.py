@@ -10,7 +10,9 @@ Normalising maps each ASCII byte that is no word byte to a space and A-Z to a-z,
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after that.
 
 Bounds: the benchmark's size is asked for before any of it is collected. Up to PASS bytes are broadcast, and each worker
-builds the automaton once; of a larger benchmark each further PASS bytes are scanned for in one more pass over the documents.
+builds the automaton once; of a larger benchmark each further PASS bytes are scanned for in one more pass over the documents. A
+pass then keeps what it finds alone, by the hash of the text; texts are neither written nor carried from pass to pass, and
+what all passes found is joined with the documents at the end.
 
 Cases: a null or wordless document has no words, no hits and no items; a null or wordless item has no windows; an item
 repeated under one id counts once; items without an id make hits but are not listed; repeated documents are judged each;
@@ -19,7 +21,10 @@ columns of ``docs`` that have the names of new ones are replaced; no documents g
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioweave.llm.common import handed, map_texts, materialise, texts_as_bytes
+from folioweave.llm.common import handed, map_texts, materialise, slices, texts_as_bytes
 
 WINDOW, ANCHOR = 13, 5
 #: UTF-8 bytes of benchmark texts that one pass over the documents scans for.
@@ -131,20 +136,17 @@ class Windows:
 Found = tuple[int, list[tuple[int, int]], set[str], list[tuple[int, int]]]
 
 
-def scan(windows: Windows, found: ahocorasick.Automaton, text: bytes, earlier: Found | None = None) -> Found:
-    """Number of words, maximal hit runs of words [from, to), items, and the same runs as UTF-8 offsets of ``text``.
-
-    What an ``earlier`` pass found is added.
-    """
+def scan(windows: Windows, found: ahocorasick.Automaton, text: bytes) -> Found:
+    """Number of words, maximal hit runs of words [from, to), items, and the same runs as UTF-8 offsets of ``text``."""
     folded = text.translate(_FOLD)
     words = folded.split()
-    earlier = earlier or (len(words), [], set(), [])
+    nothing = (len(words), [], set(), [])
     if not words or not len(found):
-        return earlier
+        return nothing
     line = b" " + b" ".join(words) + b" "
     hits = list(found.iter(line.decode("latin-1")))
     if not hits:
-        return earlier
+        return nothing
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     cover, near = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 2, np.int64)
     last = len(words) - windows.window
@@ -162,55 +164,105 @@ def scan(windows: Windows, found: ahocorasick.Automaton, text: bytes, earlier: F
     np.add.at(cover, starts + windows.window, -1)
     numbers = np.unique(np.concatenate([np.array(numbers, np.int64), those]))
     if not len(numbers):
-        return earlier
-    for a, b in earlier[1]:
-        cover[a] += 1
-        cover[b] -= 1
-    edge = np.diff((np.cumsum(cover) > 0).astype(np.int8), prepend=0)
-    runs = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+        return nothing
+    runs = _runs(cover)
     named = {windows.ids[i] for k in numbers.tolist() for i in windows.items[windows.first_item[k] : windows.first_item[k + 1]].tolist()}
+    return len(words), runs, named, _offsets(folded, runs)
+
+
+def _runs(cover: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of covered words; ``cover`` has what begins and ends at each."""
+    edge = np.diff((np.cumsum(cover) > 0).astype(np.int8), prepend=0)
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+
+
+def _offsets(folded: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words as offsets."""
     inside = np.diff((np.frombuffer(b" " + folded + b" ", np.uint8) != 32).astype(np.int8))
     from_, to = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
-    return len(words), runs, earlier[2] | named, [(int(from_[a]), int(to[b - 1])) for a, b in runs]
+    return [(int(from_[a]), int(to[b - 1])) for a, b in runs]
 
 
 def find(docs: DataFrame, parts: Iterable[Items], text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the columns of FOUND: what of each text lies in windows of the benchmark's items, (id, UTF-8 text).
 
-    Each of ``parts`` is one pass over ``docs`` (and what the passes before it found).
+    Each of ``parts`` is one pass over the texts.
     """
-    found = None
-    for items in parts:
-        found = _pass(docs if found is None else materialise(found), Windows(items, window), text, found is not None)
-    return _pass(docs, Windows([], window), text, False) if found is None else found
+    parts = iter(parts)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return _pass(docs, Windows(first, window), text)
+    hits = [materialise(_hits(docs, Windows(items, window), text)) for items in chain([first, second], parts)]
+    return _merged(docs, reduce(DataFrame.unionByName, hits), text)
 
 
-def _pass(docs: DataFrame, windows: Windows, text: str, more: bool) -> DataFrame:
+def _scanner(docs: DataFrame, windows: Windows):
     sent = handed(docs.sparkSession, windows)
 
     def make():
         windows = sent()  # a worker keeps it for its later tasks, and so the automaton
         if windows.ready is None:
             windows.ready = windows.automaton()
-        found = windows.ready
+        return lambda text: scan(windows, windows.ready, text)
+
+    return make
+
+
+def _columns(got: list[Found]) -> list[pa.Array]:
+    return [
+        pa.array([x[0] for x in got], pa.int64()),
+        *(pa.array([[r[k] for r in x[1]] for x in got], pa.list_(pa.int64())) for k in (0, 1)),
+        pa.array([sorted(x[2]) for x in got], pa.list_(pa.string())),
+        *(pa.array([[r[k] for r in x[3]] for x in got], pa.list_(pa.int64())) for k in (0, 1)),
+    ]
+
 
-        def earlier(batch):
-            n, hit_from, hit_to, items, byte_from, byte_to = (batch.column(c).to_pylist() for c in FOUND.names)
-            return [(*x[:1], list(zip(x[1], x[2], strict=True)), set(x[3]), list(zip(x[4], x[5], strict=True))) for x in zip(n, hit_from, hit_to, items, byte_from, byte_to, strict=True)]
+def _pass(docs: DataFrame, windows: Windows, text: str) -> DataFrame:
+    scanner = _scanner(docs, windows)
 
+    def make():
+        found = scanner()
+        return lambda batch: _columns([found(t) for t in texts_as_bytes(batch.column(text))])
+
+    return map_texts(docs, text, FOUND, make)
+
+
+def _hits(docs: DataFrame, windows: Windows, text: str) -> DataFrame:
+    """Hash, runs and items of the texts that hold any of the windows, once each."""
+    scanner = _scanner(docs, windows)
+
+    def run(batches):
+        found = scanner()
+        for batch in slices(batches, "text"):
+            texts = texts_as_bytes(batch.column("text"))
+            got = [(hashlib.sha256(t).hexdigest(), x) for t in texts if (x := found(t))[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got], pa.string()), *_columns([x for _, x in got])[1:4]], names=["_text", "_from", "_to", "_items"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "_text string, _from array<long>, _to array<long>, _items array<string>")
+    return rows.groupBy("_text").agg(*(F.first(c).alias(c) for c in ("_from", "_to", "_items")))
+
+
+def _merged(docs: DataFrame, hits: DataFrame, text: str) -> DataFrame:
+    """``docs`` with what several passes have found in their texts; a text has one row of each pass at most."""
+    own = hits.groupBy("_text").agg(F.flatten(F.collect_list("_from")).alias("_from"), F.flatten(F.collect_list("_to")).alias("_to"), F.flatten(F.collect_list("_items")).alias("_items"))
+    joined = docs.join(own, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256) == F.col("_text"), "left")
+
+    def make():
         def run(batch):
-            texts = texts_as_bytes(batch.column(text))
-            got = [scan(windows, found, t, e) for t, e in zip(texts, earlier(batch) if more else [None] * len(texts), strict=True)]
-            return [
-                pa.array([x[0] for x in got], pa.int64()),
-                *(pa.array([[r[k] for r in x[1]] for x in got], pa.list_(pa.int64())) for k in (0, 1)),
-                pa.array([sorted(x[2]) for x in got], pa.list_(pa.string())),
-                *(pa.array([[r[k] for r in x[3]] for x in got], pa.list_(pa.int64())) for k in (0, 1)),
-            ]
+            got = []
+            for t, from_, to, items in zip(texts_as_bytes(batch.column(text)), *(batch.column(c).to_pylist() for c in ("_from", "_to", "_items")), strict=True):
+                folded = t.translate(_FOLD)
+                n = len(folded.split())
+                cover = np.zeros(n + 1, np.int64)
+                np.add.at(cover, from_ or [], 1)
+                np.add.at(cover, to or [], -1)
+                runs = _runs(cover)
+                got.append((n, runs, set(items or ()), _offsets(folded, runs)))
+            return _columns(got)
 
         return run
 
-    return map_texts(docs, text, FOUND, make)
+    return map_texts(joined, text, FOUND, make).drop("_text", "_from", "_to", "_items")
 
 
 def benchmark_items(benchmark: DataFrame) -> Iterator[Items]:

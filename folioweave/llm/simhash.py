@@ -9,7 +9,9 @@ kinds of cells. Within a cell the bound is tried first and then the exact number
 A cell of more than MANY fingerprints is split, and no task ever holds it: of its near pairs, either one more group has
 equal counts, which makes a finer cell for each group that isn't fixed yet; or all others differ, which leaves no
 differing bits to the fixed groups (two at least are needed to keep a count), so their very bits make a cell. Finer cells
-are split once more. What shares 6 groups of counts, or 4 or 5 groups of bits, is compared at once.
+are split once more. What then still shares 6 groups of counts, or 4 or 5 groups of bits, in a cell of more than MANY is cut by bits:
+those that aren't fixed yet make 5 pieces, of which two near fingerprints have one in common, again and again until
+cells have MANY at most or LAST free bits, and thus 2 to the power of LAST fingerprints.
 
 Only distinct fingerprints are joined; texts of one fingerprint are linked by it. A cell gives a spanning forest of its
 links, not all pairs.
@@ -33,6 +35,7 @@ from pyspark.sql import types as T
 
 from folioweave.llm.common import lookup, map_texts, materialise, texts_as_bytes
 from folioweave.llm.components import components
+from folioweave.llm.exchange import mix
 
 WORDS, SEED, NEAR = 4, 42, 4
 GROUPS = 8
@@ -42,6 +45,8 @@ BITS = 7
 FEW = 8
 #: Cells of more fingerprints are split, LEVELS times.
 MANY, LEVELS = 512, 2
+#: Free bits with which a cell is compared however many fingerprints it has.
+LAST = 12
 
 _LOWER = bytes(i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 
@@ -72,6 +77,7 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint")
     return map_texts(docs, text, T.StructType([T.StructField(into, T.LongType(), False)]), make)
 
 
+ALL = np.uint64((1 << 64) - 1)
 _PICKS = list(combinations(range(GROUPS), GROUPS - NEAR))
 _ODD_BITS = np.uint64(0x5555555555555555)
 #: Sums of the differences of the four counts in two bytes.
@@ -114,14 +120,14 @@ def forest(prints: np.ndarray) -> list[tuple[int, int]]:
     return [(int(prints[r]), int(prints[k])) for k, r in enumerate(label.tolist()) if r != k]
 
 
-def finer(cell: np.ndarray, prints: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cells that a cell's fingerprints fall to when it is split: cells and fingerprints.
+def finer(cell: np.ndarray, prints: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells that a cell's fingerprints fall to when it is split: cells, fingerprints, and the bits that a cell leaves free.
 
     A cell's number is that of the cell before, one of the groups that weren't fixed (or BITS) and this group's counts;
     a cell of bits has the numbers of its groups and their bits before it.
     """
     counts, raw = embed(prints).view(np.uint8).reshape(-1, GROUPS).astype(np.int64), prints.view(np.uint8).reshape(-1, GROUPS).astype(np.int64)
-    made, of = [], []
+    made, of, free = [], [], []
     chain = [cell >> (11 * up) for up in range(level, -1, -1)]  # this cell's ancestors, the coarsest first
     names = np.stack([chain[0] >> 32, *((c >> 8) & 7 for c in chain[1:])], axis=1)
     for name in np.unique(names, axis=0).tolist():
@@ -135,6 +141,7 @@ def finer(cell: np.ndarray, prints: np.ndarray, level: int) -> tuple[np.ndarray,
         for j, g in enumerate(rest):
             made.append((cell[at] << 11) | (j << 8) | counts[at, g])
             of.append(prints[at])
+            free.append(np.full(len(at), ALL, np.uint64))
         bits = np.full(len(at), name[0], np.int64)
         for j in name[1:]:
             bits = (bits << 3) | j
@@ -142,7 +149,27 @@ def finer(cell: np.ndarray, prints: np.ndarray, level: int) -> tuple[np.ndarray,
             bits = (bits << 8) | raw[at, g]
         made.append((bits << 11) | (BITS << 8))
         of.append(prints[at])
-    return np.concatenate(made or [np.zeros(0, np.int64)]), np.concatenate(of or [np.zeros(0, np.uint64)])
+        free.append(np.full(len(at), sum(255 << 8 * g for g in rest), np.uint64))
+    return np.concatenate(made or [np.zeros(0, np.int64)]), np.concatenate(of or [np.zeros(0, np.uint64)]), np.concatenate(free or [np.zeros(0, np.uint64)])
+
+
+def pieces(free: int) -> list[int]:
+    """Free bits cut into one more piece than NEAR."""
+    places = [k for k in range(64) if free >> k & 1]
+    return [sum(1 << k for k in part) for part in np.array_split(np.array(places, object), NEAR + 1)]
+
+
+def cut(cell: np.ndarray, prints: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells of a cell's fingerprints by each piece of their free bits, the fingerprints, and the bits still free."""
+    made, of, left = [], [], []
+    for mask in np.unique(free).tolist():
+        at = np.flatnonzero(free == mask)
+        for k, piece in enumerate(pieces(mask)):
+            h = mix(cell[at].view(np.uint64) + np.uint64(k + 1)) ^ mix(prints[at] & np.uint64(piece))
+            made.append(mix(h).view(np.int64))
+            of.append(prints[at])
+            left.append(np.full(len(at), mask & ~piece, np.uint64))
+    return np.concatenate(made), np.concatenate(of), np.concatenate(left)
 
 
 def links(prints: DataFrame, column: str = "fingerprint") -> DataFrame:
@@ -155,37 +182,51 @@ def links(prints: DataFrame, column: str = "fingerprint") -> DataFrame:
                 part = found[a : a + 8192]
                 yield pa.RecordBatch.from_arrays([pa.array(cells(part).ravel()), pa.array(np.repeat(part, len(_PICKS)).view(np.int64))], names=["cell", "print"])
 
-    found, rows = [], prints.select(column).distinct().mapInArrow(spread, "cell long, print long")
+    found, rest, rows = [], [], prints.select(column).distinct().mapInArrow(spread, "cell long, print long")
+    linked = lambda made: made.where("cell is null").select("a", "b")
     for level in range(LEVELS + 1):
         made = materialise(_joined(rows, level))
-        found.append(made.where("cell is null").select("a", "b"))
-        rows = made.where("cell is not null").select("cell", F.col("a").alias("print"))
+        found.append(linked(made))
+        rest.append(made.where("cell is not null and b is not null"))
+        rows = made.where("cell is not null and b is null").select("cell", F.col("a").alias("print"))
         if rows.isEmpty():
             break
         rows = _split(rows, level)
+    left = reduce(DataFrame.unionByName, rest)
+    while not left.isEmpty():
+        made = materialise(_joined(_cut(left.select("cell", F.col("a").alias("print"), F.col("b").alias("free"))), LEVELS))
+        found.append(linked(made))
+        left = made.where("cell is not null")
     return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _joined(rows: DataFrame, level: int) -> DataFrame:
-    """Links ``a``, ``b`` within cells, and the fingerprints ``a`` of the cells (``cell``) that are to be split."""
+    """Links ``a``, ``b`` within cells, and the fingerprints ``a`` of the cells (``cell``) that are to be split; ``b`` has their free bits if by bits."""
 
     def join(batches):
-        held = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        none = np.zeros(0, np.uint64)
+        held = (np.zeros(0, np.int64), none, none)
         large = None  # the cell whose rows go on as they come
         for batch in batches:
             cell = np.concatenate([held[0], batch.column(0).to_numpy()])
             found = np.concatenate([held[1], batch.column(1).to_numpy().view(np.uint64)])
+            own = batch.column(2).to_numpy().view(np.uint64) if batch.num_columns > 2 else np.full(batch.num_rows, ALL, np.uint64)
+            free = np.concatenate([held[2], own])
             starts = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
             sizes = np.diff(np.append(starts, len(cell)))
-            splits = ((sizes > MANY) | (cell[starts] == large)) & (level < LEVELS) & (((cell[starts] >> 8) & 7 != BITS) | (level == 0))
-            later = np.repeat(splits, sizes)
-            last = len(cell) if splits[-1:].any() else int(starts[-1]) if len(starts) else 0  # the last cell may go on in the next batch
-            yield _rows(cell[later], found[later])
-            now = ~later[:last]
+            many = (sizes > MANY) | (cell[starts] == large)
+            splits = many & (level < LEVELS) & (((cell[starts] >> 8) & 7 != BITS) | (level == 0))
+            by_bits = many & ~splits & (np.bitwise_count(free[starts]) > LAST)
+            later, last_cells = np.repeat(splits, sizes), splits | by_bits
+            bits = np.repeat(by_bits, sizes)
+            last = len(cell) if last_cells[-1:].any() else int(starts[-1]) if len(starts) else 0  # the last cell may go on in the next batch
+            yield _rows(cell[later], found[later], None)
+            yield _rows(cell[bits], found[bits], free[bits])
+            now = ~(later | bits)[:last]
             yield _linked(cell[:last][now], found[:last][now])
-            large = int(cell[-1]) if splits[-1:].any() else None
-            held = cell[last:], found[last:]
-        yield _linked(*held)
+            large = int(cell[-1]) if last_cells[-1:].any() else None
+            held = cell[last:], found[last:], free[last:]
+        yield _linked(*held[:2])
 
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(join, "cell long, a long, b long")
 
@@ -193,14 +234,25 @@ def _joined(rows: DataFrame, level: int) -> DataFrame:
 def _split(rows: DataFrame, level: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            cell, prints = finer(batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), level)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(prints.view(np.int64))], names=["cell", "print"])
+            cell, prints, free = finer(batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), level)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(prints.view(np.int64)), pa.array(free.view(np.int64))], names=["cell", "print", "free"])
+
+    return rows.mapInArrow(run, "cell long, print long, free long")
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                cell, prints, free = cut(batch.column(0).to_numpy(), *(batch.column(k).to_numpy().view(np.uint64) for k in (1, 2)))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(prints.view(np.int64)), pa.array(free.view(np.int64))], names=["cell", "print", "free"])
 
-    return rows.mapInArrow(run, "cell long, print long")
+    return rows.mapInArrow(run, "cell long, print long, free long")
 
 
-def _rows(cell: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(prints.view(np.int64)), pa.nulls(len(cell), pa.int64())], names=["cell", "a", "b"])
+def _rows(cell: np.ndarray, prints: np.ndarray, free: np.ndarray | None) -> pa.RecordBatch:
+    bits = pa.nulls(len(cell), pa.int64()) if free is None else pa.array(free.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(prints.view(np.int64)), bits], names=["cell", "a", "b"])
 
 
 def _linked(cell: np.ndarray, found: np.ndarray) -> pa.RecordBatch:

@@ -2,7 +2,7 @@
 
 A text falls into pre-tokens that no piece of the vocabulary crosses. Pieces are counted once for each distinct
 pre-token of the corpus; each text's pre-token frequencies are joined with these counts and summed. The most frequent
-pre-tokens (HOT at most) are joined inside the scan from a broadcast of that bound, all others by a shuffle join.
+pre-tokens (HOT at most, and HOT_BYTES of short ones) are joined inside the scan from a broadcast of that bound, all others by a shuffle join.
 
 Cases: a null or empty text has 0 tokens; repeated rows are counted each; texts are read whole, and one without spaces
 or line ends is one pre-token; an empty table gives no rows; columns of the names ``n_bytes``, ``n_tokens``, ``_row``,
@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 
 from folioweave.llm.common import map_texts, materialise, slices, texts_as_bytes
 
-#: Bounds: pre-tokens that are broadcast, and distinct pre-tokens that a task holds before it passes them on.
-HOT, HELD = 400_000, 200_000
+#: Bounds: pre-tokens that are broadcast, their bytes, and distinct pre-tokens and their bytes that a task holds before it passes them on.
+HOT, HOT_BYTES, HELD, HELD_BYTES = 400_000, 32 << 20, 200_000, 32 << 20
+#: Bytes of a pre-token that may be broadcast.
+SHORT = 1024
 #: Frequencies are told apart by eighths of a power of two when the hot pre-tokens are chosen.
 STEPS = 8
 
@@ -61,7 +63,7 @@ def pieces_of(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Each distinct pre-token of the corpus: ``part``, its frequency ``n`` and its number of ``pieces``."""
 
     def gather(batches):
-        pieces, held = Pieces(path), Counter()
+        pieces, held, size = Pieces(path), Counter(), 0
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["part", "n"])
@@ -69,9 +71,10 @@ def pieces_of(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in slices(batches, text):
             for t in texts_as_bytes(batch.column(text)):
                 held.update(pieces.split(t.decode("utf-8", "replace")))
-                if len(held) > HELD:
+                size += len(t)
+                if len(held) > HELD or (size > HELD_BYTES and (size := sum(map(len, held))) > HELD_BYTES):
                     yield out()
-                    held = Counter()
+                    held, size = Counter(), 0
         if held:
             yield out()
 
@@ -86,15 +89,16 @@ def pieces_of(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def _hot(parts: DataFrame) -> tuple[dict[str, int], float]:
-    """The most frequent pre-tokens, at most HOT, and the step of frequencies from which they are."""
-    step = F.floor(F.log2("n") * STEPS)
-    least, total = math.inf, 0
-    for r in sorted(parts.groupBy(step.alias("step")).count().collect(), reverse=True):
-        total += r[1]
-        if total > HOT:
+    """The most frequent of the short pre-tokens, at most HOT and HOT_BYTES of them, and the step of frequencies from which they are."""
+    step, size = F.floor(F.log2("n") * STEPS), F.octet_length("part")
+    short = parts.where(size <= SHORT)
+    least, total, total_bytes = math.inf, 0, 0
+    for r in sorted(short.groupBy(step.alias("step")).agg(F.count(F.lit(1)), F.sum(size)).collect(), reverse=True):
+        total, total_bytes = total + r[1], total_bytes + r[2]
+        if total > HOT or total_bytes > HOT_BYTES:
             break
         least = r[0]
-    rows = parts.where(step >= least).select("part", "pieces").toArrow() if least < math.inf else None
+    rows = short.where(step >= least).select("part", "pieces").toArrow() if least < math.inf else None
     return (dict(zip(rows["part"].to_pylist(), rows["pieces"].to_pylist(), strict=True)) if rows is not None else {}), least
 
 
@@ -129,7 +133,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     counted = map_texts(docs, text, fields, make).drop(text)
     counted = materialise(counted.withColumn("_row", F.monotonically_increasing_id()))
     rest = counted.where(F.size("_rest") > 0).select("_row", F.explode("_rest").alias("part", "_times"))
-    cold = parts.where(F.floor(F.log2("n") * STEPS) < least).select("part", "pieces") if least < math.inf else parts.select("part", "pieces")
+    cold = parts.where((F.floor(F.log2("n") * STEPS) < least) | (F.octet_length("part") > SHORT)) if least < math.inf else parts
+    cold = cold.select("part", "pieces")
     sums = rest.join(cold, "part").groupBy("_row").agg(F.sum(F.col("_times") * F.col("pieces")).alias("_more"))
     total = (F.col("_known") + F.coalesce(F.col("_more"), F.lit(0))).cast("long")
     return counted.drop("_rest").join(sums, "_row", "left").withColumn("n_tokens", total).drop("_row", "_known", "_more")

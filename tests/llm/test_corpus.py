@@ -647,3 +647,36 @@ for name in [n for n in queries if n.startswith("op") or n in ("pipeline", "maxm
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" or root not in v}
     ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert ran.returncode == 0, ran.stderr[-3000:]
+
+
+def test_large_cells_are_cut_by_bits(spark, monkeypatch):
+    """Fingerprints that share 32 bits are joined in cells of bounded size."""
+    monkeypatch.setattr(simhash, "MANY", 64)
+    rng = np.random.default_rng(8)
+    low = rng.integers(0, 1 << 32, 3000).astype(np.uint64)
+    for k in range(300):
+        low[k + 300] = low[k] ^ np.uint64(sum(1 << int(b) for b in rng.choice(32, k % 7, replace=False)))
+    prints = np.unique(np.uint64(0x5A5A5A5A << 32) | low)
+    pairs = []
+    for a in range(0, len(prints), 500):
+        i, j = np.nonzero(np.bitwise_count(prints[a : a + 500, None] ^ prints[None, :]) <= 4)
+        pairs += [(int(prints[a + x]), int(prints[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if a + x < y]
+    frame = spark.createDataFrame([(int(p.astype(np.int64)),) for p in prints], "fingerprint long")
+    links = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(frame).collect()]
+    assert _roots(links, prints.tolist()) == _roots(pairs, prints.tolist())
+    # a cell's pieces: each pair of near ones shares a cell, and cells are small
+    cell, of, free = np.zeros(len(prints), np.int64), prints, np.full(len(prints), 0xFFFFFFFF, np.uint64)
+    while True:
+        cell, of, free = simhash.cut(cell, of, free)
+        sizes = np.unique(cell, return_counts=True)[1]
+        if sizes.max() <= simhash.MANY or np.bitwise_count(free).max() <= simhash.LAST:
+            break
+        large = np.isin(cell, np.unique(cell)[sizes > simhash.MANY])
+        cell, of, free = cell[large], of[large], free[large]
+    assert sizes.max() <= simhash.MANY
+
+
+def test_pieces_cover_all_free_bits():
+    for free in (0xFFFFFFFFFFFFFFFF, 0xFFFFFFFF, 0b1011011101111, 0b101):
+        parts = simhash.pieces(free)
+        assert len(parts) == 5 and sum(parts) == free and max(p.bit_count() for p in parts) - min(p.bit_count() for p in parts) <= 1
