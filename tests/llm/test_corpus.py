@@ -549,6 +549,13 @@ def test_pipeline_stages_of_nothing_and_of_a_very_long_text(spark, small, stage)
     docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, "a b c d e", "en", "s", 9)], schema)
     out = run(spark, docs, small)
     if stage == "packing":
+        ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        want = {d: len(ids.encode(t, add_special_tokens=False).ids) + 1 for d, t in ((1, long), (2, "a b c d e"))}
+        got = Counter()
+        for r in out.collect():
+            got[r["doc_id"]] += r["length"]
+            assert r["doc_tokens"] == want[r["doc_id"]] and r["length"] <= 2048
+        assert got == want
         return
     assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(1, long), (2, "a b c d e")}
 

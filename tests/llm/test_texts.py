@@ -343,3 +343,40 @@ def test_lookup_of_hot_cold_and_null_keys(spark):
     found = materialise(spark.createDataFrame([(1, "hot", 3000), (2, "cold", 3)], "key long, value string, times long"))
     got = Counter(r["value"] for r in lookup(rows, found, "key", "times").collect())
     assert got == {"hot": 3000, "cold": 3, None: 51}
+
+
+def test_toxicity_scores_are_those_of_a_naive_scorer(spark, awkward):
+    """Each passage of each text is scored by itself, n-gram by n-gram."""
+    model = toxicity.learn(*[spark.createDataFrame(_toxic_texts(400, 5), "doc_id long, text string, toxic int")] * 2)
+    odd = [(k, t, 0) for k, t in enumerate(["", None, "a", "Ein kurzer Text.", "12 34", "日本語 x", "word " * 50])]
+    docs = spark.createDataFrame(_toxic_texts(60, 6) + odd, "doc_id long, text string, toxic int")
+    share = {}
+
+    def word_score(word):
+        if word not in share:
+            buckets, sizes = toxicity.ngrams([word])
+            assert sizes.tolist() == [len(buckets)] and len(buckets) == sum(max(0, len(word) + 3 - n) for n in toxicity.GRAMS)
+            share[word] = sum(float(model.shares[b]) for b in buckets.tolist()) / len(buckets)
+        return share[word]
+
+    for r in toxicity.score(docs, model).collect():
+        scores = [word_score(w) for w in toxicity.words_of(r["text"] or "")]
+        size = min(toxicity.PASSAGE, len(scores))
+        best = max((sum(scores[i : i + size]) / size for i in range(len(scores) - size + 1)), default=0.0) if scores else 0.0
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(model.slope * best + model.shift))), abs=1e-6)
+
+
+def test_long_pretokens_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "SHORT", 20)
+    monkeypatch.setattr(tokens, "HELD_BYTES", 3000)
+    rows = [(k, "x" * (50 + k % 7) + " ab" * (k % 5)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = tokens.pieces_of(docs, PIECES)
+    hot, _ = tokens._hot(parts)
+    assert hot and all(len(p) <= 20 for p in hot)
+    monkeypatch.setattr(tokens, "HOT_BYTES", 2)
+    assert tokens._hot(parts)[0] == {}
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    monkeypatch.setattr(tokens, "HOT_BYTES", 1 << 20)
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, PIECES).collect()}
+    assert got == {k: len(model.encode(t)) for k, t in rows}
