@@ -11,9 +11,9 @@ This loses nothing. It spares clustered tables most visits; of vectors without c
 search remains near brute force.
 
 Equal vectors are one vector with the k + 1 smallest of their ids, which are all that a list of k can name. Leaves are
-dealt over blocks of bounded size, large ones over several, and queries by a hash over chunks, so no task holds more than
-one block and one chunk. A block's queries and vectors are compared by one matrix product, and what may be among the k
-nearest by its exact distance.
+dealt over blocks of bounded size, large ones over several. A block's vectors are sorted before its queries, which then
+pass by them in batches: no task holds more than a block and a batch, and no vector of the table is sent twice, however many queries
+there are. Batches are compared by one matrix product, and what may be among the k nearest by its exact distance.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of another
 length than the most common one (the shorter of two) or without an id; ties go to smaller ids; a repeated id is one
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ K, RECALL = 10, 0.97
 #: an eighth of the fitted ones at most), and queries that calibrate it; as many measure it.
 SAMPLE, SAMPLE_BYTES, LEAVES, CALIBRATING = 65_536, 32 << 20, 8192, 96
 BRANCHES, ROUNDS, SEED = 8, 12, 5
-#: Most vectors in a block and queries in a chunk; small tables make about BLOCKS blocks of LEAST vectors or more.
-BLOCK, LEAST, BLOCKS, CHUNK = 16_384, 1024, 64, 65_536
+#: Most vectors in a block; small tables make about BLOCKS blocks of LEAST vectors or more.
+BLOCK, LEAST, BLOCKS = 16_384, 1024, 64
 #: Numbers in a matrix of approximate distances.
 MATRIX = 4 << 20
 
@@ -182,10 +183,15 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "vec binary, ids array<long>").groupBy("vec").agg(ids.alias("ids"))
 
 
+def _drawn(n: int, most: int, salt: str = ""):
+    """Whether a row is one of about ``most`` of ``n``."""
+    mixed = F.xxhash64("vec", F.lit(salt)) if salt else F.xxhash64("vec")
+    return F.pmod(mixed, F.lit(1 << 30)) <= int(min(1.0, most / max(1, n)) * (1 << 30))
+
+
 def _sampled(rows: DataFrame, n: int, most: int, salt: str = "") -> DataFrame:
     """About ``most`` of ``n`` rows; of another ``salt``, others that don't hang on these."""
-    mixed = F.xxhash64("vec", F.lit(salt)) if salt else F.xxhash64("vec")
-    return rows.where(F.pmod(mixed, F.lit(1 << 30)) <= int(min(1.0, most / max(1, n)) * (1 << 30)))
+    return rows.where(_drawn(n, most, salt))
 
 
 def _nearest(vectors: np.ndarray, ids: list[list[int]], query: np.ndarray, k: int) -> list[tuple[float, int, int]]:
@@ -250,14 +256,17 @@ class Index:
                 yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("ids"), pa.array(leaf, pa.int32()), pa.array(far)], names=["vec", "ids", "leaf", "far"])
 
         self.vectors = materialise(classes.mapInArrow(run, "vec binary, ids array<long>, leaf int, far double"))
-        self.visits, self.recall = self._calibrate(recall)
+        self.visits, self.recall = self._calibrate(recall, most)
 
-    def _calibrate(self, recall: float) -> tuple[int, float]:
+    def _calibrate(self, recall: float, fitted: int) -> tuple[int, float]:
         """Leaves to visit for ``recall`` of the true neighbours of some vectors, and the recall that this gives for others.
 
-        Neither are drawn as the tree's vectors are. Where a table has too few vectors for others, the same ones are measured.
+        Neither are among the tree's own vectors, unless a table has hardly any besides these; where it has too few for
+        others, the same ones are measured.
         """
-        some = _sampled(self.vectors.select("vec"), self.n, 2 * CALIBRATING, "calibrating").select("vec").toArrow()["vec"].to_pylist() or [r[0] for r in self.vectors.select("vec").limit(1).collect()]
+        enough = self.n > fitted + 2 * CALIBRATING
+        apart = self.vectors.where(~_drawn(self.n, fitted)) if enough else self.vectors
+        some = _sampled(apart.select("vec"), self.n - fitted if enough else self.n, 2 * CALIBRATING, "calibrating").select("vec").toArrow()["vec"].to_pylist() or [r[0] for r in self.vectors.select("vec").limit(1).collect()]
         some.sort(key=lambda v: hashlib.sha1(v).digest())
         kind, k = self.kind, self.k
         queries = unpacked(some, kind)
@@ -290,16 +299,14 @@ class Index:
             return spark.createDataFrame([], schema)
         asked = self.rows.where(wanted)
         queries = materialise(asked.groupBy("vec").agg(F.min("id").alias("q"), F.count(F.lit(1)).alias("_times")))
-        n_queries = queries.count()
         first, parts, radii = self._blocks()
-        chunks = max(1, -(-n_queries // CHUNK))
         sent = handed(spark, (self.tree, first, parts, radii, self.visits))
 
         def route(batches):
             tree, first, parts, radii, most = sent()
             for batch in batches:
                 rows = []
-                for q, v, chunk in zip(*(batch.column(c).to_pylist() for c in ("q", "vec", "chunk")), strict=True):
+                for q, v in zip(*(batch.column(c).to_pylist() for c in ("q", "vec")), strict=True):
                     query = unpacked([v], kind)[0]
                     order = tree.visits(query, most)
                     out = tree.beyond(query, order, radii, tree.reach(query, order, k + 1))
@@ -307,10 +314,10 @@ class Index:
                     for leaf in np.array(order)[~out].tolist():
                         for b in range(first[leaf], first[leaf] + parts[leaf]):
                             at.setdefault(b, []).append(leaf)
-                    rows += [(b, chunk, q, v, leaves) for b, leaves in at.items()]
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "chunk", "q", "vec", "leaves"])
+                    rows += [(b, q, v, leaves) for b, leaves in at.items()]
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "q", "vec", "leaves"])
 
         def place(batches):
             _, first, parts, _, _ = sent()
@@ -319,17 +326,30 @@ class Index:
                 block = np.array(first)[leaf] + batch.column("salt").to_numpy() % np.array(parts)[leaf]
                 yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *(batch.column(c) for c in ("vec", "ids", "leaf"))], names=["block", "vec", "ids", "leaf"])
 
-        def match(asked: pa.Table, held: pa.Table) -> pa.Table:
-            rows = list(_compared(asked, held, k + 1, kind)) if asked.num_rows and held.num_rows else []
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            return pa.table({n: pa.array(c, t) for n, c, t in zip(("q", "score", "vec_id"), columns, (pa.int64(), pa.float64(), pa.int64()), strict=True)})
-
-        chunk = F.pmod(F.xxhash64("vec", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk")
-        routed = queries.select("q", "vec", chunk).mapInArrow(route, "block int, chunk int, q long, vec binary, leaves array<int>")
+        def match(batches):
+            block, held = None, []
+            for batch in batches:
+                blocks = batch.column("block").to_numpy()
+                for a, b in zip(at := [*np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1)).tolist(), len(blocks)], at[1:], strict=False):
+                    rows = pa.Table.from_batches([batch.slice(a, b - a)])
+                    if blocks[a] != block:
+                        block, held = int(blocks[a]), []
+                    own = pc.is_valid(rows["ids"])
+                    if pc.any(own).as_py():
+                        held.append(rows.filter(own))
+                    asked = rows.filter(pc.invert(own))
+                    if not asked.num_rows or not held:
+                        continue
+                    held = [pa.concat_tables(held).combine_chunks()]
+                    found = list(zip(*_compared(asked, held[0], k + 1, kind), strict=True)) or [()] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["q", "score", "vec_id"])
+
+        routed = queries.select("q", "vec").mapInArrow(route, "block int, q long, vec binary, leaves array<int>")
         held = self.vectors.withColumn("salt", F.pmod(F.xxhash64("vec"), F.lit(1 << 20)))
         held = held.mapInArrow(place, "block int, vec binary, ids array<long>, leaf int")
-        held = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        found = routed.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInArrow(match, "q long, score double, vec_id long")
+        both = held.unionByName(routed, allowMissingColumns=True)
+        # a block's vectors, which have ids, come before its queries
+        found = both.repartition("block").sortWithinPartitions("block", F.col("ids").isNull()).mapInArrow(match, "q long, score double, vec_id long")
         best = F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k + 1)
         answers = found.groupBy("q").agg(best.alias("best"))
         answers = materialise(queries.join(answers, "q").select("vec", "best", "_times"))
