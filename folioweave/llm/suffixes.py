@@ -28,17 +28,18 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioweave.llm import exchange
-from folioweave.llm.common import texts_as_bytes
+from folioweave.llm.common import materialise, texts_as_bytes
 from folioweave.llm.exchange import ONE, Keys, mix
 
 LENGTH, GRAM = 200, 100
 SPREAD = LENGTH - GRAM + 1
-#: Blocks that splitters are sampled from, and suffixes of each.
-SAMPLED, EACH = 48, 512
+#: Blocks that splitters are sampled from, suffixes of each, and suffixes for each bucket at least.
+SAMPLED, EACH, CUT = 48, 512, 32
 
 _RANDOM = np.random.default_rng(9001).integers(1, 1 << 62, 257).astype(np.uint64) * np.uint64(2) + ONE
 _BYTE, _BASE = _RANDOM[:256], int(_RANDOM[256])
@@ -48,6 +49,7 @@ _ROOT = int(np.random.default_rng(6101).integers(1 << 40, int(PRIME)))
 #: So many bytes' products of two halves can be added up in 64 bits.
 _ADDED = 1 << 22
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_TOP = np.uint64(1 << 63)
 
 FIELDS = T.StructType(
     [
@@ -296,7 +298,31 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def splitters(blocks: exchange.Blocks, make) -> np.ndarray:
-    """Cuts (leading bytes, hash) from the suffixes of about SAMPLED blocks, for buckets of suffixes."""
+    """Cuts (leading bytes, hash) for buckets of suffixes, from CUT suffixes or more for each bucket.
+
+    About SAMPLED blocks say how many suffixes there are. If they have too few for as many buckets as that makes, more
+    blocks are sampled, and the cuts are found where their suffixes lie: the driver gets the cuts alone.
+    """
+    n_blocks = blocks.size / exchange.BLOCK + 1
+    share = min(1.0, max(SAMPLED, 4 * blocks.unit) / n_blocks)
+    rows = _sampled(blocks, make, share).collect()
+    total = sum(r[0] for r in rows) / max(1, len(rows)) * n_blocks
+    n = blocks.buckets(int(total))
+    parts = [(np.frombuffer(r[1], np.uint64), np.frombuffer(r[2], np.uint64) & ~ONE, np.full(len(r[1]) // 8, r[0] / max(1, len(r[1]) // 8))) for r in rows]
+    if not parts or not total or n == 1:
+        return np.zeros((0, 2), np.uint64)
+    a, b, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if len(a) < CUT * n and share < 1:
+        cuts = _cuts(_sampled(blocks, make, min(1.0, share * 1.2 * CUT * n / len(a))), n)
+    else:
+        order = exchange.multikey_order(a, b)
+        at = np.searchsorted(np.cumsum(weight[order]), np.arange(1, n) * weight.sum() / n)
+        cuts = np.stack([a[order][at], b[order][at]], axis=1)
+    return cuts[np.append(True, (cuts[1:] != cuts[:-1]).any(axis=1))] if len(cuts) else cuts
+
+
+def _sampled(blocks: exchange.Blocks, make, share: float) -> DataFrame:
+    """How many suffixes each of a share of all blocks has, and EACH of them in steps."""
     replies = blocks.replies()
 
     def sample(batches):
@@ -309,16 +335,30 @@ def splitters(blocks: exchange.Blocks, make) -> np.ndarray:
                     row = [pa.array([len(keys.a)], pa.int64()), *(pa.array([c[at].tobytes()], pa.binary()) for c in (keys.a, keys.b))]
                     yield pa.RecordBatch.from_arrays(row, names=["n", "a", "b"])
 
-    n_blocks = blocks.size / exchange.BLOCK + 1
-    share = min(1.0, max(SAMPLED, 4 * blocks.unit) / n_blocks)
-    rows = blocks.frame.sample(share, seed=1).mapInArrow(sample, "n long, a binary, b binary").collect()
-    total = sum(r[0] for r in rows) / max(1, len(rows)) * n_blocks
-    n = blocks.buckets(int(total))
-    parts = [(np.frombuffer(r[1], np.uint64), np.frombuffer(r[2], np.uint64) & ~ONE, np.full(len(r[1]) // 8, r[0] / max(1, len(r[1]) // 8))) for r in rows]
-    if not parts or not total or n == 1:
-        return np.zeros((0, 2), np.uint64)
-    a, b, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = exchange.multikey_order(a, b)
-    at = np.searchsorted(np.cumsum(weight[order]), np.arange(1, n) * weight.sum() / n)
-    cuts = np.stack([a[order][at], b[order][at]], axis=1)
-    return cuts[np.append(True, (cuts[1:] != cuts[:-1]).any(axis=1))]
+    return blocks.frame.sample(share, seed=1).mapInArrow(sample, "n long, a binary, b binary")
+
+
+def _cuts(sampled: DataFrame, n: int) -> np.ndarray:
+    """The suffixes at which a further n-th of all begins, by prefix sums of the sampled ones' weights over ranges."""
+
+    def opened(batches):
+        for batch in batches:
+            for size, a, b in zip(*(batch.column(c).to_pylist() for c in ("n", "a", "b")), strict=True):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64) & ~ONE
+                # a signed long with the first bit turned over is in the order of the unsigned one
+                signed = [pa.array((x ^ _TOP).view(np.int64)) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([*signed, pa.array(np.full(len(a), size / max(1, len(a))))], names=["a", "b", "w"])
+
+    rows = sampled.mapInArrow(opened, "a long, b long, w double")
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialise(rows.repartitionByRange(ranges, "a", "b").sortWithinPartitions("a", "b").withColumn("at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("range", F.shiftright("at", 33))
+    # one row for each range
+    sums = rows.groupBy("range").agg(F.sum("w").alias("w"))
+    total = sums.agg(F.sum("w")).first()[0]
+    before = sums.select("range", F.coalesce(F.sum("w").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    so_far = F.sum("w").over(Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("so_far", so_far).join(before, "range").withColumn("so_far", F.col("so_far") + F.col("before"))
+    part = lambda x: F.floor(x * n / total)
+    found = rows.where((part(F.col("so_far")) > part(F.col("so_far") - F.col("w"))) & (part(F.col("so_far")) < n)).orderBy("at").select("a", "b").toArrow()
+    return np.stack([found[c].to_numpy().view(np.uint64) ^ _TOP for c in ("a", "b")], axis=1) if found.num_rows else np.zeros((0, 2), np.uint64)

@@ -687,3 +687,35 @@ def test_pieces_cover_all_free_bits():
     for free in (0xFFFFFFFFFFFFFFFF, 0xFFFFFFFF, 0b1011011101111, 0b101):
         parts = simhash.pieces(free)
         assert len(parts) == 5 and sum(parts) == free and max(p.bit_count() for p in parts) - min(p.bit_count() for p in parts) <= 1
+
+
+def test_splitters_follow_the_number_of_buckets(spark, monkeypatch):
+    """With more buckets than the first sample has suffixes for, cuts come from a larger one, and buckets stay even."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(300)]
+    line = lambda n: " ".join(rnd.choices(words, k=n))
+    shared = [line(45) for _ in range(120)]
+    docs = spark.createDataFrame([(k, " ".join([line(30), *rnd.sample(shared, 3), line(30)])) for k in range(150)], "doc_id long, text string").repartition(4)
+    want = Counter((r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in suffixes.remove_repeats(docs).collect())
+    made = []
+    own = suffixes._cuts
+    monkeypatch.setattr(suffixes, "_cuts", lambda *a: made.append(own(*a)) or made[-1])
+    for name, value in (("SAMPLED", 1), ("EACH", 64)):
+        monkeypatch.setattr(suffixes, name, value)
+    for name, value in (("BLOCK", 20_000), ("KEYS", 500), ("MESSAGE", 0)):
+        monkeypatch.setattr(exchange, name, value)
+    assert Counter((r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in suffixes.remove_repeats(docs).collect()) == want
+    assert made and len(made[0]) > 3 and [tuple(x) for x in made[0].tolist()] == sorted(tuple(x) for x in made[0].tolist())
+
+
+def test_cuts_are_quantiles(spark):
+    rng = np.random.default_rng(3)
+    blocks = [(int(n), np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64) * np.uint64(2)), rng.integers(0, 1 << 63, 40).astype(np.uint64) * np.uint64(2)) for n in (400, 4000, 40)]
+    frame = spark.createDataFrame([(n, bytearray(a.tobytes()), bytearray(b.tobytes())) for n, a, b in blocks], "n long, a binary, b binary")
+    rows = sorted((x, y, n / 40) for n, a, b in blocks for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    total, run, want = sum(w for *_, w in rows), 0.0, []
+    for x, y, w in rows:
+        if int((run + w) * 8 / total) > int(run * 8 / total + 1e-12) and (run + w) * 8 / total < 8:
+            want.append((x, y))
+        run += w
+    assert [tuple(r) for r in suffixes._cuts(frame, 8).tolist()] == want
