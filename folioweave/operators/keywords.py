@@ -6,7 +6,8 @@ rows of bounded size, which different tasks read. ``terms`` has the number of do
 written and read again.
 
 ``search`` joins the terms of many queries with the postings, sums BM25 parts by query and document within slots, and keeps
-``k`` of each query in each slot before those of all slots are ranked. Parts are rounded to 1e-9 and summed as whole numbers, so
+``k`` of each query in each slot before those of all slots are ranked. Terms that more than FREQUENT of all documents hold are
+left to the end: where bounds show that they can't bring in another document, they are looked up for those that are left alone. Parts are rounded to 1e-9 and summed as whole numbers, so
 results don't hang on the order of tasks.
 
 Cases: null or blank texts have no terms and are never found, nor do such queries find anything, but they count as documents; of documents
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from folioweave.operators.rows import best
 
@@ -27,6 +29,8 @@ from folioweave.operators.rows import best
 TERM = r"[\p{L}\p{Nd}]+"
 #: Documents of a slot; BM25's saturation and weight of lengths; parts of a score are whole multiples of 1 / UNIT.
 SLOT, K1, B, UNIT = 100_000, 1.2, 0.75, 1_000_000_000
+#: The share of documents from which a term is frequent.
+FREQUENT = 0.05
 #: The constant of reciprocal ranks.
 RRF = 60
 
@@ -76,16 +80,40 @@ def search(index: Index, queries: DataFrame, key: str, text: str, k: int = 4, k1
     """For each of ``queries`` the ``k`` best documents by BM25: ``query``, ``rank`` from 0, ``key`` and ``score`` (higher is better)."""
     asked = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("query"), F.explode(terms_of(F.col(text))).alias("term"))
     asked = asked.groupBy("query", "term").agg(F.count(F.lit(1)).alias("asked")).join(index.terms.withColumnRenamed("docs", "df"), "term")
-    found = asked.join(index.postings, "term").select("query", "slot", "asked", "df", F.explode("docs").alias("d"))
+    asked = asked.persist(StorageLevel.MEMORY_AND_DISK)
     rarity = F.ln(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = index.words / index.documents if index.words else 1.0
-    times = F.col("d.times").cast("double")
-    part = F.col("asked") * rarity * times * (k1 + 1) / (times + k1 * (1 - b + b * F.col("d.length") / mean))
-    # by slot, in which all terms of a document lie; sums and the slot's best need no further shuffle
-    parts = found.select("query", "slot", F.col("d.key").alias("key"), F.round(part * UNIT).cast("long").alias("part")).repartition("query", "slot")
-    sums = parts.groupBy("query", "slot", "key").agg(F.sum("part").alias("sum"))
-    first = best(sums, ["query", "slot"], (F.desc("sum"), F.asc("key")), k)
-    return best(first, ["query"], (F.desc("sum"), F.asc("key")), k).select("query", "rank", "key", (F.col("sum") / UNIT).alias("score"))
+    order = (F.desc("sum"), F.asc("key"))
+
+    def part(times: Column, length: Column) -> Column:
+        times = times.cast("double")
+        return F.round(F.col("asked") * rarity * times * (k1 + 1) / (times + k1 * (1 - b + b * length / mean)) * UNIT).cast("long").alias("part")
+
+    def scored(terms: DataFrame) -> DataFrame:
+        """Sums over all documents that hold any of a query's ``terms``, by slot, in which all terms of a document lie."""
+        found = terms.join(index.postings, "term").select("query", "slot", "asked", "df", F.explode("docs").alias("d"))
+        parts = found.select("query", "slot", F.col("d.key").alias("key"), part(F.col("d.times"), F.col("d.length"))).repartition("query", "slot")
+        return parts.groupBy("query", "slot", "key").agg(F.sum("part").alias("sum"))
+
+    # a document without a query's rare terms has at most what the frequent ones can give; where k documents have more by
+    # the rare ones alone, only documents that can still reach the k-th of these are looked up among the frequent terms
+    frequent = F.col("df") > FREQUENT * index.documents
+    most = asked.where(frequent).groupBy("query").agg(F.sum(F.ceil(F.col("asked") * rarity * (k1 + 1) * UNIT) + 1).alias("most"))
+    rare = scored(asked.where(~frequent)).persist(StorageLevel.MEMORY_AND_DISK)
+    least = best(best(rare, ["query", "slot"], order, k), ["query"], order, k).groupBy("query").agg(F.min("sum").alias("least"), F.count(F.lit(1)).alias("n"))
+    bounds = most.join(least, "query", "left").select("query", "most", F.when((F.col("n") == k) & (F.col("least") > F.col("most")), F.col("least")).alias("least"))
+    bounds = bounds.persist(StorageLevel.MEMORY_AND_DISK)
+    whole = scored(asked.join(bounds.where(F.col("least").isNull()).select("query"), "query", "left_semi"))
+    only_rare = rare.join(bounds.select("query"), "query", "left_anti")
+    chosen = rare.join(bounds.where(F.col("least").isNotNull()), "query").where(F.col("sum") + F.col("most") >= F.col("least")).select("query", "slot", "key", "sum")
+    often = asked.where(frequent).join(bounds.where(F.col("least").isNotNull()).select("query"), "query", "left_semi")
+    # postings of the frequent terms once, however many queries ask for them
+    held = index.postings.join(often.select("term").distinct(), "term").select("term", "slot", F.explode("docs").alias("d")).select("term", "slot", "d.key", "d.times", "d.length")
+    more = chosen.select("query", "slot", "key").join(often, "query").join(held, ["term", "slot", "key"]).select("query", "slot", "key", part(F.col("times"), F.col("length")).alias("sum"))
+    looked_up = chosen.unionByName(more).groupBy("query", "slot", "key").agg(F.sum("sum").alias("sum"))
+    sums = whole.unionByName(only_rare).unionByName(looked_up)
+    first = best(sums, ["query", "slot"], order, k)
+    return best(first, ["query"], order, k).select("query", "rank", "key", (F.col("sum") / UNIT).alias("score"))
 
 
 def fused(rankings: dict[str, DataFrame], k: int = 4, weights: dict[str, float] | None = None, constant: int = RRF) -> DataFrame:

@@ -37,11 +37,12 @@ def brute_bm25(docs, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("slot", [100_000, 7])
-def test_keyword_search(spark, tmp_path, slot):
+@pytest.mark.parametrize(("slot", "frequent"), [(100_000, 0.05), (7, 0.3), (7, 2.0)])
+def test_keyword_search(spark, tmp_path, monkeypatch, slot, frequent):
+    monkeypatch.setattr(keywords, "FREQUENT", frequent)
     rnd = random.Random(slot)
-    docs = [(k, "the " + " ".join(rnd.choices(WORDS, k=rnd.randint(0, 30)))) for k in range(60)] + [(3, "kata kata"), (None, "kata"), (70, None), (71, ""), (72, "the " * 50_000)]
-    queries = [(k, " ".join(rnd.choices(WORDS, k=rnd.randint(1, 6)))) for k in range(12)] + [(90, None), (91, "unknown"), (92, "kata, kata!")]
+    docs = [(k, "the " + " ".join([*rnd.choices(WORDS, k=rnd.randint(0, 30)), *["rare"] * (k % 9 == 0), f"own{k % 20}"])) for k in range(60)] + [(3, "kata kata"), (None, "kata"), (70, None), (71, ""), (72, "the " * 50_000)]
+    queries = [(k, " ".join(rnd.choices(WORDS, k=rnd.randint(1, 6)))) for k in range(12)] + [(90, None), (91, "unknown"), (92, "kata, kata!"), (93, "the rare of"), (94, "the own3 rare ia"), (95, "own4 own5 the the"), (96, "rare")]
     index = keywords.build(spark.createDataFrame(docs, "doc_id long, text string").withColumn("term", F.lit("own")), "doc_id", "text", slot)
     assert index.postings.agg(F.max(F.size("docs"))).first()[0] <= (63 if slot > 63 else 4 * slot)
     index.save(str(tmp_path / "index"))
