@@ -174,9 +174,13 @@ def chunk_maxmin(spark: SparkSession, input: str, output: str, *, embedder: embe
     full stop before white space ends one. With a ``cache``, ``embedder`` embeds what that doesn't have.
     """
     models: list[punkt.Model] = []
+    held: list[DataFrame] = []
 
     def make(docs: DataFrame) -> DataFrame:
         if sentences == "learnt":
+            # files are read once, for learning and for cutting
+            docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(docs)
             models.append(punkt.learn(read_texts(spark, learn_from, exclude_metadata=True) if learn_from else docs))
             cut = punkt.split(docs, models[0])
         else:
@@ -191,6 +195,8 @@ def chunk_maxmin(spark: SparkSession, input: str, output: str, *, embedder: embe
     finally:
         for model in models:
             model.forget()
+        for docs in held:
+            docs.unpersist()
 
 
 def chunk_elements(spark: SparkSession, input: str, output: str, *, partitioner: Callable = elements.html_partitioner, pattern: str = "*.html", strategy: str | None = None, languages: Sequence[str] | None = None, measure: Callable | None = None, partitioners: dict[str, tuple[float, Callable]] | None = None, include_metadata: bool = True, skip_existing: bool = True, only: str | None = None, log_dir: str | None = None, files_to: str | None = None) -> DataFrame:
