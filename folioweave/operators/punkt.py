@@ -22,7 +22,9 @@ of the names used here (``_row``, ``_units``, ``_open``) are in the way, others
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import log
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +41,12 @@ LITERAL = 1 << 20
 
 CLOSERS = "\"')\\]}”’»"
 OPENERS = "\"'(\\[{“‘«¿¡"
+_CLOSING, _OPENING = CLOSERS.replace("\\", ""), OPENERS.replace("\\", "")
 #: A unit: up to a mark that may end a sentence, closing quotes and brackets behind it, and white space.
 UNIT = f"(?s).+?(?:[.!?…][{CLOSERS}]*{S}+|\\z)"
 WORD = f"[^{SPACES}]+"
-#: The last word; one that isn't is given up at once, however long.
-LAST = f"(?<![^{SPACES}])([^{SPACES}]++){S}*+\\z"
+#: The characters of SPACES.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NUMBER, DOTS = "#", "…"
 _LEFT, _RIGHT = f"^[{OPENERS}]+", f"[{CLOSERS},;:!?]+\\z"
 _NUMBER = "^[-+]?[0-9]+([.,][0-9]+)*\\z"
@@ -64,38 +67,57 @@ class Model:
             table.unpersist()
 
 
-def _fields(word: Column, core: Column, bare: Column) -> Column:
-    """What a word shows: type, whether it ends in a full stop, in one that may end a sentence, in a mark that always does, and the case of its first letter (1 capital, 0 small, null neither)."""
-    dots = core.rlike("(\\.\\.|…)\\z")
-    kind = F.when(dots, DOTS).when(bare.rlike(_NUMBER), NUMBER).otherwise(F.when(bare.rlike("[\\p{L}\\p{Nd}]"), bare).otherwise(""))
-    case = F.when(core.rlike("^\\p{Lu}"), 1).when(core.rlike("^\\p{Ll}"), 0)
-    open_ = word.rlike(f"[.…][{CLOSERS}]*\\z")
-    return F.struct(kind.alias("type"), (core.endswith(".") & ~dots).alias("stop"), open_.alias("open"), word.rlike(f"[!?][{CLOSERS}]*\\z").alias("mark"), case.alias("case"))
-
-
 def _core(word: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(word, _LEFT, ""), _RIGHT, "")
+    return F.rtrim(F.ltrim(word, F.lit(_OPENING)), F.lit(_CLOSING + ",;:!?"))
 
 
 def _bare(core: Column) -> Column:
-    return F.lower(F.regexp_replace(core, "\\.\\z", ""))
+    return F.lower(F.when(core.endswith("."), F.left(core, F.length(core) - 1)).otherwise(core))
+
+
+def _dots(core: Column) -> Column:
+    return core.endswith("..") | core.endswith(DOTS)
+
+
+def _kind(core: Column, bare: Column) -> Column:
+    """The type; most words are told by their first or last character, the others by patterns."""
+    first = F.left(bare, F.lit(1))
+    number = F.right(bare, F.lit(1)).between("0", "9") & bare.rlike(_NUMBER)
+    letters = first.between("a", "z") | first.between("0", "9") | bare.rlike("[\\p{L}\\p{Nd}]")
+    return F.when(_dots(core), DOTS).when(number, NUMBER).otherwise(F.when(letters, bare).otherwise(""))
+
+
+def _case(core: Column) -> Column:
+    """Of the first letter: 1 capital, 0 small, null neither."""
+    first = F.left(core, F.lit(1))
+    return F.when(first.between("a", "z"), 0).when(first.between("A", "Z"), 1).when(first.rlike("^\\p{Lu}"), 1).when(first.rlike("^\\p{Ll}"), 0)
+
+
+def _stop(core: Column) -> Column:
+    return core.endswith(".") & ~_dots(core)
+
+
+def _ends_in(word: Column, *marks: str) -> Column:
+    """Whether the word's last character but for closing quotes and brackets is one of these."""
+    bared = F.rtrim(word, F.lit(_CLOSING))
+    return reduce(or_, (bared.endswith(m) for m in marks))
 
 
-def _shown(word: Column) -> Column:
-    """``_fields`` within a lambda function, each step made once."""
-    return bound(word, lambda w: bound(_core(w), lambda core: bound(_bare(core), lambda bare: _fields(w, core, bare))))
+def _word_at(unit: Column, end: int) -> Column:
+    """The first (1) or last (-1) word."""
+    return F.substring_index(F.trim(F.translate(unit, _SPACES, " " * len(_SPACES))), " ", end)
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """How often (``n``) each ``type`` is seen with each case and full stop behind each kind of word: ``behind`` is start, mark, stop (then ``before`` is its type), or word."""
-    words = docs.select(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)).alias("w"))
-    rows = words.select(F.explode(F.arrays_zip("w", F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("b"))).alias("p")).select("p.w", "p.b").where(F.col("w").isNotNull())
-    core = rows.select("w", "b", _core(F.col("w")).alias("wc"), _core(F.col("b")).alias("bc"))
-    rows = core.select(_fields(F.col("w"), F.col("wc"), _bare(F.col("wc"))).alias("w"), F.when(F.col("b").isNotNull(), _fields(F.col("b"), F.col("bc"), _bare(F.col("bc")))).alias("b"))
-    uncertain = F.col("b.open") & (F.col("b.stop") | (F.col("b.type") == DOTS))
-    behind = F.when(F.col("b").isNull(), "start").when(F.col("b.mark"), "mark").when(uncertain, "stop").otherwise("word")
-    keys = (behind.alias("behind"), F.when(behind == "stop", F.col("b.type")).alias("before"), F.col("w.type").alias("type"), F.col("w.stop").alias("stop"), F.col("w.case").alias("case"))
-    return rows.select(*keys).where(F.col("type") != "").groupBy("behind", "before", "type", "stop", "case").agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.split(F.btrim(F.col(text), F.lit(_SPACES)), f"{S}+").alias("w"))
+    words = words.select(F.explode_outer(F.arrays_zip("w", F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("b"))).alias("p"))
+    rows = words.select("p.w", "p.b").where(F.col("w") != "").select("w", "b", _core(F.col("w")).alias("wc"), _core(F.col("b")).alias("bc"))
+    uncertain = _ends_in(F.col("b"), ".", DOTS) & (F.col("bc").endswith(".") | _dots(F.col("bc")))
+    behind = F.when(F.col("b").isNull(), "start").when(_ends_in(F.col("b"), "!", "?"), "mark").when(uncertain, "stop").otherwise("word")
+    rows = rows.select(behind.alias("behind"), "bc", _kind(F.col("wc"), _bare(F.col("wc"))).alias("type"), _stop(F.col("wc")).alias("stop"), _case(F.col("wc")).alias("case")).where(F.col("type") != "")
+    before = F.when(F.col("behind") == "stop", _kind(F.col("bc"), _bare(F.col("bc"))))
+    return rows.select("behind", before.alias("before"), "type", "stop", "case").groupBy("behind", "before", "type", "stop", "case").agg(F.count(F.lit(1)).alias("n"))
 
 
 def is_initial(kind: Column) -> Column:
@@ -165,8 +187,9 @@ def _ends(mark: Column, before: Column, case: Column, abbreviation: Column, star
 
 def _boundaries(units: Column) -> Column:
     """For each unit but the first, the last word before it and its own first: type and mark of that, type and case of this."""
-    last = lambda u: _shown(F.regexp_extract(u, LAST, 1))
-    first = lambda u: _shown(F.regexp_extract(u, f"({WORD})", 1))
+    kind = lambda core, **more: bound(_bare(core), lambda bare: F.struct(_kind(core, bare).alias("type"), *(x.alias(name) for name, x in more.items())))
+    last = lambda u: bound(_word_at(u, -1), lambda w: bound(_core(w), lambda core: kind(core, mark=_ends_in(w, "!", "?"))))
+    first = lambda u: bound(_core(_word_at(u, 1)), lambda core: kind(core, case=_case(core)))
     made = lambda a, b: F.struct(a["type"].alias("before"), a["mark"].alias("mark"), b["type"].alias("type"), b["case"].alias("case"))
     n = F.size(units)
     return F.when(n > 1, F.zip_with(F.transform(F.slice(units, F.lit(1), n - 1), last), F.transform(F.slice(units, F.lit(2), n - 1), first), made)).otherwise(F.array().cast("array<struct<before:string,mark:boolean,type:string,case:int>>"))
@@ -185,8 +208,11 @@ def split(docs: DataFrame, model: Model, text: str = "text", into: str = "senten
     """``docs`` with the sentences of each text, stripped, none blank."""
     units = F.when(F.length(F.col(text)) > 0, F.regexp_extract_all(F.col(text), F.lit(UNIT), F.lit(0))).otherwise(F.when(F.col(text).isNotNull(), F.array().cast("array<string>")))
     docs = docs.withColumn("_units", units)
-    seen = docs.select(F.explode(_boundaries(F.col("_units"))).alias("x")).select("x.*").where(~F.col("mark")).groupBy("before", "type").agg(F.lit(1))
+    # the outer form: for a plain one all boundaries are found twice, as the optimiser infers a filter on their number
+    seen = docs.select(F.explode_outer(_boundaries(F.col("_units"))).alias("x")).select("x.*").where(~F.col("mark")).select("before", "type").distinct()
+    seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
     rules, size = _rules(seen, model)
+    seen.unpersist()
     if size <= LITERAL:
         found = docs.withColumn("_open", _by_sets(_boundaries(F.col("_units")), rules))
         rules.unpersist()
