@@ -49,10 +49,10 @@ class Index:
     words: int
 
     def save(self, path: str) -> None:
-        """Writes the index; postings lie by slot."""
+        """Writes the index; postings lie by terms, and terms are counted from the written ones, so texts are read once."""
         spark = self.postings.sparkSession
-        self.postings.repartition("slot").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.postings.sortWithinPartitions("term", "slot").write.mode("overwrite").parquet(f"{path}/postings")
+        _terms(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
         spark.createDataFrame([(self.documents, self.words)], "documents long, words long").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
 
     @staticmethod
@@ -72,8 +72,11 @@ def build(docs: DataFrame, key: str, text: str, slot: int = SLOT) -> Index:
     length = F.sum("times").over(Window.partitionBy("key"))
     counted = counted.withColumn("length", length).withColumn("slot", shared)
     postings = counted.groupBy("term", "slot").agg(F.collect_list(F.struct("key", "times", "length")).alias("docs"))
-    terms = postings.groupBy("term").agg(F.sum(F.size("docs")).cast("long").alias("docs"))
-    return Index(postings, terms, documents or 0, words or 0)
+    return Index(postings, _terms(postings), documents or 0, words or 0)
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.sum(F.size("docs")).cast("long").alias("docs"))
 
 
 def search(index: Index, queries: DataFrame, key: str, text: str, k: int = 4, k1: float = K1, b: float = B) -> DataFrame:

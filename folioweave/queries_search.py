@@ -17,7 +17,10 @@ def _index(spark, sf_dir):
 
 
 def _keywords(spark, sf_dir, k):
-    return keywords.search(_index(spark, sf_dir), _read(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text", k)
+    """Searches a written index, which is read several times and outlives lost executors."""
+    path = scratch(spark)
+    _index(spark, sf_dir).save(path)
+    return keywords.search(keywords.Index.load(spark, path), _read(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text", k)
 
 
 def keyword_terms(spark, sf_dir):
