@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from folioweave.functions.vectors import bound
 from folioweave.operators.rows import best
 
 #: Terms are runs of letters and digits, in lower case.
@@ -39,6 +40,16 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def _times(terms: Column) -> Column:
+    """``term`` and ``times`` for each distinct term of an array: in sorted order, equal ones are runs."""
+
+    def runs(found: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: (i == 1) | (F.get(found, i - 2) != F.get(found, i - 1)))
+        return bound(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(found, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(found) + 1) - i).cast("long").alias("times"))))
+
+    return F.when(F.size(terms) > 0, bound(F.sort_array(terms), runs))
+
+
 @dataclass
 class Index:
     """``postings``: term, slot, docs (key, times, length); ``terms``: term, docs; the number of documents and of all words."""
@@ -64,13 +75,18 @@ class Index:
 def build(docs: DataFrame, key: str, text: str, slot: int = SLOT) -> Index:
     """The index of ``docs``."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), terms_of(F.col(text)).alias("_terms"))
-    documents, words = rows.agg(F.count_distinct("key"), F.sum(F.size(F.coalesce("_terms", F.array().cast("array<string>"))))).first()
+    n_terms = F.size(F.coalesce("_terms", F.array().cast("array<string>")))
+    n, documents, words = rows.agg(F.count(F.lit(1)), F.count_distinct("key"), F.sum(n_terms)).first()
     slots = max(1, -(-documents // slot))
     shared = F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int")
-    # a document's terms are counted where it is read; its length comes along as a window over it, by slot
-    counted = rows.select("key", F.explode("_terms").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("times"))
-    length = F.sum("times").over(Window.partitionBy("key"))
-    counted = counted.withColumn("length", length).withColumn("slot", shared)
+    if n == documents:
+        # each row is a document, whose terms are counted where it is read
+        counted = rows.select("key", n_terms.cast("long").alias("length"), F.explode_outer(_times(F.col("_terms"))).alias("t")).where(F.col("t").isNotNull())
+        counted = counted.select("key", "length", "t.*")
+    else:
+        counted = rows.select("key", F.explode("_terms").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("times"))
+        counted = counted.withColumn("length", F.sum("times").over(Window.partitionBy("key")))
+    counted = counted.withColumn("slot", shared)
     postings = counted.groupBy("term", "slot").agg(F.collect_list(F.struct("key", "times", "length")).alias("docs"))
     return Index(postings, _terms(postings), documents or 0, words or 0)
 
