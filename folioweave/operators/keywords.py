@@ -3,7 +3,7 @@
 The index is two tables. ``postings`` has a row for each term and slot: the documents of the slot that have the term, how
 often, and their lengths. A slot is a share of all documents (SLOT at most, by a hash of the key), so a term that every document has is many
 rows of bounded size, which different tasks read. ``terms`` has the number of documents of each term. Both are plain tables that can be
-written and read again.
+written and read again. Where no key repeats, a document's terms are counted in its row, otherwise by a shuffle of its terms.
 
 ``search`` joins the terms of many queries with the postings, sums BM25 parts by query and document within slots, and keeps
 ``k`` of each query in each slot before those of all slots are ranked. Terms that more than FREQUENT of all documents hold are

@@ -55,6 +55,17 @@ def test_keyword_search(spark, tmp_path, monkeypatch, slot, frequent):
     assert keywords.search(empty, asked, "item", "text").collect() == [] and keywords.search(index, asked.where("item < 0"), "item", "text").collect() == []
 
 
+def test_terms_of_documents_with_keys_of_their_own(spark):
+    texts = ["b a, b B c", None, "", " .;", "the " * 50_000 + "end", "a", "É é x"]
+    index = keywords.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 3)
+    want = []
+    for k, t in enumerate(texts):
+        words = re.findall(r"\w+", (t or "").lower())
+        want += [(w, k, n, len(words)) for w, n in Counter(words).items()]
+    got = index.postings.select("term", F.explode("docs").alias("d")).select("term", "d.key", "d.times", "d.length")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and index.documents == len(texts) and index.words == sum(x[2] for x in want)
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 0, 10), (1, 1, 20), (2, 0, 5)], "query long, rank int, key long")
     b = spark.createDataFrame([(1, 0, 20), (1, 1, 30)], "query long, rank int, key long")
