@@ -62,10 +62,9 @@ def late_interaction(spark, sf_dir):
     vectors = _read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     near = retrieval.search(vectors, "embedding", "vec_id", _asked(vectors), "embedding", "vec_id", 20)
     candidates = near.join(vectors.select("vec_id", F.col("label").alias("key")), "vec_id").select("query", "key")
-    sets = lambda rows, by, name: rows.groupBy(by.alias(name)).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda r: r["embedding"]).alias("vectors"))
-    queries = sets(vectors.where(F.col("vec_id") % 20 < 3), F.col("vec_id") - F.col("vec_id") % 20, "query")
-    found = rerank.rerank(candidates, queries, sets(vectors, F.col("label"), "key"), k=5)
-    return found.select("query", "rank", F.col("key").alias("label"), F.round("score", 6).alias("score"))
+    queries = vectors.where(F.col("vec_id") % 20 < 3).select((F.col("vec_id") - F.col("vec_id") % 20).alias("query"), F.col("embedding").alias("vector"))
+    found = rerank.rerank_vectors(candidates, queries, vectors.select(F.col("label").alias("key"), F.col("embedding").alias("vector")), k=5)
+    return found.select("query", "rank", F.col("key").cast("int").alias("label"), F.round("score", 6).alias("score"))
 
 
 def collection_versions(spark, sf_dir):

@@ -143,6 +143,24 @@ def test_rerank_by_late_interaction(spark):
     assert {r["query"]: r["key"] for r in by_size.collect()} == {0: 4, 1: 9, 2: 4, 3: 9}
 
 
+@pytest.mark.parametrize("size", [4096, 7])
+def test_rerank_of_vectors_in_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(rerank, "QUERIES", size)
+    rnd = np.random.default_rng(5)
+    queries = {q: rnd.normal(size=(3, 8)) for q in range(6)}
+    chunks = {c: rnd.normal(size=(1 + 3 * (c % 9), 8)) for c in range(15)} | {20: rnd.normal(size=(60, 8))}
+    chunks[14] = chunks[3]
+    candidates = [(q, c) for q in range(7) for c in [*range(16), 20] if (q + c) % 3 or c == 20] * 2
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = lambda q, c: float((unit(queries[q]) @ unit(chunks[c]).T).max(axis=1).sum())
+    want = {q: sorted({(round(-score(a, c), 9), c) for a, c in candidates if a == q and c in chunks})[:5] for q in queries}
+    frame = lambda sets, name: spark.createDataFrame([(k, [float(x) for x in v]) for k, m in sets.items() for v in m] + [(99, None), (1, None)], f"{name} long, vector array<float>").repartition(3)
+    found = rerank.rerank_vectors(spark.createDataFrame(candidates, "query long, key long"), frame(queries, "query"), frame(chunks, "key"), k=5)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    rows = found.collect()
+    assert {q: [(round(-r["score"], 5), r["key"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query"] == q] for q in queries} == {q: [(round(s, 5), c) for s, c in x] for q, x in want.items()}
+
+
 def _files(path):
     return {str(f.relative_to(path)) for f in Path(path).glob("data/*/*/*.parquet")}
 
