@@ -9,7 +9,8 @@ word is seen with a capital. ``split`` then decides each full stop before white
 the next word shows by its capital, or as a frequent starter, that it begins one; after an initial or a number it doesn't
 end if the next word is no beginning, or belongs to it; after any other word it ends, as it does after ``!`` and ``?``.
 
-Counting is one aggregation of built-in functions with partial sums in each task, so a frequent word is a row from each.
+Counting is two aggregations of built-in functions, of words as they are written and of their types, with partial sums in each task,
+so a frequent word is a row from each.
 What of the model these texts need (abbreviations, and the words seen behind an uncertain full stop) is measured first: up to
 LITERAL bytes it goes into the plan as sets, and texts are cut where they are read; beyond that, boundaries are joined with
 the model by shuffles, and only their places come back to the texts.
@@ -111,13 +112,18 @@ def _word_at(unit: Column, end: int) -> Column:
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """How often (``n``) each ``type`` is seen with each case and full stop behind each kind of word: ``behind`` is start, mark, stop (then ``before`` is its type), or word."""
     words = docs.select(F.split(F.btrim(F.col(text), F.lit(_SPACES)), f"{S}+").alias("w"))
-    words = words.select(F.explode_outer(F.arrays_zip("w", F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("b"))).alias("p"))
-    rows = words.select("p.w", "p.b").where(F.col("w") != "").select("w", "b", _core(F.col("w")).alias("wc"), _core(F.col("b")).alias("bc"))
+    words = words.select(F.inline_outer(F.arrays_zip("w", F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("b")))).where(F.col("w") != "")
+    # words are counted as they are written, with those before them that may end a sentence; kinds are told once for each pair
+    told = reduce(or_, (F.col("b").contains(m) for m in (".", "!", "?", DOTS)))
+    rows = words.select("w", F.when(F.col("b").isNull() | told, F.col("b")).otherwise("").alias("b")).groupBy("w", "b").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("w", "b", "n", _core(F.col("w")).alias("wc"), _core(F.col("b")).alias("bc"))
     uncertain = _ends_in(F.col("b"), ".", DOTS) & (F.col("bc").endswith(".") | _dots(F.col("bc")))
     behind = F.when(F.col("b").isNull(), "start").when(_ends_in(F.col("b"), "!", "?"), "mark").when(uncertain, "stop").otherwise("word")
-    rows = rows.select(behind.alias("behind"), "bc", _kind(F.col("wc"), _bare(F.col("wc"))).alias("type"), _stop(F.col("wc")).alias("stop"), _case(F.col("wc")).alias("case")).where(F.col("type") != "")
+    # by the count, which is always positive, so that the filter isn't pushed below the counting and run for every word
+    kind = F.when(F.col("n") > 0, _kind(F.col("wc"), _bare(F.col("wc"))))
+    rows = rows.select("n", behind.alias("behind"), "bc", kind.alias("type"), _stop(F.col("wc")).alias("stop"), _case(F.col("wc")).alias("case")).where(F.col("type") != "")
     before = F.when(F.col("behind") == "stop", _kind(F.col("bc"), _bare(F.col("bc"))))
-    return rows.select("behind", before.alias("before"), "type", "stop", "case").groupBy("behind", "before", "type", "stop", "case").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("n", "behind", before.alias("before"), "type", "stop", "case").groupBy("behind", "before", "type", "stop", "case").agg(F.sum("n").alias("n"))
 
 
 def is_initial(kind: Column) -> Column:
