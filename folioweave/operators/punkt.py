@@ -11,7 +11,7 @@ end if the next word is no beginning, or belongs to it; after any other word it
 
 Counting is two aggregations of built-in functions, of words as they are written and of their types, with partial sums in each task,
 so a frequent word is a row from each.
-What of the model these texts need (abbreviations, and the words seen behind an uncertain full stop) is measured first: up to
+What of the model these texts need (its abbreviations, and the words seen behind an uncertain full stop) is measured first: up to
 LITERAL bytes it goes into the plan as sets, and texts are cut where they are read; beyond that, boundaries are joined with
 the model by shuffles, and only their places come back to the texts.
 
@@ -37,6 +37,8 @@ from folioweave.functions.vectors import bound
 
 # Fixed values of the method: the least scores of abbreviations, collocations and starters, and the share of full stops that abbreviations have
 ABBREVIATION, COLLOCATION, STARTER, STOPPED = 0.3, 7.88, 30.0, 0.99
+#: Characters in which a word at a unit's end is looked for first.
+NEAR = 24
 #: Bytes of learnt types that may stand in a plan.
 LITERAL = 1 << 20
 
@@ -105,8 +107,10 @@ def _ends_in(word: Column, *marks: str) -> Column:
 
 
 def _word_at(unit: Column, end: int) -> Column:
-    """The first (1) or last (-1) word."""
-    return F.substring_index(F.trim(F.translate(unit, _SPACES, " " * len(_SPACES))), " ", end)
+    """The first (1) or last (-1) word, looked for in the unit's NEAR characters at that end; in all of it only where they hold no end of the word."""
+    plain = lambda part: F.trim(F.translate(part, _SPACES, " " * len(_SPACES)))
+    near = (F.left if end == 1 else F.right)(unit, F.lit(NEAR))
+    return bound(plain(near), lambda part: F.substring_index(F.when(part.contains(" "), part).otherwise(plain(unit)), " ", end))
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -192,13 +196,20 @@ def _ends(mark: Column, before: Column, case: Column, abbreviation: Column, star
 
 
 def _boundaries(units: Column) -> Column:
-    """For each unit but the first, the last word before it and its own first: type and mark of that, type and case of this."""
-    kind = lambda core, **more: bound(_bare(core), lambda bare: F.struct(_kind(core, bare).alias("type"), *(x.alias(name) for name, x in more.items())))
-    last = lambda u: bound(_word_at(u, -1), lambda w: bound(_core(w), lambda core: kind(core, mark=_ends_in(w, "!", "?"))))
-    first = lambda u: bound(_core(_word_at(u, 1)), lambda core: kind(core, case=_case(core)))
-    made = lambda a, b: F.struct(a["type"].alias("before"), a["mark"].alias("mark"), b["type"].alias("type"), b["case"].alias("case"))
+    """For each unit but the first, the last word before it and its own first: type and mark of that, core of this."""
+    last = lambda u: bound(_word_at(u, -1), lambda w: bound(_core(w), lambda core: bound(_bare(core), lambda bare: F.struct(_kind(core, bare).alias("type"), _ends_in(w, "!", "?").alias("mark")))))
+    first = lambda u: _core(_word_at(u, 1))
+    made = lambda a, b: F.struct(a["type"].alias("before"), a["mark"].alias("mark"), b.alias("core"))
     n = F.size(units)
-    return F.when(n > 1, F.zip_with(F.transform(F.slice(units, F.lit(1), n - 1), last), F.transform(F.slice(units, F.lit(2), n - 1), first), made)).otherwise(F.array().cast("array<struct<before:string,mark:boolean,type:string,case:int>>"))
+    return F.when(n > 1, F.zip_with(F.transform(F.slice(units, F.lit(1), n - 1), last), F.transform(F.slice(units, F.lit(2), n - 1), first), made)).otherwise(F.array().cast("array<struct<before:string,mark:boolean,core:string>>"))
+
+
+def _type(core: Column) -> Column:
+    return bound(_bare(core), lambda bare: _kind(core, bare))
+
+
+def _odd(kind: Column) -> Column:
+    return (kind == NUMBER) | (kind == DOTS) | is_initial(kind)
 
 
 def _joined(units: Column, ends: Column) -> Column:
@@ -214,40 +225,45 @@ def split(docs: DataFrame, model: Model, text: str = "text", into: str = "senten
     """``docs`` with the sentences of each text, stripped, none blank."""
     units = F.when(F.length(F.col(text)) > 0, F.regexp_extract_all(F.col(text), F.lit(UNIT), F.lit(0))).otherwise(F.when(F.col(text).isNotNull(), F.array().cast("array<string>")))
     docs = docs.withColumn("_units", units)
+    short = model.types.where("abbreviation").select("type")
+    if (short.agg(F.sum(F.octet_length("type") + 16)).first()[0] or 0) > LITERAL:
+        return _by_joins(docs, model, into)
+    held = [r[0] for r in short.collect()]
     # the outer form: for a plain one all boundaries are found twice, as the optimiser infers a filter on their number
-    seen = docs.select(F.explode_outer(_boundaries(F.col("_units"))).alias("x")).select("x.*").where(~F.col("mark")).select("before", "type").distinct()
-    seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
+    seen = docs.select(F.explode_outer(_boundaries(F.col("_units"))).alias("x")).select("x.*").where(~F.col("mark") & _uncertain(F.col("before"), held))
+    seen = seen.select("before", "core").distinct().select("before", _type(F.col("core")).alias("type")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
     rules, size = _rules(seen, model)
     seen.unpersist()
     if size <= LITERAL:
-        found = docs.withColumn("_open", _by_sets(_boundaries(F.col("_units")), rules))
+        found = docs.withColumn("_open", _by_sets(_boundaries(F.col("_units")), rules, held))
         rules.unpersist()
         return found.withColumn(into, _joined(F.col("_units"), F.col("_open"))).drop("_units", "_open")
     rules.unpersist()
     return _by_joins(docs, model, into)
 
 
+def _uncertain(before: Column, short: list[str]) -> Column:
+    """Whether a sentence may go on behind a word of this type."""
+    return before.isin(short) | _odd(before) if short else _odd(before)
+
+
 def _rules(seen: DataFrame, model: Model) -> tuple[DataFrame, int]:
-    """What of the model is asked of these pairs of words, as (rule, value), and its bytes."""
-    short = model.types.where("abbreviation").select("type")
-    before = seen.select(F.col("before").alias("type")).distinct()
-    own = before.join(short, "type").select(F.lit("abbreviation").alias("rule"), F.col("type").alias("value"))
-    odd = before.where((F.col("type") == NUMBER) | (F.col("type") == DOTS) | is_initial(F.col("type")))
-    asked = seen.join(short.unionByName(odd).distinct().withColumnRenamed("type", "before"), "before")
-    behind = asked.select("type").distinct().join(model.types, "type")
+    """What of the model is asked of these pairs of an uncertain word and the next, as (rule, value), and its bytes."""
+    behind = seen.select("type").distinct().join(model.types, "type")
     kinds = F.filter(F.array(*(F.when(F.col(c), F.lit(c)) for c in ("starter", "lower", "opens", "either"))), lambda x: x.isNotNull())
-    pairs = asked.join(model.pairs, ["before", "type"]).select(F.lit("pair").alias("rule"), F.concat_ws(" ", "before", "type").alias("value"))
-    rules = own.unionByName(behind.select(F.explode(kinds).alias("rule"), F.col("type").alias("value"))).unionByName(pairs).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = seen.join(model.pairs, ["before", "type"]).select(F.lit("pair").alias("rule"), F.concat_ws(" ", "before", "type").alias("value"))
+    rules = behind.select(F.explode(kinds).alias("rule"), F.col("type").alias("value")).unionByName(pairs).distinct().persist(StorageLevel.MEMORY_AND_DISK)
     return rules, rules.agg(F.sum(F.octet_length("value") + 16)).first()[0] or 0
 
 
-def _by_sets(boundaries: Column, rules: DataFrame) -> Column:
-    sets: dict[str, list[str]] = {}
+def _by_sets(boundaries: Column, rules: DataFrame, short: list[str]) -> Column:
+    sets: dict[str, list[str]] = {"abbreviation": short}
     for rule, value in rules.collect():
         sets.setdefault(rule, []).append(value)
     held = lambda rule, value: value.isin(sets[rule]) if sets.get(rule) else F.lit(False)
-    of = lambda x: [held(rule, x["type"]) for rule in ("starter", "lower", "opens", "either")]
-    ends = lambda x: _ends(x["mark"], x["before"], x["case"], held("abbreviation", x["before"]), *of(x), held("pair", F.concat_ws(" ", x["before"], x["type"])))
+    told = lambda x, kind: _ends(x["mark"], x["before"], _case(x["core"]), held("abbreviation", x["before"]), *(held(rule, kind) for rule in ("starter", "lower", "opens", "either")), held("pair", F.concat_ws(" ", x["before"], kind)))
+    # the next word is looked at only where it decides
+    ends = lambda x: F.when(x["mark"] | ~_uncertain(x["before"], short), True).otherwise(bound(_type(x["core"]), lambda kind: told(x, kind)))
     return F.filter(F.transform(boundaries, lambda x, i: F.when(ends(x), i + 1)), lambda i: i.isNotNull())
 
 
@@ -255,6 +271,7 @@ def _by_joins(docs: DataFrame, model: Model, into: str) -> DataFrame:
     # equal texts are cut alike, so the text itself is what joins them
     docs = docs.withColumn("_row", F.sha2(F.array_join("_units", ""), 256))
     rows = docs.select("_row", F.posexplode(_boundaries(F.col("_units"))).alias("i", "x")).select("_row", (F.col("i") + 1).alias("i"), "x.*")
+    rows = rows.select("_row", "i", "before", "mark", _type(F.col("core")).alias("type"), _case(F.col("core")).alias("case"))
     # each pair of words is judged once; a pair that is seen very often is a skewed key that Spark splits, as it has one judgement
     pairs = rows.select("before", "mark", "type", "case").distinct()
     own = model.types.select(F.col("type").alias("before"), F.col("abbreviation"))

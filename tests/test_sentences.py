@@ -141,3 +141,19 @@ def test_a_model_serves_other_texts_and_nothing_teaches_nothing(spark, small):
     assert punkt.split(others, nothing).first()["sentences"] == ["Tanya Dr.", "Siti saja.", "Besok no.", "9 buka."]
     cut = punkt.split(spark.read.parquet(f"{small}/documents.parquet"), learnt)._jdf.queryExecution().toString()
     assert "Python" not in cut and "Arrow" not in cut
+
+
+def test_words_are_counted_before_their_kinds_are_told(spark):
+    """The filter on kinds lies above the counting of words: below it, it would run for each word of each text."""
+    plan = punkt.counted(spark.createDataFrame([("a b. C",)], "text string"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    counts = [k for k, line in enumerate(plan) if "Aggregate" in line]
+    kinds = [k for k, line in enumerate(plan) if "Filter" in line and "RLIKE" in line]
+    assert len(counts) == 2 and kinds and max(kinds) < counts[1]
+
+
+@pytest.mark.parametrize("word", ["x" * 23, "x" * 24, "x" * 25, "(“" + "y" * 60 + "”)", "é" * 24, "a"])
+def test_words_longer_than_what_is_looked_at_first(spark, word):
+    rows = [("one " * 20 + f"{word}.  \u3000{word} two " * 2 + "dr. " + word,), (f"  {word}. {word}",)] * 3
+    docs = spark.createDataFrame(rows, "text string")
+    plain = Plain([r[0] for r in rows])
+    assert [r["sentences"] for r in punkt.split(docs, punkt.learn(docs)).collect()] == [plain.split(r[0]) for r in rows]
