@@ -1,6 +1,9 @@
+import math
 import re
 import time
 from collections import deque
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pytest
@@ -163,3 +166,42 @@ def test_chunks_are_computed_once(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("chunks", recursive.split(clean_text(F.col("text"))))
     plan = recursive.to_chunks(docs, "chunks", "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_ties_with_the_limit_are_those_of_plain_sums():
+    """A similarity of exactly 0.4 times 1.5 is no more than 0.6 by sums in order; other orders of summing say otherwise."""
+    dot = lambda a, b: reduce(add, (x * y for x, y in zip(a, b, strict=True)), 0.0)
+    plain = lambda a, b: dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+    rnd = np.random.default_rng(1)
+    for _ in range(200):
+        rows = rnd.integers(-2, 3, size=(2, 64)).astype(float)
+        rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32).astype(float)
+        near = plain(rows[0].tolist(), rows[1].tolist())
+        if near > 0.01:
+            assert maxmin.starts_of(rows, 1.5 * near) == [0, 1]
+            assert maxmin.starts_of(rows, np.nextafter(1.5 * near, 0)) == [0]
+
+
+def test_long_clusters_look_at_the_latest_first(monkeypatch):
+    rnd = np.random.default_rng(2)
+    rows = rnd.normal(size=(400, 8))
+
+    def naive(vectors, floor):
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        starts, low = [0], np.inf
+        for i in range(1, len(unit)):
+            near = unit[starts[-1] : i] @ unit[i]
+            alone = len(near) == 1
+            limit, reach = (0.0, 1.5 * near[0]) if alone else (low * 0.9 / (1 + math.exp(1 - len(near))), near.max())
+            low = min(low, near.min())
+            if not reach > max(limit, floor):
+                starts, low = [*starts, i], np.inf
+        return starts
+
+    looked = []
+    for latest in (1, 5, 64):
+        monkeypatch.setattr(maxmin, "LATEST", latest)
+        for floor in (-1.0, 0.05, 0.6, 0.9):
+            assert maxmin.starts_of(rows, floor) == naive(rows, floor)
+            looked.append(floor)
+    assert len(looked) == 12
