@@ -1,6 +1,7 @@
 import math
 import re
 import time
+import zlib
 from collections import deque
 from functools import reduce
 from operator import add
@@ -205,3 +206,19 @@ def test_long_clusters_look_at_the_latest_first(monkeypatch):
             assert maxmin.starts_of(rows, floor) == naive(rows, floor)
             looked.append(floor)
     assert len(looked) == 12
+
+
+def test_hash_embedder_sums_words(monkeypatch):
+    texts = ["Kata kata buku", "", "  ", "buku é😀 x", *(f"w{k} kata" for k in range(40))]
+    want = []
+    for text in texts:
+        v = [0] * 64
+        for word in text.lower().split():
+            marked = f"<{word}>"
+            for part in (marked, *(marked[i : i + 3] for i in range(len(marked) - 2))):
+                h = zlib.crc32(part.encode())
+                v[(h >> 1) % 64] += 1 - 2 * (h & 1)
+        want.append(v)
+    monkeypatch.setattr(embed.HashEmbedder, "REMEMBERED", 9)
+    model = embed.HashEmbedder()
+    assert np.concatenate([model.embed(texts[a : a + 5]) for a in range(0, len(texts), 5)]).tolist() == want
