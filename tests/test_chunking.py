@@ -222,3 +222,14 @@ def test_hash_embedder_sums_words(monkeypatch):
     monkeypatch.setattr(embed.HashEmbedder, "REMEMBERED", 9)
     model = embed.HashEmbedder()
     assert np.concatenate([model.embed(texts[a : a + 5]) for a in range(0, len(texts), 5)]).tolist() == want
+
+
+@pytest.mark.parametrize("latest", [3, 64])
+def test_built_in_fold_of_long_clusters(spark, monkeypatch, latest):
+    monkeypatch.setattr(maxmin, "LATEST", latest)
+    rows = np.random.default_rng(3).normal(size=(150, 8))
+    docs = spark.createDataFrame([(rows.tolist(),)], "v array<array<double>>")
+    for floor in (-1.0, 0.05, 0.6, 0.9):
+        found = maxmin.cluster(docs, "v", fixed_threshold=floor, impl="hof")
+        assert found.first()["starts"] == maxmin.starts_of(rows, floor)
+    assert "exists(" in found._jdf.queryExecution().toString()
