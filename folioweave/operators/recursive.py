@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +16,8 @@ from folioweave.operators.rows import each
 # Separators from paragraphs down to characters
 SEPARATORS = ("\n\n", "\n", " ", "")
 METHOD = "recursive_character_text_splitter"
+#: Texts whose chunks are held as Python objects at a time.
+PART = 64
 
 
 def _pieces(text: str, separator: str) -> list[str]:
@@ -67,12 +69,16 @@ def split(text: Column, *, chunk_size: int = 1000, chunk_overlap: int = 200, sep
         return F.lit(None).cast("array<string>")
     given = list(SEPARATORS if separators is None else separators)
     patterns = given if is_separator_regex else [re.escape(s) for s in given]
+    kind = pa.list_(pa.string())
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else split_text(t, chunk_size, chunk_overlap, patterns, length_function))
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def chunks(texts: pa.Array) -> pa.Array:
+        # chunks of PART texts are Python objects at a time; the rest of a batch are bytes
+        parts = [pa.array([None if t is None else split_text(t, chunk_size, chunk_overlap, patterns, length_function) for t in texts.slice(a, PART).to_pylist()], kind) for a in range(0, len(texts), PART)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
-    return chunks(text)
+    # else the optimiser puts filters on the chunks below other steps, and has Python make them once more for each
+    return chunks.asNondeterministic()(text)
 
 
 def windows(text: Column, *, chunk_size: int = 1000, chunk_overlap: int = 200) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folioweave.functions import vectors
 from folioweave.functions.cleaning import clean_text
 from folioweave.operators import elements, embed, maxmin, recursive, sentences
+from folioweave.sources.sinks import arrays_json
 
 ESCAPED = ["\\\n\\\n", "\\\n", "\\ ", ""]
 
@@ -233,3 +234,14 @@ def test_built_in_fold_of_long_clusters(spark, monkeypatch, latest):
         found = maxmin.cluster(docs, "v", fixed_threshold=floor, impl="hof")
         assert found.first()["starts"] == maxmin.starts_of(rows, floor)
     assert "exists(" in found._jdf.queryExecution().toString()
+
+
+def test_chunks_are_made_once(spark):
+    """A filter on the chunks' number must not have Python make them again."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([None, "", "kata " * 900, *["x y " * 400] * 40])], "doc_id long, text string")
+    made = docs.withColumn("chunks", recursive.split(F.col("text")))
+    found = arrays_json(made, "doc_id", recursive.structs(F.col("chunks"), F.col("doc_id")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+    assert len(found.collect()) == 41
+    assert [r["chunks"] for r in made.orderBy("doc_id").collect()] == [None if r["text"] is None else split(r["text"], 1000, 200) for r in docs.orderBy("doc_id").collect()]
