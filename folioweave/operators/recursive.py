@@ -68,6 +68,8 @@ def split(text: Column, *, chunk_size: int = 1000, chunk_overlap: int = 200, sep
     if chunk_overlap > chunk_size:
         return F.lit(None).cast("array<string>")
     given = list(SEPARATORS if separators is None else separators)
+    if given == [""] and length_function is len and 0 <= chunk_overlap < chunk_size:
+        return windows(text, chunk_size=chunk_size, chunk_overlap=chunk_overlap)
     patterns = given if is_separator_regex else [re.escape(s) for s in given]
     kind = pa.list_(pa.string())
 

@@ -236,6 +236,17 @@ def test_built_in_fold_of_long_clusters(spark, monkeypatch, latest):
     assert "exists(" in found._jdf.queryExecution().toString()
 
 
+def test_one_empty_separator_needs_no_python(spark):
+    texts = [None, "", " x ", "é😀 " * 900, "a" * 2500]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for size, overlap in ((1000, 200), (7, 0), (5, 4)):
+        found = docs.select("text", recursive.split(F.col("text"), chunk_size=size, chunk_overlap=overlap, separators=[""]).alias("c"))
+        assert [r["c"] for r in found.collect()] == [None if t is None else split(t, size, overlap, [""]) for t in texts]
+        assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+    same = docs.select(recursive.split(F.col("text"), chunk_size=3, chunk_overlap=3, separators=[""]).alias("c"))
+    assert same.collect()[4]["c"] == split("a" * 2500, 3, 3, [""])
+
+
 def test_chunks_are_made_once(spark):
     """A filter on the chunks' number must not have Python make them again."""
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([None, "", "kata " * 900, *["x y " * 400] * 40])], "doc_id long, text string")
