@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioweave.functions.patterns import DIGIT, LINES, PLAIN, SPACES, WORDS, S
+from folioweave.functions.patterns import BLANKS, DIGIT, LINES, PLAIN, SPACES, WORDS, S
+from folioweave.functions.vectors import bound
 
 # The rewrites and their order, which decide the result
 REWRITES: list[tuple[str, str, str]] = [
@@ -40,6 +42,13 @@ REWRITES: list[tuple[str, str, str]] = [
     ("equals signs", "={3,}", ""),
 ]
 
+#: What a text has if the rewrite of that name finds anything: one of these. Looking for them costs far less than a pattern.
+NEEDS = {
+    "zero width": "\ufeff\u200b\u200c\u200d", "page number": ["age"], "page number, Indonesian": ["alaman"], "page of pages": ["of"], "line of a number in brackets": ["["],
+    "copyright sign": ["©"], "copyright": ["opyright"], "address of a page": ["http"], "address of mail": ["@"], "footnote in brackets": ["["], "footnote in parentheses": ["("],
+    "spaces": ["  "], "tabs": ["\t"], "many line ends": ["\n\n\n"], "broken line": ["\n"], "blank line": ["\n"], "dots": ["..."], "dashes": ["---"], "underscores": ["___"], "equals signs": ["==="],
+}
+
 # Lines that publications repeat on each page
 HEADERS = [
     "^{s}*Badan Pusat Statistik.*$",
@@ -53,7 +62,7 @@ HEADERS = [
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, f"^{S}+|{S}+\\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def _rewritten(text: Column, rewrites: Sequence[tuple[str, str]]) -> Column:
@@ -62,7 +71,14 @@ def _rewritten(text: Column, rewrites: Sequence[tuple[str, str]]) -> Column:
 
 def clean_text(text: Column) -> Column:
     """The whole chain; null as empty."""
-    return strip(_rewritten(F.coalesce(text, F.lit("")), [(p, r) for _, p, r in REWRITES]))
+
+    def step(text: Column, rewrite: tuple[str, str, str]) -> Column:
+        name, pattern, to = rewrite
+        if name not in NEEDS:
+            return _rewritten(text, [(pattern, to)])
+        return bound(text, lambda t: F.when(reduce(or_, (t.contains(x) for x in NEEDS[name])), _rewritten(t, [(pattern, to)])).otherwise(t))
+
+    return strip(reduce(step, REWRITES, F.coalesce(text, F.lit(""))))
 
 
 def clean_text_advanced(text: Column, *, remove_numbers: bool = False, remove_punctuation: bool = False) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from folioweave.functions.cleaning import strip
-from folioweave.functions.patterns import SPACES, S
+from folioweave.functions.patterns import BLANKS, SPACES, S
 from folioweave.functions.vectors import bound
 
 # Fixed values of the method: the least scores of abbreviations, collocations and starters, and the share of full stops that abbreviations have
@@ -48,8 +48,7 @@ _CLOSING, _OPENING = CLOSERS.replace("\\", ""), OPENERS.replace("\\", "")
 #: A unit: up to a mark that may end a sentence, closing quotes and brackets behind it, and white space.
 UNIT = f"(?s).+?(?:[.!?…][{CLOSERS}]*{S}+|\\z)"
 WORD = f"[^{SPACES}]+"
-#: The characters of SPACES.
-_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SPACES = BLANKS
 NUMBER, DOTS = "#", "…"
 _LEFT, _RIGHT = f"^[{OPENERS}]+", f"[{CLOSERS},;:!?]+\\z"
 _NUMBER = "^[-+]?[0-9]+([.,][0-9]+)*\\z"

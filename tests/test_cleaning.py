@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioweave.functions import cleaning
+from folioweave.functions.patterns import BLANKS, S
 
 VECTORS = [
     ("\nPage 1\nIni adalah contoh     teks.\n\n\nDengan whitespace    berlebih.\n", "Ini adalah contoh teks.\nDengan whitespace berlebih."),
@@ -65,3 +66,18 @@ def test_stem(spark, name, want):
 def test_pages(spark):
     rows = spark.createDataFrame([(["a", " \n", "b"],), ([],), (None,)], "pages array<string>")
     assert [r[0] for r in rows.select(cleaning.join_pages(F.col("pages"))).collect()] == ["a\nb", "", None]
+
+
+def test_rewrites_that_a_text_does_not_need_are_passed_over(spark):
+    """Each rewrite alone and all together give what the bare patterns give, where they are needed and where not."""
+    texts = [v for v, _ in VECTORS] + ["Page 1 Halaman 2 3 of 4 http://a.b mail a@b.cd\n[1]\n [2] (3) © 2020 x\nCopyright 2021\n\n\n\t a  b...... --- ___ ====\nc\ufeff\u200b\u200c\u200d", *(f"x{n}y" for x in cleaning.NEEDS.values() for n in x)]
+    bare = lambda t: F.regexp_replace(cleaning._rewritten(F.coalesce(t, F.lit("")), [(p, r) for _, p, r in cleaning.REWRITES]), f"^{S}+|{S}+\\z", "")
+    assert _run(spark, texts, cleaning.clean_text) == _run(spark, texts, bare)
+    assert set(cleaning.NEEDS) <= {n for n, _, _ in cleaning.REWRITES}
+
+
+def test_strip_knows_every_blank(spark):
+    texts = [b + "x" + b + "y" + b for b in (*BLANKS, BLANKS)] + ["", BLANKS, "\u200bx", None]
+    assert _run(spark, texts, cleaning.strip) == _run(spark, texts, lambda t: F.regexp_replace(t, f"^{S}+|{S}+\\z", ""))
+    found = spark.range(1).select(cleaning.clean_text(F.lit("x"))).select("*")
+    assert "contains(" in found._jdf.queryExecution().analyzed().toString().lower()
