@@ -18,8 +18,9 @@ from folioweave.functions.vectors import cosine, l2_normalize, norm
 from folioweave.operators.rows import best
 
 
-#: Rows of a block.
+#: Rows of a block; queries of it that are scored at once.
 QUERIES = 4096
+SLICE = 512
 
 
 def as_vector(query: Sequence[float]) -> Column:
@@ -75,8 +76,8 @@ def search(chunks: DataFrame, vector: str, key: str, queries: DataFrame, query_v
                 wanted, data = (_matrix(batch.column(c), j, len(n)) for c, n in (("q_vectors", names), ("c_vectors", keys)))
                 order = np.argsort(keys, kind="stable")
                 near = wanted @ data[order].T
-                found = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                yield _found(names, keys[order][found], np.take_along_axis(near, found, axis=1))
+                row, at = _best(near, k)
+                yield _listed(names[row], keys[order][at], near[row, at])
 
     pairs = _blocks(queries, query_key, query_vector, "q", QUERIES).crossJoin(_blocks(chunks, key, vector, "c", QUERIES))
     return _ranked(pairs.mapInArrow(nearest, _FOUND), key, k)
@@ -85,6 +86,25 @@ def search(chunks: DataFrame, vector: str, key: str, queries: DataFrame, query_v
 _FOUND = "query long, similarity double, key long"
 
 
+def _best(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places of each row's ``k`` greatest values; of equal ones the first."""
+    n = near.shape[1]
+    if n > 4 * k:
+        # all that reach the k-th greatest, which are few more than k; what is no number is last, as in a sort
+        less = -near
+        row, at = np.nonzero(~(less > np.partition(less, k - 1, axis=1)[:, k - 1, None]))
+    else:
+        row, at = np.nonzero(np.ones(near.shape, bool))
+    order = np.lexsort((at, -near[row, at], row))
+    row, at = row[order], at[order]
+    own = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[own], at[own]
+
+
+def _listed(names: np.ndarray, keys: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(near), pa.array(keys)], names=["query", "similarity", "key"])
+
+
 def _found(names: np.ndarray, keys: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, keys.shape[1])), pa.array(near.ravel()), pa.array(keys.ravel())], names=["query", "similarity", "key"])
 
@@ -123,18 +143,31 @@ def truncated_search(chunks: DataFrame, vector: str, key: str, queries: DataFram
     def scored(batches):
         for batch in batches:
             for j in range(batch.num_rows):
-                names, keys = (batch.column(c)[j].values.to_numpy() for c in ("q_keys", "c_keys"))
-                wanted, data = (batch.column(c)[j].values.to_numpy().reshape(len(n), -1) for c, n in (("q_vectors", names), ("c_vectors", keys)))
-                wanted, least = wanted[:, :-1], wanted[:, -1]
-                head, tail = slice(None, dimensions), slice(dimensions, None)
-                high = wanted[:, head] @ data[:, head].T + np.outer(np.linalg.norm(wanted[:, tail], axis=1), np.linalg.norm(data[:, tail], axis=1))
-                for q, name in enumerate(names.tolist()):
-                    at = np.flatnonzero(high[q] >= least[q] - 1e-9)
-                    near = data[at] @ wanted[q]
-                    order = np.lexsort((keys[at], -near))[:k]
-                    n = len(order)
+                all_names, keys = (batch.column(c)[j].values.to_numpy() for c in ("q_keys", "c_keys"))
+                asked_of, data = (batch.column(c)[j].values.to_numpy().reshape(len(n), -1) for c, n in (("q_vectors", all_names), ("c_vectors", keys)))
+                for a in range(0, len(all_names), SLICE):
+                    names, wanted, least = all_names[a : a + SLICE], asked_of[a : a + SLICE, :-1], asked_of[a : a + SLICE, -1]
+                    head, tail = slice(None, dimensions), slice(dimensions, None)
+                    high = wanted[:, head] @ data[:, head].T + np.outer(np.linalg.norm(wanted[:, tail], axis=1), np.linalg.norm(data[:, tail], axis=1))
+                    # where most chunks are left, one product of all is cheaper than one for each query's own
+                    kept = high >= least[:, None] - 1e-9
+                    many = kept.sum(axis=1)
+                    order = np.argsort(keys, kind="stable")
+                    if many.sum() * 8 >= kept.size:
+                        near = wanted @ data.T
+                    else:
+                        near = np.full(kept.shape, -np.inf)
+                        for q in np.flatnonzero(many):
+                            near[q, kept[q]] = data[kept[q]] @ wanted[q]
+                    near[~kept] = -np.inf
+                    row, at = _best(near[:, order], k)
+                    value = near[row, order[at]]
+                    row, at, value = (x[value > -np.inf] for x in (row, at, value))
+                    n, m = len(row), len(names)
+                    none = lambda size, kind: pa.nulls(size, kind)
+                    both = lambda a, b: pa.concat_arrays([a, b])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * (n + 1), pa.int64()), pa.array([*near[order].tolist(), None], pa.float64()), pa.array([*keys[at][order].tolist(), None], pa.int64()), pa.array([*[None] * n, len(keys)], pa.int64()), pa.array([*[None] * n, len(at)], pa.int64())],
+                        [both(pa.array(names[row]), pa.array(names)), both(pa.array(value), none(m, pa.float64())), both(pa.array(keys[order[at]]), none(m, pa.int64())), both(none(n, pa.int64()), pa.array(np.full(m, len(keys)))), both(none(n, pa.int64()), pa.array(many.astype(np.int64)))],
                         names=["query", "similarity", "key", "chunks", "scored"],
                     )
 

@@ -143,6 +143,16 @@ def test_rerank_by_late_interaction(spark):
     assert {r["query"]: r["key"] for r in by_size.collect()} == {0: 4, 1: 9, 2: 4, 3: 9}
 
 
+def test_best_of_rows_are_those_of_a_stable_sort():
+    rnd = np.random.default_rng(6)
+    for n, k in ((1, 3), (7, 2), (50, 5), (50, 12), (400, 5)):
+        near = rnd.integers(-4, 5, size=(30, n)) / 4
+        near[::3, ::2] = np.nan
+        row, at = retrieval._best(near, k)
+        want = np.argsort(-near, axis=1, kind="stable")[:, :k]
+        assert row.tolist() == np.repeat(np.arange(30), want.shape[1]).tolist() and at.tolist() == want.ravel().tolist()
+
+
 @pytest.mark.parametrize("size", [4096, 7])
 def test_rerank_of_vectors_in_blocks(spark, monkeypatch, size):
     monkeypatch.setattr(rerank, "QUERIES", size)
