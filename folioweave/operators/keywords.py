@@ -1,138 +1,286 @@
 """Keyword search by an inverted index, and its fusion with other rankings.
 
-The index is two tables. ``postings`` has a row for each term and slot: the documents of the slot that have the term, how
-often, and their lengths. A slot is a share of all documents (SLOT at most, by a hash of the key), so a term that every document has is many
-rows of bounded size, which different tasks read. ``terms`` has the number of documents of each term. Both are plain tables that can be
-written and read again. Where no key repeats, a document's terms are counted in its row, otherwise by a shuffle of its terms.
-
-``search`` joins the terms of many queries with the postings, sums BM25 parts by query and document within slots, and keeps
-``k`` of each query in each slot before those of all slots are ranked. Terms that more than FREQUENT of all documents hold are
-left to the end: where bounds show that they can't bring in another document, they are looked up for those that are left alone. Parts are rounded to 1e-9 and summed as whole numbers, so
+The index lies in blocks of documents, as they are read: a row holds the keys and lengths of at most BLOCK bytes of text and, for
+each term, which of these documents have it and how often. A block is made by the task that reads the texts, so nothing is shuffled, and its size
+is bounded, so a term that every document has is many short runs. An index can be written and read again. Only where keys repeat, terms
+are first added up by key, through a shuffle.
+
+``search`` has blocks of queries meet all blocks of documents by Spark's own product of two tables, twice: the first time it counts the documents that hold
+the queries' terms, and the second time it sums BM25 parts. All of a document's terms are in its block, so sums are complete there, and
+a block passes on only its ``k`` best of each query. Parts are rounded to 1e-9 and summed as whole numbers, so
 results don't hang on the order of tasks.
 
 Cases: null or blank texts have no terms and are never found, nor do such queries find anything, but they count as documents; of documents
 repeated under one key the terms are added up; a query's repeated terms count each; equal scores go by key; documents or queries without a key take no part;
-an empty index finds nothing. Keys of documents and queries may be of any type that can be ordered.
+an empty index finds nothing. Keys of documents and queries may be of any type that can be ordered. A single text is held whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from folioweave.functions.vectors import bound
 from folioweave.operators.rows import best
 
-#: Terms are runs of letters and digits, in lower case.
+#: Terms are runs of letters and digits, in lower case, told by RE2; what stands between them.
 TERM = r"[\p{L}\p{Nd}]+"
-#: Documents of a slot; BM25's saturation and weight of lengths; parts of a score are whole multiples of 1 / UNIT.
-SLOT, K1, B, UNIT = 100_000, 1.2, 0.75, 1_000_000_000
-#: The share of documents from which a term is frequent.
+BETWEEN = r"[^\p{L}\p{Nd}]+"
+#: Documents of a block at most, and its bytes of text; BM25's saturation and weight of lengths; parts of a score are whole multiples of 1 / UNIT.
+SLOT, BLOCK, K1, B, UNIT = 4096, 4 << 20, 1.2, 0.75, 1_000_000_000
+#: The share of a block's documents from which a term is scored once for all queries; the others are scored together.
 FREQUENT = 0.05
+#: Queries of a block; query terms of a partition; parts that are computed at once.
+QUERIES, ASKED, PARTS = 512, 1 << 20, 1 << 20
 #: The constant of reciprocal ranks.
 RRF = 60
 
 
-def terms_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+def terms_of(texts: pa.Array) -> pa.ListArray:
+    """The terms of each of some lower-case texts without nulls."""
+    split = pc.split_pattern_regex(texts, pattern=BETWEEN)
+    flat, n = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(flat), 0)
+    own = np.bincount(np.repeat(np.arange(len(n)), n)[full.to_numpy(zero_copy_only=False)], minlength=len(n))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)]), pa.int32()), flat.filter(full))
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of lists without nulls, and all their values."""
+    return pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
+
 
+def _row(fields: T.StructType, *arrays) -> pa.RecordBatch:
+    """One row of lists."""
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a if isinstance(a, pa.Array) else pa.array(a)) for a in arrays]
+    return pa.RecordBatch.from_arrays(lists, names=fields.names)
 
-def _times(terms: Column) -> Column:
-    """``term`` and ``times`` for each distinct term of an array: in sorted order, equal ones are runs."""
 
-    def runs(found: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: (i == 1) | (F.get(found, i - 2) != F.get(found, i - 1)))
-        return bound(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(found, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(found) + 1) - i).cast("long").alias("times"))))
+def _cuts(sizes: np.ndarray, limit: int, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges that sum to about ``limit`` at most, of ``most`` items at most."""
+    part = (np.cumsum(sizes) - sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        step = most or max(1, b - a)
+        yield from ((c, min(b, c + step)) for c in range(a, b, step))
 
-    return F.when(F.size(terms) > 0, bound(F.sort_array(terms), runs))
+
+def _fields(key: T.DataType) -> T.StructType:
+    parts = {"keys": key, "lengths": T.LongType(), "terms": T.StringType(), "docs": T.IntegerType(), "places": T.IntegerType(), "times": T.LongType()}
+    return T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in parts.items()])
+
+
+def _block(fields: T.StructType, keys: pa.Array, terms: pa.ListArray, times: np.ndarray | None) -> pa.RecordBatch:
+    """Documents with their terms, which occur once each time or ``times``, as one row of the index."""
+    n, (own, flat) = len(keys), _lists(terms)
+    coded = flat.dictionary_encode()
+    pair = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), own)
+    if times is None:
+        pair.sort()
+    else:
+        order = np.argsort(pair, kind="stable")
+        pair, times = pair[order], times[order]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    times = np.diff(first, append=len(pair)) if times is None else np.add.reduceat(times, first) if len(first) else times
+    term, place = np.divmod(pair[first], n)
+    lengths = np.zeros(n, np.int64)
+    np.add.at(lengths, place, times)
+    docs = np.bincount(term, minlength=len(coded.dictionary))
+    return _row(fields, keys, lengths, coded.dictionary, docs.astype(np.int32), place.astype(np.int32), times.astype(np.int64))
 
 
 @dataclass
 class Index:
-    """``postings``: term, slot, docs (key, times, length); ``terms``: term, docs; the number of documents and of all words."""
+    """``blocks``: ``keys`` and ``lengths`` of documents, ``by_key``, their order by key; ``terms``, the number of ``docs`` that hold each, and for these, term by term, ``places`` and ``times``. And the number of documents."""
 
-    postings: DataFrame
-    terms: DataFrame
+    blocks: DataFrame
     documents: int
-    words: int
+
+    @cached_property
+    def words(self) -> int:
+        """The number of all words."""
+        return self.blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+
+    @property
+    def terms(self) -> DataFrame:
+        """``term`` and its number of ``docs``."""
+        return self.blocks.select(F.inline(F.arrays_zip("terms", "docs")).alias("term", "docs")).groupBy("term").agg(F.sum("docs").cast("long").alias("docs"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """``term`` and ``docs`` (key, times, length) of each block."""
+        kind = self.blocks.schema["keys"].dataType.elementType
+        doc = T.StructType([T.StructField("key", kind), T.StructField("times", T.LongType()), T.StructField("length", T.LongType())])
+
+        def run(batches):
+            for batch in batches:
+                for j in range(batch.num_rows):
+                    keys, lengths, terms, docs, places, times = (batch.column(c)[j].values for c in ("keys", "lengths", "terms", "docs", "places", "times"))
+                    held = pa.StructArray.from_arrays([keys.take(places), times, lengths.take(places)], names=["key", "times", "length"])
+                    ends = np.concatenate([[0], np.cumsum(docs.to_numpy())])
+                    yield pa.RecordBatch.from_arrays([terms, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)], names=["term", "docs"])
+
+        return self.blocks.mapInArrow(run, T.StructType([T.StructField("term", T.StringType()), T.StructField("docs", T.ArrayType(doc))]))
 
     def save(self, path: str) -> None:
-        """Writes the index; postings lie by terms, and terms are counted from the written ones, so texts are read once."""
-        spark = self.postings.sparkSession
-        self.postings.sortWithinPartitions("term", "slot").write.mode("overwrite").parquet(f"{path}/postings")
-        _terms(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
-        spark.createDataFrame([(self.documents, self.words)], "documents long, words long").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+        """Writes the index, in small groups of rows, as readers hold a group; words are counted from what is written, so texts are read once."""
+        spark = self.blocks.sparkSession
+        small = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "compression": "zstd"}
+        self.blocks.write.mode("overwrite").options(**small).parquet(f"{path}/blocks")
+        words = Index(spark.read.parquet(f"{path}/blocks"), self.documents).words
+        spark.createDataFrame([(self.documents, words)], "documents long, words long").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         size = spark.read.parquet(f"{path}/size").first()
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), size["documents"], size["words"])
+        index = Index(spark.read.parquet(f"{path}/blocks"), size["documents"])
+        index.words = size["words"]
+        return index
 
 
 def build(docs: DataFrame, key: str, text: str, slot: int = SLOT) -> Index:
     """The index of ``docs``."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), terms_of(F.col(text)).alias("_terms"))
-    n_terms = F.size(F.coalesce("_terms", F.array().cast("array<string>")))
-    n, documents, words = rows.agg(F.count(F.lit(1)), F.count_distinct("key"), F.sum(n_terms)).first()
-    slots = max(1, -(-documents // slot))
-    shared = F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int")
-    if n == documents:
-        # each row is a document, whose terms are counted where it is read
-        counted = rows.select("key", n_terms.cast("long").alias("length"), F.explode_outer(_times(F.col("_terms"))).alias("t")).where(F.col("t").isNotNull())
-        counted = counted.select("key", "length", "t.*")
-    else:
-        counted = rows.select("key", F.explode("_terms").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("times"))
-        counted = counted.withColumn("length", F.sum("times").over(Window.partitionBy("key")))
-    counted = counted.withColumn("slot", shared)
-    postings = counted.groupBy("term", "slot").agg(F.collect_list(F.struct("key", "times", "length")).alias("docs"))
-    return Index(postings, _terms(postings), documents or 0, words or 0)
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    n, documents = rows.agg(F.count(F.lit(1)), F.count_distinct("key")).first()
+    fields = _fields(rows.schema["key"].dataType)
+
+    def of_texts(batches):
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in _cuts(sizes, BLOCK, slot):
+                yield _block(fields, batch.column("key").slice(a, b - a), terms_of(batch.column("text").slice(a, b - a)), None)
+
+    def of_counts(batches):
+        for batch in batches:
+            sizes, _ = _lists(batch.column("terms"))
+            for a, b in _cuts(sizes, BLOCK // 8, slot):
+                terms, (_, times) = batch.column("terms").slice(a, b - a), _lists(batch.column("times").slice(a, b - a))
+                yield _block(fields, batch.column("key").slice(a, b - a), terms, times.to_numpy())
 
+    blocks = rows.mapInArrow(of_texts, fields)
+    if n != documents:
+        each = Index(blocks, n).postings.select("term", F.inline("docs")).groupBy("key", "term").agg(F.sum("times").alias("times"))
+        whole = each.groupBy("key").agg(F.collect_list(F.struct("term", "times")).alias("t")).select("key", F.col("t.term").alias("terms"), F.col("t.times").alias("times"))
+        blocks = whole.mapInArrow(of_counts, fields)
+    order = F.sort_array(F.transform("keys", lambda k, i: F.struct(k.alias("key"), i.alias("at"))))
+    return Index(blocks.withColumn("by_key", F.transform(order, lambda x: x["at"])), documents)
 
-def _terms(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.sum(F.size("docs")).cast("long").alias("docs"))
+
+def _asked(queries: DataFrame, key: str, text: str) -> DataFrame:
+    """``query``, ``term`` and how often it is ``asked``."""
+    rows = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("query"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("query"), terms_of(batch.column("text"))], names=["query", "terms"])
+
+    split = rows.mapInArrow(run, T.StructType([T.StructField("query", rows.schema["query"].dataType), T.StructField("terms", T.ArrayType(T.StringType()))]))
+    return split.select("query", F.explode("terms").alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("asked"))
+
+
+def _packed(rows: DataFrame, fields: T.StructType, make: Callable) -> DataFrame:
+    """Rows of arrays that ``make`` gives for slices of QUERIES rows."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, QUERIES):
+                yield _row(fields, *make(batch.slice(a, QUERIES)))
+
+    return rows.mapInArrow(run, fields)
+
+
+def _scores(q_names, q_at, q_terms, q_weights, keys, lengths, by_key, terms, docs, places, times, mean: float, k: int, k1: float, b: float) -> pa.RecordBatch:
+    """The ``k`` best of a block of documents for each of a block of queries."""
+    n = len(keys)
+    by_key, docs = by_key.to_numpy(), docs.to_numpy().astype(np.int64)
+    rank = np.empty(n, np.int64)
+    rank[by_key] = np.arange(n)
+    # documents by key from here on
+    times, at, starts = times.to_numpy().astype(np.float64), rank[places.to_numpy()], np.cumsum(docs) - docs
+    size = times + k1 * (1 - b + b * lengths.to_numpy().take(by_key)[at].astype(np.float64) / mean)
+    term = pc.fill_null(pc.index_in(q_terms, value_set=terms), -1).to_numpy(zero_copy_only=False)
+    here = np.flatnonzero(term >= 0)
+    term, who, weight = term[here], q_at.to_numpy()[here], q_weights.to_numpy()[here]
+    sums, nothing = np.zeros((len(q_names), n), np.int64), []
+
+    def parts(weight, i):
+        return np.floor(weight * times[i] * (k1 + 1) / size[i] * UNIT + 0.5).astype(np.int64)
+
+    often = docs[term] > FREQUENT * n
+    rare = np.flatnonzero(~often)
+    for a, z in _cuts(docs[term[rare]], PARTS):
+        some = rare[a:z]
+        m = docs[term[some]]
+        i = np.repeat(starts[term[some]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        part, q, d = parts(np.repeat(weight[some], m), i), np.repeat(who[some], m), at[i]
+        np.add.at(sums, (q, d), part)
+        nothing.append((q[part == 0], d[part == 0]))
+    often = np.flatnonzero(often)
+    often = often[np.lexsort((weight[often], term[often]))]
+    new = np.flatnonzero((np.diff(term[often], prepend=-1) != 0) | (np.diff(weight[often], prepend=-1) != 0))
+    for a, z in zip(new, [*new[1:], len(often)], strict=False):
+        t = term[often[a]]
+        i = slice(starts[t], starts[t] + docs[t])
+        part, q = parts(weight[often[a]], i), who[often[a:z]]
+        sums[q[:, None], at[i]] += part
+        if not part.all():
+            none = at[i][part == 0]
+            nothing.append((np.repeat(q, len(none)), np.tile(none, len(q))))
+    # what holds a term is found, also where its parts are rounded to nothing
+    found = sums > 0
+    for q, d in nothing:
+        found[q, d] = True
+    sums[~found] = -1
+    least = np.maximum(np.partition(sums, n - k, axis=1)[:, n - k], 0) if n > k else np.zeros(len(q_names), np.int64)
+    q, d = np.nonzero(sums >= least[:, None])
+    order = np.lexsort((d, -sums[q, d], q))
+    q, d = q[order], d[order]
+    own = np.arange(len(q)) - np.searchsorted(q, q) < k
+    q, d = q[own], d[own]
+    return pa.RecordBatch.from_arrays([q_names.take(pa.array(q)), keys.take(pa.array(by_key[d])), pa.array(sums[q, d])], names=["query", "key", "sum"])
 
 
 def search(index: Index, queries: DataFrame, key: str, text: str, k: int = 4, k1: float = K1, b: float = B) -> DataFrame:
     """For each of ``queries`` the ``k`` best documents by BM25: ``query``, ``rank`` from 0, ``key`` and ``score`` (higher is better)."""
-    asked = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("query"), F.explode(terms_of(F.col(text))).alias("term"))
-    asked = asked.groupBy("query", "term").agg(F.count(F.lit(1)).alias("asked")).join(index.terms.withColumnRenamed("docs", "df"), "term")
-    asked = asked.persist(StorageLevel.MEMORY_AND_DISK)
+    asked = _asked(queries, key, text).persist(StorageLevel.MEMORY_AND_DISK)
+    parts, mean = max(1, -(-asked.count() // ASKED)), index.words / index.documents if index.words else 1.0
+    name = asked.schema["query"].dataType
+
+    def held(batches):
+        for batch in batches:
+            for j in range(batch.num_rows):
+                wanted, terms, docs = (batch.column(c)[j].values for c in ("wanted", "terms", "docs"))
+                at = pc.index_in(wanted, value_set=terms)
+                yield pa.RecordBatch.from_arrays([wanted.filter(at.is_valid()), docs.take(at.drop_null())], names=["term", "docs"])
+
+    def scored(batches):
+        columns = ("q_names", "q_at", "q_terms", "q_weights", "keys", "lengths", "by_key", "terms", "docs", "places", "times")
+        for batch in batches:
+            for j in range(batch.num_rows):
+                yield _scores(*(batch.column(c)[j].values for c in columns), mean, k, k1, b)
+
+    wanted = _packed(asked.select("term").distinct().coalesce(parts), T.StructType([T.StructField("wanted", T.ArrayType(T.StringType()))]), lambda batch: [batch.column("term")])
+    df = index.blocks.select("terms", "docs").crossJoin(wanted.persist(StorageLevel.MEMORY_AND_DISK)).mapInArrow(held, "term string, docs int").groupBy("term").agg(F.sum("docs").alias("df"))
     rarity = F.ln(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    mean = index.words / index.documents if index.words else 1.0
-    order = (F.desc("sum"), F.asc("key"))
-
-    def part(times: Column, length: Column) -> Column:
-        times = times.cast("double")
-        return F.round(F.col("asked") * rarity * times * (k1 + 1) / (times + k1 * (1 - b + b * length / mean)) * UNIT).cast("long").alias("part")
-
-    def scored(terms: DataFrame) -> DataFrame:
-        """Sums over all documents that hold any of a query's ``terms``, by slot, in which all terms of a document lie."""
-        found = terms.join(index.postings, "term").select("query", "slot", "asked", "df", F.explode("docs").alias("d"))
-        parts = found.select("query", "slot", F.col("d.key").alias("key"), part(F.col("d.times"), F.col("d.length"))).repartition("query", "slot")
-        return parts.groupBy("query", "slot", "key").agg(F.sum("part").alias("sum"))
-
-    # a document without a query's rare terms has at most what the frequent ones can give; where k documents have more by
-    # the rare ones alone, only documents that can still reach the k-th of these are looked up among the frequent terms
-    frequent = F.col("df") > FREQUENT * index.documents
-    most = asked.where(frequent).groupBy("query").agg(F.sum(F.ceil(F.col("asked") * rarity * (k1 + 1) * UNIT) + 1).alias("most"))
-    rare = scored(asked.where(~frequent)).persist(StorageLevel.MEMORY_AND_DISK)
-    least = best(best(rare, ["query", "slot"], order, k), ["query"], order, k).groupBy("query").agg(F.min("sum").alias("least"), F.count(F.lit(1)).alias("n"))
-    bounds = most.join(least, "query", "left").select("query", "most", F.when((F.col("n") == k) & (F.col("least") > F.col("most")), F.col("least")).alias("least"))
-    bounds = bounds.persist(StorageLevel.MEMORY_AND_DISK)
-    whole = scored(asked.join(bounds.where(F.col("least").isNull()).select("query"), "query", "left_semi"))
-    only_rare = rare.join(bounds.select("query"), "query", "left_anti")
-    chosen = rare.join(bounds.where(F.col("least").isNotNull()), "query").where(F.col("sum") + F.col("most") >= F.col("least")).select("query", "slot", "key", "sum")
-    often = asked.where(frequent).join(bounds.where(F.col("least").isNotNull()).select("query"), "query", "left_semi")
-    # postings of the frequent terms once, however many queries ask for them
-    held = index.postings.join(often.select("term").distinct(), "term").select("term", "slot", F.explode("docs").alias("d")).select("term", "slot", "d.key", "d.times", "d.length")
-    more = chosen.select("query", "slot", "key").join(often, "query").join(held, ["term", "slot", "key"]).select("query", "slot", "key", part(F.col("times"), F.col("length")).alias("sum"))
-    looked_up = chosen.unionByName(more).groupBy("query", "slot", "key").agg(F.sum("sum").alias("sum"))
-    sums = whole.unionByName(only_rare).unionByName(looked_up)
-    first = best(sums, ["query", "slot"], order, k)
-    return best(first, ["query"], order, k).select("query", "rank", "key", (F.col("sum") / UNIT).alias("score"))
+    weighed = asked.join(df, "term").groupBy("query").agg(F.collect_list(F.struct("term", (F.col("asked") * rarity).alias("weight"))).alias("t"))
+
+    def query_block(batch):
+        n, terms = _lists(batch.column("terms"))
+        return batch.column("query"), np.repeat(np.arange(len(n)), n), terms, batch.column("weights").flatten()
+
+    kinds = {"q_names": name, "q_at": T.LongType(), "q_terms": T.StringType(), "q_weights": T.DoubleType()}
+    blocks = _packed(weighed.select("query", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")).coalesce(parts), T.StructType([T.StructField(c, T.ArrayType(kind)) for c, kind in kinds.items()]), query_block)
+    out = T.StructType([T.StructField("query", name), T.StructField("key", index.blocks.schema["keys"].dataType.elementType), T.StructField("sum", T.LongType())])
+    found = index.blocks.crossJoin(blocks.persist(StorageLevel.MEMORY_AND_DISK)).mapInArrow(scored, out)
+    return best(found, ["query"], (F.desc("sum"), F.asc("key")), k).select("query", "rank", "key", (F.col("sum") / UNIT).alias("score"))
 
 
 def fused(rankings: dict[str, DataFrame], k: int = 4, weights: dict[str, float] | None = None, constant: int = RRF) -> DataFrame:

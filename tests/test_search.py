@@ -66,6 +66,38 @@ def test_terms_of_documents_with_keys_of_their_own(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and index.documents == len(texts) and index.words == sum(x[2] for x in want)
 
 
+@pytest.mark.parametrize("frequent", [0.05, 2.0])
+def test_keyword_index_is_made_where_texts_are_read(spark, tmp_path, monkeypatch, frequent):
+    """Postings and parts of scores aren't shuffled; blocks are cut by bytes, queries and parts in slices, and the results stay."""
+    for name, value in (("BLOCK", 200), ("QUERIES", 3), ("PARTS", 5), ("FREQUENT", frequent)):
+        monkeypatch.setattr(keywords, name, value)
+    docs = [(f"k{k:03}", " ".join(random.Random(k).choices(WORDS, k=k % 12)) + " the" * (k % 7 == 0)) for k in range(80)] + [("K", "kata"), ("", "kata")]
+    table = spark.createDataFrame(docs, "id string, text string").coalesce(3)
+    index = keywords.build(table, "id", "text")
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    index.save(str(tmp_path / "index"))
+    queries = [(f"q{k}", t) for k, t in enumerate(["kata", "KATA kata naik", "the ia 12", "é1", "pasal harga the x buku", "none", "", "naik naik naik"])]
+    asked = spark.createDataFrame(queries, "item string, text string")
+    held = keywords.Index.load(spark, str(tmp_path / "index"))
+    moved = keywords.search(held, asked, "item", "text", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in moved.split("MapInArrow")[0]
+    for one in (index, held):
+        found = sorted(map(tuple, keywords.search(one, asked, "item", "text", 3).collect()))
+        want = brute_bm25(docs, queries, 3)
+        assert [x[:3] for x in found] == [x[:3] for x in want] and [x[3] for x in found] == pytest.approx([x[3] for x in want], abs=1e-7)
+    assert index.words == held.words == sum(len(t.split()) for _, t in docs)
+    assert {r["term"]: r["docs"] for r in index.terms.collect()} == Counter(w for _, t in docs for w in set(t.lower().split()))
+
+
+@pytest.mark.parametrize("frequent", [0.05, 2.0])
+def test_parts_that_round_to_nothing_are_found(spark, monkeypatch, frequent):
+    monkeypatch.setattr(keywords, "UNIT", 1)
+    monkeypatch.setattr(keywords, "FREQUENT", frequent)
+    docs = spark.createDataFrame([(k, "the" if k != 5 else "") for k in range(9)], "id long, text string").coalesce(1)
+    found = keywords.search(keywords.build(docs, "id", "text"), spark.createDataFrame([(1, "the the"), (2, "the")], "item long, text string"), "item", "text", 20)
+    assert sorted(map(tuple, found.collect())) == [(q, r, d, 0.0) for q in (1, 2) for r, d in enumerate([0, 1, 2, 3, 4, 6, 7, 8])]
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 0, 10), (1, 1, 20), (2, 0, 5)], "query long, rank int, key long")
     b = spark.createDataFrame([(1, 0, 20), (1, 1, 30)], "query long, rank int, key long")
