@@ -57,6 +57,15 @@ def _blocks(rows: DataFrame, key: str, vector: str, name: str, size: int) -> Dat
     return held.mapInArrow(run, f"{keys} array<long>, {numbers} array<double>")
 
 
+def _full(queries: DataFrame, key: str, vector: str) -> int:
+    """Into how many partitions queries go so that each makes a whole block.
+
+    Every partition of queries meets every one of chunks, and those are read anew for each. Few queries that lie in all partitions of
+    a large table would otherwise read the table once for each of its own partitions.
+    """
+    return max(1, -(-queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).count() // QUERIES))
+
+
 def _matrix(column: pa.Array, k: int, n: int) -> np.ndarray:
     return _unit(column[k].values.to_numpy().reshape(n, -1))
 
@@ -65,7 +74,7 @@ def search(chunks: DataFrame, vector: str, key: str, queries: DataFrame, query_v
     """For each of ``queries`` the ``k`` most similar of ``chunks``: ``query_key`` as ``query``, ``rank`` from 0, ``key`` and ``score`` as in ``top_k``.
 
     Both are packed into blocks of QUERIES rows, and every block of queries meets every block of chunks, in one plan however
-    many there are. A pair of blocks passes on its own ``k`` best of each query, so nothing but these is shuffled. Null vectors and keys are left
+    many there are. Queries are dealt into whole blocks first, and chunks stream past them. A pair of blocks passes on its own ``k`` best of each query, so nothing but these is shuffled. Null vectors and keys are left
     out; keys are longs; equal scores go by key.
     """
 
@@ -79,7 +88,8 @@ def search(chunks: DataFrame, vector: str, key: str, queries: DataFrame, query_v
                 row, at = _best(near, k)
                 yield _listed(names[row], keys[order][at], near[row, at])
 
-    pairs = _blocks(queries, query_key, query_vector, "q", QUERIES).crossJoin(_blocks(chunks, key, vector, "c", QUERIES))
+    asked = queries.select(query_key, query_vector).repartition(_full(queries, query_key, query_vector))
+    pairs = _blocks(chunks, key, vector, "c", QUERIES).crossJoin(_blocks(asked, query_key, query_vector, "q", QUERIES))
     return _ranked(pairs.mapInArrow(nearest, _FOUND), key, k)
 
 
@@ -171,14 +181,15 @@ def truncated_search(chunks: DataFrame, vector: str, key: str, queries: DataFram
                         names=["query", "similarity", "key", "chunks", "scored"],
                     )
 
-    asked, held = unit(queries, query_vector), unit(chunks, vector)
-    low = _blocks(slim(asked, query_vector), query_key, query_vector, "q", QUERIES).crossJoin(_blocks(slim(held, vector), key, vector, "c", QUERIES)).mapInArrow(bounds, _FOUND)
+    parts = _full(queries, query_key, query_vector)
+    asked, held = unit(queries.select(query_key, query_vector).repartition(parts), query_vector), unit(chunks, vector)
+    low = _blocks(slim(held, vector), key, vector, "c", QUERIES).crossJoin(_blocks(slim(asked, query_vector), query_key, query_vector, "q", QUERIES)).mapInArrow(bounds, _FOUND)
     least = best(low, ["query"], (F.desc("similarity"), F.asc("key")), k).groupBy("query").agg(F.min("similarity").alias("least"), F.count(F.lit(1)).alias("n"))
     # with fewer than k chunks nothing is ruled out
     least = least.select(F.col("query").alias(query_key), F.when(F.col("n") < k, -2.0).otherwise(F.col("least")).alias("_least"))
-    asked = asked.join(least, query_key)
+    asked = asked.join(least, query_key).repartition(parts)
     pairs = _blocks(asked.withColumn(query_vector, F.concat(query_vector, F.array("_least"))), query_key, query_vector, "q", QUERIES)
-    found = pairs.crossJoin(_blocks(held, key, vector, "c", QUERIES)).mapInArrow(scored, f"{_FOUND}, chunks long, scored long").persist(StorageLevel.MEMORY_AND_DISK)
+    found = _blocks(held, key, vector, "c", QUERIES).crossJoin(pairs).mapInArrow(scored, f"{_FOUND}, chunks long, scored long").persist(StorageLevel.MEMORY_AND_DISK)
     effort = found.where(F.col("chunks").isNotNull()).groupBy("query").agg(F.sum("chunks").alias("chunks"), F.sum("scored").alias("scored"))
     return _ranked(found.where(F.col("key").isNotNull()).select("query", "similarity", "key"), key, k), effort
 

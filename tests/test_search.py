@@ -136,6 +136,21 @@ def test_search_in_blocks(spark, monkeypatch, block):
     assert retrieval.search(chunks, "v", "id", queries.limit(0), "v", "id").collect() == [] and retrieval.search(chunks.limit(0), "v", "id", queries, "v", "id").collect() == []
 
 
+@pytest.mark.parametrize(("block", "pairs"), [(4096, 5), (7, 15)])
+def test_few_queries_read_chunks_once(spark, monkeypatch, block, pairs):
+    """Queries out of all partitions of a table are one partition for each block that they fill, not as many as the table has."""
+    monkeypatch.setattr(retrieval, "QUERIES", block)
+    monkeypatch.setattr(retrieval, "_ranked", lambda found, key, k: found)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        chunks = _table(spark, _vectors(60)).repartition(5)
+        found = retrieval.search(chunks, "v", "id", chunks.where("id % 3 = 0"), "v", "id", 3)
+        assert found.rdd.getNumPartitions() == pairs
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize(("block", "decay", "k"), [(4096, 0.6, 5), (7, 0.6, 5), (7, 0.0, 3), (4096, 0.6, 500)])
 def test_truncated_search_is_full_search(spark, monkeypatch, block, decay, k):
     monkeypatch.setattr(retrieval, "QUERIES", block)
