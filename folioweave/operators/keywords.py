@@ -35,11 +35,11 @@ from folioweave.operators.rows import best
 TERM = r"[\p{L}\p{Nd}]+"
 BETWEEN = r"[^\p{L}\p{Nd}]+"
 #: Documents of a block at most, and its bytes of text; BM25's saturation and weight of lengths; parts of a score are whole multiples of 1 / UNIT.
-SLOT, BLOCK, K1, B, UNIT = 4096, 4 << 20, 1.2, 0.75, 1_000_000_000
+SLOT, BLOCK, K1, B, UNIT = 4096, 1 << 20, 1.2, 0.75, 1_000_000_000
 #: The share of a block's documents from which a term is scored once for all queries; the others are scored together.
 FREQUENT = 0.05
 #: Queries of a block; query terms of a partition; parts that are computed at once.
-QUERIES, ASKED, PARTS = 512, 1 << 20, 1 << 20
+QUERIES, ASKED, PARTS = 512, 1 << 20, 1 << 17
 #: The constant of reciprocal ranks.
 RRF = 60
 
