@@ -64,3 +64,8 @@ def cut_pages(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["html_elements", "element_chunks", "reading_order"])
 def test_references_without_a_semicolon_are_those_of_the_sql(name, cut_pages):
     cut_pages(name)
+
+
+def test_sizes_count_references_as_the_sql_does(cut_pages):
+    cut_pages("element_size_stats")
+    cut_pages("element_size_stats", ("<h1>t = &quot</h1>",))
