@@ -169,7 +169,7 @@ def element_chunks(spark, sf_dir):
 
 
 def element_text_list(spark, sf_dir):
-    texts = elements.to_text_list(F.col("elements"))
+    texts = F.coalesce(elements.to_text_list(F.col("elements")), F.array().cast("array<string>"))
     return _partitioned(spark, sf_dir).select("page_id", F.size(texts).alias("texts"), _fingerprint(F.array_join(texts, "\n")).alias("texts_md5"))
 
 

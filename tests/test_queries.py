@@ -69,3 +69,8 @@ def test_references_without_a_semicolon_are_those_of_the_sql(name, cut_pages):
 def test_sizes_count_references_as_the_sql_does(cut_pages):
     cut_pages("element_size_stats")
     cut_pages("element_size_stats", ("<h1>t = &quot</h1>",))
+
+
+def test_texts_of_pages_without_content_are_none(cut_pages):
+    cut_pages("element_text_list")
+    cut_pages("element_text_list", ("<p>a &quot", None, "", "<p>&amp"))
