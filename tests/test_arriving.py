@@ -96,6 +96,25 @@ def test_a_sentence_that_most_documents_hold_is_broadcast(spark, tmp_path, monke
     assert all(r["embeddings"] == [[10.0, 0.0], [float(len(r["s"][1])), 0.0], None] for r in found.collect()) and held.read().count() == 601
 
 
+def test_vectors_cross_shuffles_packed(spark, tmp_path):
+    docs = spark.createDataFrame([(k, [f"own {k}", "b"]) for k in range(30)], "id long, s array<string>")
+    held = Cache(spark, str(tmp_path / "cache"), "m")
+    found = embed_cached(docs, "s", cache=held, embedder=lambda: lambda texts: np.array([[len(t), 0.1] for t in texts]), normalize=False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and not any("vector" in line for line in plan.splitlines() if "Exchange" in line)
+    assert "vector" not in spark.read.parquet(held.path).columns
+    assert sorted(found.collect()) == sorted((r["id"], r["s"], [[float(len(t)), float(np.float32(0.1))] for t in r["s"]]) for r in docs.collect())
+
+
+def test_entries_of_earlier_versions_are_read(spark, tmp_path):
+    held = Cache(spark, str(tmp_path / "cache"), "m")
+    spark.createDataFrame([("a",), ("b",)], "s string").select(F.sha2("s", 256).alias("hash"), F.array(F.lit(0.5), F.lit(-2.0)).cast("array<float>").alias("vector")).write.parquet(held.path)
+    docs = spark.createDataFrame([(["b", "c", "a"],)], "s array<string>")
+    found = embed_cached(docs, "s", cache=held, embedder=lambda: lambda texts: np.array([[7.0, 1.0] for t in texts if t == "c"]), normalize=False)
+    assert found.first()["embeddings"] == [[0.5, -2.0], [7.0, 1.0], [0.5, -2.0]]
+    assert sorted(r["vector"] for r in held.read().collect()) == [[0.5, -2.0], [0.5, -2.0], [7.0, 1.0]]
+
+
 def fast(content):
     return iter([("NarrativeText", "fast", None)])
 
