@@ -9,10 +9,11 @@ word is seen with a capital. ``split`` then decides each full stop before white
 the next word shows by its capital, or as a frequent starter, that it begins one; after an initial or a number it doesn't
 end if the next word is no beginning, or belongs to it; after any other word it ends, as it does after ``!`` and ``?``.
 
-Counting is two aggregations of built-in functions, of words as they are written and of their types, with partial sums in each task,
-so a frequent word is a row from each.
-What of the model these texts need (its abbreviations, and the words seen behind an uncertain full stop) is measured first: up to
-LITERAL bytes it goes into the plan as sets, and texts are cut where they are read; beyond that, boundaries are joined with
+Counting is two aggregations, of words as they are written, counted by Python where they are read (at most COUNTED different ones at once), and of their
+types, with partial sums in each task, so a frequent word is a row from each.
+What of the model these texts need (its abbreviations, and the words seen behind an uncertain full stop) is measured first, from the
+counts if it was learnt from the same texts, by reading them once more if not: up to LITERAL bytes it goes into the plan as sets, and texts are cut where they are read; up to HELD bytes (if the abbreviations are within LITERAL)
+it is broadcast to Python, which is asked about pairs of words behind an uncertain full stop, and no text moves either; beyond that, boundaries are joined with
 the model by shuffles, and only their places come back to the texts.
 
 Cases: null texts give null, blank ones no sentences; a text of any length is read whole; repeated rows count each, and
@@ -22,13 +23,18 @@ of the names used here (``_row``, ``_units``, ``_open``) are in the way, others
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from math import log
 from operator import or_
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from folioweave.functions.cleaning import strip
@@ -41,6 +47,10 @@ ABBREVIATION, COLLOCATION, STARTER, STOPPED = 0.3, 7.88, 30.0, 0.99
 NEAR = 24
 #: Bytes of learnt types that may stand in a plan.
 LITERAL = 1 << 20
+#: Bytes of learnt types that each Python worker may hold.
+HELD = 32 << 20
+#: Different words and pairs of words that a task counts before it passes them on.
+COUNTED = 1 << 18
 
 CLOSERS = "\"')\\]}”’»"
 OPENERS = "\"'(\\[{“‘«¿¡"
@@ -62,6 +72,8 @@ class Model:
     types: DataFrame
     pairs: DataFrame
     held: tuple[DataFrame, ...] = ()
+    #: Types of words with a full stop (``before``) and of those behind them (``type``), in the texts that it was learnt from.
+    met: DataFrame | None = None
 
     def forget(self) -> None:
         """Gives up what Spark keeps for the tables; they are made again if they are read later."""
@@ -112,19 +124,42 @@ def _word_at(unit: Column, end: int) -> Column:
     return bound(plain(near), lambda part: F.substring_index(F.when(part.contains(" "), part).otherwise(plain(unit)), " ", end))
 
 
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (``w``) with those before them (``b``; null at a text's start, empty for one without a mark) and how often; white space is that of SPACES."""
+
+    def passed() -> pa.RecordBatch:
+        for (w, _), n in pairs.items():
+            words[w] -= n
+        plain = [w for w, n in words.items() if n]
+        rows = [[*(w for w, _ in pairs), *plain], [*(b for _, b in pairs), *[""] * len(plain)], [*pairs.values(), *(words[w] for w in plain)]]
+        made = pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["w", "b", "n"])
+        words.clear()
+        pairs.clear()
+        return made
+
+    words: Counter[str] = Counter()
+    pairs: Counter[tuple[str, str | None]] = Counter()
+    for batch in batches:
+        for text in batch.column("text"):
+            own = (text.as_py() or "").split()
+            words.update(own)
+            pairs.update([(w, b) for b, w in zip(own, own[1:], strict=False) if not b.isalpha() and ("." in b or "!" in b or "?" in b or DOTS in b)])
+            pairs.update((w, None) for w in own[:1])
+            if len(words) + len(pairs) > COUNTED:
+                yield passed()
+    yield passed()
+
+
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """How often (``n``) each ``type`` is seen with each case and full stop behind each kind of word: ``behind`` is start, mark, stop (then ``before`` is its type), or word."""
-    words = docs.select(F.split(F.btrim(F.col(text), F.lit(_SPACES)), f"{S}+").alias("w"))
-    words = words.select(F.inline_outer(F.arrays_zip("w", F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("b")))).where(F.col("w") != "")
     # words are counted as they are written, with those before them that may end a sentence; kinds are told once for each pair
-    told = reduce(or_, (F.col("b").contains(m) for m in (".", "!", "?", DOTS)))
-    rows = words.select("w", F.when(F.col("b").isNull() | told, F.col("b")).otherwise("").alias("b")).groupBy("w", "b").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(_counting, "w string, b string, n long").groupBy("w", "b").agg(F.sum("n").alias("n"))
     rows = rows.select("w", "b", "n", _core(F.col("w")).alias("wc"), _core(F.col("b")).alias("bc"))
     uncertain = _ends_in(F.col("b"), ".", DOTS) & (F.col("bc").endswith(".") | _dots(F.col("bc")))
     behind = F.when(F.col("b").isNull(), "start").when(_ends_in(F.col("b"), "!", "?"), "mark").when(uncertain, "stop").otherwise("word")
     # by the count, which is always positive, so that the filter isn't pushed below the counting and run for every word
-    kind = F.when(F.col("n") > 0, _kind(F.col("wc"), _bare(F.col("wc"))))
-    rows = rows.select("n", behind.alias("behind"), "bc", kind.alias("type"), _stop(F.col("wc")).alias("stop"), _case(F.col("wc")).alias("case")).where(F.col("type") != "")
+    kind = F.when(F.col("n") > 0, _kind(F.col("wc"), F.col("wb")))
+    rows = rows.withColumn("wb", _bare(F.col("wc"))).select("n", behind.alias("behind"), "bc", kind.alias("type"), _stop(F.col("wc")).alias("stop"), _case(F.col("wc")).alias("case")).where(F.col("type") != "")
     before = F.when(F.col("behind") == "stop", _kind(F.col("bc"), _bare(F.col("bc"))))
     return rows.select("n", "behind", before.alias("before"), "type", "stop", "case").groupBy("behind", "before", "type", "stop", "case").agg(F.sum("n").alias("n"))
 
@@ -181,7 +216,8 @@ def model_of(found: DataFrame) -> Model:
     joint = found.where((F.col("behind") == "stop") & ((F.col("before") == NUMBER) | is_initial(F.col("before"))) & word).groupBy("before", "type").agg(F.sum("n").alias("ab")).where("ab > 1")
     joint = joint.join(types.select("type", F.col("n").alias("b"), "starter"), "type").join(types.select(F.col("type").alias("before"), F.col("n").alias("a")), "before")
     pairs = joint.where(~F.col("starter") & (_ratio(F.col("a"), F.col("b"), F.col("ab"), much) >= COLLOCATION) & (total * F.col("ab") > F.col("a") * F.col("b")))
-    return Model(types.select("type", "abbreviation", "starter", "lower", "opens", "either"), pairs.select("before", "type"), (found, types))
+    met = found.where(F.col("behind") == "stop").select("before", "type").distinct()
+    return Model(types.select("type", "abbreviation", "starter", "lower", "opens", "either"), pairs.select("before", "type"), (found, types), met)
 
 
 def _ends(mark: Column, before: Column, case: Column, abbreviation: Column, starter: Column, lower: Column, opens: Column, either: Column, pair: Column) -> Column:
@@ -194,13 +230,21 @@ def _ends(mark: Column, before: Column, case: Column, abbreviation: Column, star
     return mark | F.when(short, behind_short).when(initial | (before == NUMBER), behind_number).otherwise(True)
 
 
+def _last(unit: Column) -> Column:
+    """The type and mark of a unit's last word."""
+    return bound(_word_at(unit, -1), lambda w: bound(_core(w), lambda core: bound(_bare(core), lambda bare: F.struct(_kind(core, bare).alias("type"), _ends_in(w, "!", "?").alias("mark")))))
+
+
+def _between(units: Column, made) -> Column:
+    """``made`` of the last word before each unit but the first (its type and mark) and that unit."""
+    n = F.size(units)
+    return F.zip_with(F.transform(F.slice(units, F.lit(1), n - 1), _last), F.slice(units, F.lit(2), n - 1), made)
+
+
 def _boundaries(units: Column) -> Column:
     """For each unit but the first, the last word before it and its own first: type and mark of that, core of this."""
-    last = lambda u: bound(_word_at(u, -1), lambda w: bound(_core(w), lambda core: bound(_bare(core), lambda bare: F.struct(_kind(core, bare).alias("type"), _ends_in(w, "!", "?").alias("mark")))))
-    first = lambda u: _core(_word_at(u, 1))
-    made = lambda a, b: F.struct(a["type"].alias("before"), a["mark"].alias("mark"), b.alias("core"))
-    n = F.size(units)
-    return F.when(n > 1, F.zip_with(F.transform(F.slice(units, F.lit(1), n - 1), last), F.transform(F.slice(units, F.lit(2), n - 1), first), made)).otherwise(F.array().cast("array<struct<before:string,mark:boolean,core:string>>"))
+    made = lambda a, u: F.struct(a["type"].alias("before"), a["mark"].alias("mark"), _core(_word_at(u, 1)).alias("core"))
+    return F.when(F.size(units) > 1, _between(units, made)).otherwise(F.array().cast("array<struct<before:string,mark:boolean,core:string>>"))
 
 
 def _type(core: Column) -> Column:
@@ -220,21 +264,29 @@ def _joined(units: Column, ends: Column) -> Column:
     return F.when(units.isNotNull(), F.filter(cut, lambda s: F.length(s) > 0))
 
 
-def split(docs: DataFrame, model: Model, text: str = "text", into: str = "sentences") -> DataFrame:
-    """``docs`` with the sentences of each text, stripped, none blank."""
+def split(docs: DataFrame, model: Model, text: str = "text", into: str = "sentences", *, learnt: bool = False) -> DataFrame:
+    """``docs`` with the sentences of each text, stripped, none blank; ``learnt``: the model was learnt from these very texts."""
     units = F.when(F.length(F.col(text)) > 0, F.regexp_extract_all(F.col(text), F.lit(UNIT), F.lit(0))).otherwise(F.when(F.col(text).isNotNull(), F.array().cast("array<string>")))
     docs = docs.withColumn("_units", units)
     short = model.types.where("abbreviation").select("type")
     if (short.agg(F.sum(F.octet_length("type") + 16)).first()[0] or 0) > LITERAL:
         return _by_joins(docs, model, into)
     held = [r[0] for r in short.collect()]
-    # the outer form: for a plain one all boundaries are found twice, as the optimiser infers a filter on their number
-    seen = docs.select(F.explode_outer(_boundaries(F.col("_units"))).alias("x")).select("x.*").where(~F.col("mark") & _uncertain(F.col("before"), held))
-    seen = seen.select("before", "core").distinct().select("before", _type(F.col("core")).alias("type")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    if learnt and model.met is not None:
+        seen = model.met.where(_uncertain(F.col("before"), held))
+    else:
+        # the outer form: for a plain one all boundaries are found twice, as the optimiser infers a filter on their number
+        seen = docs.select(F.explode_outer(_boundaries(F.col("_units"))).alias("x")).select("x.*").where(~F.col("mark") & _uncertain(F.col("before"), held))
+        seen = seen.select("before", "core").distinct().select("before", _type(F.col("core")).alias("type")).distinct()
+    seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
     rules, size = _rules(seen, model)
     seen.unpersist()
     if size <= LITERAL:
-        found = docs.withColumn("_open", _by_sets(_boundaries(F.col("_units")), rules, held))
+        found = docs.withColumn("_open", _by_sets(F.col("_units"), rules, held))
+        rules.unpersist()
+        return found.withColumn(into, _joined(F.col("_units"), F.col("_open"))).drop("_units", "_open")
+    if size <= HELD:
+        found = _by_broadcast(docs, rules, held)
         rules.unpersist()
         return found.withColumn(into, _joined(F.col("_units"), F.col("_open"))).drop("_units", "_open")
     rules.unpersist()
@@ -255,15 +307,44 @@ def _rules(seen: DataFrame, model: Model) -> tuple[DataFrame, int]:
     return rules, rules.agg(F.sum(F.octet_length("value") + 16)).first()[0] or 0
 
 
-def _by_sets(boundaries: Column, rules: DataFrame, short: list[str]) -> Column:
+def _by_sets(units: Column, rules: DataFrame, short: list[str]) -> Column:
     sets: dict[str, list[str]] = {"abbreviation": short}
     for rule, value in rules.collect():
         sets.setdefault(rule, []).append(value)
     held = lambda rule, value: value.isin(sets[rule]) if sets.get(rule) else F.lit(False)
-    told = lambda x, kind: _ends(x["mark"], x["before"], _case(x["core"]), held("abbreviation", x["before"]), *(held(rule, kind) for rule in ("starter", "lower", "opens", "either")), held("pair", F.concat_ws(" ", x["before"], kind)))
+    told = lambda before, core, kind: _ends(F.lit(False), before, _case(core), held("abbreviation", before), *(held(rule, kind) for rule in ("starter", "lower", "opens", "either")), held("pair", F.concat_ws(" ", before, kind)))
     # the next word is looked at only where it decides
-    ends = lambda x: F.when(x["mark"] | ~_uncertain(x["before"], short), True).otherwise(bound(_type(x["core"]), lambda kind: told(x, kind)))
-    return F.filter(F.transform(boundaries, lambda x, i: F.when(ends(x), i + 1)), lambda i: i.isNotNull())
+    judged = lambda before, unit: bound(_core(_word_at(unit, 1)), lambda core: bound(_type(core), lambda kind: told(before, core, kind)))
+    ends = lambda last, unit: F.when(last["mark"] | ~_uncertain(last["type"], short), True).otherwise(judged(last["type"], unit))
+    all_ = F.when(F.size(units) > 1, _between(units, ends)).otherwise(F.array().cast("array<boolean>"))
+    return F.filter(F.transform(all_, lambda yes, i: F.when(yes, i + 1)), lambda i: i.isNotNull())
+
+
+def _by_broadcast(docs: DataFrame, rules: DataFrame, short: list[str]) -> DataFrame:
+    """``docs`` with ``_open``, the places at which sentences end; Python only looks words up."""
+    names = ["starter", "lower", "opens", "either", "pair"]
+    told: dict[str, int] = {}
+    for rule, value in rules.collect():
+        told[value] = told.get(value, 0) | 1 << names.index(rule)
+    kept = docs.sparkSession.sparkContext.broadcast(told)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def looked(rows: pd.Series) -> pd.Series:
+        known = kept.value.get
+        return rows.map(lambda own: None if own is None else [known(pair.partition(" ")[2], 0) | known(pair, 0) for pair in own])
+
+    # no type has a space, so a pair's name is never that of a type
+    both = lambda before, core: F.struct(before.alias("before"), _case(core).alias("case"), _type(core).alias("type"))
+    asked = lambda last, unit: F.when(~last["mark"] & _uncertain(last["type"], short), bound(_core(_word_at(unit, 1)), lambda core: both(last["type"], core)))
+    placed = F.transform(_between(F.col("_units"), asked), lambda x, i: F.when(x.isNotNull(), F.struct((i + 1).alias("i"), x.alias("x"))))
+    docs = docs.withColumn("_asked", F.when(F.size("_units") > 1, F.filter(placed, lambda x: x.isNotNull())))
+    docs = docs.withColumn("_told", looked(F.transform("_asked", lambda a: F.concat_ws(" ", a["x"]["before"], a["x"]["type"]))))
+    is_ = lambda mask, name: mask.bitwiseAND(1 << names.index(name)) != 0
+    abbreviation = lambda x: x["before"].isin(short) if short else F.lit(False)
+    ends = lambda x, mask: _ends(F.lit(False), x["before"], x["case"], abbreviation(x), *(is_(mask, name) for name in names))
+    goes_on = F.filter(F.zip_with("_asked", "_told", lambda a, mask: F.when(~ends(a["x"], mask), a["i"])), lambda i: i.isNotNull())
+    places = F.when(F.size("_units") > 1, F.array_except(F.sequence(F.lit(1), F.size("_units") - 1), goes_on)).otherwise(F.array().cast("array<int>"))
+    return docs.withColumn("_open", places).drop("_asked", "_told")
 
 
 def _by_joins(docs: DataFrame, model: Model, into: str) -> DataFrame:

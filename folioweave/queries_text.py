@@ -21,7 +21,7 @@ SHARE = 0.75
 def punkt_sentences(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     model = punkt.learn(docs)
-    found = punkt.split(docs, model)
+    found = punkt.split(docs, model, learnt=True)
     model.forget()
     return each(found, "sentences", "doc_id", place="ord", value="sentence")
 

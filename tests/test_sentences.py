@@ -157,3 +157,26 @@ def test_words_longer_than_what_is_looked_at_first(spark, word):
     docs = spark.createDataFrame(rows, "text string")
     plain = Plain([r[0] for r in rows])
     assert [r["sentences"] for r in punkt.split(docs, punkt.learn(docs)).collect()] == [plain.split(r[0]) for r in rows]
+
+
+@pytest.mark.parametrize("learnt", [True, False])
+@pytest.mark.parametrize("times", [1, 9, 60])
+def test_a_model_past_the_plan_moves_no_text(spark, monkeypatch, times, learnt):
+    rows = corpus(times)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    model, plain = punkt.learn(docs), Plain(rows)
+    short = model.types.where("abbreviation").agg(F.coalesce(F.sum(F.octet_length("type") + 16), F.lit(0))).first()[0]
+    monkeypatch.setattr(punkt, "LITERAL", short)
+    found = punkt.split(docs, model, learnt=learnt)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "Aggregate" not in plan
+    got = sorted(((r["text"], r["sentences"]) for r in found.collect()), key=repr)
+    assert got == sorted(((t, plain.split(t) if t is not None else None) for t in rows), key=repr)
+    model.forget()
+
+
+def test_words_are_counted_past_the_limit(spark, monkeypatch):
+    docs = spark.createDataFrame([("a b. C d! e \u3000x. y",), ("a b. C",), (None,), ("",)] * 3, "text string").coalesce(1)
+    whole = sorted(punkt.counted(docs).collect(), key=repr)
+    monkeypatch.setattr(punkt, "COUNTED", 2)
+    assert sorted(punkt.counted(docs).collect(), key=repr) == whole and sum(r["n"] for r in whole) == 30
